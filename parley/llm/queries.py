@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup
+from . import decontamination, exact_dedup, packing, token_files
 
 
 def queries() -> dict:
-    found = [exact_dedup.op7_extendible_hash_dedup, decontamination.op10_positional_index]
+    found = [packing.op6_cost_balanced_packing, token_files.op8_repair_token_files, exact_dedup.op7_extendible_hash_dedup, decontamination.op10_positional_index]
     return {f.__name__: f for f in found}
 
 
