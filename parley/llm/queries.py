@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, packing, token_files
+import functools
+
+from parley.shipping import ship
+
+from . import decontamination, exact_dedup, language, packing, quality, token_files, toxicity
+
+FOUND = [
+    quality.op1_attention_mil_quality,
+    language.op2_string_kernel_language,
+    toxicity.op4_nonnegative_pu_toxicity,
+    packing.op6_cost_balanced_packing,
+    exact_dedup.op7_extendible_hash_dedup,
+    token_files.op8_repair_token_files,
+    decontamination.op10_positional_index,
+]
+
+
+def shipped(f):
+    @functools.wraps(f)
+    def query(spark, sf_dir):
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return query
 
 
 def queries() -> dict:
-    found = [packing.op6_cost_balanced_packing, token_files.op8_repair_token_files, exact_dedup.op7_extendible_hash_dedup, decontamination.op10_positional_index]
-    return {f.__name__: f for f in found}
+    return {f.__name__: shipped(f) for f in FOUND}
 
 
 def oracle_sql() -> dict[str, str]:
