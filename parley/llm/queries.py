@@ -6,11 +6,12 @@ import functools
 
 from parley.shipping import ship
 
-from . import decontamination, exact_dedup, language, packing, quality, token_files, toxicity
+from . import decontamination, exact_dedup, language, packing, quality, similarity_join, token_files, toxicity
 
 FOUND = [
     quality.op1_attention_mil_quality,
     language.op2_string_kernel_language,
+    similarity_join.op3_signature_tree_join,
     toxicity.op4_nonnegative_pu_toxicity,
     packing.op6_cost_balanced_packing,
     exact_dedup.op7_extendible_hash_dedup,
@@ -33,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_extendible_hash_dedup": exact_dedup.ORACLE, "op10_positional_index": decontamination.ORACLE}
+    return {"op3_signature_tree_join": similarity_join.ORACLE, "op7_extendible_hash_dedup": exact_dedup.ORACLE, "op10_positional_index": decontamination.ORACLE}
