@@ -6,16 +6,18 @@ import functools
 
 from parley.shipping import ship
 
-from . import decontamination, exact_dedup, language, packing, quality, similarity_join, token_files, toxicity
+from . import decontamination, exact_dedup, language, line_dedup, packing, pseudonyms, quality, similarity_join, token_files, toxicity
 
 FOUND = [
     quality.op1_attention_mil_quality,
     language.op2_string_kernel_language,
     similarity_join.op3_signature_tree_join,
     toxicity.op4_nonnegative_pu_toxicity,
+    line_dedup.op5_set_similarity_line_dedup,
     packing.op6_cost_balanced_packing,
     exact_dedup.op7_extendible_hash_dedup,
     token_files.op8_repair_token_files,
+    pseudonyms.op9_feistel_pseudonyms,
     decontamination.op10_positional_index,
 ]
 
@@ -34,4 +36,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_signature_tree_join": similarity_join.ORACLE, "op7_extendible_hash_dedup": exact_dedup.ORACLE, "op10_positional_index": decontamination.ORACLE}
+    return {"op3_signature_tree_join": similarity_join.ORACLE, "op5_set_similarity_line_dedup": line_dedup.ORACLE, "op7_extendible_hash_dedup": exact_dedup.ORACLE, "op10_positional_index": decontamination.ORACLE}
