@@ -32,15 +32,17 @@ def features_of(documents: DataFrame, chosen: DataFrame, features: Callable[[pa.
     return sorted((r.doc_id, r.kind, bytes(r.found)) for r in rows.mapInArrow(extracted, "doc_id long, kind string, found binary").toLocalIterator())
 
 
-def scored(documents: DataFrame, score: Callable[[pa.Array], list[pa.Array]], columns: str) -> DataFrame:
-    """documents' doc_id and held_out with the columns that score gives for a batch's texts."""
-    names = ["doc_id", "held_out", *(c.split()[0] for c in columns.split(", "))]
+def scored(documents: DataFrame, score: Callable[[pa.Array], list[pa.Array]], columns: str, carry: str | None = None) -> DataFrame:
+    """documents' doc_id and held_out with the columns that score gives for a batch's texts, and if wanted the long
+    that the SQL expression `carry` gives for a row, as `carried`."""
+    extra = ["carried"] if carry else []
+    names = ["doc_id", "held_out", *(c.split()[0] for c in columns.split(", ")), *extra]
 
     def batched(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *score(b.column(2))], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *score(b.column(2)), *([b.column(3)] if carry else [])], names=names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(batched, f"doc_id long, held_out boolean, {columns}")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", *([F.expr(carry).alias("carried")] if carry else [])).mapInArrow(batched, f"doc_id long, held_out boolean, {columns}" + (", carried long" if carry else ""))
 
 
 def labelled(labels: DataFrame, column: str) -> DataFrame:

@@ -121,8 +121,8 @@ def _packed(column: pa.Array) -> list[bytes]:
     return [x[begin[i] : begin[i + 1]].astype(np.float16).tobytes() for x, begin in passages(column) for i in range(len(begin) - 1)]
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, per_class: int = 2500) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of documents."""
+def quality_scores(documents: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, per_class: int = 2500, carry: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of documents (and carried, see `_learning.scored`)."""
     known = _learning.labelled(labels, label)
     counts = {r.kind: r["count"] for r in known.where(~_learning.held_out()).groupBy("kind").count().collect()}
     if len(counts) == 2:
@@ -132,7 +132,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, label: str = "qualit
         y = np.array([float(k) for _, k, _ in rows], np.float32)
     if len(counts) < 2 or not 0 < y.sum() < len(y):
         share = float(sum(v for k, v in counts.items() if k == "1") / sum(counts.values())) if counts else 0.5
-        out = _learning.scored(documents, lambda c: [pa.array([share] * len(c), pa.float64())], "score double")
+        out = _learning.scored(documents, lambda c: [pa.array([share] * len(c), pa.float64())], "score double", carry)
     else:
         weight = np.where(y == 1, counts["1"] / y.sum(), counts["0"] / (1 - y).sum()).astype(np.float32)
         model = train(bags, y, weight / weight.mean())
@@ -141,7 +141,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, label: str = "qualit
             parts = [forward(model, *p)["p"] for p in passages(column)]
             return [pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())]
 
-        out = _learning.scored(documents, score, "score double")
+        out = _learning.scored(documents, score, "score double", carry)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
