@@ -1,0 +1,81 @@
+"""A training-corpus pipeline: five stages, each over all that its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Defined cases are those of the operators; rows that repeat a doc_id are judged by their own texts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.llm import _shared, decontamination, line_dedup, packing, quality, similarity_join
+from parley.shipping import ship
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier rejects."""
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    th = F.xxhash64("text")
+    rejected = quality.quality_scores(docs, labels, carry="xxhash64(text)").where("predicted = 0").select(F.col("doc_id").alias("_d"), F.col("carried").alias("_h")).distinct()
+    rejected = _shared.stored(rejected, "rejected")
+    return docs.join(_shared.broadcast_if_small(rejected), F.col("doc_id").eqNullSafe(F.col("_d")) & (th == F.col("_h")), "left_anti")
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines that an earlier line resembles; a document of which nothing is left goes."""
+    out = line_dedup.without_repeated_lines(docs)
+    return _with_lengths(out, docs)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near copies (five-word shingles, similarity 0.8)."""
+    ship(spark)
+    found = _shared.stored(similarity_join.similar_documents(docs), "groups")
+    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("x.*")
+    kept = first.union(found.where("n_shingles = 0").select("doc_id", "th")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"))
+    th = F.xxhash64("text")
+    one = docs.withColumn("_th", th).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_semi")
+    return one.dropDuplicates(["doc_id", "_th"]).drop("_th")
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a window of ten words of a benchmark item."""
+    hits = decontamination.occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = _shared.stored(hits.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).distinct(), "leaks")
+    return docs.join(_shared.broadcast_if_small(leaks), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 tokens."""
+    import public_tokenizers
+
+    ship(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _with_lengths(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """n_chars, where documents have it, follows the text."""
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", cut_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_similar),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
+]
+
+#: SQL has no form for the classifier or the tokenizer; tests hold the other stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = _shared.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
