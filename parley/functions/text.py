@@ -36,7 +36,7 @@ def fenced(c: Column) -> Column:
 def inline(c: Column, longer_than: int = 20) -> Column:
     """Inline blocks of more characters than longer_than."""
     part = lambda k: F.regexp_extract_all(c, F.lit("`([^`]+)`"), F.lit(k))
-    both = F.zip_with(part(1), part(0), lambda code, raw: F.struct(F.lit("inline").alias("language"), code.alias("code"), raw.alias("raw")))
+    both = F.zip_with(part(1), part(0), lambda code, raw: F.struct(F.lit("text").alias("language"), code.alias("code"), raw.alias("raw")))
     return F.filter(both, lambda x: F.length(x["code"]) > longer_than)
 
 
