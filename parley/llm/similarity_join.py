@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import _shared
 from ._shingles import mix, shingled
 
-SKETCH_BITS, SEGMENT_BITS, BITS, CELL, LEAF, FAN = 21, 16, 2048, 2048, 16, 8
+SKETCH_BITS, SEGMENT_BITS, BITS, CELL, LEAF, FAN = 21, 16, 1024, 2048, 16, 8
 
 
 def sets_of(column: pa.Array, size: int):
@@ -54,14 +54,15 @@ def frequency_levels(documents: DataFrame, size: int) -> np.ndarray:
             if held:
                 counts += np.bincount(np.concatenate(held), minlength=len(counts))
         few = np.minimum(counts, 255).astype(np.uint8)
-        over = np.flatnonzero(counts > 255)
+        # a task's counts end at 255, which changes the order of tokens but not that all documents share it; where
+        # most slots are in use they are sent without places
         rows = {"segment": [], "at": [], "n": []}
         for k, part in enumerate(few.reshape(-1, 1 << SEGMENT_BITS)):
             at = np.flatnonzero(part)
-            n = counts[(k << SEGMENT_BITS) + at]
+            dense = 3 * len(at) > len(part)
             rows["segment"].append(k)
-            rows["at"].append(at.astype("<u2").tobytes())
-            rows["n"].append(n.astype("<u4").tobytes() if len(over) else part[at].astype("<u4").tobytes())
+            rows["at"].append(b"" if dense else at.astype("<u2").tobytes())
+            rows["n"].append(part.tobytes() if dense else part[at].tobytes())
         yield pa.RecordBatch.from_pydict({"segment": pa.array(rows["segment"], pa.int32()), "at": pa.array(rows["at"], pa.binary()), "n": pa.array(rows["n"], pa.binary())})
 
     def summed(batches):
@@ -69,7 +70,7 @@ def frequency_levels(documents: DataFrame, size: int) -> np.ndarray:
         for b in batches:
             for k, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 t = totals.setdefault(k, np.zeros(1 << SEGMENT_BITS, np.int64))
-                t[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+                t[np.frombuffer(at, "<u2") if at else slice(len(n))] += np.frombuffer(n, np.uint8)
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.astype("<i8").tobytes() for t in totals.values()], pa.binary())], names=["segment", "n"])
 
@@ -230,11 +231,13 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
     """doc_id, th (hash of the text), n_shingles, component_id of every row; texts link when
     den * intersection >= num * union."""
     rows = _shared.stored(described(documents, size, num, den, frequency_levels(documents, size)), "sets")
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
-    classes = _shared.stored(classes, "classes")
-    tokens = classes.select("k1", "n", F.explode("prefix").alias("token"))
-    again = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    cells = _shared.stored(tokens.join(again, "token"), "cells")
+    classes = _shared.stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "classes")
+    tokens = rows.select("k1", F.explode("prefix").alias("token"))
+    # copies share their k1, so a token that only one class has drops out here, and copies meet before the shuffle
+    again = tokens.groupBy("token").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").select("token")
+    again = _shared.broadcast_if_small(_shared.stored(again, "again"), _shared.BROADCAST_LONGS)
+    members = _shared.stored(rows.select("k1", "n", F.explode("prefix").alias("token")).join(again, "token").distinct(), "members")
+    cells = _shared.stored(members.join(members.groupBy("token").agg(F.count("*").cast("int").alias("df")), "token"), "cells")
     blocks = F.ceil(F.col("df") / CELL).cast("int")
     block = F.pmod(F.xxhash64("k1"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -243,8 +246,8 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
     dealt = dealt.select("token", part.cast("long").alias("part"), "block", (F.col("block") != F.col("other")).alias("mixed"), "blocks", "k1", "n")
     # a part of one block compares its rows with each other, a part of two blocks only rows of different blocks
     dealt = dealt.select("token", "part", "block", (F.floor(F.col("part") / F.col("blocks")) != F.col("part") % F.col("blocks")).alias("two"), "k1", "n")
-    wanted = _shared.stored(cells.select("k1").distinct().join(classes.select("k1", "doc_id", "sig"), "k1"), "wanted")
-    ids = _shared.broadcast_if_small(wanted.select(F.col("k1").alias("want"), F.col("doc_id").alias("d")))
+    needed = _shared.broadcast_if_small(_shared.stored(cells.select("k1").distinct(), "needed"), _shared.BROADCAST_LONGS)
+    wanted = _shared.stored(rows.join(needed, "k1").groupBy("k1").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "wanted")
 
     def whole(batches):
         for b in batches:
@@ -256,16 +259,28 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
             out = pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(raw, pa.binary())], names=["k1", "tokens"])
             yield out.filter(pc.equal(out.column(0), b.column(0)))
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d")))
-    sets = docs.select("want", "text").mapInArrow(whole, "k1 long, tokens binary").groupBy("k1").agg(F.first("tokens").alias("tokens"))
-    sets = _shared.stored(sets, "tokens")
+    def sets_in(pairs: DataFrame) -> DataFrame:
+        """The whole sets of the classes in pairs, from their texts; a class whose row is repeated may come twice."""
+        here = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
+        ids = wanted.select("k1", "doc_id").join(here, "k1", "left_semi").select(F.col("k1").alias("want"), F.col("doc_id").alias("d"))
+        ids = _shared.broadcast_if_small(_shared.stored(ids, "ids"))
+        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d")))
+        return _shared.stored(docs.select("want", "text").mapInArrow(whole, "k1 long, tokens binary"), "tokens")
 
     root, edges = None, None
     for all_pairs in (False, True):
-        signed = dealt.join(wanted.select("k1", "sig"), "k1")
-        signed = signed.withColumn("root", F.col("k1")) if root is None else signed.join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+        signed = wanted.select("k1", "sig", F.col("k1").alias("root"))
+        open_cells = dealt
+        if root is not None:
+            # only cells whose classes are not yet all connected, and in them only what is needed to compare them
+            known = cells.select("token", "k1").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+            several = known.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+            several = _shared.broadcast_if_small(_shared.stored(several, "open"), _shared.BROADCAST_LONGS)
+            open_cells = dealt.join(several, "token", "left_semi")
+            signed = wanted.select("k1", "sig").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+        signed = open_cells.join(signed, "k1")
         pairs = _shared.stored(candidates(signed, num, den, all_pairs), "pairs")
-        found = _shared.stored(verified(pairs, sets, num, den), "links")
+        found = _shared.stored(verified(pairs, sets_in(pairs), num, den).distinct(), "links")
         edges = found if edges is None else edges.union(found)
         root = _shared.stored(_shared.components(edges).withColumnRenamed("node", "k1"), "roots")
     named = classes.select("k1", "k2", "doc_id").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
