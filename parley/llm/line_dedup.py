@@ -32,8 +32,8 @@ def words(line: Column) -> Column:
 
 def tokens(w: Column, size: int) -> Column:
     """Different shingle hashes of a word array; empty for fewer words."""
-    at = F.sequence(F.lit(0), F.size(w) - F.lit(size))
-    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + F.lit(k)) for k in range(size)]))
+    at = F.sequence(F.lit(1), F.size(w) - F.lit(size - 1))
+    hashes = F.transform(at, lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))
     return F.when(F.size(w) >= size, F.array_distinct(hashes)).otherwise(F.array().cast("array<long>"))
 
 
@@ -60,10 +60,11 @@ def removed_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int =
     every = _shared.stored(sets.select("doc_id", "th", "pos", "k1", "k2", n.alias("n"), prefix.alias("prefix")), "lines")
     place = F.struct("doc_id", "th", "pos")
     found = every.select("k1", "k2", "n", place.alias("o"), F.posexplode("prefix").alias("i", "token"))
-    by_token = found.groupBy("token").agg(F.min("k1").alias("least"), F.max("k1").alias("most"), F.min(F.struct("o", "k1", "k2", "n", "i")).alias("hub")).where("least <> most")
-    shared = _shared.stored(by_token.select("token", "hub"), "shared")
-    members = found.join(_shared.broadcast_if_small(shared.select("token")), "token").groupBy("token", "k1", "k2").agg(F.min("o").alias("o"), F.min("n").alias("n"), F.min("i").alias("i"))
+    again = every.select("k1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least <> most").select("token")
+    again = _shared.stored(again, "again")
+    members = found.join(_shared.broadcast_if_small(again, _shared.BROADCAST_LONGS), "token").groupBy("token", "k1", "k2").agg(F.min("o").alias("o"), F.min("n").alias("n"), F.min("i").alias("i"))
     members = _shared.stored(members, "members")
+    shared = _shared.stored(members.groupBy("token").agg(F.min(F.struct("o", "k1", "k2", "n", "i")).alias("hub")), "shared")
     wanted = members.groupBy("k1", "k2").agg(F.min("o").alias("o"))
     wanted = _shared.stored(wanted.select("k1", "k2", F.col("o.doc_id").alias("d"), F.col("o.th").alias("h"), F.col("o.pos").alias("p")), "wanted")
     here = _shared.broadcast_if_small(wanted.select("d", "h").distinct())
