@@ -46,13 +46,13 @@ class PositionalIndex:
     def __init__(self, documents: DataFrame, terms: DataFrame):
         """terms: one column, term, of different terms, of a checked size if it is to be broadcast."""
         self.documents = documents
-        places = documents.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
+        places = documents.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode_outer(words(F.col("text"))).alias("pos", "term"))
         self.postings = _shared.stored(places.join(terms, "term").select("term", "doc_id", "th", "pos"), "postings")
 
     @staticmethod
     def lengths(documents: DataFrame, terms: DataFrame) -> DataFrame:
         """(term, n): the posting list lengths of the given terms that occur at all."""
-        return documents.select(F.explode(words(F.col("text"))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+        return documents.select(F.explode_outer(words(F.col("text"))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
 
     def phrases(self, ranked: DataFrame, depth: int) -> DataFrame:
         """(doc_id, th, win, start) where the `depth` rarest terms of a window stand at their places.
