@@ -10,8 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Rows of (at most 64 bytes) that may be broadcast after they were counted.
 BROADCAST_ROWS = 200_000
+#: The same for rows that are one long.
+BROADCAST_LONGS = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,7 +38,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    df.write.parquet(path)
+    # the shuffle files of this write serve nothing else: they go with its end
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
