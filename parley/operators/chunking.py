@@ -21,7 +21,9 @@ from .filters import chunkable
 TOPIC_WORDS = ["now", "next", "different", "instead", "change", "new topic"]
 LONG_QUESTION, CONTEXT_SIZE, MIN_SEGMENT = 100, 200, 3
 
-BY_FILE = W.partitionBy("file_path").orderBy("ts", "line_no")
+def by_file():
+    """The one window of this module (made when a session is there)."""
+    return W.partitionBy("file_path").orderBy("ts", "line_no")
 
 
 def _line(role: str = "role", content: str = "content", ts: str = "ts") -> Column:
@@ -30,11 +32,11 @@ def _line(role: str = "role", content: str = "content", ts: str = "ts") -> Colum
 
 def qa_pairs(messages: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     """Each question with the answer right after it, and up to context_window messages before, as text; all sizes."""
-    after = lambda c: F.lead(c).over(BY_FILE)
+    after = lambda c: F.lead(c).over(by_file())
     short = F.when(F.length("content") > CONTEXT_SIZE, F.concat(F.substring("content", 1, CONTEXT_SIZE), F.lit("..."))).otherwise(F.col("content"))
     note = F.concat(F.lit("[Context] "), T.title(F.col("role")), F.lit(": "), short)
     window = config.context_window if config.context else 0
-    before = F.collect_list(note).over(BY_FILE.rowsBetween(-window, -1)) if window else F.array().cast("array<string>")
+    before = F.collect_list(note).over(by_file().rowsBetween(-window, -1)) if window else F.array().cast("array<string>")
     rows = messages.withColumn("answer", after("content")).withColumn("next_role", after("role")).withColumn("answer_code", after("has_code")).withColumn("answer_tools", after("has_tools")).withColumn("before", before)
     pairs = rows.where("role = 'user' AND next_role = 'assistant'")
     pair = F.concat(T.stamp(F.col("ts")), F.lit(" User: "), F.col("content"), F.lit("\n\nAssistant: "), F.col("answer"))
@@ -44,11 +46,11 @@ def qa_pairs(messages: DataFrame, config: Chunking = Chunking()) -> DataFrame:
 
 def segments(messages: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     """messages with seg, the number of their segment in the file (gaps and islands)."""
-    gap = F.col("ts") - F.lag("ts").over(BY_FILE) > F.expr(f"INTERVAL {config.gap_minutes} MINUTES")
+    gap = F.col("ts") - F.lag("ts").over(by_file()) > F.expr(f"INTERVAL {config.gap_minutes} MINUTES")
     topic = functools.reduce(operator.or_, [F.lower("content").contains(w) for w in TOPIC_WORDS])
     turn = (F.col("role") == "user") & (F.length("content") > LONG_QUESTION) & topic
     opens = F.coalesce(gap, F.lit(True)) | turn
-    return messages.withColumn("opens", opens.cast("int")).withColumn("seg", F.sum("opens").over(BY_FILE)).drop("opens")
+    return messages.withColumn("opens", opens.cast("int")).withColumn("seg", F.sum("opens").over(by_file())).drop("opens")
 
 
 def context_segments(messages: DataFrame, config: Chunking = Chunking()) -> DataFrame:

@@ -91,7 +91,7 @@ def messages(lines: DataFrame, run_time: Column | None = None) -> DataFrame:
         role.alias("role"), content.alias("content"), F.coalesce(_first(v, TIME_KEYS, _time), now).alias("ts"),
         _calls(v, ["tool_calls", "toolCalls"], ["function_call", "functionCall"], "name", "struct<name:string,input:string>").alias("tool_calls"),
         _calls(v, ["tool_results"], ["function_result"], "output", "struct<output:string>").alias("tool_results"),
-        F.col("line").alias("raw"),
+        F.col("line").alias("record"),
     )
     return out.withColumn("has_code", has_code(F.col("content"))).withColumn("has_tools", (F.size("tool_calls") > 0) | (F.size("tool_results") > 0))
 
