@@ -91,6 +91,18 @@ def write(path, name, texts, session="s1"):
     (path / name).write_text("\n".join(map(json.dumps, rows)) + "\n\n")
 
 
+def test_topic_word_opens_a_segment(spark):
+    long = "word " * 30
+
+    def chunk_types(question):
+        talk = ["how do I sort a list " + long, "call sorted " + long, question + long, "reversed " + long]
+        rows = [{"uuid": f"u{i}", "role": "user" if i % 2 == 0 else "assistant", "content": t, "timestamp": f"2024-01-15T10:0{i}:00Z", "sessionId": "s"} for i, t in enumerate(talk)]
+        return sorted(r.chunk_type for r in C.chunked(jsonl.messages(lines(spark, *rows)), Chunking()).select("chunk_type").collect())
+
+    assert chunk_types("and then ") == ["context_segment", "qa_pair", "qa_pair"]
+    assert chunk_types("and now ") == ["qa_pair", "qa_pair"]
+
+
 def test_index_search_change_delete(spark, tmp_path):
     logs, long = tmp_path / "logs" / "proj", "word " * 30
     write(logs, "a.jsonl", ["how do I sort a list " + long, "call sorted " + long])
@@ -111,7 +123,7 @@ def test_index_search_change_delete(spark, tmp_path):
     os.utime(logs / "a.jsonl", (2_000_000_000, 2_000_000_000))
     assert engine.index(str(tmp_path / "logs")).files_processed == 1
     n = engine.store.chunks().count()
-    assert n == 3  # two pairs and their segment
+    assert n == 2  # two pairs; the long question with "now" opens a segment, so neither has three messages
     engine.store.backup(f"file://{tmp_path}/backup")
     assert engine.store.delete(F.col("session_id") == "s1") == n and engine.store.chunks().count() == 0
     engine.store.restore(f"file://{tmp_path}/backup")
