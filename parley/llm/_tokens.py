@@ -95,6 +95,15 @@ class ChunkTokenizer:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _room(self, n: int) -> None:
+        """Makes the table so large that n chunks fill no more than half of it: one long text can bring more than memo."""
+        size = 1 << (2 * n - 1).bit_length()
+        if size > len(self.key):
+            used = self.key != 0
+            keys, slots = self.key[used], self.slot[used]
+            self.mask, self.key, self.slot = np.uint64(size - 1), np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._keep(keys, slots)
+
     def _find(self, keys: np.ndarray) -> np.ndarray:
         at = keys & self.mask
         there = self.key[at]
@@ -129,6 +138,7 @@ class ChunkTokenizer:
         self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.used += total
+        self._room(len(self.first))
         self._keep(keys, slot)
 
     def encode(self, column: pa.Array):
