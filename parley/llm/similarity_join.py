@@ -10,7 +10,7 @@ are what is joined, so copies are never paired.
     below it, the range of set sizes and the largest number of tokens that bitmaps merge. The tree is traversed
     against itself; a pair of nodes is left out when bits in common plus merged tokens, or the size ranges,
     cannot give the overlap that the smallest sizes need.
- 4. Candidates are verified on the whole sets. The first round takes for every class of a cell its likeliest
+ 4. Candidates are verified on the whole sets. The first round takes for every class its likeliest
     earlier partner, which joins large groups of near copies without all their pairs; the second takes all
     candidates between classes that are not yet connected. Nothing is capped.
 
@@ -153,8 +153,8 @@ class SignatureTree:
 
 def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
     """(a, b), a < b, of classes that may be linked. cells: part (a cell's key), block (of the row), two (the part
-    compares two blocks), k1, n, sig, root. Without all_pairs each class has one partner in a cell; pairs of one
-    root are never given."""
+    compares two blocks), k1, n, sig, root. Without all_pairs each class has one earlier partner, the likeliest of
+    those in all its cells; pairs of one root are never given."""
 
     def of_cell(k1, n, sig, root, block, two):
         o = np.lexsort((k1, n))
@@ -167,21 +167,27 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
         i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
         ok = (root[i] != root[j]) & ((block[i] != block[j]) if two else True)
         i, j, bound = i[ok], j[ok], bound[ok]
+        near = bound / (n[i] + n[j])
         if not all_pairs and len(i):
-            near = bound / (n[i] + n[j])
             o = np.lexsort((-near, j))
             o = o[np.concatenate([[True], np.diff(j[o]) > 0])]
-            i, j = i[o], j[o]
-        yield k1[i], k1[j]
+            i, j, near = i[o], j[o], near[o]
+        yield k1[i], k1[j], near
 
     def paired(batches):
         held, out = None, []
 
         def emit():
-            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ([], [])))
+            a, b, near = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, float), zip(*out, strict=True) if out else ([], [], []), strict=True))
             out.clear()
-            p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+            if all_pairs:
+                p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                a, b, near = p[:, 0], p[:, 1], np.zeros(len(p))
+            elif len(a):
+                o = np.lexsort((a, -near, b))
+                o = o[np.concatenate([[True], b[o][1:] != b[o][:-1]])]
+                a, b, near = a[o], b[o], near[o]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], names=["a", "b", "near"])
 
         def cells_of(t, last):
             part = t.column(0).to_numpy(zero_copy_only=False)
@@ -200,14 +206,18 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
         for b in batches:
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             held = cells_of(t.combine_chunks(), False) if len(t) else None
-            if sum(len(x) for x, _ in out) > 100_000:
+            if sum(len(x) for x, *_ in out) > 100_000:
                 yield emit()
         if held is not None and len(held):
             cells_of(held.combine_chunks(), True)
         yield emit()
 
     rows = cells.select("token", "part", "block", "two", "k1", "n", "sig", "root").repartition("token", "part").sortWithinPartitions("token", "part")
-    return rows.mapInArrow(paired, "a long, b long").distinct()
+    found = rows.mapInArrow(paired, "a long, b long, near double")
+    if all_pairs:
+        return found.select("a", "b").distinct()
+    best = found.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("a"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
