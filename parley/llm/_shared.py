@@ -31,8 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again; the files go when the driver's JVM ends."""
+def stored(df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again; the files go when the driver's JVM ends.
+    hashes: nearly all values are different, so no dictionary is tried."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/parley-{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
@@ -42,12 +43,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scrapped(table: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is (the join then shuffles).
     df should be a stored table or small to count; rows wider than 64 bytes need a lower bound."""

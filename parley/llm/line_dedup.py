@@ -4,12 +4,13 @@ A line of at least `size` words is the set of its shingles of `size` words (64-b
 when an earlier line (by doc_id, then place in the text) has a Jaccard similarity of `num`/`den` or more; shorter lines
 and blank ones stay.
  1. Counts of all lines' tokens in 2**BUCKET_BITS buckets (a table of fixed size) order tokens by rarity.
- 2. Each line's rarest n - ceil(t*n) + 1 tokens are its prefix; lines that are similar share a token there. Lines of
-    equal words are one class with its first line; a class is compared, not its lines.
+ 2. Each line's rarest n - ceil(t*n) + 1 tokens are its prefix; lines that are similar share a token there (half of
+    each hash is kept for this, which can only add candidates). Lines of equal words are one class with its first line; a class is compared, not its lines.
  3. Of each token that two classes have in their prefixes, all classes are compared with the earliest: with the length
     filter, the positional filter (the most tokens that can be common, given the places of the shared one), then by
     whole sets. A class with a match is settled.
- 4. Only classes that are not settled are compared with all earlier ones that share a token. No group is capped.
+ 4. Only classes that are not settled are compared with all earlier ones that share a token, unless the number of
+    tokens that their prefixes share shows that the rest can't give the overlap. No group is capped.
 
 Defined cases: null and empty texts have no lines; rows that repeat a doc_id are ordered by the hash of the text, and
 equal rows are one, whose lines are never matched with each other's; a null doc_id comes first; an empty table gives no
@@ -27,51 +28,61 @@ BUCKET_BITS = 16
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
+    """The hashes of its words; of a blank line that of one empty word."""
+    return F.transform(F.split(F.trim(F.regexp_replace(F.lower(line), r"\s+", " ")), " "), lambda x: F.xxhash64(x))
 
 
 def tokens(w: Column, size: int) -> Column:
-    """Different shingle hashes of a word array; empty for fewer words."""
-    at = F.sequence(F.lit(1), F.size(w) - F.lit(size - 1))
-    hashes = F.transform(at, lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))
-    return F.when(F.size(w) >= size, F.array_distinct(hashes)).otherwise(F.array().cast("array<long>"))
+    """Different shingle hashes of an array of at least size word hashes."""
+    at = F.sequence(F.lit(0), F.size(w) - F.lit(size))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size)))))
 
 
-def lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, line), pos from 0. The outer form keeps the optimizer from splitting each text twice, as
-    it would to filter out empty arrays, of which there are none."""
-    return documents.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+def identity(w: Column) -> tuple[Column, Column]:
+    return F.xxhash64(w).alias("k1"), F.xxhash64(F.lit(1), w).alias("k2")
+
+
+def split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
 def removed_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, th, pos) of the lines that go."""
-    cut = lines(documents).select("doc_id", "th", "pos", words(F.col("line")).alias("w")).where(F.size("w") >= size)
-    sets = cut.select("doc_id", "th", "pos", F.xxhash64("w").alias("k1"), F.xxhash64("w", F.lit(1)).alias("k2"), tokens(F.col("w"), size).alias("t"))
-    bucket = lambda c: F.shiftrightunsigned(c, 64 - BUCKET_BITS).cast("int")
+    th = F.xxhash64("text").alias("th")
+    # words are made inside the generator, and its outer form is used, as the optimizer would else make them twice
+    cut = documents.select("doc_id", th, F.posexplode_outer(F.transform(split_lines(F.col("text")), words)).alias("pos", "w"))
+    sets = cut.where(F.size("w") >= size).select("doc_id", "th", "pos", *identity(F.col("w")), tokens(F.col("w"), size).alias("t"))
+    # half of each hash will do to find candidates; halves that meet in one line are kept twice, so n stays right
+    half = F.transform("t", lambda x: F.shiftright(x, 32).cast("int"))
+    sets = _shared.stored(sets.select("doc_id", "th", "pos", "k1", "k2", half.alias("t")), "line-sets", hashes=True)
+    bucket = lambda c: F.shiftrightunsigned(c, 32 - BUCKET_BITS)
     counts = [0] * (1 << BUCKET_BITS)
-    for r in sets.select(F.explode_outer("t").alias("x")).groupBy(bucket(F.col("x")).alias("b")).count().toLocalIterator():
+    for r in sets.select(F.explode_outer("t").alias("x")).groupBy(bucket(F.col("x")).alias("b")).count().collect():  # at most 2**BUCKET_BITS rows
         counts[r.b] = r["count"]
     mean = max(1, sum(counts) // len(counts))
     level = F.split(F.lit(",".join(str((1 + c // (4 * mean)).bit_length() - 1) for c in counts)), ",").cast("array<long>")
-    # rarity first, then the hash: one long, so that a plain sort orders tokens
-    ranked = F.sort_array(F.transform("t", lambda x: F.shiftleft(F.get(level, bucket(x)), 56) + F.shiftrightunsigned(x, 8)))
+    # rarity first, then the hash: one long that is never null, so that a plain sort orders tokens
+    ranked = F.sort_array(F.transform("t", lambda x: F.shiftleft(F.coalesce(F.get(level, bucket(x)), F.lit(0).cast("long")), 32) + x.cast("long") + F.lit(1 << 31)))
     n = F.size("t")
     prefix = F.slice(ranked, 1, (n - F.ceil(n * F.lit(num) / F.lit(den)) + 1).cast("int"))
-    every = _shared.stored(sets.select("doc_id", "th", "pos", "k1", "k2", n.alias("n"), prefix.alias("prefix")), "lines")
+    every = _shared.stored(sets.select("doc_id", "th", "pos", "k1", "k2", n.alias("n"), prefix.alias("prefix")), "lines", hashes=True)
+    _shared.scrapped(sets)
     place = F.struct("doc_id", "th", "pos")
     found = every.select("k1", "k2", "n", place.alias("o"), F.posexplode("prefix").alias("i", "token"))
-    again = every.select("k1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).where("least <> most").select("token")
+    again = every.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")
     again = _shared.stored(again, "again")
-    members = found.join(_shared.broadcast_if_small(again, _shared.BROADCAST_LONGS), "token").groupBy("token", "k1", "k2").agg(F.min("o").alias("o"), F.min("n").alias("n"), F.min("i").alias("i"))
-    members = _shared.stored(members, "members")
-    shared = _shared.stored(members.groupBy("token").agg(F.min(F.struct("o", "k1", "k2", "n", "i")).alias("hub")), "shared")
-    wanted = members.groupBy("k1", "k2").agg(F.min("o").alias("o"))
-    wanted = _shared.stored(wanted.select("k1", "k2", F.col("o.doc_id").alias("d"), F.col("o.th").alias("h"), F.col("o.pos").alias("p")), "wanted")
-    here = _shared.broadcast_if_small(wanted.select("d", "h").distinct())
-    some = documents.join(here, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("h")), "left_semi")
-    whole = lines(some).select("doc_id", "th", "pos", words(F.col("line")).alias("w")).where(F.size("w") >= size)
-    whole = whole.select(F.xxhash64("w").alias("k1"), F.xxhash64("w", F.lit(1)).alias("k2"), tokens(F.col("w"), size).alias("t"))
-    whole = _shared.stored(whole.join(_shared.broadcast_if_small(wanted.select("k1", "k2")), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("t").alias("t")), "whole")
+    members = found.join(_shared.broadcast_if_small(again, _shared.BROADCAST_LONGS), "token").groupBy("token", "k1", "k2").agg(F.min("o").alias("o"), F.min("n").alias("n"), F.min("i").alias("i"), (F.max("i") - F.min("i") + 1).alias("many"))
+    members = _shared.stored(members, "members", hashes=True)
+    # tokens that copies of one line repeat have a single class
+    shared = members.groupBy("token").agg(F.min(F.struct("o", "k1", "k2", "n", "i")).alias("hub"), F.count("*").alias("df")).where("df > 1")
+    shared = _shared.stored(shared.select("token", "hub"), "shared")
+    members = members.join(_shared.broadcast_if_small(shared.select("token"), _shared.BROADCAST_LONGS), "token", "left_semi")
+    wanted = members.groupBy("k1", "k2").agg(F.min("o").alias("o")).select(F.xxhash64("o.doc_id", "o.th", "o.pos").alias("ph")).distinct()
+    wanted = _shared.broadcast_if_small(_shared.stored(wanted, "wanted"), _shared.BROADCAST_LONGS)
+    one = documents.select("doc_id", th, F.posexplode_outer(split_lines(F.col("text"))).alias("pos", "line"))
+    one = one.withColumn("ph", F.xxhash64("doc_id", "th", "pos")).join(wanted, "ph", "left_semi").select(F.explode_outer(F.array(words(F.col("line")))).alias("w"))
+    whole = one.where(F.size("w") >= size).select(*identity(F.col("w")), tokens(F.col("w"), size).alias("t"))
+    whole = _shared.stored(whole.dropDuplicates(["k1", "k2"]), "whole", hashes=True)
 
     def may(n, i, m, j) -> Column:
         """The length and the positional filter."""
@@ -80,17 +91,21 @@ def removed_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int =
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The classes (k1, k2) that match their earlier partner (e1, e2)."""
-        a = pairs.distinct().join(whole, ["k1", "k2"])
+        pairs = _shared.stored(pairs, "line-pairs")
+        a = whole.join(_shared.broadcast_if_small(pairs), ["k1", "k2"])
         b = whole.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("t").alias("s"))
         both = F.size(F.array_intersect("t", "s"))
         return a.join(b, ["e1", "e2"]).where(den * both >= num * (F.size("t") + F.size("s") - both)).select("k1", "k2").distinct()
 
     c = F.col
     first = members.join(shared, "token").where((c("hub.o") < c("o")) & may(c("n"), c("i"), c("hub.n"), c("hub.i")))
-    settled = _shared.stored(similar(first.select("k1", "k2", c("hub.k1").alias("e1"), c("hub.k2").alias("e2"))), "settled")
+    settled = _shared.stored(similar(first.select("k1", "k2", c("hub.k1").alias("e1"), c("hub.k2").alias("e2")).distinct()), "settled")
     left = members.join(settled, ["k1", "k2"], "left_anti")
-    early = members.select("token", c("k1").alias("e1"), c("k2").alias("e2"), c("o").alias("eo"), c("n").alias("m"), c("i").alias("j"))
+    early = members.select("token", c("k1").alias("e1"), c("k2").alias("e2"), c("o").alias("eo"), c("n").alias("m"), c("i").alias("j"), c("many").alias("mj"))
     later = left.join(early, "token").where((c("eo") < c("o")) & may(c("n"), c("i"), c("m"), c("j")))
+    # beyond the tokens that two prefixes share, only the rest of one of the lines can be common
+    later = later.groupBy("k1", "k2", "e1", "e2").agg(F.sum(F.least("many", "mj")).alias("both"), F.min("n").alias("n"), F.min("m").alias("m"))
+    later = later.where((num + den) * (c("both") + F.ceil(F.greatest("n", "m") * F.lit(num) / F.lit(den)) - 1) >= num * (c("n") + c("m")))
     gone = settled.union(similar(later.select("k1", "k2", "e1", "e2"))).withColumn("all", F.lit(True))
     firsts = every.groupBy("k1", "k2").agg(F.min(place).alias("o"), F.count("*").alias("many"))
     classes = firsts.join(gone, ["k1", "k2"], "left").where("many > 1 or all")
@@ -111,7 +126,7 @@ def without_repeated_lines(documents: DataFrame, size: int = 5, num: int = 80, d
 def line_report(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (places from 0, comma-joined) of every row of documents."""
     gone = removed_lines(documents, size, num, den).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    docs = documents.select("doc_id", F.xxhash64("text").alias("th"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    docs = documents.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(1)).cast("long").alias("n_lines"))
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
