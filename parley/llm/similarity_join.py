@@ -10,9 +10,11 @@ are what is joined, so copies are never paired.
     below it, the range of set sizes and the largest number of tokens that bitmaps merge. The tree is traversed
     against itself; a pair of nodes is left out when bits in common plus merged tokens, or the size ranges,
     cannot give the overlap that the smallest sizes need.
- 4. Candidates are verified on the whole sets. The first round takes for every class its likeliest
-    earlier partner, which joins large groups of near copies without all their pairs; the second takes all
-    candidates between classes that are not yet connected. Nothing is capped.
+ 4. Candidates are verified on the whole sets. The first round takes the cells of a class's FEW rare tokens of
+    least hash, which near copies mostly share, and of them for every class its likeliest earlier partner; this joins
+    large groups of near copies without all their pairs. The second takes all cells and all candidates between classes
+    that are not yet connected, but for pairs whose number of common cells shows that the rest of their sets cannot
+    give the overlap. Nothing is capped.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and are their own component
 (component_id is their doc_id); texts of fewer words than the shingle size are one shingle; repeated rows are in one
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from . import _shared
 from ._shingles import mix, shingled
 
-SKETCH_BITS, SEGMENT_BITS, BITS, CELL, LEAF, FAN = 21, 16, 1024, 2048, 16, 8
+SKETCH_BITS, SEGMENT_BITS, BITS, CELL, LEAF, FAN, FEW = 21, 16, 1024, 2048, 16, 8, 6
 
 
 def sets_of(column: pa.Array, size: int):
@@ -93,10 +95,14 @@ def described(documents: DataFrame, size: int, num: int, den: int, levels: np.nd
     """doc_id, th, n, k1, k2 (hashes of the set), sig, prefix (its rarest tokens) of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(levels)
 
+    def lists(of):
+        off = np.concatenate([[0], np.cumsum([len(p) for p in of])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int64), *of])))
+
     def rows(batches):
         level = shared.value
         for b in batches:
-            n, k1, k2, sig, prefix = [], [], [], [], []
+            n, k1, k2, sig, prefix, few = [], [], [], [], [], []
             with np.errstate(over="ignore"):
                 for s in sets_of(b.column(2), size):
                     n.append(len(s))
@@ -104,13 +110,14 @@ def described(documents: DataFrame, size: int, num: int, den: int, levels: np.nd
                     k2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)))
                     sig.append(signature(s)[0] if len(s) else b"")
                     o = np.lexsort((s, level[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]))
-                    prefix.append(s[o[: len(s) + (-num * len(s) // den) + 1]].view(np.int64) if len(s) else s.view(np.int64))
-            off = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), tokens], names=["doc_id", "th", "n", "k1", "k2", "sig", "prefix"])
+                    rare = s[o[: len(s) + (-num * len(s) // den) + 1]] if len(s) else s
+                    prefix.append(rare.view(np.int64))
+                    # mix is a bijection: the tokens whose mixed hashes are least, which near copies mostly share
+                    few.append(rare[np.argsort(mix(rare))[:FEW]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), lists(prefix), lists(few)], names=["doc_id", "th", "n", "k1", "k2", "sig", "prefix", "few"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return docs.mapInArrow(rows, "doc_id long, th long, n long, k1 long, k2 long, sig binary, prefix array<long>")
+    return docs.mapInArrow(rows, "doc_id long, th long, n long, k1 long, k2 long, sig binary, prefix array<long>, few array<long>")
 
 
 class SignatureTree:
@@ -154,7 +161,8 @@ class SignatureTree:
 def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
     """(a, b), a < b, of classes that may be linked. cells: part (a cell's key), block (of the row), two (the part
     compares two blocks), k1, n, sig, root. Without all_pairs each class has one earlier partner, the likeliest of
-    those in all its cells; pairs of one root are never given."""
+    those in all its cells; with it a pair must have enough common cells, of which cells must then hold all that the
+    pair has. Pairs of one root are never given."""
 
     def of_cell(k1, n, sig, root, block, two):
         o = np.lexsort((k1, n))
@@ -167,7 +175,12 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
         i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
         ok = (root[i] != root[j]) & ((block[i] != block[j]) if two else True)
         i, j, bound = i[ok], j[ok], bound[ok]
-        near = bound / (n[i] + n[j])
+        if all_pairs:
+            # tokens that both prefixes must share, as beyond them only the rest of one set can be common
+            rest = -(-num * np.maximum(n[i], n[j]) // den) - 1
+            near = (-(-num * (n[i] + n[j]) // (num + den)) - rest).astype(float)
+        else:
+            near = bound / (n[i] + n[j])
         if not all_pairs and len(i):
             o = np.lexsort((-near, j))
             o = o[np.concatenate([[True], np.diff(j[o]) > 0])]
@@ -180,14 +193,15 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
         def emit():
             a, b, near = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, float), zip(*out, strict=True) if out else ([], [], []), strict=True))
             out.clear()
+            cells = np.ones(len(a), np.int64)
             if all_pairs:
-                p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                a, b, near = p[:, 0], p[:, 1], np.zeros(len(p))
+                p, at, cells = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True, return_counts=True)
+                a, b, near = p[:, 0], p[:, 1], near[at]
             elif len(a):
                 o = np.lexsort((a, -near, b))
                 o = o[np.concatenate([[True], b[o][1:] != b[o][:-1]])]
-                a, b, near = a[o], b[o], near[o]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], names=["a", "b", "near"])
+                a, b, near, cells = a[o], b[o], near[o], cells[o]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near), pa.array(cells)], names=["a", "b", "near", "cells"])
 
         def cells_of(t, last):
             part = t.column(0).to_numpy(zero_copy_only=False)
@@ -213,9 +227,9 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
         yield emit()
 
     rows = cells.select("token", "part", "block", "two", "k1", "n", "sig", "root").repartition("token", "part").sortWithinPartitions("token", "part")
-    found = rows.mapInArrow(paired, "a long, b long, near double")
+    found = rows.mapInArrow(paired, "a long, b long, near double, cells long")
     if all_pairs:
-        return found.select("a", "b").distinct()
+        return found.groupBy("a", "b").agg(F.sum("cells").alias("cells"), F.min("near").alias("near")).where("cells >= near").select("a", "b")
     best = found.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("a"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -246,17 +260,20 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
     # copies share their k1, so a token that only one class has drops out here, and copies meet before the shuffle
     again = tokens.groupBy("token").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").select("token")
     again = _shared.broadcast_if_small(_shared.stored(again, "again"), _shared.BROADCAST_LONGS)
-    members = _shared.stored(rows.select("k1", "n", F.explode("prefix").alias("token")).join(again, "token").distinct(), "members")
-    cells = _shared.stored(members.join(members.groupBy("token").agg(F.count("*").cast("int").alias("df")), "token"), "cells")
-    blocks = F.ceil(F.col("df") / CELL).cast("int")
-    block = F.pmod(F.xxhash64("k1"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = cells.withColumn("blocks", blocks).withColumn("block", block).select("*", other.alias("other"))
-    part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
-    dealt = dealt.select("token", part.cast("long").alias("part"), "block", (F.col("block") != F.col("other")).alias("mixed"), "blocks", "k1", "n")
-    # a part of one block compares its rows with each other, a part of two blocks only rows of different blocks
-    dealt = dealt.select("token", "part", "block", (F.floor(F.col("part") / F.col("blocks")) != F.col("part") % F.col("blocks")).alias("two"), "k1", "n")
-    needed = _shared.broadcast_if_small(_shared.stored(cells.select("k1").distinct(), "needed"), _shared.BROADCAST_LONGS)
+    members = _shared.stored(rows.select("k1", "n", F.explode("prefix").alias("token")).join(again, "token").distinct(), "members", hashes=True)
+    starters = _shared.stored(rows.select("k1", "n", F.explode("few").alias("token")).join(again, "token").distinct(), "starters", hashes=True)
+
+    def dealt(cells: DataFrame) -> DataFrame:
+        """The rows of cells (token, k1, n, df), with a row for each part that a block of a large cell is in."""
+        blocks = F.ceil(F.col("df") / CELL).cast("int")
+        block = F.pmod(F.xxhash64("k1"), blocks).cast("int")
+        out = cells.withColumn("blocks", blocks).withColumn("block", block)
+        out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        # a part of one block compares its rows with each other, a part of two blocks only rows of different blocks
+        part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+        return out.select("token", part.cast("long").alias("part"), "block", (F.col("block") != F.col("other")).alias("two"), "k1", "n")
+
+    needed = _shared.broadcast_if_small(_shared.stored(members.select("k1").distinct(), "needed"), _shared.BROADCAST_LONGS)
     wanted = _shared.stored(rows.join(needed, "k1").groupBy("k1").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "wanted")
 
     def whole(batches):
@@ -280,15 +297,18 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
     root, edges = None, None
     for all_pairs in (False, True):
         signed = wanted.select("k1", "sig", F.col("k1").alias("root"))
-        open_cells = dealt
-        if root is not None:
-            # only cells whose classes are not yet all connected, and in them only what is needed to compare them
-            known = cells.select("token", "k1").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
-            several = known.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-            several = _shared.broadcast_if_small(_shared.stored(several, "open"), _shared.BROADCAST_LONGS)
-            open_cells = dealt.join(several, "token", "left_semi")
+        if root is None:
+            sizes = starters.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+            cells = starters
+        else:
+            # only cells whose classes are not yet all connected
             signed = wanted.select("k1", "sig").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
-        signed = open_cells.join(signed, "k1")
+            known = members.select("token", "k1").join(_shared.broadcast_if_small(root), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+            sizes = known.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token", "df")
+            cells = members
+        sizes = _shared.broadcast_if_small(_shared.stored(sizes, "open"), _shared.BROADCAST_LONGS // 2)
+        cells = _shared.stored(dealt(cells.join(sizes, "token")), "cells", hashes=True)
+        signed = cells.join(_shared.broadcast_if_small(signed, 100_000), "k1")
         pairs = _shared.stored(candidates(signed, num, den, all_pairs), "pairs")
         found = _shared.stored(verified(pairs, sets_in(pairs), num, den).distinct(), "links")
         edges = found if edges is None else edges.union(found)
