@@ -9,7 +9,7 @@ are what is joined, so copies are never paired.
  3. A cell's classes, sorted by size, are leaves of a signature tree: a node holds the union of the token bitmaps
     below it, the range of set sizes and the largest number of tokens that bitmaps merge. The tree is traversed
     against itself; a pair of nodes is left out when bits in common plus merged tokens, or the size ranges,
-    cannot give the overlap that the smallest sizes need.
+    cannot give the overlap that the smallest sizes need; of rows, also the places of the cell's token in both.
  4. Candidates are verified on the whole sets. The first round takes the cells of a class's FEW rare tokens of
     least hash, which near copies mostly share, and of them for every class its likeliest earlier partner; this joins
     large groups of near copies without all their pairs. The second takes all cells and all candidates between classes
@@ -160,20 +160,22 @@ class SignatureTree:
 
 def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
     """(a, b), a < b, of classes that may be linked. cells: part (a cell's key), block (of the row), two (the part
-    compares two blocks), k1, n, sig, root. Without all_pairs each class has one earlier partner, the likeliest of
+    compares two blocks), k1, n, sig, root, at (the token's place in the set's order, or 0 to know nothing of it). Without all_pairs each class has one earlier partner, the likeliest of
     those in all its cells; with it a pair must have enough common cells, of which cells must then hold all that the
     pair has. Pairs of one root are never given."""
 
-    def of_cell(k1, n, sig, root, block, two):
+    def of_cell(k1, n, sig, root, block, at, two):
         o = np.lexsort((k1, n))
-        k1, n, sig, root, block = k1[o], n[o], sig[o], root[o], block[o]
+        k1, n, sig, root, block, at = k1[o], n[o], sig[o], root[o], block[o], at[o]
         if (root == root[0]).all():
             return
         found = list(SignatureTree(n, sig).pairs(num, den))
         if not found:
             return
         i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
-        ok = (root[i] != root[j]) & ((block[i] != block[j]) if two else True)
+        # the token is at these places of both sets' orders: what is before in both, and what is from there on
+        bound = np.minimum(bound, np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]))
+        ok = (root[i] != root[j]) & ((block[i] != block[j]) if two else True) & (bound * (num + den) >= num * (n[i] + n[j]))
         i, j, bound = i[ok], j[ok], bound[ok]
         if all_pairs:
             # tokens that both prefixes must share, as beyond them only the rest of one set can be common
@@ -209,12 +211,12 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
             cut = np.flatnonzero((part[1:] != part[:-1]) | (sub[1:] != sub[:-1])) + 1
             cut = np.concatenate([[0], cut, [len(part)]])
             ends = cut if last else cut[:-1]
-            cols = [t.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5, 7)]
+            cols = [t.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5, 7, 8)]
             sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint64).reshape(len(part), BITS // 64)
             for x, y in zip(ends[:-1], ends[1:], strict=True):
                 if y - x > 1:
-                    block, two, k1, n, root = (c[x:y] for c in cols)
-                    out.extend(of_cell(k1, n, sig[x:y], root, block, bool(two[0])))
+                    block, two, k1, n, root, at = (c[x:y] for c in cols)
+                    out.extend(of_cell(k1, n, sig[x:y], root, block, at, bool(two[0])))
             return t.slice(ends[-1])
 
         for b in batches:
@@ -226,7 +228,7 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
             cells_of(held.combine_chunks(), True)
         yield emit()
 
-    rows = cells.select("token", "part", "block", "two", "k1", "n", "sig", "root").repartition("token", "part").sortWithinPartitions("token", "part")
+    rows = cells.select("token", "part", "block", "two", "k1", "n", "sig", "root", "at").repartition("token", "part").sortWithinPartitions("token", "part")
     found = rows.mapInArrow(paired, "a long, b long, near double, cells long")
     if all_pairs:
         return found.groupBy("a", "b").agg(F.sum("cells").alias("cells"), F.min("near").alias("near")).where("cells >= near").select("a", "b")
@@ -260,8 +262,8 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
     # copies share their k1, so a token that only one class has drops out here, and copies meet before the shuffle
     again = tokens.groupBy("token").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").select("token")
     again = _shared.broadcast_if_small(_shared.stored(again, "again"), _shared.BROADCAST_LONGS)
-    members = _shared.stored(rows.select("k1", "n", F.explode("prefix").alias("token")).join(again, "token").distinct(), "members", hashes=True)
-    starters = _shared.stored(rows.select("k1", "n", F.explode("few").alias("token")).join(again, "token").distinct(), "starters", hashes=True)
+    members = _shared.stored(rows.select("k1", "n", F.posexplode("prefix").alias("at", "token")).join(again, "token").distinct(), "members", hashes=True)
+    starters = _shared.stored(rows.select("k1", "n", F.lit(0).alias("at"), F.explode("few").alias("token")).join(again, "token").distinct(), "starters", hashes=True)
 
     def dealt(cells: DataFrame) -> DataFrame:
         """The rows of cells (token, k1, n, df), with a row for each part that a block of a large cell is in."""
@@ -271,7 +273,7 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
         out = out.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         # a part of one block compares its rows with each other, a part of two blocks only rows of different blocks
         part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
-        return out.select("token", part.cast("long").alias("part"), "block", (F.col("block") != F.col("other")).alias("two"), "k1", "n")
+        return out.select("token", part.cast("long").alias("part"), "block", (F.col("block") != F.col("other")).alias("two"), "k1", "n", "at")
 
     needed = _shared.broadcast_if_small(_shared.stored(members.select("k1").distinct(), "needed"), _shared.BROADCAST_LONGS)
     wanted = _shared.stored(rows.join(needed, "k1").groupBy("k1").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "wanted")
