@@ -160,9 +160,9 @@ class SignatureTree:
 
 def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
     """(a, b), a < b, of classes that may be linked. cells: part (a cell's key), block (of the row), two (the part
-    compares two blocks), k1, n, sig, root, at (the token's place in the set's order, or 0 to know nothing of it). Without all_pairs each class has one earlier partner, the likeliest of
-    those in all its cells; with it a pair must have enough common cells, of which cells must then hold all that the
-    pair has. Pairs of one root are never given."""
+    compares two blocks), k1, n, sig, root, at (the token's place in the set's order, or 0 to know nothing of it).
+    Without all_pairs each class has one earlier partner, the likeliest of those in all its cells; with it a pair must
+    have enough common cells, of which cells must then hold all that the pair has. Pairs of one root are never given."""
 
     def of_cell(k1, n, sig, root, block, at, two):
         o = np.lexsort((k1, n))
