@@ -33,7 +33,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Keeps the first document of each group of near copies (five-word shingles, similarity 0.8)."""
     ship(spark)
     found = _shared.stored(similarity_join.similar_documents(docs), "groups")
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("x.*")
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("x.*")
     kept = first.union(found.where("n_shingles = 0").select("doc_id", "th")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"))
     th = F.xxhash64("text")
     one = docs.withColumn("_th", th).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_semi")

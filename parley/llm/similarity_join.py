@@ -254,8 +254,9 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, component_id of every row; texts link when
-    den * intersection >= num * union."""
+    """doc_id, th (hash of the text), n_shingles, component_id, root of every row; texts link when
+    den * intersection >= num * union. root (null for an empty set) tells components apart, which component_id
+    does not where doc_id is null or repeated."""
     rows = _shared.stored(described(documents, size, num, den, frequency_levels(documents, size)), "sets")
     classes = _shared.stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "classes")
     tokens = rows.select("k1", F.explode("prefix").alias("token"))
@@ -317,9 +318,9 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
         root = _shared.stored(_shared.components(edges).withColumnRenamed("node", "k1"), "roots")
     named = classes.select("k1", "k2", "doc_id").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = _shared.stored(named.join(names, "root").select("k1", "k2", "component_id"), "names")
+    named = _shared.stored(named.join(names, "root").select("k1", "k2", "component_id", "root"), "names")
     out = rows.select("doc_id", "th", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
 
 
 ORACLE = r"""
@@ -336,4 +337,4 @@ FROM w LEFT JOIN n USING (doc_id)
 
 
 def op3_signature_tree_join(spark, sf_dir):
-    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85, 100).drop("th")
+    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85, 100).drop("th", "root")

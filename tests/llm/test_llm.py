@@ -290,3 +290,13 @@ def test_pipeline_stages(spark):
     assert groups.count() == groups.select("doc_id").distinct().count()
     assert decontamination.contamination(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).where("contaminated").count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id").distinct().count() == docs.count()
+
+
+def test_similar_stage_keeps_unrelated_rows_of_null_and_repeated_ids(spark):
+    a, b, c, d, e, f = (prose(40) for _ in range(6))
+    rows = [(None, a), (None, b), (None, a + " ende"), (7, c), (7, d), (8, d + " ende"), (9, e), (None, e + " ende"), (10, f), (None, ""), (11, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text or "") for r in corpus_pipeline.keep_one_of_similar(spark, docs, "").collect())
+    near_a = [x for x in got if x[1] in (a, a + " ende")]
+    assert len(near_a) == 1 and near_a[0][0] == "None"
+    assert [x for x in got if x not in near_a] == sorted([("None", b), ("7", c), ("7", d), ("None", e + " ende"), ("10", f), ("None", ""), ("11", "")])
