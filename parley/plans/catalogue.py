@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +21,19 @@ QUERIES, SQL = {}, {}
 
 
 def query(sql: str | None = None, needs: str = ""):
-    """Registers a query under its function's name; needs: the views (M, K) that its SQL reads."""
+    """Registers a query under its function's name; needs: the views (M, K) that its SQL reads. A query on chunks is
+    also registered as NAME_whole, which reads every document and embedding and whole texts."""
 
-    def add(f):
-        QUERIES[f.__name__] = f
+    def put(name, f, k):
+        QUERIES[name] = f
         if sql:
-            views = ", ".join(v for v in [X.M if "M" in needs else "", X.K if "K" in needs else ""] if v)
-            SQL[f.__name__] = (f"WITH RECURSIVE {views}, " + sql[5:] if sql.startswith("WITH ") else f"WITH {views} {sql}") if views else sql
+            views = ", ".join(v for v in [X.M if "M" in needs else "", k if "K" in needs else ""] if v)
+            SQL[name] = (f"WITH RECURSIVE {views}, " + sql[5:] if sql.startswith("WITH ") else f"WITH {views} {sql}") if views else sql
+
+    def add(f):
+        put(f.__name__, f, X.K)
+        if "K" in needs:
+            put(f.__name__ + "_whole", functools.partial(f, chunks=X.whole_chunks), X.W)
         return f
 
     return add
@@ -64,18 +72,18 @@ WHERE = "contains(lower(project_name), 'alpha-engine') AND has_code"
 
 
 @query(f"SELECT id, similarity FROM (SELECT *, {SIM} AS similarity FROM k ORDER BY similarity DESC, id LIMIT 100) WHERE {WHERE} AND similarity >= 0 ORDER BY similarity DESC, id LIMIT 10", "K")
-def vector_search_postfilter(spark, sf_dir):
-    return V.search(X.chunks(spark, sf_dir), first_vector(spark, sf_dir), SEARCH, Search(mode="post")).select("id", "similarity")
+def vector_search_postfilter(spark, sf_dir, chunks=X.chunks):
+    return V.search(chunks(spark, sf_dir), first_vector(spark, sf_dir), SEARCH, Search(mode="post")).select("id", "similarity")
 
 
 @query(f"SELECT id, similarity FROM (SELECT *, {SIM} AS similarity FROM k WHERE {WHERE}) WHERE similarity >= 0 ORDER BY similarity DESC, id LIMIT 10", "K")
-def vector_search_prefilter(spark, sf_dir):
-    return V.search(X.chunks(spark, sf_dir), first_vector(spark, sf_dir), SEARCH).select("id", "similarity")
+def vector_search_prefilter(spark, sf_dir, chunks=X.chunks):
+    return V.search(chunks(spark, sf_dir), first_vector(spark, sf_dir), SEARCH).select("id", "similarity")
 
 
 @query(f"SELECT id, similarity FROM (SELECT *, {SIM} AS similarity FROM k) WHERE similarity >= 0.2", "K")
-def vector_threshold(spark, sf_dir):
-    return V.ranked(X.chunks(spark, sf_dir), first_vector(spark, sf_dir))[0].where("similarity >= 0.2").select("id", "similarity")
+def vector_threshold(spark, sf_dir, chunks=X.chunks):
+    return V.ranked(chunks(spark, sf_dir), first_vector(spark, sf_dir))[0].where("similarity >= 0.2").select("id", "similarity")
 
 
 @query("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM p) SELECT * FROM r WHERE rank <= 5")
@@ -111,8 +119,8 @@ def embedding_text_stats(spark, sf_dir):
 
 
 def _filter(name, filters, where):
-    def f(spark, sf_dir):
-        return FL.matching(X.chunks(spark, sf_dir), filters() if callable(filters) else filters).select("id")
+    def f(spark, sf_dir, chunks=X.chunks):
+        return FL.matching(chunks(spark, sf_dir), filters() if callable(filters) else filters).select("id")
 
     f.__name__ = name
     query(f"SELECT id FROM k WHERE {where}", "K")(f)
@@ -251,23 +259,23 @@ def chunk_pipeline(spark, sf_dir):
 
 
 @query("SELECT chunk_type, grouping(chunk_type) AS is_total, count(*) AS n_chunks, CAST(sum(char_count) AS BIGINT) AS total_chars, CAST(sum(word_count) AS BIGINT) AS total_words, round(avg(char_count), 6) AS avg_chars, round(avg(word_count), 6) AS avg_words FROM k GROUP BY ROLLUP (chunk_type)", "K")
-def chunk_stats(spark, sf_dir):
-    return C.chunk_stats(X.chunks(spark, sf_dir))
+def chunk_stats(spark, sf_dir, chunks=X.chunks):
+    return C.chunk_stats(chunks(spark, sf_dir))
 
 
 @query("SELECT chunk_type, count(*) AS n FROM k GROUP BY chunk_type", "K")
-def chunk_type_histogram(spark, sf_dir):
-    return L.type_counts(X.chunks(spark, sf_dir))
+def chunk_type_histogram(spark, sf_dir, chunks=X.chunks):
+    return L.type_counts(chunks(spark, sf_dir))
 
 
 @query("SELECT count(*) AS total_chunks, count(DISTINCT session_id) AS total_sessions, count(DISTINCT project_name) AS total_projects, CAST(max(len(embedding)) AS BIGINT) AS dimension FROM k", "K")
-def index_stats(spark, sf_dir):
-    return L.index_stats(X.chunks(spark, sf_dir))
+def index_stats(spark, sf_dir, chunks=X.chunks):
+    return L.index_stats(chunks(spark, sf_dir))
 
 
 @query("SELECT DISTINCT project_name FROM k WHERE project_name IS NOT NULL AND project_name <> ''", "K")
-def project_list(spark, sf_dir):
-    return L.projects(X.chunks(spark, sf_dir))
+def project_list(spark, sf_dir, chunks=X.chunks):
+    return L.projects(chunks(spark, sf_dir))
 
 
 @query("SELECT file_path, min(session_id) AS session_id, min(project_name) AS project_name, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS total_messages, bool_or(has_tools) AS has_tool_usage, bool_or(has_code) AS has_code_blocks FROM m GROUP BY file_path", "M")
@@ -276,84 +284,84 @@ def conversation_summary(spark, sf_dir):
 
 
 @query("SELECT id, text, chunk_type FROM k WHERE id = 'chunk_000007'", "K")
-def chunk_by_id(spark, sf_dir):
-    return L.by_id(X.chunks(spark, sf_dir), "chunk_000007").select("id", "text", "chunk_type")
+def chunk_by_id(spark, sf_dir, chunks=X.chunks):
+    return L.by_id(chunks(spark, sf_dir), "chunk_000007").select("id", "text", "chunk_type")
 
 
 @query("SELECT id, ts FROM k WHERE session_id = 'session_3'", "K")
-def chunks_by_session(spark, sf_dir):
-    return L.by_session(X.chunks(spark, sf_dir), "session_3").select("id", "ts")
+def chunks_by_session(spark, sf_dir, chunks=X.chunks):
+    return L.by_session(chunks(spark, sf_dir), "session_3").select("id", "ts")
 
 
 @query("SELECT id, ts FROM k WHERE project_name = 'Gamma'", "K")
-def chunks_by_project(spark, sf_dir):
-    return L.by_project(X.chunks(spark, sf_dir), "Gamma").select("id", "ts")
+def chunks_by_project(spark, sf_dir, chunks=X.chunks):
+    return L.by_project(chunks(spark, sf_dir), "Gamma").select("id", "ts")
 
 
 @query("SELECT id, ts, 1.0::DOUBLE AS similarity FROM k WHERE id <> 'chunk_000003' AND session_id = (SELECT session_id FROM k WHERE id = 'chunk_000003') ORDER BY ts, id LIMIT 10", "K")
-def related_same_session(spark, sf_dir):
-    return L.related_in_session(X.chunks(spark, sf_dir), "chunk_000003").select("id", "ts", "similarity")
+def related_same_session(spark, sf_dir, chunks=X.chunks):
+    return L.related_in_session(chunks(spark, sf_dir), "chunk_000003").select("id", "ts", "similarity")
 
 
 SIM3 = "round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM k WHERE id = 'chunk_000003')), 6)"
 
 
 @query(f"SELECT id, {SIM3} AS similarity FROM k WHERE session_id = 'session_3' AND {SIM3} >= 0 ORDER BY similarity DESC, id LIMIT 10", "K")
-def related_semantic(spark, sf_dir):
-    k = X.chunks(spark, sf_dir)
+def related_semantic(spark, sf_dir, chunks=X.chunks):
+    k = chunks(spark, sf_dir)
     return V.search(k, vector_of(k, "id = 'chunk_000003'"), {"session_id": "session_3"}).select("id", "similarity")
 
 
-def results(spark, sf_dir):
-    return V.search(X.chunks(spark, sf_dir), first_vector(spark, sf_dir))
+def results(spark, sf_dir, chunks=X.chunks):
+    return V.search(chunks(spark, sf_dir), first_vector(spark, sf_dir))
 
 
 PAGE = f"page AS (SELECT *, {SIM} AS similarity FROM k ORDER BY similarity DESC, id LIMIT 10)"
 
 
 @query(f"WITH {PAGE} SELECT id, similarity, coalesce(project_name, 'unknown') AS project_name, coalesce(session_id, 'unknown') AS session_id, has_code FROM page", "K")
-def result_rows(spark, sf_dir):
-    return L.display(results(spark, sf_dir)).select("id", "similarity", "project_name", "session_id", "has_code")
+def result_rows(spark, sf_dir, chunks=X.chunks):
+    return L.display(results(spark, sf_dir, chunks)).select("id", "similarity", "project_name", "session_id", "has_code")
 
 
 @query(f"WITH {PAGE} SELECT id AS uid, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS title, 'Project: ' || coalesce(project_name, 'unknown') || ' | Similarity: ' || printf('%.3f', similarity) AS subtitle FROM page", "K")
-def json_results(spark, sf_dir):
-    return L.json_items(results(spark, sf_dir)).select("uid", "title", "subtitle")
+def json_results(spark, sf_dir, chunks=X.chunks):
+    return L.json_items(results(spark, sf_dir, chunks)).select("uid", "title", "subtitle")
 
 
 @query(f"WITH {PAGE} SELECT id, printf('%.3f', similarity) AS similarity, substr(text, 1, 200) || '...' AS body FROM page", "K")
-def text_results(spark, sf_dir):
-    return L.text_lines(results(spark, sf_dir))
+def text_results(spark, sf_dir, chunks=X.chunks):
+    return L.text_lines(results(spark, sf_dir, chunks))
 
 
 @query(f"WITH {PAGE} SELECT id, '**Project:** ' || coalesce(project_name, 'unknown') || chr(10) || '**Similarity:** ' || printf('%.3f', similarity) AS head, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS body FROM page", "K")
-def markdown_results(spark, sf_dir):
-    return L.markdown(results(spark, sf_dir))
+def markdown_results(spark, sf_dir, chunks=X.chunks):
+    return L.markdown(results(spark, sf_dir, chunks))
 
 
 NEW = "n AS (SELECT id, 'new ' || chunk_type AS chunk_type, message_count + 10 AS message_count FROM k WHERE vec_id % 3 = 0 UNION ALL SELECT 'extra_' || id, chunk_type, message_count FROM k WHERE vec_id % 10 = 0)"
 
 
 @query(f"WITH {NEW} SELECT id, chunk_type, message_count FROM n UNION ALL SELECT id, chunk_type, message_count FROM k WHERE id NOT IN (SELECT id FROM n)", "K")
-def upsert(spark, sf_dir):
-    k = X.chunks(spark, sf_dir).select("id", "vec_id", "chunk_type", "message_count")
+def upsert(spark, sf_dir, chunks=X.chunks):
+    k = chunks(spark, sf_dir).select("id", "vec_id", "chunk_type", "message_count")
     new = k.where("vec_id % 3 = 0").selectExpr("id", "'new ' || chunk_type AS chunk_type", "message_count + 10 AS message_count").union(k.where("vec_id % 10 = 0").selectExpr("'extra_' || id", "chunk_type", "message_count"))
     return store.upserted(k.drop("vec_id"), new, "id")
 
 
 @query("SELECT id FROM k WHERE session_id IS DISTINCT FROM 'session_3'", "K")
-def delete_by_session(spark, sf_dir):
-    return store.without(X.chunks(spark, sf_dir), F.col("session_id") == "session_3").select("id")
+def delete_by_session(spark, sf_dir, chunks=X.chunks):
+    return store.without(chunks(spark, sf_dir), F.col("session_id") == "session_3").select("id")
 
 
 @query("SELECT id FROM k WHERE file_path <> '/corpus/f7.jsonl'", "K")
-def delete_by_file(spark, sf_dir):
-    return store.without(X.chunks(spark, sf_dir), F.col("file_path") == "/corpus/f7.jsonl").select("id")
+def delete_by_file(spark, sf_dir, chunks=X.chunks):
+    return store.without(chunks(spark, sf_dir), F.col("file_path") == "/corpus/f7.jsonl").select("id")
 
 
 @query("WITH l AS (SELECT file_path AS path, max(ts) AS t FROM k GROUP BY 1), f AS (SELECT path, t - CASE WHEN length(path) % 2 = 0 THEN INTERVAL '1' HOUR ELSE INTERVAL '0' HOUR END AS t FROM l WHERE path <> '/corpus/f5.jsonl') SELECT l.path FROM l LEFT JOIN f USING (path) WHERE f.t IS NULL OR l.t > f.t", "K")
-def incremental_changed_files(spark, sf_dir):
-    listed = X.chunks(spark, sf_dir).groupBy(F.col("file_path").alias("path")).agg(F.max("ts").alias("modified"))
+def incremental_changed_files(spark, sf_dir, chunks=X.chunks):
+    listed = chunks(spark, sf_dir).groupBy(F.col("file_path").alias("path")).agg(F.max("ts").alias("modified"))
     known = listed.where("path <> '/corpus/f5.jsonl'").selectExpr("path", "modified - CASE WHEN length(path) % 2 = 0 THEN INTERVAL '1' HOUR ELSE INTERVAL '0' HOUR END AS last_modified")
     return store.changed(listed, known).select("path")
 

@@ -158,3 +158,18 @@ def test_json_document(spark):
 def test_empty_tables(spark):
     m = catalogue.X.messages(spark, "/root/testdata/sf0.001").limit(0)
     assert C.chunked(m, Chunking()).count() == 0
+
+
+def test_whole_chunks_have_every_row_and_whole_texts(spark, tmp_path):
+    for docs, vectors in ((7, 3), (3, 7)):
+        folder = f"{tmp_path}/{docs}"
+        spark.createDataFrame([(i, f"{i} " + "w " * 500) for i in range(docs)] + [(None, "no id")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, [1.0, float(i)], i) for i in range(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+        rows = catalogue.X.whole_chunks(spark, folder).collect()
+        assert len(rows) == 8 and len({r.id for r in rows}) == 8
+        assert {r.text for r in rows} == {f"{i} " + "w " * 500 for i in range(docs)} | {"no id", *([None] if docs < vectors else [])}  # with an id missing, one embedding of the 7 has no partner
+        assert {r.embedding[1] for r in rows if r.embedding} == set(range(vectors))
+        assert sum(r.char_count or 0 for r in rows) == sum(len(r.text or "") for r in rows)
+    folder = "/root/testdata/sf0.001"
+    texts = sorted(r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    assert sorted({r.text for r in catalogue.X.whole_chunks(spark, folder).collect()}) == sorted(set(texts))
