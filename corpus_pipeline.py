@@ -25,7 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines that an earlier line resembles; a document of which nothing is left goes."""
-    out = line_dedup.without_repeated_lines(docs)
+    out = line_dedup.without_repeated_lines(docs, short=True)
     return _with_lengths(out, docs)
 
 

@@ -1,8 +1,9 @@
 """Line dedup by an exact set-similarity join (DataFrame functions only).
 
 A line of at least `size` words is the set of its shingles of `size` words (64-bit hashes, letters folded). A line goes
-when an earlier line (by doc_id, then place in the text) has a Jaccard similarity of `num`/`den` or more; shorter lines
-and blank ones stay.
+when an earlier line (by doc_id, then place in the text) has a Jaccard similarity of `num`/`den` or more; blank lines
+stay. Shorter lines stay too, unless `short` is given: then one is a single token, its words, so that it goes when an
+earlier line has the same words. Only equal lines share it, so a short line has no prefix and is in no pair.
  1. Counts of all lines' tokens in 2**BUCKET_BITS buckets (a table of fixed size) order tokens by rarity.
  2. Each line's rarest n - ceil(t*n) + 1 tokens are its prefix; lines that are similar share a token there (half of
     each hash is kept for this, which can only add candidates). Lines of equal words are one class with its first line; a class is compared, not its lines.
@@ -46,18 +47,21 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def removed_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def removed_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
     """(doc_id, th, pos) of the lines that go."""
     th = F.xxhash64("text").alias("th")
     # words are made inside the generator, and its outer form is used, as the optimizer would else make them twice
     cut = documents.select("doc_id", th, F.posexplode_outer(F.transform(split_lines(F.col("text")), words)).alias("pos", "w"))
-    sets = cut.where(F.size("w") >= size).select("doc_id", "th", "pos", *identity(F.col("w")), tokens(F.col("w"), size).alias("t"))
+    long = F.size("w") >= size
+    t = F.when(long, tokens(F.col("w"), size)).otherwise(F.array().cast("array<long>")) if short else tokens(F.col("w"), size)
+    kept = cut.where(long | (F.get("w", F.lit(0)) != F.xxhash64(F.lit(""))) if short else long)
+    sets = kept.select("doc_id", "th", "pos", *identity(F.col("w")), t.alias("t"))
     # half of each hash will do to find candidates; halves that meet in one line are kept twice, so n stays right
     half = F.transform("t", lambda x: F.shiftright(x, 32).cast("int"))
     sets = _shared.stored(sets.select("doc_id", "th", "pos", "k1", "k2", half.alias("t")), "line-sets", hashes=True)
     bucket = lambda c: F.shiftrightunsigned(c, 32 - BUCKET_BITS)
     counts = [0] * (1 << BUCKET_BITS)
-    for r in sets.select(F.explode_outer("t").alias("x")).groupBy(bucket(F.col("x")).alias("b")).count().collect():  # at most 2**BUCKET_BITS rows
+    for r in sets.select(F.explode_outer("t").alias("x")).groupBy(bucket(F.col("x")).alias("b")).count().where("b is not null").collect():  # at most 2**BUCKET_BITS rows
         counts[r.b] = r["count"]
     mean = max(1, sum(counts) // len(counts))
     level = F.split(F.lit(",".join(str((1 + c // (4 * mean)).bit_length() - 1) for c in counts)), ",").cast("array<long>")
@@ -114,18 +118,18 @@ def removed_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int =
     return out.where(c("all") | ~F.struct("doc_id", "th", "pos").eqNullSafe(c("o"))).select("doc_id", "th", "pos")
 
 
-def without_repeated_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def without_repeated_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
     """documents with the lines cut from text; a document of which nothing is left goes."""
-    gone = removed_lines(documents, size, num, den).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).agg(F.collect_set("pos").alias("_gone"))
+    gone = removed_lines(documents, size, num, den, short).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).agg(F.collect_set("pos").alias("_gone"))
     joined = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
     return out.where(F.col("_gone").isNull() | (F.trim("text") != "")).drop("_d", "_h", "_gone")
 
 
-def line_report(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def line_report(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (places from 0, comma-joined) of every row of documents."""
-    gone = removed_lines(documents, size, num, den).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    gone = removed_lines(documents, size, num, den, short).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     docs = documents.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(1)).cast("long").alias("n_lines"))
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
@@ -149,3 +153,11 @@ FROM l LEFT JOIN per USING (doc_id)
 
 def op5_set_similarity_line_dedup(spark, sf_dir):
     return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: With lines of one to four words, which are in no pair.
+ORACLE_WHOLE = ORACLE.replace("len(w) >= 5", "len(w) > 0")
+
+
+def op5_set_similarity_line_dedup_whole(spark, sf_dir):
+    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=True)

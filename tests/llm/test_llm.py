@@ -300,3 +300,12 @@ def test_similar_stage_keeps_unrelated_rows_of_null_and_repeated_ids(spark):
     near_a = [x for x in got if x[1] in (a, a + " ende")]
     assert len(near_a) == 1 and near_a[0][0] == "None"
     assert [x for x in got if x not in near_a] == sorted([("None", b), ("7", c), ("7", d), ("None", e + " ende"), ("10", f), ("None", ""), ("11", "")])
+
+
+def test_short_lines_are_cut_too(spark):
+    rows = [(1, "kurz hier\n\na b c d\n \n" + BASE[0]), (2, "Kurz  HIER \n\nkurz\nkurz hier da"), (3, "kurz\na b c d"), (4, "\n"), (5, None), (6, BASE[0] + "\nallein hier")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in line_dedup.line_report(docs, short=True).collect()}
+    assert got == {1: "", 2: "0", 3: "0,1", 4: "", 5: "", 6: "0"}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_lines(spark, docs, "").collect()}
+    assert kept == {1: rows[0][1], 2: "\nkurz\nkurz hier da", 4: "\n", 5: None, 6: "allein hier"}
