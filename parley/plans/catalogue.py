@@ -238,6 +238,12 @@ def split_paragraphs(spark, sf_dir):
     return C.split_large(pairs, 400).select("file_path", "line_no", "text")
 
 
+@query()
+def split_paragraphs_whole(spark, sf_dir):
+    """Also of pairs that have a paragraph over the limit, which are split by words."""
+    return C.split_large(C.qa_pairs(kept(spark, sf_dir)), 400).select("file_path", "line_no", "piece", "text")
+
+
 @query("SELECT min(doc_id) AS doc_id, CAST(length(text) AS BIGINT) AS size FROM documents GROUP BY text")
 def chunk_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit("all").alias("file_path"), F.lit(1).alias("strategy_rank"), F.col("doc_id").alias("ordinal"))
@@ -258,6 +264,12 @@ def chunk_pipeline(spark, sf_dir):
     return C.chunked(X.messages(spark, sf_dir)).where("chunk_type <> 'qa_pair_split'").select("file_path", "chunk_type", "char_count", "word_count", "id")
 
 
+@query()
+def chunk_pipeline_whole(spark, sf_dir):
+    """All chunk types, so that pairs longer than a chunk are there too."""
+    return C.chunked(X.messages(spark, sf_dir)).select("file_path", "chunk_type", "char_count", "word_count", "id")
+
+
 @query("SELECT chunk_type, grouping(chunk_type) AS is_total, count(*) AS n_chunks, CAST(sum(char_count) AS BIGINT) AS total_chars, CAST(sum(word_count) AS BIGINT) AS total_words, round(avg(char_count), 6) AS avg_chars, round(avg(word_count), 6) AS avg_words FROM k GROUP BY ROLLUP (chunk_type)", "K")
 def chunk_stats(spark, sf_dir, chunks=X.chunks):
     return C.chunk_stats(chunks(spark, sf_dir))

@@ -173,3 +173,15 @@ def test_whole_chunks_have_every_row_and_whole_texts(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     texts = sorted(r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
     assert sorted({r.text for r in catalogue.X.whole_chunks(spark, folder).collect()}) == sorted(set(texts))
+
+
+def test_whole_chunk_pipeline_and_paragraphs_split_long_pairs(spark):
+    folder = "/root/testdata/sf0.01"
+    pairs = C.qa_pairs(catalogue.kept(spark, folder)).select("file_path", "line_no", "text").collect()
+    want = sorted((r.file_path, r.line_no, i, t) for r in pairs if len(r.text) > 400 for i, t in enumerate(greedy(r.text, 400)))
+    assert sorted(map(tuple, catalogue.QUERIES["split_paragraphs_whole"](spark, folder).collect())) == want
+    assert any(len(p) > 400 for r in pairs for p in r.text.split("\n\n"))
+    rows = catalogue.QUERIES["chunk_pipeline_whole"](spark, folder).collect()
+    split = {(r.file_path, t) for r in pairs if len(r.text) > 2000 for t in greedy(r.text, 2000)}
+    assert split and sorted((f, len(t)) for f, t in split) == sorted((r.file_path, r.char_count) for r in rows if r.chunk_type == "qa_pair_split")
+    assert sorted(map(tuple, catalogue.QUERIES["chunk_pipeline"](spark, folder).collect())) == sorted(tuple(r) for r in rows if r.chunk_type != "qa_pair_split")
