@@ -113,6 +113,49 @@ def similarity_matrix(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:
     return a.join(b, F.col("a") <= F.col("b")).select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("sim"))
 
 
+def similarity_blocks(vectors: DataFrame, id_col: str = "vec_id", block: int = 512) -> DataFrame:
+    """similarity_matrix of a table of any size: every block of rows meets every block in a task of its own."""
+
+    def packed(df: DataFrame, side: str) -> DataFrame:
+        def blob(ids, data):
+            dims = [-1 if x is None else len(x) for x in data]
+            m = np.zeros((len(ids), max(1, *dims)))
+            for i, x in enumerate(data):
+                if x:
+                    m[i, : len(x)] = np.array(x, np.float64)
+            return pa.RecordBatch.from_pydict({f"{side}_ids": pa.array([ids], pa.list_(pa.int64())), f"{side}_dims": pa.array([dims], pa.list_(pa.int64())), f"{side}_m": pa.array([m.tobytes()], pa.binary())})
+
+        def rows(batches):
+            ids, data = [], []
+            for b in batches:
+                ids += b.column(0).to_pylist()
+                data += b.column(1).to_pylist()
+                while len(ids) >= block:
+                    yield blob(ids[:block], data[:block])
+                    del ids[:block], data[:block]
+            if ids:
+                yield blob(ids, data)
+
+        # a null id is in no pair
+        return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), "embedding").mapInArrow(rows, f"{side}_ids array<long>, {side}_dims array<long>, {side}_m binary")
+
+    def paired(batches):
+        for b in batches:
+            for ai, ad, am, bi, bd, bm in zip(*(b.column(c).to_pylist() for c in ("a_ids", "a_dims", "a_m", "b_ids", "b_dims", "b_m")), strict=True):
+                ai, ad, bi, bd = map(np.array, (ai, ad, bi, bd))
+                x, y = np.frombuffer(am).reshape(len(ai), -1), np.frombuffer(bm).reshape(len(bi), -1)
+                wide = min(x.shape[1], y.shape[1])
+                size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
+                # null where a vector is null or zero, or the two differ in length
+                no = (ad[:, None] != bd[None]) | (ad[:, None] < 0) | (size == 0)
+                sim = np.round(x[:, :wide] @ y[:, :wide].T / np.where(no, 1, size), 6)
+                i, j = np.nonzero(ai[:, None] <= bi[None])
+                yield pa.RecordBatch.from_arrays([pa.array(ai[i]), pa.array(bi[j]), pa.array(sim[i, j], mask=no[i, j])], names=["a", "b", "sim"])
+
+    pairs = packed(vectors, "a").join(packed(vectors, "b")).repartition(F.xxhash64("a_ids"), F.xxhash64("b_ids"))
+    return pairs.mapInArrow(paired, "a long, b long, sim double")
+
+
 def dimension_stats(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.posexplode("embedding").alias("pos", "v")).groupBy("pos").agg(*[F.round(f(F.col("v").cast("double")), 6).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("low", F.min), ("high", F.max))])
 

@@ -98,6 +98,12 @@ def similarity_matrix(spark, sf_dir):
     return V.similarity_matrix(table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(50))
 
 
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <= b.vec_id")
+def similarity_matrix_whole(spark, sf_dir):
+    """Of all rows."""
+    return V.similarity_blocks(table(spark, sf_dir, "embeddings"))
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: (x / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1e-8)) ** 2))), 6) AS norm FROM embeddings")
 def normalize_norms(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(V.normalised(F.col("embedding"))), 6).alias("norm"))

@@ -185,3 +185,13 @@ def test_whole_chunk_pipeline_and_paragraphs_split_long_pairs(spark):
     split = {(r.file_path, t) for r in pairs if len(r.text) > 2000 for t in greedy(r.text, 2000)}
     assert split and sorted((f, len(t)) for f, t in split) == sorted((r.file_path, r.char_count) for r in rows if r.chunk_type == "qa_pair_split")
     assert sorted(map(tuple, catalogue.QUERIES["chunk_pipeline"](spark, folder).collect())) == sorted(tuple(r) for r in rows if r.chunk_type != "qa_pair_split")
+
+
+def test_similarity_blocks_equal_the_matrix(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(30)] + [(3, [1.0, 0.0, 2.0, 0.0]), (40, None), (41, [0.0] * 4), (42, [1.0, 2.0]), (43, []), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    value = lambda r: (r.a, r.b, None if r.sim is None else round(r.sim, 5) + 0.0)
+    got, want = (sorted(map(value, x.collect()), key=str) for x in (V.similarity_blocks(df, block=4), V.similarity_matrix(df)))
+    assert got == want and len(got) == 35 * 36 // 2 + 1
+    assert V.similarity_blocks(df.limit(0)).count() == 0
