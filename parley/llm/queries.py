@@ -12,6 +12,7 @@ FOUND = [
     quality.op1_attention_mil_quality,
     language.op2_string_kernel_language,
     similarity_join.op3_signature_tree_join,
+    similarity_join.op3_signature_tree_join_whole,
     toxicity.op4_nonnegative_pu_toxicity,
     line_dedup.op5_set_similarity_line_dedup,
     line_dedup.op5_set_similarity_line_dedup_whole,
@@ -37,4 +38,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_signature_tree_join": similarity_join.ORACLE, "op5_set_similarity_line_dedup": line_dedup.ORACLE, "op5_set_similarity_line_dedup_whole": line_dedup.ORACLE_WHOLE, "op7_extendible_hash_dedup": exact_dedup.ORACLE, "op10_positional_index": decontamination.ORACLE}
+    return {"op3_signature_tree_join": similarity_join.ORACLE, "op3_signature_tree_join_whole": similarity_join.ORACLE_WHOLE, "op5_set_similarity_line_dedup": line_dedup.ORACLE, "op5_set_similarity_line_dedup_whole": line_dedup.ORACLE_WHOLE, "op7_extendible_hash_dedup": exact_dedup.ORACLE, "op10_positional_index": decontamination.ORACLE}

@@ -253,10 +253,11 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return one.join(sets.select(F.col("k1").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(linked, "a long, b long")
 
 
-def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, links: bool = False) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id, root of every row; texts link when
     den * intersection >= num * union. root (null for an empty set) tells components apart, which component_id
-    does not where doc_id is null or repeated."""
+    does not where doc_id is null or repeated. links: there is one round only, in which every candidate pair of classes
+    is verified, and n_links is the number of other rows that a row links with, copies among them."""
     rows = _shared.stored(described(documents, size, num, den, frequency_levels(documents, size)), "sets")
     classes = _shared.stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "classes")
     tokens = rows.select("k1", F.explode("prefix").alias("token"))
@@ -298,11 +299,11 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
         return _shared.stored(docs.select("want", "text").mapInArrow(whole, "k1 long, tokens binary"), "tokens")
 
     root, edges = None, None
-    for all_pairs in (False, True):
+    for all_pairs in (True,) if links else (False, True):
         signed = wanted.select("k1", "sig", F.col("k1").alias("root"))
         if root is None:
-            sizes = starters.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-            cells = starters
+            cells = members if all_pairs else starters
+            sizes = cells.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
         else:
             # only cells whose classes are not yet all connected
             signed = wanted.select("k1", "sig").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
@@ -320,7 +321,15 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = _shared.stored(named.join(names, "root").select("k1", "k2", "component_id", "root"), "names")
     out = rows.select("doc_id", "th", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root")
+    more = []
+    if links:
+        copies = _shared.stored(rows.where("n > 0").groupBy("k1").agg(F.count("*").alias("copies")), "copies")
+        both = edges.select("a", "b").union(edges.select("b", "a"))
+        others = both.join(copies, F.col("b") == F.col("k1")).groupBy("a").agg(F.sum("copies").alias("others"))
+        counts = copies.join(others, F.col("k1") == F.col("a"), "left").select("k1", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        out = out.join(_shared.stored(counts, "counts"), "k1", "left")
+        more = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", *more)
 
 
 ORACLE = r"""
@@ -338,3 +347,10 @@ FROM w LEFT JOIN n USING (doc_id)
 
 def op3_signature_tree_join(spark, sf_dir):
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85, 100).drop("th", "root")
+
+
+ORACLE_WHOLE = ORACLE.replace("AS component_id\n", "AS component_id, (SELECT count(*) FROM edge WHERE edge.a = w.doc_id) AS n_links\n")
+
+
+def op3_signature_tree_join_whole(spark, sf_dir):
+    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85, 100, links=True).drop("th", "root")

@@ -309,3 +309,17 @@ def test_short_lines_are_cut_too(spark):
     assert got == {1: "", 2: "0", 3: "0,1", 4: "", 5: "", 6: "0"}
     kept = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_lines(spark, docs, "").collect()}
     assert kept == {1: rows[0][1], 2: "\nkurz\nkurz hier da", 4: "\n", 5: None, 6: "allein hier"}
+
+
+def test_links_between_all_near_copies(docs, spark, monkeypatch):
+    monkeypatch.setattr(similarity_join, "CELL", 3)
+    many = spark.createDataFrame([(1000 + i, " ".join([*BASE[4].split()[:-1], f"ende{i % 20}"])) for i in range(25)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(many)
+    rows = rows_of(both)
+    sets = [shingles(t, 5) for _, t in rows]
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = sorted((str(d), sum(near(sets[i], s) for j, s in enumerate(sets) if j != i)) for i, (d, _) in enumerate(rows))
+    got = similarity_join.similar_documents(both, links=True).collect()
+    assert sorted((str(r.doc_id), r.n_links) for r in got) == want and max(n for _, n in want) >= 24
+    plain = similarity_join.similar_documents(both).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in plain)
