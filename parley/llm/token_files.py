@@ -15,7 +15,7 @@ grammar of its own:
 
 Rows are Parquet in the shared folder. Re-Pair works in rounds: each counts all adjacent pairs, gives the most
 frequent ones (up to `pairs`, each seen at least `least` times) a nonterminal, and replaces their occurrences
-from left to right. Reading expands the grammar; `decode_documents` needs only the symbols of the documents
+from left to right, until no pair is left that is seen so often. Reading expands the grammar; `decode_documents` needs only the symbols of the documents
 asked for.
 
 Defined cases: null text is empty (its document is the end id alone); repeated rows are documents of their own,
@@ -25,6 +25,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -42,10 +43,11 @@ BLOCK = "shard long, block long, n_ids long, doc_id array<long>, rules binary, l
 _SLOTS, _SPREAD = 18, np.uint64(0x9E3779B97F4A7C15)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int = 4, pairs: int = 8192, least: int = 8):
-    """(symbols, ends of the documents in them, rules, lengths); ends: each document's end in ids."""
+def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int | None = None, pairs: int = 8192, least: int = 8):
+    """(symbols, ends of the documents in them, rules, lengths); ends: each document's end in ids.
+    Without rounds it goes on until no pair is seen `least` times."""
     rules, lengths, seq = [], [], ids.astype(np.uint32)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]

@@ -323,3 +323,17 @@ def test_links_between_all_near_copies(docs, spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_links) for r in got) == want and max(n for _, n in want) >= 24
     plain = similarity_join.similar_documents(both).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in plain)
+
+
+def test_repair_leaves_no_frequent_pair():
+    passage = np.random.default_rng(8).integers(0, 50_000, 300)
+    ids = np.tile(passage, 200).astype(np.uint32)
+    ends = np.arange(300, len(ids) + 1, 300)
+    s, e, rules, _ = token_files.compress(ids, ends, 1 << 16)
+    assert (token_files.expand(s, rules, 1 << 16) == ids).all() and len(s) == len(e) == 200  # a copy is one symbol
+    mixed = np.random.default_rng(9).integers(0, 40, 30_000).astype(np.uint32)
+    s, e, rules, _ = token_files.compress(mixed, np.array([10_000, 30_000]), 100, pairs=16)
+    inside = np.ones(len(s) - 1, bool)
+    inside[e[0] - 1] = False
+    seen = collections.Counter(zip(s[:-1][inside].tolist(), s[1:][inside].tolist()))
+    assert max(seen.values()) < 8 and (token_files.expand(s, rules, 100) == mixed).all()
