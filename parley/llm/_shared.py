@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,22 +19,27 @@ BROADCAST_ROWS = 200_000
 BROADCAST_LONGS = 2_000_000
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets
     a folder of its own, as all its tasks run on this machine."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="parley-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    if context.applicationId not in _own:
+        own = tempfile.mkdtemp(prefix="parley-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own[context.applicationId] = f"file://{own}"
+    return _own[context.applicationId]
 
 
-def stored(df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
-    """df written as Parquet to the shared folder and read again; the files go when the driver's JVM ends.
-    hashes: nearly all values are different, so no dictionary is tried."""
+def stored(df: DataFrame, name: str, hashes: bool | str = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again; the files go when the driver's JVM ends, or as soon
+    as a `Scratch` drops them. hashes: nearly all values (of that column) are different, so no dictionary is tried."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/parley-{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
@@ -43,7 +49,9 @@ def stored(df: DataFrame, name: str, hashes: bool = False) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
+        writer = df.write.option("parquet.dictionary.page.size", str(16 << 20))
+        writer = writer.option(f"parquet.enable.dictionary#{hashes}", "false") if isinstance(hashes, str) else writer.option("parquet.enable.dictionary", str(not hashes).lower())
+        writer.parquet(path)
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -57,31 +65,58 @@ def scrapped(table: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """The stored tables of one computation. A table goes by `drop` after its last reader; the end of the block drops
+    all others but those given to `keep`, which the result still reads."""
+
+    def __init__(self):
+        self._tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self._tables)
+
+    def stored(self, df: DataFrame, name: str, hashes: bool | str = False) -> DataFrame:
+        self._tables.append(stored(df, name, hashes))
+        return self._tables[-1]
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self._tables = [t for t in self._tables if t is not table]
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in list(tables):
+            self.keep(t)
+            scrapped(t)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is (the join then shuffles).
     df should be a stored table or small to count; rows wider than 64 bytes need a lower bound."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): rows (node, root), root being the smallest node reachable.
 
-    Alternates large-star and small-star steps on the edge table until it no longer changes. Each step sends
-    a node's edges to the smallest neighbour by a partial aggregate and a join, which adaptive execution can
-    split when one node has very many edges; every step's table is written to the shared folder."""
+    Alternates large-star and small-star steps on the edge table until it no longer changes; the number of steps grows
+    with the square of the logarithm of the nodes at most, so no limit is set. Each step sends a node's edges to the smallest neighbour by a partial
+    aggregate and a join, which adaptive execution can split when one node has very many edges; every step's table is
+    written to the shared folder, and the one before it goes."""
     links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a")
-        links = stored(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        last, links = links, stored(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        scrapped(last)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return links.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

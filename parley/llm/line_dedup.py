@@ -1,42 +1,51 @@
 """Line dedup by an exact set-similarity join (DataFrame functions only).
 
-A line of at least `size` words is the set of its shingles of `size` words (64-bit hashes, letters folded). A line goes
-when an earlier line (by doc_id, then place in the text) has a Jaccard similarity of `num`/`den` or more; blank lines
-stay. Shorter lines stay too, unless `short` is given: then one is a single token, its words, so that it goes when an
-earlier line has the same words. Only equal lines share it, so a short line has no prefix and is in no pair.
- 1. Counts of all lines' tokens in 2**BUCKET_BITS buckets (a table of fixed size) order tokens by rarity.
- 2. Each line's rarest n - ceil(t*n) + 1 tokens are its prefix; lines that are similar share a token there (half of
-    each hash is kept for this, which can only add candidates). Lines of equal words are one class with its first line; a class is compared, not its lines.
- 3. Of each token that two classes have in their prefixes, all classes are compared with the earliest: with the length
+A line of at least `size` words is the set of its shingles of `size` words (64-bit hashes, letters folded); a shorter one
+is a single token, its words. A line goes when an earlier line (by doc_id, then place in the text) has a Jaccard
+similarity of `num`/`den` or more, thus a short line when an earlier one has the same words. Blank lines stay.
+ 1. Lines of equal words are one class with its first line; a class is compared, not its lines.
+ 2. Of a line of n tokens, at most n - ceil(t*n) are not in a line that is similar. Tokens whose hash is in the lowest
+    1/SHARE of all are counted over all classes; a class with more of them that no other class has is left out. (How many
+    different ones these are is taken from bits that they set, which can only be too few, so no class is lost.)
+ 3. Of the classes that are left, tokens are ordered by rarity, those of one class first. The rarest n - ceil(t*n) + 1
+    are a prefix; lines that are similar share a token there, so tokens of one class need no row.
+ 4. Of each token that two classes have in their prefixes, all classes are compared with the earliest: with the length
     filter, the positional filter (the most tokens that can be common, given the places of the shared one), then by
     whole sets. A class with a match is settled.
- 4. Only classes that are not settled are compared with all earlier ones that share a token, unless the number of
+ 5. Only classes that are not settled are compared with all earlier ones that share a token, unless the number of
     tokens that their prefixes share shows that the rest can't give the overlap. No group is capped.
 
-Defined cases: null and empty texts have no lines; rows that repeat a doc_id are ordered by the hash of the text, and
-equal rows are one, whose lines are never matched with each other's; a null doc_id comes first; an empty table gives no
-rows; further columns are ignored (and kept by `without_repeated_lines`).
+Defined cases: null and empty texts have no lines; a text or a line may have any length, as tokens are rows; rows that
+repeat a doc_id are ordered by the hash of the text, and equal rows are one, whose lines are never matched with each
+other's; a null doc_id comes first; equal lines are ties that their places decide; an empty table gives no rows; further
+columns of any name are ignored (and kept by `without_repeated_lines`).
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared
 
-BUCKET_BITS = 16
+#: One token of so many is counted over all lines; fewer than the n / (n - t*n) of the similarity asked for.
+SHARE = 3
+#: Bits that count a class's unshared tokens.
+WORDS_OF_BITS = 4
 
 
 def words(line: Column) -> Column:
     """The hashes of its words; of a blank line that of one empty word."""
-    return F.transform(F.split(F.trim(F.regexp_replace(F.lower(line), r"\s+", " ")), " "), lambda x: F.xxhash64(x))
+    low = F.lower(line)
+    # only other white space than single blanks needs the pattern
+    odd = functools.reduce(lambda a, b: a | b, [F.contains(line, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    return F.transform(F.split(F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low)), " "), lambda x: F.xxhash64(x))
 
 
-def tokens(w: Column, size: int) -> Column:
-    """Different shingle hashes of an array of at least size word hashes."""
-    at = F.sequence(F.lit(0), F.size(w) - F.lit(size))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size)))))
+def token_at(w: Column, i: Column, size: int) -> Column:
+    return F.xxhash64(*(F.get(w, i + k) for k in range(size)))
 
 
 def identity(w: Column) -> tuple[Column, Column]:
@@ -47,98 +56,118 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def removed_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
-    """(doc_id, th, pos) of the lines that go."""
+def removed_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, th, pos) of the lines that go; th is the hash of the text, which tells rows of one doc_id apart."""
+    with _shared.Scratch() as scratch:
+        return scratch.keep(_removed(scratch, documents, size, num, den))
+
+
+def _removed(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    c, key = F.col, ["k1", "k2"]
     th = F.xxhash64("text").alias("th")
-    # words are made inside the generator, and its outer form is used, as the optimizer would else make them twice
-    cut = documents.select("doc_id", th, F.posexplode_outer(F.transform(split_lines(F.col("text")), words)).alias("pos", "w"))
-    long = F.size("w") >= size
-    t = F.when(long, tokens(F.col("w"), size)).otherwise(F.array().cast("array<long>")) if short else tokens(F.col("w"), size)
-    kept = cut.where(long | (F.get("w", F.lit(0)) != F.xxhash64(F.lit(""))) if short else long)
-    sets = kept.select("doc_id", "th", "pos", *identity(F.col("w")), t.alias("t"))
-    # half of each hash will do to find candidates; halves that meet in one line are kept twice, so n stays right
-    half = F.transform("t", lambda x: F.shiftright(x, 32).cast("int"))
-    sets = _shared.stored(sets.select("doc_id", "th", "pos", "k1", "k2", half.alias("t")), "line-sets", hashes=True)
-    bucket = lambda c: F.shiftrightunsigned(c, 32 - BUCKET_BITS)
-    counts = [0] * (1 << BUCKET_BITS)
-    for r in sets.select(F.explode_outer("t").alias("x")).groupBy(bucket(F.col("x")).alias("b")).count().where("b is not null").collect():  # at most 2**BUCKET_BITS rows
-        counts[r.b] = r["count"]
-    mean = max(1, sum(counts) // len(counts))
-    level = F.split(F.lit(",".join(str((1 + c // (4 * mean)).bit_length() - 1) for c in counts)), ",").cast("array<long>")
-    # rarity first, then the hash: one long that is never null, so that a plain sort orders tokens
-    ranked = F.sort_array(F.transform("t", lambda x: F.shiftleft(F.coalesce(F.get(level, bucket(x)), F.lit(0).cast("long")), 32) + x.cast("long") + F.lit(1 << 31)))
-    n = F.size("t")
-    prefix = F.slice(ranked, 1, (n - F.ceil(n * F.lit(num) / F.lit(den)) + 1).cast("int"))
-    every = _shared.stored(sets.select("doc_id", "th", "pos", "k1", "k2", n.alias("n"), prefix.alias("prefix")), "lines", hashes=True)
-    _shared.scrapped(sets)
+    spare = lambda n: n - F.ceil(n * F.lit(num) / F.lit(den)).cast("int")  # noqa: E731  tokens that a similar line may lack
+
+    # a row for each line (head) and for each of its tokens that is counted; words are made inside the generator, and its
+    # outer form is used, as the optimizer would else make them twice
+    cut = documents.select("doc_id", th, F.posexplode_outer(F.transform(split_lines(c("text")), words)).alias("pos", "w"))
+    cut = cut.where((F.size("w") > 1) | (F.get("w", F.lit(0)) != F.xxhash64(F.lit(""))))
+    many = F.size("w") - F.lit(size - 1)
+    rows = cut.select("doc_id", "th", "pos", *identity(c("w")), many.alias("many"), "w", F.explode(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0)))).alias("i"))
+    rows = rows.select("doc_id", "th", "pos", "k1", "k2", "many", (c("i") == 0).alias("head"), F.when(c("many") > 0, token_at(c("w"), c("i"), size)).alias("token"))
+    low = c("token") < F.lit(-(1 << 63) + (1 << 64) // SHARE)
+    lines = scratch.stored(rows.where(c("head") | low), "lines", hashes="token")
+
     place = F.struct("doc_id", "th", "pos")
-    found = every.select("k1", "k2", "n", place.alias("o"), F.posexplode("prefix").alias("i", "token"))
-    again = every.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")
-    again = _shared.stored(again, "again")
-    members = found.join(_shared.broadcast_if_small(again, _shared.BROADCAST_LONGS), "token").groupBy("token", "k1", "k2").agg(F.min("o").alias("o"), F.min("n").alias("n"), F.min("i").alias("i"), (F.max("i") - F.min("i") + 1).alias("many"))
-    members = _shared.stored(members, "members", hashes=True)
-    # tokens that copies of one line repeat have a single class
-    shared = members.groupBy("token").agg(F.min(F.struct("o", "k1", "k2", "n", "i")).alias("hub"), F.count("*").alias("df")).where("df > 1")
-    shared = _shared.stored(shared.select("token", "hub"), "shared")
-    members = members.join(_shared.broadcast_if_small(shared.select("token"), _shared.BROADCAST_LONGS), "token", "left_semi")
-    wanted = members.groupBy("k1", "k2").agg(F.min("o").alias("o")).select(F.xxhash64("o.doc_id", "o.th", "o.pos").alias("ph")).distinct()
-    wanted = _shared.broadcast_if_small(_shared.stored(wanted, "wanted"), _shared.BROADCAST_LONGS)
-    one = documents.select("doc_id", th, F.posexplode_outer(split_lines(F.col("text"))).alias("pos", "line"))
-    one = one.withColumn("ph", F.xxhash64("doc_id", "th", "pos")).join(wanted, "ph", "left_semi").select(F.explode_outer(F.array(words(F.col("line")))).alias("w"))
-    whole = one.where(F.size("w") >= size).select(*identity(F.col("w")), tokens(F.col("w"), size).alias("t"))
-    whole = _shared.stored(whole.dropDuplicates(["k1", "k2"]), "whole", hashes=True)
+    classes = lines.where("head").groupBy(*key).agg(F.min(place).alias("o"), F.count("*").alias("copies"), F.max("many").alias("many"))
+    classes = scratch.stored(classes, "line-classes", hashes=True)
+
+    counted = lines.where(low)
+    shared = counted.groupBy("token").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").select("token")
+    shared = scratch.stored(shared, "shared", hashes=True)
+    bit = lambda w: F.bit_or(F.when(F.shiftright("token", 6).bitwiseAND(F.lit(WORDS_OF_BITS - 1)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), c("token").bitwiseAND(F.lit(63)).cast("int"))))
+    alone = counted.join(_shared.broadcast_if_small(shared, _shared.BROADCAST_LONGS), "token", "left_anti")
+    alone = alone.groupBy(*key).agg(F.max("many").alias("many"), *(bit(w).alias(f"b{w}") for w in range(WORDS_OF_BITS)))
+    least = functools.reduce(lambda a, b: a + b, [F.coalesce(F.bit_count(f"b{w}"), F.lit(0)) for w in range(WORDS_OF_BITS)])
+    open_ = classes.where("many > 0").join(alone.where(least > spare(c("many"))), key, "left_anti")
+    open_ = scratch.stored(open_.select(*key, "o"), "open", hashes=True)
+    scratch.drop(shared)
+
+    # whole sets of what is left, from the texts
+    wanted = _shared.broadcast_if_small(open_.select(F.xxhash64("o.doc_id", "o.th", "o.pos").alias("ph")).distinct(), _shared.BROADCAST_LONGS)
+    one = documents.select("doc_id", th, F.posexplode_outer(split_lines(c("text"))).alias("pos", "line"))
+    one = one.withColumn("ph", F.xxhash64("doc_id", "th", "pos")).join(wanted, "ph", "left_semi").select(place.alias("o"), F.explode_outer(F.array(words(c("line")))).alias("w"))
+    at = F.sequence(F.lit(0), F.size("w") - F.lit(size))
+    sets = one.where(F.size("w") >= size).select(*identity(c("w")), "o", F.array_distinct(F.transform(at, lambda i: token_at(c("w"), i, size))).alias("t"))
+    sets = scratch.stored(sets.dropDuplicates(key), "sets", hashes=True)
+    scratch.drop(open_)
+
+    tokens = sets.select(*key, F.size("t").alias("n"), F.explode("t").alias("token"))
+    rarity = scratch.stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "rarity", hashes=True)
+    known = tokens.join(_shared.broadcast_if_small(rarity, _shared.BROADCAST_LONGS // 2), "token").groupBy(*key, "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    # tokens of one class come first in the order, so that the prefix goes on with the rarest of the others
+    known = known.withColumn("before", c("n") - F.size("s")).withColumn("p", spare(c("n")) + 1 - c("before")).where("p > 0")
+    members = known.select(*key, "n", "before", F.posexplode(F.slice("s", F.lit(1), c("p"))).alias("i", "x"))
+    members = members.join(sets.select(*key, "o"), key).select(*key, "o", "n", (c("before") + c("i")).alias("i"), c("x.token").alias("token"))
+    members = scratch.stored(members, "members", hashes=True)
+    scratch.drop(rarity)
+    hubs = members.groupBy("token").agg(F.min(F.struct("o", "k1", "k2", "n", "i")).alias("hub"), F.count("*").alias("df")).where("df > 1")
+    hubs = scratch.stored(hubs.select("token", "hub"), "hubs")
 
     def may(n, i, m, j) -> Column:
         """The length and the positional filter."""
-        most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
+        most = F.least(i, j) + F.least(n - i, m - j)
         return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * F.least(most, n, m) >= num * (n + m))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The classes (k1, k2) that match their earlier partner (e1, e2)."""
-        pairs = _shared.stored(pairs, "line-pairs")
-        a = whole.join(_shared.broadcast_if_small(pairs), ["k1", "k2"])
-        b = whole.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("t").alias("s"))
+        pairs = scratch.stored(pairs, "line-pairs", hashes=True)
+        a = sets.select(*key, "t").join(_shared.broadcast_if_small(pairs), key)
+        b = sets.select(c("k1").alias("e1"), c("k2").alias("e2"), c("t").alias("s"))
         both = F.size(F.array_intersect("t", "s"))
-        return a.join(b, ["e1", "e2"]).where(den * both >= num * (F.size("t") + F.size("s") - both)).select("k1", "k2").distinct()
+        return a.join(b, ["e1", "e2"]).where(den * both >= num * (F.size("t") + F.size("s") - both)).select(*key).distinct()
 
-    c = F.col
-    first = members.join(shared, "token").where((c("hub.o") < c("o")) & may(c("n"), c("i"), c("hub.n"), c("hub.i")))
-    settled = _shared.stored(similar(first.select("k1", "k2", c("hub.k1").alias("e1"), c("hub.k2").alias("e2")).distinct()), "settled")
-    left = members.join(settled, ["k1", "k2"], "left_anti")
-    early = members.select("token", c("k1").alias("e1"), c("k2").alias("e2"), c("o").alias("eo"), c("n").alias("m"), c("i").alias("j"), c("many").alias("mj"))
+    first = members.join(hubs, "token").where((c("hub.o") < c("o")) & may(c("n"), c("i"), c("hub.n"), c("hub.i")))
+    settled = scratch.stored(similar(first.select(*key, c("hub.k1").alias("e1"), c("hub.k2").alias("e2")).distinct()), "settled")
+    left = members.join(hubs.select("token"), "token", "left_semi").join(settled, key, "left_anti")
+    early = members.select("token", c("k1").alias("e1"), c("k2").alias("e2"), c("o").alias("eo"), c("n").alias("m"), c("i").alias("j"))
     later = left.join(early, "token").where((c("eo") < c("o")) & may(c("n"), c("i"), c("m"), c("j")))
     # beyond the tokens that two prefixes share, only the rest of one of the lines can be common
-    later = later.groupBy("k1", "k2", "e1", "e2").agg(F.sum(F.least("many", "mj")).alias("both"), F.min("n").alias("n"), F.min("m").alias("m"))
+    later = later.groupBy(*key, "e1", "e2").agg(F.count("*").alias("both"), F.min("n").alias("n"), F.min("m").alias("m"))
     later = later.where((num + den) * (c("both") + F.ceil(F.greatest("n", "m") * F.lit(num) / F.lit(den)) - 1) >= num * (c("n") + c("m")))
-    gone = settled.union(similar(later.select("k1", "k2", "e1", "e2"))).withColumn("all", F.lit(True))
-    firsts = every.groupBy("k1", "k2").agg(F.min(place).alias("o"), F.count("*").alias("many"))
-    classes = firsts.join(gone, ["k1", "k2"], "left").where("many > 1 or all")
-    classes = _shared.stored(classes.select("k1", "k2", "o", F.coalesce("all", F.lit(False)).alias("all")), "gone")
-    out = every.select("doc_id", "th", "pos", "k1", "k2").join(classes, ["k1", "k2"])
-    return out.where(c("all") | ~F.struct("doc_id", "th", "pos").eqNullSafe(c("o"))).select("doc_id", "th", "pos")
+    gone = settled.union(similar(later.select(*key, "e1", "e2"))).withColumn("all", F.lit(True))
+    gone = classes.join(gone, key, "left").where("copies > 1 or all").select(*key, "o", F.coalesce("all", F.lit(False)).alias("all"))
+    out = lines.where("head").select("doc_id", "th", "pos", *key).join(gone, key)
+    return scratch.stored(out.where(c("all") | ~place.eqNullSafe(c("o"))).select("doc_id", "th", "pos"), "removed-lines")
+
 
+def _with_removed(documents: DataFrame, removed: DataFrame) -> DataFrame:
+    """row (a struct of all columns) and gone (places, null if none go) of every row of documents."""
+    gone = removed.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    rows = documents.select(F.struct("*").alias("row"))
+    return rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("row.text") == F.col("h")), "left").select("row", "gone")
 
-def without_repeated_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
-    """documents with the lines cut from text; a document of which nothing is left goes."""
-    gone = removed_lines(documents, size, num, den, short).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).agg(F.collect_set("pos").alias("_gone"))
-    joined = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    return out.where(F.col("_gone").isNull() | (F.trim("text") != "")).drop("_d", "_h", "_gone")
 
+def without_repeated_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """documents with the lines cut from text; a document of which only blanks are left goes."""
+    both = _with_removed(documents, removed_lines(documents, size, num, den))
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+    out = both.withColumn("row", F.col("row").withField("text", text)).where(F.col("gone").isNull() | F.col("row.text").rlike(r"\S"))
+    return out.select("row.*")
 
-def line_report(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
+
+def line_report(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (places from 0, comma-joined) of every row of documents."""
-    gone = removed_lines(documents, size, num, den, short).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    docs = documents.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(1)).cast("long").alias("n_lines"))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
-    return out.select("doc_id", "n_lines", F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
+    docs = documents.select("doc_id", "text")
+    both = _with_removed(docs, removed_lines(docs, size, num, den))
+    n_lines = F.coalesce(F.octet_length("row.text") - F.octet_length(F.replace("row.text", F.lit("\n"))) + 1, F.lit(1)).cast("long")
+    return both.select("row.doc_id", n_lines.alias("n_lines"), F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
 
 ORACLE = r"""
 WITH l AS (SELECT doc_id, i - 1 AS pos, list_filter(regexp_split_to_array(lower(ls[i]), '\s+'), lambda x: x <> '') AS w, len(ls) AS n_lines
   FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
-k AS (SELECT doc_id, pos, array_to_string(w, ' ') AS k, w, row_number() OVER (ORDER BY doc_id, pos) AS o FROM l WHERE len(w) >= 5),
+k AS (SELECT doc_id, pos, array_to_string(w, ' ') AS k, w, row_number() OVER (ORDER BY doc_id, pos) AS o FROM l WHERE len(w) > 0),
 c AS (SELECT k, min(o) AS o, any_value(w) AS w FROM k GROUP BY k),
 t AS (SELECT DISTINCT o, unnest(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) AS t FROM c),
 n AS (SELECT o, count(*) AS n FROM t GROUP BY o),
@@ -153,11 +182,3 @@ FROM l LEFT JOIN per USING (doc_id)
 
 def op5_set_similarity_line_dedup(spark, sf_dir):
     return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-#: With lines of one to four words, which are in no pair.
-ORACLE_WHOLE = ORACLE.replace("len(w) >= 5", "len(w) > 0")
-
-
-def op5_set_similarity_line_dedup_whole(spark, sf_dir):
-    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=True)

@@ -15,7 +15,6 @@ FOUND = [
     similarity_join.op3_signature_tree_join_whole,
     toxicity.op4_nonnegative_pu_toxicity,
     line_dedup.op5_set_similarity_line_dedup,
-    line_dedup.op5_set_similarity_line_dedup_whole,
     packing.op6_cost_balanced_packing,
     exact_dedup.op7_extendible_hash_dedup,
     token_files.op8_repair_token_files,
@@ -38,4 +37,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_signature_tree_join": similarity_join.ORACLE, "op3_signature_tree_join_whole": similarity_join.ORACLE_WHOLE, "op5_set_similarity_line_dedup": line_dedup.ORACLE, "op5_set_similarity_line_dedup_whole": line_dedup.ORACLE_WHOLE, "op7_extendible_hash_dedup": exact_dedup.ORACLE, "op10_positional_index": decontamination.ORACLE}
+    return {"op3_signature_tree_join": similarity_join.ORACLE, "op3_signature_tree_join_whole": similarity_join.ORACLE_WHOLE, "op5_set_similarity_line_dedup": line_dedup.ORACLE, "op7_extendible_hash_dedup": exact_dedup.ORACLE, "op10_positional_index": decontamination.ORACLE}

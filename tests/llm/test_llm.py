@@ -121,12 +121,46 @@ def test_line_dedup(spark):
     rows = [(1, f"{a}\n{b}\nkurz hier"), (2, f"{near}\nkurz hier\n"), (3, f"{prose(40)}\n{b.replace("ka", "KA")}"), (4, None), (5, ""), (6, b), (6, b)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pos", F.lit(1))
     got = {r.doc_id: r.removed for r in line_dedup.line_report(df).collect()}
-    assert got == {1: "", 2: "0", 3: "1", 4: "", 5: "", 6: "0"}
+    assert got == {1: "", 2: "0,1", 3: "1", 4: "", 5: "", 6: "0"}
     kept = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(df).collect()}
-    assert kept[1] == rows[0][1] and kept[2] == "kurz hier\n" and "\n" not in kept[3] and kept[4] is None and kept[5] == "" and 6 not in kept
+    assert kept[1] == rows[0][1] and 2 not in kept and "\n" not in kept[3] and kept[4] is None and kept[5] == "" and 6 not in kept
     assert line_dedup.line_report(df.limit(0)).count() == 0
 
 
+def test_line_dedup_on_odd_rows(spark):
+    """Null and repeated ids, equal rows, a very long line, and columns with the names that the operator uses."""
+    long, other = " ".join(prose(50) for _ in range(400)), prose(30)
+    edited = " ".join("neu" if i % 400 == 7 else w for i, w in enumerate(long.split()))
+    rows = [(None, other), (None, long), (3, f"{edited}\n{other}"), (3, prose(20)), (4, "eins zwei"), (4, "eins zwei"), (5, " \n\tEINS\tzwei \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_d", "_h", "_gone", "_th", "th", "pos", "d", "h", "gone", "row", "k1", "token", "w"):
+        docs = docs.withColumn(name, F.lit(name))
+    got = sorted((str(r.doc_id), r.removed) for r in line_dedup.line_report(docs).collect())
+    assert got == [("3", ""), ("3", "0,1"), ("4", ""), ("4", ""), ("5", "1"), ("None", ""), ("None", "")]
+    kept = line_dedup.without_repeated_lines(docs)
+    assert kept.columns == docs.columns and all(r._gone == "_gone" and r.row == "row" for r in kept.collect())
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "4", "None", "None"]
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """Lines of many similarities around the bound, short ones too, against the rule applied to all pairs."""
+    rng = np.random.default_rng(5)
+    base = [prose(n).split() for n in (5, 6, 9, 14, 30, 80)]
+    lines = []
+    for i in range(240):
+        w = list(base[i % 6])
+        for _ in range(int(rng.integers(0, 4))):
+            w[int(rng.integers(len(w)))] = f"x{rng.integers(6)}"
+        lines.append(" ".join(w[: max(1, len(w) - int(rng.integers(0, 3)))]))
+    docs = spark.createDataFrame([(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(60)], "doc_id long, text string")
+    sets = [shingles(x, 5) for x in lines]
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = [any(near(sets[i], sets[j]) for j in range(i)) for i in range(len(lines))]
+    got = {r.doc_id: r.removed for r in line_dedup.line_report(docs).collect()}
+    assert 20 < sum(want) < 220
+    assert got == {d: ",".join(str(k) for k in range(4) if want[4 * d + k]) for d in range(60)}
+
+
 @pytest.mark.parametrize("kind,file", [("words", "word_bpe_49k.json"), ("bytes", "byte_bpe_50k.json")])
 def test_chunked_ids_equal_whole_ids(kind, file):
     rng = np.random.default_rng(3)
@@ -305,7 +339,7 @@ def test_similar_stage_keeps_unrelated_rows_of_null_and_repeated_ids(spark):
 def test_short_lines_are_cut_too(spark):
     rows = [(1, "kurz hier\n\na b c d\n \n" + BASE[0]), (2, "Kurz  HIER \n\nkurz\nkurz hier da"), (3, "kurz\na b c d"), (4, "\n"), (5, None), (6, BASE[0] + "\nallein hier")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.removed for r in line_dedup.line_report(docs, short=True).collect()}
+    got = {r.doc_id: r.removed for r in line_dedup.line_report(docs).collect()}
     assert got == {1: "", 2: "0", 3: "0,1", 4: "", 5: "", 6: "0"}
     kept = {r.doc_id: r.text for r in corpus_pipeline.cut_repeated_lines(spark, docs, "").collect()}
     assert kept == {1: rows[0][1], 2: "\nkurz\nkurz hier da", 4: "\n", 5: None, 6: "allein hier"}
