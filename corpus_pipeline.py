@@ -1,7 +1,8 @@
 """A training-corpus pipeline: five stages, each over all that its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Defined cases are those of the operators; rows that repeat a doc_id are judged by their own texts.
+Rows that repeat a doc_id are judged by their own texts; a null doc_id is an id like others; texts of any length are
+read whole; an empty table gives no rows; further columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -13,42 +14,60 @@ from parley.llm import _shared, decontamination, line_dedup, packing, quality, s
 from parley.shipping import ship
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Each row as one column, so that no column of its own can clash with those of a stage."""
+    return docs.select(F.struct("*").alias("row"))
+
+
+def _is_of(key: DataFrame):
+    """That a row is one of key(d, h): doc_id and hash of the text."""
+    return F.col("row.doc_id").eqNullSafe(key["d"]) & (F.xxhash64("row.text") == key["h"])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects."""
+    """Drops the documents that the quality classifier rejects.
+
+    Null and empty texts are scored like others, and go if they are rejected; equal rows have equal scores."""
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    th = F.xxhash64("text")
-    rejected = quality.quality_scores(docs, labels, carry="xxhash64(text)").where("predicted = 0").select(F.col("doc_id").alias("_d"), F.col("carried").alias("_h")).distinct()
-    rejected = _shared.stored(rejected, "rejected")
-    return docs.join(_shared.broadcast_if_small(rejected), F.col("doc_id").eqNullSafe(F.col("_d")) & (th == F.col("_h")), "left_anti")
+    scores = quality.quality_scores(docs.select("doc_id", "text"), labels, carry="xxhash64(text)")
+    rejected = _shared.stored(scores.where("predicted = 0").select(F.col("doc_id").alias("d"), F.col("carried").alias("h")).distinct(), "rejected")
+    rejected = _shared.broadcast_if_small(rejected)
+    return _rows(docs).join(rejected, _is_of(rejected), "left_anti").select("row.*")
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that an earlier line resembles; a document of which nothing is left goes."""
-    out = line_dedup.without_repeated_lines(docs, short=True)
-    return _with_lengths(out, docs)
+    """Cuts lines that an earlier line resembles; a document of which nothing is left goes.
+
+    Documents without a removed line are left as they are, null and empty texts too; n_chars follows the text."""
+    return _with_lengths(line_dedup.without_repeated_lines(docs), docs)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies (five-word shingles, similarity 0.8)."""
+    """Keeps the first document of each group of near copies (five-word shingles, similarity 0.8).
+
+    The first is the row of least doc_id (a null one is least), then of least text hash; of equal rows one stays. Texts
+    without words are in no group and stay, but for equal rows."""
     ship(spark)
-    found = _shared.stored(similarity_join.similar_documents(docs), "groups")
+    found = _shared.stored(similarity_join.similar_documents(docs.select("doc_id", "text")), "groups")
     first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("x.*")
-    kept = first.union(found.where("n_shingles = 0").select("doc_id", "th")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"))
-    th = F.xxhash64("text")
-    one = docs.withColumn("_th", th).join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_th"]).drop("_th")
+    kept = first.union(found.where("n_shingles = 0").select("doc_id", "th")).distinct().select(F.col("doc_id").alias("d"), F.col("th").alias("h"))
+    one = _rows(docs).join(kept, _is_of(kept), "left_semi").withColumn("h", F.xxhash64("row.text"))
+    return one.withColumn("d", F.col("row.doc_id")).dropDuplicates(["d", "h"]).select("row.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a window of ten words of a benchmark item."""
-    hits = decontamination.occurrences(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = _shared.stored(hits.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).distinct(), "leaks")
-    return docs.join(_shared.broadcast_if_small(leaks), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    """Drops the documents that hold a window of ten words of a benchmark item.
+
+    Texts without words stay; rows of one doc_id are judged by their own texts."""
+    hits = decontamination.occurrences(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = _shared.stored(hits.select(F.col("doc_id").alias("d"), F.col("th").alias("h")).distinct(), "leaks")
+    leaks = _shared.broadcast_if_small(leaks)
+    return _rows(docs).join(leaks, _is_of(leaks), "left_anti").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4096 tokens."""
+    """Packs what is left into sequences of 4096 tokens; null text is empty, equal rows are documents of their own."""
     import public_tokenizers
 
     ship(spark)
