@@ -95,7 +95,11 @@ class Scratch:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is (the join then shuffles).
     df should be a stored table or small to count; rows wider than 64 bytes need a lower bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
 
 
 def components(edges: DataFrame) -> DataFrame:

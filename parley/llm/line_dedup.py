@@ -5,13 +5,15 @@ is a single token, its words. A line goes when an earlier line (by doc_id, then
 similarity of `num`/`den` or more, thus a short line when an earlier one has the same words. Blank lines stay.
  1. Lines of equal words are one class with its first line; a class is compared, not its lines.
  2. Of a line of n tokens, at most n - ceil(t*n) are not in a line that is similar. Tokens whose hash is in the lowest
-    1/SHARE of all are counted over all classes; a class with more of them that no other class has is left out. (How many
-    different ones these are is taken from bits that they set, which can only be too few, so no class is lost.)
+    SHARE of all are counted over all classes; a class with more of them that no other class has is left out. (How many
+    different ones these are is taken from bits that they set, which can only be too few, so no class is lost.) Of the
+    classes that are left the same is done once more, with the next BAND of tokens besides.
  3. Of the classes that are left, tokens are ordered by rarity, those of one class first. The rarest n - ceil(t*n) + 1
     are a prefix; lines that are similar share a token there, so tokens of one class need no row.
- 4. Of each token that two classes have in their prefixes, all classes are compared with the earliest: with the length
-    filter, the positional filter (the most tokens that can be common, given the places of the shared one), then by
-    whole sets. A class with a match is settled.
+ 4. Of each token that two classes have in their prefixes, all classes are compared with the earliest, and while many
+    pairs are left with the next ones: with the length filter, the positional filter (the most tokens that can be
+    common, given the places of the shared one and that tokens of one class are not), then by whole sets. A class with a
+    match is settled.
  5. Only classes that are not settled are compared with all earlier ones that share a token, unless the number of
     tokens that their prefixes share shows that the rest can't give the overlap. No group is capped.
 
@@ -30,26 +32,36 @@ from pyspark.sql import functions as F
 
 from . import _shared
 
-#: One token of so many is counted over all lines; fewer than the n / (n - t*n) of the similarity asked for.
-SHARE = 3
-#: Bits that count a class's unshared tokens.
-WORDS_OF_BITS = 4
+#: The share of tokens that are counted over all lines (below one in five none would be left out), and of those that are
+#: then counted over the lines left.
+SHARE, BAND = 0.3, 0.35
+#: Bits that count a class's unshared tokens, in longs.
+LONGS = 4
+#: At most so many of a token's earliest classes are compared with all others, as long as the pairs left are more than
+#: PAIRS times the rows that they come from.
+HUBS, PAIRS = 3, 16
 
 
-def words(line: Column) -> Column:
-    """The hashes of its words; of a blank line that of one empty word."""
+def below(share: float) -> Column:
+    """The hash below which so large a share of tokens is."""
+    return F.lit(int((2 * share - 1) * (1 << 63)))
+
+
+def plain(line: Column) -> Column:
+    """Letters folded, words parted by single blanks."""
     low = F.lower(line)
     # only other white space than single blanks needs the pattern
     odd = functools.reduce(lambda a, b: a | b, [F.contains(line, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
-    return F.transform(F.split(F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low)), " "), lambda x: F.xxhash64(x))
+    return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
-def token_at(w: Column, i: Column, size: int) -> Column:
-    return F.xxhash64(*(F.get(w, i + k) for k in range(size)))
+def parsed(line: Column) -> Column:
+    """k1, k2 (hashes of the line) and w (of its words) of a plain line."""
+    return F.struct(F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"), F.transform(F.split(line, " "), lambda x: F.xxhash64(x)).alias("w"))
 
 
-def identity(w: Column) -> tuple[Column, Column]:
-    return F.xxhash64(w).alias("k1"), F.xxhash64(F.lit(1), w).alias("k2")
+def token_at(w: Column, i: Column, size: int) -> Column:
+    return F.xxhash64(*(F.get(w, i + k) for k in range(size)))
 
 
 def split_lines(text: Column) -> Column:
@@ -67,56 +79,66 @@ def _removed(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
     th = F.xxhash64("text").alias("th")
     spare = lambda n: n - F.ceil(n * F.lit(num) / F.lit(den)).cast("int")  # noqa: E731  tokens that a similar line may lack
 
-    # a row for each line (head) and for each of its tokens that is counted; words are made inside the generator, and its
-    # outer form is used, as the optimizer would else make them twice
-    cut = documents.select("doc_id", th, F.posexplode_outer(F.transform(split_lines(c("text")), words)).alias("pos", "w"))
-    cut = cut.where((F.size("w") > 1) | (F.get("w", F.lit(0)) != F.xxhash64(F.lit(""))))
-    many = F.size("w") - F.lit(size - 1)
-    rows = cut.select("doc_id", "th", "pos", *identity(c("w")), many.alias("many"), "w", F.explode(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0)))).alias("i"))
-    rows = rows.select("doc_id", "th", "pos", "k1", "k2", "many", (c("i") == 0).alias("head"), F.when(c("many") > 0, token_at(c("w"), c("i"), size)).alias("token"))
-    low = c("token") < F.lit(-(1 << 63) + (1 << 64) // SHARE)
-    lines = scratch.stored(rows.where(c("head") | low), "lines", hashes="token")
+    # a row for each line (head) and for each of its tokens that is counted; lines are parsed inside the generator, and its
+    # outer form is used, as the optimizer would else parse them twice
+    cut = documents.select("doc_id", th, F.posexplode_outer(F.transform(F.transform(split_lines(c("text")), plain), parsed)).alias("pos", "x"))
+    cut = cut.select("doc_id", "th", "pos", "x.*").where((F.size("w") > 1) | (F.get("w", F.lit(0)) != F.xxhash64(F.lit(""))))
+    cut = cut.withColumn("many", F.size("w") - F.lit(size - 1))
+    rows = cut.select("*", F.explode(F.sequence(F.lit(0), F.greatest(c("many") - 1, F.lit(0)))).alias("i"))
+    head, token = c("i") == 0, F.when(c("many") > 0, token_at(c("w"), c("i"), size))
+    rows = rows.select(*[F.when(head, c(x)).alias(x) for x in ("doc_id", "th", "pos")], *key, "many", head.alias("head"), F.when(token < below(SHARE), token).alias("token")).where("head OR token IS NOT NULL")
+    counted = scratch.stored(rows, "counted", hashes="token")
+    lines = scratch.stored(counted.where("head").select("doc_id", "th", "pos", *key, "many"), "lines", hashes=True)
 
     place = F.struct("doc_id", "th", "pos")
-    classes = lines.where("head").groupBy(*key).agg(F.min(place).alias("o"), F.count("*").alias("copies"), F.max("many").alias("many"))
+    classes = lines.groupBy(*key).agg(F.min(place).alias("o"), F.count("*").alias("copies"), F.max("many").alias("many"))
     classes = scratch.stored(classes, "line-classes", hashes=True)
 
-    counted = lines.where(low)
-    shared = counted.groupBy("token").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").select("token")
+    counted_tokens = counted.where("token IS NOT NULL")
+    shared = counted_tokens.groupBy("token").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").select("token")
     shared = scratch.stored(shared, "shared", hashes=True)
-    bit = lambda w: F.bit_or(F.when(F.shiftright("token", 6).bitwiseAND(F.lit(WORDS_OF_BITS - 1)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), c("token").bitwiseAND(F.lit(63)).cast("int"))))
-    alone = counted.join(_shared.broadcast_if_small(shared, _shared.BROADCAST_LONGS), "token", "left_anti")
-    alone = alone.groupBy(*key).agg(F.max("many").alias("many"), *(bit(w).alias(f"b{w}") for w in range(WORDS_OF_BITS)))
-    least = functools.reduce(lambda a, b: a + b, [F.coalesce(F.bit_count(f"b{w}"), F.lit(0)) for w in range(WORDS_OF_BITS)])
-    open_ = classes.where("many > 0").join(alone.where(least > spare(c("many"))), key, "left_anti")
-    open_ = scratch.stored(open_.select(*key, "o"), "open", hashes=True)
-    scratch.drop(shared)
+    bit = lambda w: F.bit_or(F.when(F.shiftright("token", 6).bitwiseAND(F.lit(LONGS - 1)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), c("token").bitwiseAND(F.lit(63)).cast("int"))))
+    alone = counted_tokens.join(_shared.broadcast_if_small(shared, _shared.BROADCAST_LONGS), "token", "left_anti")
+    alone = alone.groupBy(*key).agg(F.max("many").alias("many"), *(bit(w).alias(f"b{w}") for w in range(LONGS)))
+    least = functools.reduce(lambda a, b: a + b, [F.coalesce(F.bit_count(f"b{w}"), F.lit(0)) for w in range(LONGS)])
+    open_ = classes.where("many > 0").join(alone.select(*key, least.alias("alone")), key, "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    open_ = scratch.stored(open_.where(c("alone") <= spare(c("many"))).select(*key, "o", "alone"), "open", hashes=True)
+    scratch.drop(shared, counted)
 
     # whole sets of what is left, from the texts
     wanted = _shared.broadcast_if_small(open_.select(F.xxhash64("o.doc_id", "o.th", "o.pos").alias("ph")).distinct(), _shared.BROADCAST_LONGS)
     one = documents.select("doc_id", th, F.posexplode_outer(split_lines(c("text"))).alias("pos", "line"))
-    one = one.withColumn("ph", F.xxhash64("doc_id", "th", "pos")).join(wanted, "ph", "left_semi").select(place.alias("o"), F.explode_outer(F.array(words(c("line")))).alias("w"))
+    one = one.withColumn("ph", F.xxhash64("doc_id", "th", "pos")).join(wanted, "ph", "left_semi")
+    one = one.select(place.alias("o"), F.explode_outer(F.transform(F.array(plain(c("line"))), parsed)).alias("x")).select("o", "x.*")
     at = F.sequence(F.lit(0), F.size("w") - F.lit(size))
-    sets = one.where(F.size("w") >= size).select(*identity(c("w")), "o", F.array_distinct(F.transform(at, lambda i: token_at(c("w"), i, size))).alias("t"))
+    sets = one.where(F.size("w") >= size).select(*key, "o", F.array_distinct(F.transform(at, lambda i: token_at(c("w"), i, size))).alias("t"))
     sets = scratch.stored(sets.dropDuplicates(key), "sets", hashes=True)
-    scratch.drop(open_)
+    band = sets.select(*key, F.explode("t").alias("token")).where((c("token") >= below(SHARE)) & (c("token") < below(SHARE + BAND)))
+    owned = band.groupBy("token").agg(F.count("*").alias("df"), F.max("k1").alias("k1"), F.max("k2").alias("k2")).where("df = 1").groupBy(*key).agg(F.count("*").alias("more"))
+    over = open_.join(owned, key).join(sets.select(*key, F.size("t").alias("n")), key).where(c("alone") + c("more") > spare(c("n")))
+    over = scratch.stored(over.select(*key), "over", hashes=True)
+    every, sets = sets, scratch.stored(sets.join(_shared.broadcast_if_small(over, _shared.BROADCAST_LONGS // 2), key, "left_anti"), "sets", hashes=True)
+    scratch.drop(open_, over, every)
 
     tokens = sets.select(*key, F.size("t").alias("n"), F.explode("t").alias("token"))
     rarity = scratch.stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "rarity", hashes=True)
     known = tokens.join(_shared.broadcast_if_small(rarity, _shared.BROADCAST_LONGS // 2), "token").groupBy(*key, "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
     # tokens of one class come first in the order, so that the prefix goes on with the rarest of the others
     known = known.withColumn("before", c("n") - F.size("s")).withColumn("p", spare(c("n")) + 1 - c("before")).where("p > 0")
-    members = known.select(*key, "n", "before", F.posexplode(F.slice("s", F.lit(1), c("p"))).alias("i", "x"))
-    members = members.join(sets.select(*key, "o"), key).select(*key, "o", "n", (c("before") + c("i")).alias("i"), c("x.token").alias("token"))
+    # i: the tokens before it that can be common (none of one class); left: it and all that follow
+    members = known.select(*key, "n", F.size("s").alias("common"), F.posexplode(F.slice("s", F.lit(1), c("p"))).alias("i", "x"))
+    members = members.join(sets.select(*key, "o"), key).select(*key, "o", "n", "i", (c("common") - c("i")).alias("left"), c("x.token").alias("token"))
     members = scratch.stored(members, "members", hashes=True)
     scratch.drop(rarity)
-    hubs = members.groupBy("token").agg(F.min(F.struct("o", "k1", "k2", "n", "i")).alias("hub"), F.count("*").alias("df")).where("df > 1")
-    hubs = scratch.stored(hubs.select("token", "hub"), "hubs")
+    several = scratch.stored(members.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "several", hashes=True)
+    members = scratch.stored(members.join(_shared.broadcast_if_small(several, _shared.BROADCAST_LONGS // 2), "token"), "members", hashes=True)
+    early = members.select("token", c("k1").alias("e1"), c("k2").alias("e2"), c("o").alias("eo"), c("n").alias("m"), c("i").alias("j"), c("left").alias("after"))
 
-    def may(n, i, m, j) -> Column:
-        """The length and the positional filter."""
-        most = F.least(i, j) + F.least(n - i, m - j)
-        return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * F.least(most, n, m) >= num * (n + m))
+    def candidates(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        """Pairs that share a token, by the length and the positional filter."""
+        most = F.least("i", "j") + F.least("left", "after")
+        may = (den * F.least("n", "m") >= num * F.greatest("n", "m")) & ((num + den) * F.least(most, "n", "m") >= num * (c("n") + c("m")))
+        return later.join(earlier, "token").where((c("eo") < c("o")) & may)
 
     def similar(pairs: DataFrame) -> DataFrame:
         """The classes (k1, k2) that match their earlier partner (e1, e2)."""
@@ -126,17 +148,22 @@ def _removed(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
         both = F.size(F.array_intersect("t", "s"))
         return a.join(b, ["e1", "e2"]).where(den * both >= num * (F.size("t") + F.size("s") - both)).select(*key).distinct()
 
-    first = members.join(hubs, "token").where((c("hub.o") < c("o")) & may(c("n"), c("i"), c("hub.n"), c("hub.i")))
-    settled = scratch.stored(similar(first.select(*key, c("hub.k1").alias("e1"), c("hub.k2").alias("e2")).distinct()), "settled")
-    left = members.join(hubs.select("token"), "token", "left_semi").join(settled, key, "left_anti")
-    early = members.select("token", c("k1").alias("e1"), c("k2").alias("e2"), c("o").alias("eo"), c("n").alias("m"), c("i").alias("j"))
-    later = left.join(early, "token").where((c("eo") < c("o")) & may(c("n"), c("i"), c("m"), c("j")))
+    total, settled, open_, hubs = members.count(), [], members, None
+    for _ in range(HUBS):
+        # of each token the next class; the first one has none before it
+        rest = early if hubs is None else early.join(hubs.select("token", c("eo").alias("last")), "token").where("eo > last")
+        hubs = scratch.stored(rest.groupBy("token").agg(F.min(F.struct("eo", "e1", "e2", "m", "j", "after")).alias("hub")).select("token", "hub.*"), "hubs", hashes=True)
+        settled.append(scratch.stored(similar(candidates(open_, hubs).select(*key, "e1", "e2").distinct()), "settled", hashes=True))
+        open_ = scratch.stored(open_.join(_shared.broadcast_if_small(settled[-1]), key, "left_anti"), "open", hashes=True)
+        if (open_.agg(F.sum("df")).first()[0] or 0) <= PAIRS * total:
+            break
     # beyond the tokens that two prefixes share, only the rest of one of the lines can be common
-    later = later.groupBy(*key, "e1", "e2").agg(F.count("*").alias("both"), F.min("n").alias("n"), F.min("m").alias("m"))
+    later = candidates(open_, early).groupBy(*key, "e1", "e2").agg(F.count("*").alias("both"), F.min("n").alias("n"), F.min("m").alias("m"))
     later = later.where((num + den) * (c("both") + F.ceil(F.greatest("n", "m") * F.lit(num) / F.lit(den)) - 1) >= num * (c("n") + c("m")))
+    settled = functools.reduce(DataFrame.union, settled)
     gone = settled.union(similar(later.select(*key, "e1", "e2"))).withColumn("all", F.lit(True))
     gone = classes.join(gone, key, "left").where("copies > 1 or all").select(*key, "o", F.coalesce("all", F.lit(False)).alias("all"))
-    out = lines.where("head").select("doc_id", "th", "pos", *key).join(gone, key)
+    out = lines.select("doc_id", "th", "pos", *key).join(gone, key)
     return scratch.stored(out.where(c("all") | ~place.eqNullSafe(c("o"))).select("doc_id", "th", "pos"), "removed-lines")
 
 
@@ -158,10 +185,12 @@ def without_repeated_lines(documents: DataFrame, size: int = 5, num: int = 80, d
 
 def line_report(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (places from 0, comma-joined) of every row of documents."""
-    docs = documents.select("doc_id", "text")
-    both = _with_removed(docs, removed_lines(docs, size, num, den))
-    n_lines = F.coalesce(F.octet_length("row.text") - F.octet_length(F.replace("row.text", F.lit("\n"))) + 1, F.lit(1)).cast("long")
-    return both.select("row.doc_id", n_lines.alias("n_lines"), F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
+    gone = removed_lines(documents, size, num, den).groupBy(F.col("doc_id").alias("d"), F.col("th").alias("h")).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(1)).cast("long")
+    # counted inside a generator, so that the count and not the text goes to the join
+    docs = documents.select("doc_id", F.explode_outer(F.array(F.struct(F.xxhash64("text").alias("th"), n_lines.alias("n_lines")))).alias("x")).select("doc_id", "x.*")
+    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")), "left")
+    return both.select("doc_id", "n_lines", F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
 
 ORACLE = r"""
