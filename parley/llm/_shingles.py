@@ -1,12 +1,14 @@
 """Vectorised word and shingle hashing for Arrow text columns.
 
 Words are maximal runs of bytes that are not in a separator table; A-Z is folded to lower case first.
-A word's hash is a polynomial over its bytes modulo 2**64, taken for all words of a buffer at once from
-one running sum, then mixed; a shingle's hash combines the hashes of its words in order.
+A word's hash is taken from its bytes and length (`span_hashes`); a shingle's hash combines the hashes of its words in
+order. `hashed_words`, which features of the classifiers use, is quicker and weaker: a polynomial over the bytes modulo
+2**64, for which unlike words can be made that share a hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +57,37 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), off
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
+#: Of a number's bytes, the first k.
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def eight_bytes(data: np.ndarray):
+    """A function that gives the 8 bytes from each of some places on as numbers (zeros beyond the end)."""
+    words = np.zeros(len(data) // 8 + 3, np.uint64)
+    words.view(np.uint8)[: len(data)] = data
+
+    def load(at: np.ndarray) -> np.ndarray:
+        i, s = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        return (words[i] >> s) | ((words[i + 1] << np.uint64(1)) << (np.uint64(63) - s))
+
+    return load
+
+
+def span_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[a:b], not linear in the bytes; spans of more than 16 bytes take a digest."""
+    load, n = eight_bytes(data), b - a
+    first, second = load(a) & MASKS[np.minimum(n, 8)], load(np.minimum(a + 8, len(data))) & MASKS[np.clip(n - 8, 0, 8)]
+    with np.errstate(over="ignore"):
+        h = mix(first ^ mix(second + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    far = np.flatnonzero(n > 16)
+    if len(far):
+        raw = data.tobytes()
+        h[far] = np.frombuffer(b"".join(hashlib.blake2b(raw[x:y], digest_size=8).digest() for x, y in zip(a[far].tolist(), b[far].tolist(), strict=True)), "<u8")
+    return h
+
+
 def word_spans(data: np.ndarray, starts: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in data; a word does not run over any of the given row starts."""
     inside = ~sep[data]
@@ -88,7 +121,9 @@ def shingled(column: pa.Array, size: int, sep: np.ndarray = SPACE) -> Iterator[n
     with np.errstate(over="ignore"):
         while row < n:
             last = max(row + 1, int(np.searchsorted(off, off[row] + _CHUNK, "right")) - 1)
-            a, h = hashed_words(data[off[row] : off[last]], off[row:last] - off[row], sep)
+            part = LOWER[data[off[row] : off[last]]]
+            a, b = word_spans(part, off[row:last] - off[row], sep)
+            h = span_hashes(part, a, b)
             at = np.searchsorted(a, off[row : last + 1] - off[row])
             k = np.uint64(0xD6E8FEB86659FD93)
             whole = np.zeros(max(0, len(h) - size + 1), np.uint64)

@@ -6,10 +6,10 @@ are what is joined, so copies are never paired.
     frequency; the order is the same for all sets, so it may be rough.
  2. Two sets of the similarity asked for share a token among the rarest n - ceil(t*n) + 1 of each. Tokens that
     two classes have there are cells; a cell of more than CELL classes is dealt to tasks as pairs of blocks.
- 3. A cell's classes, sorted by size, are leaves of a signature tree: a node holds the union of the token bitmaps
-    below it, the range of set sizes and the largest number of tokens that bitmaps merge. The tree is traversed
-    against itself; a pair of nodes is left out when bits in common plus merged tokens, or the size ranges,
-    cannot give the overlap that the smallest sizes need; of rows, also the places of the cell's token in both.
+ 3. A cell's classes, sorted by size, are leaves of a signature tree: a node holds the union of the bitmaps of the
+    prefixes below it, the range of set sizes and the largest number of tokens that bitmaps merge. The tree is traversed
+    against itself; a pair of nodes is left out when bits in common plus merged tokens cannot give the overlap that
+    prefixes of such sizes need, or by the size ranges; of rows, also by the places of the cell's token in both.
  4. Candidates are verified on the whole sets. The first round takes the cells of a class's FEW rare tokens of
     least hash, which near copies mostly share, and of them for every class its likeliest earlier partner; this joins
     large groups of near copies without all their pairs. The second takes all cells and all candidates between classes
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import _shared
 from ._shingles import mix, shingled
 
-SKETCH_BITS, SEGMENT_BITS, BITS, CELL, LEAF, FAN, FEW = 21, 16, 1024, 2048, 16, 8, 6
+SKETCH_BITS, SEGMENT_BITS, BITS, CELL, LEAF, FAN, FEW = 21, 16, 1024, 512, 16, 8, 6
 
 
 def sets_of(column: pa.Array, size: int):
@@ -41,6 +41,12 @@ def sets_of(column: pa.Array, size: int):
         yield np.unique(x)
 
 
+def class_hashes(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    with np.errstate(over="ignore"):
+        return int(mix(s).sum().view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
+
+
 def frequency_levels(documents: DataFrame, size: int) -> np.ndarray:
     """For each slot of the sketch, the binary logarithm of how far its count is above four times the mean."""
 
@@ -84,11 +90,21 @@ def frequency_levels(documents: DataFrame, size: int) -> np.ndarray:
     return np.minimum(255, np.log2(1 + total // max(1, 4 * int(total.mean())))).astype(np.uint8)
 
 
-def signature(s: np.ndarray) -> tuple[bytes, int]:
-    """A set's bitmap, and how many of its tokens share a bit with another."""
+def signature(prefix: np.ndarray) -> bytes:
+    """The bitmap of a set's prefix."""
     bits = np.zeros(BITS, bool)
-    bits[(s >> np.uint64(40)).astype(np.int64) % BITS] = True
-    return np.packbits(bits).tobytes(), int(len(s) - bits.sum())
+    bits[(prefix >> np.uint64(40)).astype(np.int64) % BITS] = True
+    return np.packbits(bits).tobytes()
+
+
+def prefix_size(n, num: int, den: int):
+    return n - -(-num * n // den) + 1
+
+
+def prefix_overlap(n, m, num: int, den: int):
+    """The tokens that the prefixes of linked sets of n and m tokens share at least: beyond them only the rest of one
+    set can be common."""
+    return -(-num * (n + m) // (num + den)) - -(-num * np.maximum(n, m) // den) + 1
 
 
 def described(documents: DataFrame, size: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
@@ -106,11 +122,11 @@ def described(documents: DataFrame, size: int, num: int, den: int, levels: np.nd
             with np.errstate(over="ignore"):
                 for s in sets_of(b.column(2), size):
                     n.append(len(s))
-                    k1.append(int(mix(s).sum().view(np.int64)))
-                    k2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)))
-                    sig.append(signature(s)[0] if len(s) else b"")
+                    for k, h in zip((k1, k2), class_hashes(s), strict=True):
+                        k.append(h)
                     o = np.lexsort((s, level[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]))
-                    rare = s[o[: len(s) + (-num * len(s) // den) + 1]] if len(s) else s
+                    rare = s[o[: prefix_size(len(s), num, den)]] if len(s) else s
+                    sig.append(signature(rare) if len(s) else b"")
                     prefix.append(rare.view(np.int64))
                     # mix is a bijection: the tokens whose mixed hashes are least, which near copies mostly share
                     few.append(rare[np.argsort(mix(rare))[:FEW]].view(np.int64))
@@ -123,9 +139,11 @@ def described(documents: DataFrame, size: int, num: int, den: int, levels: np.nd
 class SignatureTree:
     """Levels of nodes over rows sorted by size; a node of level l covers FAN**l leaves of LEAF rows."""
 
-    def __init__(self, n: np.ndarray, sig: np.ndarray):
-        self.n, self.sig = n, sig
-        self.merged = n - np.bitwise_count(sig).sum(1)
+    def __init__(self, n: np.ndarray, sig: np.ndarray, num: int, den: int):
+        """n: sizes of the sets; sig: bitmaps of their prefixes."""
+        self.n, self.sig, self.num, self.den = n, sig, num, den
+        self.many = prefix_size(n, num, den)
+        self.merged = self.many - np.bitwise_count(sig).sum(1)
         cut = np.arange(0, len(n), LEAF)
         level = (np.bitwise_or.reduceat(sig, cut), np.minimum.reduceat(n, cut), np.maximum.reduceat(n, cut), np.maximum.reduceat(self.merged, cut))
         self.levels = [level]
@@ -134,15 +152,17 @@ class SignatureTree:
             level = tuple(f.reduceat(x, cut) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum), level, strict=True))
             self.levels.append(level)
 
-    def pairs(self, num: int, den: int):
-        """Blocks of rows (i, j, bound), i < j, that may be linked; bound is the most tokens they can share."""
-        waiting = [(len(self.levels) - 1, 0, 0)]
+    def pairs(self):
+        """Blocks of rows (i, j, bound), i < j, that may be linked; bound is the most tokens their prefixes can share."""
+        num, den, waiting = self.num, self.den, [(len(self.levels) - 1, 0, 0)]
         while waiting:
             l, a, b = waiting.pop()
             bits, low, high, merged = self.levels[l]
-            small, large = low[a] + low[b], max(low[a], low[b])
-            most = min(int(np.bitwise_count(bits[a] & bits[b]).sum()) + min(merged[a], merged[b]), high[a], high[b])
-            if most * (num + den) < num * small or den * min(high[a], high[b]) < num * large:
+            if den * min(high[a], high[b]) < num * max(low[a], low[b]):
+                continue
+            most = int(np.bitwise_count(bits[a] & bits[b]).sum()) + min(merged[a], merged[b])
+            # the least that is asked for is at the most unlike sizes; rounding may change it by one
+            if most < min(prefix_overlap(low[a], high[b], num, den), prefix_overlap(high[a], low[b], num, den)) - 1:
                 continue
             if l:
                 top = len(self.levels[l - 1][1])
@@ -151,8 +171,9 @@ class SignatureTree:
                 continue
             i, j = np.arange(a * LEAF, min(len(self.n), a * LEAF + LEAF)), np.arange(b * LEAF, min(len(self.n), b * LEAF + LEAF))
             bound = np.bitwise_count(self.sig[i][:, None] & self.sig[j][None]).sum(2) + np.minimum.outer(self.merged[i], self.merged[j])
-            bound = np.minimum(bound, np.minimum.outer(self.n[i], self.n[j]))
-            ok = (bound * (num + den) >= num * np.add.outer(self.n[i], self.n[j])) & (i[:, None] < j[None])
+            bound = np.minimum(bound, np.minimum.outer(self.many[i], self.many[j]))
+            n, m = self.n[i][:, None], self.n[j][None]
+            ok = (bound >= prefix_overlap(n, m, num, den)) & (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (i[:, None] < j[None])
             x, y = np.nonzero(ok)
             if len(x):
                 yield i[x], j[y], bound[x, y]
@@ -169,20 +190,16 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
         k1, n, sig, root, block, at = k1[o], n[o], sig[o], root[o], block[o], at[o]
         if (root == root[0]).all():
             return
-        found = list(SignatureTree(n, sig).pairs(num, den))
+        tree = SignatureTree(n, sig, num, den)
+        found = list(tree.pairs())
         if not found:
             return
         i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
         # the token is at these places of both sets' orders: what is before in both, and what is from there on
-        bound = np.minimum(bound, np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]))
-        ok = (root[i] != root[j]) & ((block[i] != block[j]) if two else True) & (bound * (num + den) >= num * (n[i] + n[j]))
+        most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+        ok = (root[i] != root[j]) & ((block[i] != block[j]) if two else True) & (most * (num + den) >= num * (n[i] + n[j]))
         i, j, bound = i[ok], j[ok], bound[ok]
-        if all_pairs:
-            # tokens that both prefixes must share, as beyond them only the rest of one set can be common
-            rest = -(-num * np.maximum(n[i], n[j]) // den) - 1
-            near = (-(-num * (n[i] + n[j]) // (num + den)) - rest).astype(float)
-        else:
-            near = bound / (n[i] + n[j])
+        near = prefix_overlap(n[i], n[j], num, den).astype(float) if all_pairs else bound / (tree.many[i] + tree.many[j])
         if not all_pairs and len(i):
             o = np.lexsort((-near, j))
             o = o[np.concatenate([[True], np.diff(j[o]) > 0])]
@@ -258,14 +275,25 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
     den * intersection >= num * union. root (null for an empty set) tells components apart, which component_id
     does not where doc_id is null or repeated. links: there is one round only, in which every candidate pair of classes
     is verified, and n_links is the number of other rows that a row links with, copies among them."""
-    rows = _shared.stored(described(documents, size, num, den, frequency_levels(documents, size)), "sets")
-    classes = _shared.stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "classes")
+    with _shared.Scratch() as scratch:
+        return scratch.keep(_similar(scratch, documents.select("doc_id", "text"), size, num, den, links))
+
+
+def _similar(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int, den: int, links: bool) -> DataFrame:
+    rows = scratch.stored(described(documents, size, num, den, frequency_levels(documents, size)), "sets")
+    classes = scratch.stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id")), "classes")
+    # a class is (k1, k2) and is named by k1; where classes share it, both halves make the name
+    clash = scratch.stored(classes.groupBy("k1").agg(F.min("k2").alias("x"), F.max("k2").alias("y")).where("x <> y").select(F.col("k1").alias("c")), "clash")
+    if clash.limit(1).count():
+        renamed = lambda t: t.join(_shared.broadcast_if_small(clash), F.col("k1") == F.col("c"), "left").withColumn("k1", F.when(F.col("c").isNull(), F.col("k1")).otherwise(F.xxhash64("k1", "k2"))).drop("c")
+        rows, classes = scratch.stored(renamed(rows), "sets"), scratch.stored(renamed(classes), "classes")
     tokens = rows.select("k1", F.explode("prefix").alias("token"))
     # copies share their k1, so a token that only one class has drops out here, and copies meet before the shuffle
     again = tokens.groupBy("token").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").select("token")
-    again = _shared.broadcast_if_small(_shared.stored(again, "again"), _shared.BROADCAST_LONGS)
-    members = _shared.stored(rows.select("k1", "n", F.posexplode("prefix").alias("at", "token")).join(again, "token").distinct(), "members", hashes=True)
-    starters = _shared.stored(rows.select("k1", "n", F.lit(0).alias("at"), F.explode("few").alias("token")).join(again, "token").distinct(), "starters", hashes=True)
+    again = _shared.broadcast_if_small(scratch.stored(again, "again"), _shared.BROADCAST_LONGS)
+    members = scratch.stored(rows.select("k1", "n", F.posexplode("prefix").alias("at", "token")).join(again, "token").distinct(), "members", hashes=True)
+    starters = scratch.stored(rows.select("k1", "n", F.lit(0).alias("at"), F.explode("few").alias("token")).join(again, "token").distinct(), "starters", hashes=True)
+    slim = scratch.stored(rows.select("doc_id", "th", "n", "k1", "k2"), "rows")
 
     def dealt(cells: DataFrame) -> DataFrame:
         """The rows of cells (token, k1, n, df), with a row for each part that a block of a large cell is in."""
@@ -277,26 +305,26 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
         part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
         return out.select("token", part.cast("long").alias("part"), "block", (F.col("block") != F.col("other")).alias("two"), "k1", "n", "at")
 
-    needed = _shared.broadcast_if_small(_shared.stored(members.select("k1").distinct(), "needed"), _shared.BROADCAST_LONGS)
-    wanted = _shared.stored(rows.join(needed, "k1").groupBy("k1").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "wanted")
+    needed = _shared.broadcast_if_small(scratch.stored(members.select("k1").distinct(), "needed"), _shared.BROADCAST_LONGS)
+    wanted = scratch.stored(rows.join(needed, "k1").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "wanted")
+    scratch.drop(rows)
 
     def whole(batches):
         for b in batches:
-            k1, raw = [], []
-            with np.errstate(over="ignore"):
-                for s in sets_of(b.column(1), size):
-                    k1.append(int(mix(s).sum().view(np.int64)))
-                    raw.append(s.tobytes())
-            out = pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(raw, pa.binary())], names=["k1", "tokens"])
-            yield out.filter(pc.equal(out.column(0), b.column(0)))
+            k2, raw = [], []
+            for s in sets_of(b.column(2), size):
+                k2.append(class_hashes(s)[1])
+                raw.append(s.tobytes())
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["k1", "tokens"])
+            yield out.filter(pc.equal(pa.array(k2, pa.int64()), b.column(1)))
 
     def sets_in(pairs: DataFrame) -> DataFrame:
         """The whole sets of the classes in pairs, from their texts; a class whose row is repeated may come twice."""
         here = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
-        ids = wanted.select("k1", "doc_id").join(here, "k1", "left_semi").select(F.col("k1").alias("want"), F.col("doc_id").alias("d"))
-        ids = _shared.broadcast_if_small(_shared.stored(ids, "ids"))
+        ids = wanted.select("k1", "k2", "doc_id").join(here, "k1", "left_semi").select(F.col("k1").alias("want"), "k2", F.col("doc_id").alias("d"))
+        ids = _shared.broadcast_if_small(scratch.stored(ids, "ids"))
         docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d")))
-        return _shared.stored(docs.select("want", "text").mapInArrow(whole, "k1 long, tokens binary"), "tokens")
+        return scratch.stored(docs.select("want", "k2", "text").mapInArrow(whole, "k1 long, tokens binary"), "tokens")
 
     root, edges = None, None
     for all_pairs in (True,) if links else (False, True):
@@ -310,26 +338,30 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
             known = members.select("token", "k1").join(_shared.broadcast_if_small(root), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
             sizes = known.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token", "df")
             cells = members
-        sizes = _shared.broadcast_if_small(_shared.stored(sizes, "open"), _shared.BROADCAST_LONGS // 2)
-        cells = _shared.stored(dealt(cells.join(sizes, "token")), "cells", hashes=True)
+        sizes = _shared.broadcast_if_small(scratch.stored(sizes, "open"), _shared.BROADCAST_LONGS // 2)
+        cells = scratch.stored(dealt(cells.join(sizes, "token")), "cells", hashes=True)
         signed = cells.join(_shared.broadcast_if_small(signed, 100_000), "k1")
-        pairs = _shared.stored(candidates(signed, num, den, all_pairs), "pairs")
-        found = _shared.stored(verified(pairs, sets_in(pairs), num, den).distinct(), "links")
+        pairs = scratch.stored(candidates(signed, num, den, all_pairs), "pairs")
+        scratch.drop(cells)
+        tokens = sets_in(pairs)
+        found = scratch.stored(verified(pairs, tokens, num, den).distinct(), "links")
+        scratch.drop(tokens, pairs)
         edges = found if edges is None else edges.union(found)
-        root = _shared.stored(_shared.components(edges).withColumnRenamed("node", "k1"), "roots")
+        root = scratch.stored(_shared.components(edges).withColumnRenamed("node", "k1"), "roots")
     named = classes.select("k1", "k2", "doc_id").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = _shared.stored(named.join(names, "root").select("k1", "k2", "component_id", "root"), "names")
-    out = rows.select("doc_id", "th", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
+    named = scratch.stored(named.join(names, "root").select("k1", "k2", "component_id", "root"), "names")
+    out = slim.join(named, ["k1", "k2"], "left")
     more = []
     if links:
-        copies = _shared.stored(rows.where("n > 0").groupBy("k1").agg(F.count("*").alias("copies")), "copies")
+        copies = scratch.stored(slim.where("n > 0").groupBy("k1").agg(F.count("*").alias("copies")), "copies")
         both = edges.select("a", "b").union(edges.select("b", "a"))
         others = both.join(copies, F.col("b") == F.col("k1")).groupBy("a").agg(F.sum("copies").alias("others"))
         counts = copies.join(others, F.col("k1") == F.col("a"), "left").select("k1", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-        out = out.join(_shared.stored(counts, "counts"), "k1", "left")
+        out = out.join(scratch.stored(counts, "counts"), "k1", "left")
         more = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", *more)
+    out = out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", *more)
+    return scratch.stored(out, "similar")
 
 
 ORACLE = r"""
