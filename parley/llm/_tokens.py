@@ -2,7 +2,7 @@
 
 A text is cut where its tokenizer can be shown to cut it: a chunk's ids do not depend on its neighbours.
 Each different chunk is encoded once by the tokenizers library, and ids are then gathered for all rows at
-once. Chunks are told apart by a 64-bit hash mixed with their length.
+once. A chunk is known by its bytes; a hash only says where in the table they are.
 
 kind "words": the tokenizer drops white space, so any ASCII white space parts chunks, and folds case.
 kind "bytes": the tokenizer keeps white space; a chunk begins at a single ASCII white space character between
@@ -20,9 +20,8 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from ._shingles import _FOLD, SPACE, _grown, mix, texts_of
+from ._shingles import LOWER, MASKS, SPACE, eight_bytes, mix, texts_of
 
-_ASIS = np.arange(256, dtype=np.uint64)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK = np.zeros(256, bool)
@@ -78,6 +77,10 @@ def _byte_chunks(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return a, np.append(a[1:], len(data))
 
 
+#: Chunks of at most so many bytes are known by their bytes in two numbers; longer ones are kept as they are.
+_SHORT = 16
+
+
 class ChunkTokenizer:
     def __init__(self, path: str, kind: str, memo: int = 1 << 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,57 +92,89 @@ class ChunkTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.mask = np.uint64((1 << (2 * self.memo - 1).bit_length()) - 1)
-        self.key = np.zeros(int(self.mask) + 1, np.uint64)  # open addressing; 0 is free
-        self.slot = np.zeros(int(self.mask) + 1, np.int32)
+        self.table = np.full(1 << (2 * self.memo - 1).bit_length(), -1, np.int32)  # open addressing; the slot, -1 is free
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _room(self, n: int) -> None:
-        """Makes the table so large that n chunks fill no more than half of it: one long text can bring more than memo."""
-        size = 1 << (2 * n - 1).bit_length()
-        if size > len(self.key):
-            used = self.key != 0
-            keys, slots = self.key[used], self.slot[used]
-            self.mask, self.key, self.slot = np.uint64(size - 1), np.zeros(size, np.uint64), np.zeros(size, np.int32)
-            self._keep(keys, slots)
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & self.mask
-        there = self.key[at]
-        slot = np.where(there == keys, self.slot[at], np.int32(-1))
-        left = np.flatnonzero((there != keys) & (there != 0))
+        self.slots, self.long = 0, {}
+        # of each slot: its chunk's bytes in two numbers and their count, the hash of these, where its ids begin and how many
+        self.bytes = np.zeros((1 << 12, 3), np.uint64)
+        self.hash, self.first, self.size = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _find(self, key: np.ndarray, what: np.ndarray) -> np.ndarray:
+        """The slots of chunks with the given bytes, -1 for new ones; what: rows like those of `bytes`."""
+        mask = np.uint64(len(self.table) - 1)
+        at = (key & mask).astype(np.int64)
+        slot = self.table[at]
+        left = np.flatnonzero(slot >= 0)
+        left = left[(self.bytes[slot[left]] != what[left]).any(1)]
         while len(left):
-            at[left] = (at[left] + np.uint64(1)) & self.mask
-            there = self.key[at[left]]
-            hit = there == keys[left]
-            slot[left[hit]] = self.slot[at[left[hit]]]
-            left = left[~hit & (there != 0)]
+            at[left] = (at[left] + 1) & int(mask)
+            slot[left] = found = self.table[at[left]]
+            left, found = left[found >= 0], found[found >= 0]
+            left = left[(self.bytes[found] != what[left]).any(1)]
         return slot
 
-    def _keep(self, keys: np.ndarray, slots: np.ndarray) -> None:
-        at, left = keys & self.mask, np.arange(len(keys))
+    def _enter(self, slots: np.ndarray) -> None:
+        """Puts different chunks, that are not in the table, there."""
+        mask = len(self.table) - 1
+        at, left = (self.hash[slots] & np.uint64(mask)).astype(np.int64), np.arange(len(slots))
         while len(left):
-            free = left[self.key[at[left]] == 0]
-            self.key[at[free]] = keys[free]
-            won = free[self.key[at[free]] == keys[free]]
-            self.slot[at[won]] = slots[won]
-            left = np.setdiff1d(left, won, assume_unique=True)
-            at[left] = (at[left] + np.uint64(1)) & self.mask
-
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+            free = left[self.table[at[left]] < 0]
+            self.table[at[free]] = slots[free]
+            left = np.setdiff1d(left, free[self.table[at[free]] == slots[free]], assume_unique=True)
+            at[left] = (at[left] + 1) & mask
+
+    def _learn(self, chunks: list[str]) -> np.ndarray:
+        """New slots for chunks, with their ids."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
-        self.flat[self.used : self.used + total] = np.array(list(itertools.chain.from_iterable(ids)), np.uint32)
-        slot = np.arange(len(self.first), len(self.first) + len(ids), dtype=np.int32)
-        self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        total, slot = int(size.sum()), np.arange(self.slots, self.slots + len(ids), dtype=np.int32)
+        grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros((max(len(x), n - len(x)), *x.shape[1:]), x.dtype)])
+        self.flat = grown(self.flat, self.used + total)
+        self.bytes, self.hash, self.first, self.size = (grown(x, self.slots + len(ids)) for x in (self.bytes, self.hash, self.first, self.size))
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        self.first[slot] = self.used + np.cumsum(size) - size
+        self.size[slot] = size
         self.used += total
-        self._room(len(self.first))
-        self._keep(keys, slot)
+        self.slots += len(ids)
+        return slot
+
+    def _slots(self, data: np.ndarray, raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The slot of each chunk data[a:b]; raw: the bytes before folding."""
+        text, n = None, b - a
+        load = eight_bytes(data)
+        what = np.empty((len(a), 3), np.uint64)
+        what[:, 0] = load(a) & MASKS[np.minimum(n, 8)]
+        what[:, 1] = load(np.minimum(a + 8, len(data))) & MASKS[np.clip(n - 8, 0, 8)]
+        what[:, 2] = n
+        with np.errstate(over="ignore"):
+            key = mix(what[:, 0] ^ mix(what[:, 1] + what[:, 2] * np.uint64(0xD6E8FEB86659FD93)))
+        slot = self._find(key, what)
+        far = np.flatnonzero(n > _SHORT)
+        slot[far] = -2
+        while len(new := np.flatnonzero(slot == -1)):
+            text = raw.tobytes() if text is None else text
+            # chunks of one hash but other bytes take another turn
+            _, one = np.unique(key[new], return_index=True)
+            one = new[one]
+            got = self._learn([text[x:y].decode("utf-8", "replace") for x, y in zip(a[one].tolist(), b[one].tolist(), strict=True)])
+            self.bytes[got], self.hash[got] = what[one], key[one]
+            if 2 * self.slots > len(self.table):  # one long text can bring more than memo
+                self.table = np.full(1 << (2 * self.slots).bit_length(), -1, np.int32)
+                self._enter(np.flatnonzero(self.bytes[: self.slots, 2]).astype(np.int32))
+            else:
+                self._enter(got)
+            slot[new] = self._find(key[new], what[new])
+        if len(far):
+            text, same = raw.tobytes() if text is None else text, data.tobytes() if data is not raw else None
+            same = text if same is None else same
+            names = [same[x:y] for x, y in zip(a[far].tolist(), b[far].tolist(), strict=True)]
+            fresh = {name: k for name, k in zip(names, far.tolist(), strict=True) if name not in self.long}
+            if fresh:
+                got = self._learn([text[a[k] : b[k]].decode("utf-8", "replace") for k in fresh.values()])
+                self.bytes[got] = 0
+                self.long.update(zip(fresh, got.tolist(), strict=True))
+            slot[far] = [self.long[name] for name in names]
+        return slot
 
     def encode(self, column: pa.Array):
         """The ids of each row, in order, as uint32 arrays; null is empty."""
@@ -153,22 +188,10 @@ class ChunkTokenizer:
     def _part(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         if not len(data):
             return [np.zeros(0, np.uint32)] * (len(off) - 1)
-        if len(self.first) > self.memo:
+        if self.slots > self.memo:
             self._clear()
         a, b = _word_chunks(data, off[:-1]) if self.kind == "words" else _byte_chunks(data, off[:-1])
-        power, back = _grown(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(((_FOLD if self.kind == "words" else _ASIS)[data] + np.uint64(1)) * power[: len(data)], out=total[1:])
-            keys = mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64))
-        keys[keys == 0] = 1
-        slot = self._find(keys)
-        new = np.flatnonzero(slot < 0)
-        if len(new):
-            some, at = np.unique(keys[new], return_index=True)
-            raw, at = data.tobytes(), new[at]
-            self._learn(some, [raw[x:y].decode("utf-8", "replace") for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)])
-            slot[new] = self._find(keys[new])
+        slot = self._slots(LOWER[data] if self.kind == "words" else data, data, a, b)
         size = self.size[slot]
         ends = np.cumsum(size)
         flat = self.flat[np.repeat(self.first[slot] - (ends - size), size) + np.arange(int(size.sum()))]
