@@ -1,25 +1,27 @@
 """Exact dedup by an extendible-hash index on shared files (DataFrame functions only).
 
-1. Equal texts meet in a hash aggregate keyed by (64-bit hash, text): it compares the bytes, and its partial
-   step leaves one row a task of a group of copies, however large. A text leaves as one index entry.
-2. Entries go to the shared folder. A histogram of the hashes' leading bits (bounded: 2**max_bits counts) is
-   the directory: it starts with one bucket and doubles as long as a bucket holds more than `capacity` keys,
-   splitting the overfull buckets by one more bit. Buckets overfull at the last bit keep an overflow chain.
-3. An owner task takes the buckets of its key range, sorts them and numbers the chain of entries that share a
-   hash but not their bytes; the result is the index.
-4. Each document looks its entry up by (hash, SHA-256); the join is one that adaptive execution can split
-   where one key holds very many documents.
-
-Defined cases: null text counts as empty, and empty texts are equal to each other; of rows that repeat one
-doc_id each is a row of its own, all are counted, and those that carry the largest id are all kept; a null
-doc_id is less than any other (a group with only null ids has a null keep_id and all its rows are kept);
-an empty table gives no rows; further columns are ignored.
+1. The keys (64-bit hashes of texts) are counted by their leading bits (bounded: 2**max_bits counts). That gives the
+   directory: it starts with one bucket and doubles as long as a bucket holds more than `capacity` keys, splitting the
+   overfull buckets by one more bit. Buckets overfull at the last bit keep longer chains.
+2. A task leaves one row of the copies that it reads, so a group of copies, however large, is sent as a row a task.
+3. An owner has the buckets of a range of keys. It sorts a bucket's rows by key and text: those whose bytes are equal
+   are one entry, those of one key with other bytes follow as the next entry of the key's chain. The entry's largest id
+   and number of rows are taken there; the result is the index.
+4. Each document finds its bucket by the directory and its entry in the chain of its key by the SHA-256 of its text;
+   the join is one that adaptive execution can split where one key holds very many documents.
+
+Defined cases: null text counts as empty, and empty texts are equal to each other; texts of any length are compared whole;
+of rows that repeat one doc_id each is a row of its own, all are counted, and those that carry the largest id (a tie) are
+all kept; a null doc_id is less than any other (a group with only null ids has a null keep_id and all its rows are kept);
+an empty table gives no rows; further columns of any name are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,28 +40,41 @@ def directory(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int]]:
 
 
 class ExtendibleHashIndex:
-    """The index of one table's texts: `entries(bucket, h, chain, text_sha256, keep_id, group_size)`, `buckets`."""
+    """The index of one table's texts: `entries(owner, bucket, h, chain, text_sha256, keep_id, group_size)`, `buckets`."""
 
-    def __init__(self, documents: DataFrame, capacity: int = 1 << 16, max_bits: int = 14):
+    def __init__(self, documents: DataFrame, capacity: int = 1 << 16, max_bits: int = 14, key: Callable[[Column], Column] = F.xxhash64):
+        """key: the hash of a text, of which the leading max_bits choose the bucket."""
         spark = documents.sparkSession
-        docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        groups = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).groupBy("h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        entries = _shared.stored(groups.select("h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"), "entries")
-        prefix = F.shiftrightunsigned("h", 64 - max_bits)
+        self.key, self.bits = key, max_bits
+        rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        keys = rows.select(key(F.col("text")).alias("h")).groupBy("h").agg(F.lit(1).alias("one"))
         counts = np.zeros(1 << max_bits, np.int64)
-        for r in entries.groupBy(prefix.alias("p")).count().toLocalIterator():
+        for r in keys.groupBy(self._prefix().alias("p")).count().toLocalIterator():
             counts[r.p] = r["count"]
         self.buckets = directory(counts, capacity)
-        of = np.repeat(np.arange(len(self.buckets)), [n for _, n, _ in self.buckets])
-        table = spark.createDataFrame([(p, int(b)) for p, b in enumerate(of)], "p long, bucket long")
-        owned = entries.withColumn("p", prefix).join(F.broadcast(table), "p").drop("p").repartition("bucket")
-        chain = F.row_number().over(W.partitionBy("bucket", "h").orderBy("text_sha256")).alias("chain")
-        self.entries = _shared.stored(owned.select("bucket", "h", chain, "text_sha256", "keep_id", "group_size"), "index")
+        # an owner's buckets follow each other, and hold about `capacity` keys in all
+        sizes = np.add.reduceat(counts, [a for a, _, _ in self.buckets])
+        owners = (np.cumsum(sizes) - sizes) // capacity
+        many = [n for _, n, _ in self.buckets]
+        of = zip(range(len(counts)), np.repeat(np.arange(len(many)), many).tolist(), np.repeat(owners, many).tolist(), strict=True)
+        self.directory = F.broadcast(spark.createDataFrame(list(of), "p long, bucket long, owner long"))
+        near = rows.select("doc_id", "text", key(F.col("text")).alias("h"), F.spark_partition_id().alias("task"))
+        near = near.groupBy("task", "h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+        owned = self._placed(near).repartition(max(int(owners.max()) + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "owner")
+        entries = owned.groupBy("owner", "bucket", "h", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+        chain = F.row_number().over(W.partitionBy("owner", "bucket", "h").orderBy("text")).alias("chain")
+        self.entries = _shared.stored(entries.select("owner", "bucket", "h", chain, F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"), "index")
+
+    def _prefix(self) -> Column:
+        return F.shiftrightunsigned("h", 64 - self.bits) if self.bits else F.lit(0).cast("long")
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("p", self._prefix()).join(self.directory, "p").drop("p")
 
     def look_up(self, documents: DataFrame) -> DataFrame:
         text = F.coalesce("text", F.lit(""))
-        docs = documents.select("doc_id", F.xxhash64(text).alias("h"), F.sha2(text, 256).alias("text_sha256"))
-        found = docs.join(self.entries.select("h", "text_sha256", "keep_id", "group_size"), ["h", "text_sha256"])
+        docs = self._placed(documents.select("doc_id", self.key(text).alias("h"), F.sha2(text, 256).alias("text_sha256")))
+        found = docs.join(self.entries.drop("owner", "chain"), ["bucket", "h", "text_sha256"])
         return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
