@@ -3,8 +3,9 @@
 Confirmed toxic documents are the positives; other documents, whatever they are, are unlabelled text. With class
 prior p, the risk p*E_pos[l(+)] + max(0, E_unl[l(-)] - p*E_pos[l(-)]), l being the sigmoid loss, is minimised by Adam over the presence of
 features: words and the first 4 and 5 bytes of words, chosen by how much more often positives hold them. The prior
-is the share of toxic rows among the labelled ones outside the held-out fold. Samples are bounded by `positives`
-and `unlabelled`; scoring reads whole texts.
+is the share of toxic rows among the labelled ones outside the held-out fold, which is taken for the share among all
+documents; the unlabelled sample is therefore drawn from all of them, confirmed positives too. Samples are bounded by
+`positives` and `unlabelled`; scoring reads whole texts.
 
 Defined cases: null and empty texts hold no feature; repeated rows are scored each; a null doc_id is not held out
 and never learned from; without a positive row every score is 0; further columns are ignored.
@@ -54,6 +55,28 @@ def _packed(column: pa.Array) -> list[bytes]:
     return [np.unique(np.concatenate([k[begin[i] : begin[i + 1]] for k in kinds])).tobytes() for kinds, begin in hashed_features(column) for i in range(len(begin) - 1)]
 
 
+def sigmoid(f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+
+
+def risk_parts(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
+    """p * E_pos[l(+)] and E_unl[l(-)] - p * E_pos[l(-)], l(+) being sigmoid(-f) and l(-) sigmoid(f)."""
+    sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
+    return float(prior * (1 - sp).mean()), float(su.mean() - prior * sp.mean())
+
+
+def gradient(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
+    """Of the risk by (w, b); where its negative part is below zero, of minus that part alone."""
+    sp, su = sigmoid(xp @ w + b), sigmoid(xu @ w + b)
+    # sigmoid loss: bounded, so that certain positives do not outweigh the unlabelled part
+    plus = -prior * sp * (1 - sp) / len(xp)
+    minus_p, minus_u = plus, su * (1 - su) / len(xu)
+    if su.mean() - prior * sp.mean() < 0:  # the negative part must not go below zero: step back on it
+        plus, minus_p, minus_u = 0 * plus, -minus_p, -minus_u
+    gp = plus + minus_p
+    return np.append(xp.T @ gp + xu.T @ minus_u, gp.sum() + minus_u.sum())
+
+
 def train(docs: list[np.ndarray], positive: np.ndarray, prior: float, features: int = 256, steps: int = 600) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature hashes in order, their weights, bias)."""
     n_pos, n_unl = int(positive.sum()), int((~positive).sum())
@@ -77,17 +100,9 @@ def train(docs: list[np.ndarray], positive: np.ndarray, prior: float, features:
     xp, xu = x[positive], x[~positive]
     w, b = np.zeros(len(keys), np.float32), np.float32(-2)
     first, second = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
-    sig = lambda f: 1 / (1 + np.exp(-np.clip(f, -30, 30)))
     for step in range(1, steps + 1):
-        sp, su = sig(xp @ w + b), sig(xu @ w + b)
-        # sigmoid loss: bounded, so that certain positives do not outweigh the unlabelled part
-        slope_p, slope_u = sp * (1 - sp), su * (1 - su)
-        gp = -prior * slope_p / n_pos  # of l(+) on positives
-        minus_p, minus_u = -prior * slope_p / n_pos, slope_u / n_unl
-        if su.mean() - prior * sp.mean() < 0:  # the negative part must not go below zero: step back on it
-            gp, minus_p, minus_u = 0 * gp, -minus_p, -minus_u
-        gp = gp + minus_p
-        g = np.append(xp.T @ gp + xu.T @ minus_u + 1e-5 * w, gp.sum() + minus_u.sum())
+        g = gradient(w, b, xp, xu, prior)
+        g[:-1] += 1e-5 * w
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w, b = (w - move[:-1]).astype(np.float32), np.float32(b - move[-1])
@@ -100,7 +115,8 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic
     counts = {r.kind: r["count"] for r in known.where(~_learning.held_out()).groupBy("kind").count().collect()}
     if counts.get("1"):
         toxic = _learning.sampled_ids(known.where("kind = '1'"), positives).withColumn("kind", F.lit("p"))
-        other = _learning.sampled_ids(documents, unlabelled + positives).join(F.broadcast(toxic.select("doc_id")), "doc_id", "left_anti").limit(unlabelled).withColumn("kind", F.lit("u"))
+        # unlabelled text is what comes, confirmed positives among it, as the prior is that of all documents
+        other = _learning.sampled_ids(documents, unlabelled).withColumn("kind", F.lit("u"))
         rows = _learning.features_of(documents, toxic.union(other), _packed)
         positive = np.array([k == "p" for _, k, _ in rows], bool)
     if not counts.get("1") or not positive.any() or positive.all():
