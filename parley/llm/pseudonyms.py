@@ -3,30 +3,34 @@ r"""Format-preserving Feistel pseudonyms for personal data (DataFrame functions
 Values are found by pattern, validated, and replaced by a keyed permutation of the values of the same format, so
 equal values get equal pseudonyms in all documents and different values different ones:
 
-    card      13 to 19 digits (also in groups) with a right Luhn check digit; the first digit stays and the check
-              digit is made right again
-    phone     +C (NNN) NNN-NNNN, NNN-NNN-NNNN and the like with 10 digits; a country code and the first digits of
-              area and exchange (2-9) stay
-    ssn       NNN-NN-NNNN without the parts that are never given out; the first digit of each part stays
+    card      13 to 19 digits (also in groups) with a right Luhn check digit: all digits but the last, which is made
+              right again
+    phone     +C (NNN) NNN-NNNN, NNN-NNN-NNNN and the like with 10 digits; the first digits of area and exchange are
+              moved among 2 to 9, that of a country code among 1 to 9
+    ssn       NNN-NN-NNNN without the parts that are never given out (000, 666, 9xx; 00; 0000), moved among all others
     ip        four numbers from 0 to 255, each of which stays in that range
-    date      YYYY-MM-DD (also with / or .) of a real day from 1900 to 2099; days after the 28th keep month and day
+    date      YYYY-MM-DD (also with / or .) of a real day from 1900 to 2099, moved among all these days
     email     letters and digits of the name (the domain and all signs stay)
     secret    letters and digits of a value after password=, token=, api_key= and the like (also quoted), and AKIA keys
 
-A value is a list of places, each with a radix (10 for digits, 26 for letters, 256 for parts of an address, 200, 12 and
-28 for dates). Rounds alternate between even and odd places: the places of one half are moved, modulo their radix, by
-numbers that the SHA-256 of the key, the round and the other half gives. This is a Feistel network on mixed radices,
-thus a bijection; `restored` runs the rounds backwards.
+A value is a list of places, each with a radix (10 for digits, 26 for letters, 256 for parts of an address, 898, 99 and
+9999 for parts of an ssn, 17 and 4297 for the number of a day, whose product is that of the days). Their product is the
+number of valid values of the format, so no step leads out of these. Rounds alternate between even and odd places: the
+places of one half are moved, modulo their radix, by numbers that the SHA-256 of the key, the round and the other half
+gives. This is a Feistel network on mixed radices, thus a bijection; `restored` runs the rounds backwards.
 
 Defined cases: null text stays null and has no values; a value that is not valid stays as it is; repeated rows are
-treated each; texts of any length are one row's work; a null doc_id stays null; an empty table gives no rows.
+treated each, and equal values (ties) get equal pseudonyms; texts of any length are one row's work; a null doc_id stays
+null; an empty table gives no rows; further columns of any name are kept, but for one called pii_kinds, which
+`pseudonymised` gives anew.
 """
 
 from __future__ import annotations
 
 import functools
+import secrets
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 6
@@ -82,10 +86,17 @@ def _char(c: Column, v: Column) -> Column:
     return F.when(c.rlike("[0-9]"), F.char(v + 48)).when(c.rlike("[A-Z]"), F.char(v + 65)).when(c.rlike("[a-z]"), F.char(v + 97)).otherwise(c)
 
 
-def _moved(value: Column, fixed, key: str, kind: str, back: bool) -> Column:
-    """value with its letters and digits permuted but for the places for which fixed(value, i) holds, i from 0."""
-    places = F.transform(_chars(value), lambda c, i: F.struct(_at(c).cast("int").alias("v"), F.when(fixed(value, i), 1).otherwise(_radix(c)).cast("int").alias("r")))
-    return F.array_join(F.zip_with(_chars(value), feistel(places, key, kind, back), _char), "")
+def _moved(value: Column, fixed, key: str, kind: str, back: bool, low=None) -> Column:
+    """value with its letters and digits permuted but for the places for which fixed(value, i) holds, i from 0.
+    low(value, i): the least digit of a place; one that is less stays."""
+    least = lambda i: low(value, i) if low else F.lit(0)
+    radix = lambda c, i: F.when(c.rlike("[0-9]"), F.when(_at(c) < least(i), 1).otherwise(10 - least(i))).otherwise(_radix(c))
+    base = lambda c, i: F.when(c.rlike("[0-9]") & (_at(c) >= least(i)), least(i)).otherwise(0)
+    places = F.transform(_chars(value), lambda c, i: F.struct((_at(c) - base(c, i)).cast("int").alias("v"), F.when(fixed(value, i), 1).otherwise(radix(c, i)).cast("int").alias("r")))
+    if not low:
+        return F.array_join(F.zip_with(_chars(value), feistel(places, key, kind, back), _char), "")
+    bases = F.transform(_chars(value), base)
+    return F.array_join(F.zip_with(_chars(value), F.zip_with(feistel(places, key, kind, back), bases, lambda a, b: a + b), _char), "")
 
 
 def _digits_before(value: Column, i: Column) -> Column:
@@ -103,17 +114,27 @@ def _digits(value: Column) -> Column:
 
 
 def _card(value: Column, key: str, back: bool) -> Column:
-    body = _moved(F.substring(value, F.lit(1), F.length(value) - 1), lambda v, i: i == 0, key, "card", back)
+    body = _moved(F.substring(value, F.lit(1), F.length(value) - 1), lambda v, i: F.lit(False), key, "card", back)
     return F.concat(body, ((10 - _luhn_sum(F.concat(_digits(body), F.lit("0"))) % 10) % 10).cast("string"))
 
 
 def _phone(value: Column, key: str, back: bool) -> Column:
     many = F.length(_digits(value))
-    return _moved(value, lambda v, i: (_digits_before(v, i) <= many - 10) | (_digits_before(v, i) == many - 7), key, "phone", back)
+
+    def low(v: Column, i: Column) -> Column:
+        before = _digits_before(v, i)
+        return F.when((before == many - 10) | (before == many - 7), 2).when(before == 0, 1).otherwise(0)
+
+    return _moved(value, lambda v, i: F.lit(False), key, "phone", back, low)
 
 
 def _ssn(value: Column, key: str, back: bool) -> Column:
-    return _moved(value, lambda v, i: i.isin(0, 4, 7), key, "ssn", back)
+    area, group, serial = (F.get(F.split(value, "-"), i).cast("int") for i in range(3))
+    place = lambda v, r: F.struct(v.cast("int").alias("v"), F.lit(r).alias("r"))
+    out = feistel(F.array(place(area - F.when(area > 666, 2).otherwise(1), 898), place(group - 1, 99), place(serial - 1, 9999)), key, "ssn", back)
+    padded = lambda v, n: F.lpad(v.cast("string"), n, "0")
+    area = F.get(out, 0) + F.when(F.get(out, 0) >= 665, 2).otherwise(1)
+    return F.concat_ws("-", padded(area, 3), padded(F.get(out, 1) + 1, 2), padded(F.get(out, 2) + 1, 4))
 
 
 def _email(value: Column, key: str, back: bool) -> Column:
@@ -131,17 +152,11 @@ def _ip(value: Column, key: str, back: bool) -> Column:
 
 
 def _date(value: Column, key: str, back: bool) -> Column:
-    year, month, day = (F.substring(value, a, n).cast("int") for a, n in ((1, 4), (6, 2), (9, 2)))
-    early = day <= 28
-    leap = (month == 2) & (day == 29)
-    place = lambda v, r: F.struct(v.cast("int").alias("v"), r.cast("int").alias("r"))
-    # the 29th of February moves among leap years (1904 to 2096), other late days among all years
-    places = F.array(place(F.when(leap, (year - 1904) / 4).otherwise(year - 1900), F.when(leap, 49).otherwise(200)), place(month - 1, F.when(early, 12).otherwise(1)), place(F.when(early, day - 1).otherwise(day - 1), F.when(early, 28).otherwise(1)))
-    out = feistel(places, key, "date", back)
-    year = F.when(leap, F.get(out, 0) * 4 + 1904).otherwise(F.get(out, 0) + 1900)
-    sign = F.substring(value, 5, 1)
-    two = lambda v: F.lpad((v + 1).cast("string"), 2, "0")
-    return F.concat(year.cast("string"), sign, two(F.get(out, 1)), sign, two(F.get(out, 2)))
+    first, sign = F.to_date(F.lit("1900-01-01")), F.substring(value, 5, 1)
+    day = F.date_diff(F.try_to_date(F.replace(value, sign, F.lit("-")), "yyyy-MM-dd"), first)
+    place = lambda v, r: F.struct(v.cast("int").alias("v"), F.lit(r).alias("r"))
+    out = feistel(F.array(place(day % 17, 17), place(F.floor(day / 17), 4297)), key, "date", back)
+    return F.replace(F.date_format(F.date_add(first, F.get(out, 0) + 17 * F.get(out, 1)), "yyyy-MM-dd"), F.lit("-"), sign)
 
 
 MOVES = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -165,31 +180,40 @@ def kind_of(value: Column) -> Column:
 
 
 def _replaced(documents: DataFrame, key: str, back: bool) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
+    """row (a struct of all columns), text and kinds; only its own columns stand beside the row, so none can clash."""
     moved = lambda x: functools.reduce(lambda c, k: c.when(x["kind"] == k, MOVES[k](x["value"], key, back)), MOVES, F.when(x["kind"].isNull(), x["value"]))
-    values = F.transform("_found", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
-    rest = F.split("text", PATTERN, -1)
-    with_found = documents.withColumn("_found", found)
-    with_kinds = with_found.withColumn("_values", F.when(F.size("_found") > 0, values))
-    text = F.array_join(F.zip_with(rest, F.transform("_values", moved), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = with_kinds.withColumn("_text", F.when(F.exists("_values", lambda x: x["kind"].isNotNull()), text).otherwise(F.col("text")))
-    return out.withColumn("_kinds", F.coalesce(F.filter(F.transform("_values", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")))
+    rows = documents.select(F.struct("*").alias("row")).withColumn("found", F.regexp_extract_all("row.text", F.lit(PATTERN), F.lit(0)))
+    values = F.transform("found", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
+    rows = rows.withColumn("values", F.when(F.size("found") > 0, values))
+    rest = F.split("row.text", PATTERN, -1)
+    text = F.array_join(F.zip_with(rest, F.transform("values", moved), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    text = F.when(F.exists("values", lambda x: x["kind"].isNotNull()), text).otherwise(F.col("row.text"))
+    kinds = F.coalesce(F.filter(F.transform("values", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    return rows.select("row", text.alias("text"), kinds.alias("kinds"))
 
 
 def pseudonymised(documents: DataFrame, key: str) -> DataFrame:
-    """documents with text pseudonymised and the kinds of the values that were replaced, in order."""
-    out = _replaced(documents, key, False)
-    return out.withColumn("text", F.col("_text")).withColumn("pii_kinds", F.col("_kinds")).drop("_found", "_values", "_text", "_kinds")
+    """documents with text pseudonymised and pii_kinds, the kinds of the values that were replaced, in order."""
+    out = _replaced(documents.drop("pii_kinds"), key, False)
+    return out.select(F.col("row").withField("text", F.col("text")).alias("row"), "kinds").select("row.*", F.col("kinds").alias("pii_kinds"))
 
 
 def restored(documents: DataFrame, key: str) -> DataFrame:
     """documents with the values that `pseudonymised` put there replaced by the first ones."""
-    out = _replaced(documents, key, True)
-    return out.withColumn("text", F.col("_text")).drop("_found", "_values", "_text", "_kinds")
+    return _replaced(documents, key, True).select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")
+
+
+KEY = "spark.parley.pseudonyms.key"
+_drawn: dict[str, str] = {}
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key that the session's setting KEY names; without it one is drawn for the application, so its pseudonyms are
+    linked within it but can't be restored later."""
+    return spark.conf.get(KEY, None) or _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
 
 
-def op9_feistel_pseudonyms(spark, sf_dir, key: str = "change this key"):
-    out = pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key)
+def op9_feistel_pseudonyms(spark, sf_dir):
+    out = pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), key_of(spark))
     count = lambda kind: F.size(F.filter("pii_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
-    counts = [count(kind) for kind in KINDS]
-    return out.select("doc_id", F.size("pii_kinds").cast("long").alias("n_found"), *counts, "text")
+    return out.select("doc_id", F.size("pii_kinds").cast("long").alias("n_found"), *[count(kind) for kind in KINDS], "text")
