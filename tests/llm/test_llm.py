@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from parley.llm import _shared, _tokens, decontamination, exact_dedup, language, line_dedup, packing, pseudonyms, quality, queries, similarity_join, token_files, toxicity
+from parley.llm import _learning, _shared, _shingles, _tokens, decontamination, exact_dedup, language, line_dedup, packing, pseudonyms, quality, queries, similarity_join, token_files, toxicity
 
 RNG = np.random.default_rng(5)
 VOCABULARY = [f"{a}{b}" for a in ("ka", "lo", "mi", "ré", "tu") for b in ("na", "po", "si", "va", "ß", "")]
@@ -61,6 +61,24 @@ def test_exact_dedup(docs):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
 
+def test_texts_that_share_a_key_are_told_apart_by_their_bytes(spark):
+    """One bucket and two keys: all groups stand in two chains."""
+    rows = [(i, f"text {i % 7}") for i in range(60)] + [(None, "text 1"), (60, None), (61, ""), (61, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    key = lambda t: F.pmod(F.length(t), F.lit(2)).cast("long")
+    index = exact_dedup.ExtendibleHashIndex(df, capacity=1, max_bits=0, key=key)
+    assert len(index.buckets) == 1 and index.entries.agg(F.max("chain")).first()[0] >= 7
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in index.look_up(df).collect())
+    groups = collections.defaultdict(list)
+    for d, t in rows:
+        groups[t or ""].append(d)
+    top = {t: max((d for d in ds if d is not None), default=None) for t, ds in groups.items()}
+    assert got == sorted((str(d), str(top[t or ""]), len(groups[t or ""]), d == top[t or ""]) for d, t in rows)
+    split = exact_dedup.ExtendibleHashIndex(df, capacity=2, max_bits=6)
+    assert len(split.buckets) > 2 and sorted(map(str, split.look_up(df).collect())) == sorted(map(str, exact_dedup.exact_dedup(df).collect()))
+    assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
+
+
 def test_directory_doubles():
     counts = np.array([9, 0, 0, 0, 1, 1, 0, 1])
     buckets = exact_dedup.directory(counts, 3)
@@ -101,8 +119,11 @@ def test_signature_tree_loses_no_pair():
     base = rng.integers(0, 2**63, (4, 80)).astype(np.uint64)
     sets = [np.unique(np.where(rng.random(80) < 0.05, rng.integers(0, 2**63, 80).astype(np.uint64), base[i % 4])) for i in range(120)]
     sets.sort(key=len)
-    sig = np.stack([np.frombuffer(similarity_join.signature(s)[0], np.uint64) for s in sets])
-    found = {(int(i), int(j)) for a, b, _ in similarity_join.SignatureTree(np.array([len(s) for s in sets]), sig).pairs(85, 100) for i, j in zip(a, b)}
+    sizes = np.array([len(s) for s in sets])
+    sig = np.stack([np.frombuffer(similarity_join.signature(s[: similarity_join.prefix_size(len(s), 85, 100)]), np.uint64) for s in sets])
+    tree = similarity_join.SignatureTree(sizes, sig, 85, 100)
+    found = {(int(i), int(j)) for a, b, _ in tree.pairs() for i, j in zip(a, b)}
+    assert len(found) < len(sets) * (len(sets) - 1) // 2
     for i in range(len(sets)):
         for j in range(i + 1, len(sets)):
             same = len(np.intersect1d(sets[i], sets[j]))
@@ -171,6 +192,44 @@ def test_chunked_ids_equal_whole_ids(kind, file):
     assert [x.tolist() for x in t.encode(pa.array(texts))] == want
 
 
+def thue_morse(n, a, b):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits[:n])
+
+
+@pytest.mark.parametrize("kind,file", [("words", "word_bpe_49k.json"), ("bytes", "byte_bpe_50k.json")])
+def test_ids_are_exact_where_polynomial_hashes_collide(kind, file):
+    texts = [thue_morse(n, a, b) for n in (1024, 2048, 4096) for a, b in ("ab", "ba", "xy", "yx")] + ["ab" * 8, "ab" * 8 + "a", "ab" * 7 + "ba", "nul\0", "nul", "\0\0", "\0"]
+    tokenizer = Tokenizer.from_file(P.path(file))
+    encoder = _tokens.ChunkTokenizer(P.path(file), kind, memo=8)
+    for _ in range(2):
+        got = [x.tolist() for x in encoder.encode(pa.array(texts))]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_chunks_that_share_a_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(_tokens, "mix", lambda x: x * np.uint64(0) + np.uint64(7))
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [prose(9) for _ in range(4)] + ["a b c d e f g", "g f e d c b a"]
+    encoder = _tokens.ChunkTokenizer(P.path("byte_bpe_50k.json"), "bytes", memo=4)
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_shingle_hashes_tell_thue_morse_words_apart():
+    words = [thue_morse(1024, a, b) for a, b in ("ab", "ba")]
+    one, two = (list(_shingles.shingled(pa.array([w]), 4))[0] for w in words)
+    assert one[0] != two[0]
+    data = np.frombuffer("".join(f"w{i}{'x' * (i % 30)}" for i in range(2000)).encode(), np.uint8)
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"w\d+x*", data.tobytes())]
+    a, b = (np.array(x) for x in zip(*spans))
+    h = _shingles.span_hashes(data, a, b)
+    assert len(np.unique(h)) == len(spans) == 2000
+    shifted = np.concatenate([np.zeros(3, np.uint8), data])
+    assert (_shingles.span_hashes(shifted, a + 3, b + 3) == h).all()
+
+
 def ids_of(texts, file, end):
     t = Tokenizer.from_file(P.path(file))
     t.encode_special_tokens = True
@@ -246,6 +305,73 @@ def test_pseudonyms(spark):
     assert {r.kind for r in out.collect()} == {"x"} and pseudonyms.pseudonymised(df.limit(0), "k").count() == 0
 
 
+def feistel_of(places, key, kind):
+    """The network in plain Python: places are (value, radix)."""
+    p = list(places)
+    for r in range(pseudonyms.ROUNDS):
+        rest = ",".join("_" if i % 2 == r % 2 else str(v) for i, (v, _) in enumerate(p))
+        draw = lambda i: int(hashlib.sha256(f"{key}|{kind}|{r}|{rest}|{i // 5}".encode()).hexdigest()[i % 5 * 12 : i % 5 * 12 + 12], 16)  # noqa: B023, E731
+        p = [((v + draw(i)) % n if i % 2 == r % 2 and n > 1 else v, n) for i, (v, n) in enumerate(p)]
+    return [v for v, _ in p]
+
+
+def luhn(digits):
+    d = [int(c) for c in reversed(digits)]
+    return sum(x if i % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for i, x in enumerate(d)) % 10
+
+
+def test_pseudonyms_equal_the_network_in_python(spark):
+    import datetime
+
+    first = datetime.date(1900, 1, 1)
+    ips = [f"10.{i}.{255 - i}.{i * 7 % 256}" for i in range(30)]
+    days = [(first + datetime.timedelta(i * 2477 % 73049)) for i in range(60)] + [datetime.date(2099, 12, 31), datetime.date(2000, 2, 29), first]
+    ssns = ["001-01-0001", "665-99-9999", "667-50-1234", "899-01-9999", "123-45-6789"]
+    cards = ["4522680083026435", "4532015112830366"]
+    phones = ["216-555-1810", "+49 (999) 299-0000"]
+    df = spark.createDataFrame([(0, x) for x in [*ips, *map(str, days), *ssns, *cards, *phones]], "doc_id long, text string")
+    got = [r.text for r in pseudonyms.pseudonymised(df.coalesce(1), "key").collect()]
+    want = [".".join(map(str, feistel_of([(int(p), 256) for p in x.split(".")], "key", "ip"))) for x in ips]
+    for d in days:
+        n = (d - first).days
+        a, b = feistel_of([(n % 17, 17), (n // 17, 4297)], "key", "date")
+        want.append(str(first + datetime.timedelta(a + 17 * b)))
+    for x in ssns:
+        a, g, n = map(int, x.split("-"))
+        a, g, n = feistel_of([(a - (2 if a > 666 else 1), 898), (g - 1, 99), (n - 1, 9999)], "key", "ssn")
+        want.append(f"{a + (2 if a >= 665 else 1):03d}-{g + 1:02d}-{n + 1:04d}")
+    for x in cards:
+        body = "".join(map(str, feistel_of([(int(c), 10) for c in x[:-1]], "key", "card")))
+        want.append(body + str((10 - luhn(body + "0")) % 10))
+    for x in phones:
+        digits = [i for i, c in enumerate(x) if c.isdigit()]
+        low = {digits[-10]: 2, digits[-7]: 2} | ({digits[0]: 1} if len(digits) > 10 else {})
+        moved = feistel_of([(int(c) - low.get(i, 0), 10 - low.get(i, 0)) if c.isdigit() else (0, 1) for i, c in enumerate(x)], "key", "phone")
+        want.append("".join(str(v + low.get(i, 0)) if c.isdigit() else c for i, (c, v) in enumerate(zip(x, moved))))
+    assert got == want and all(luhn(x) == 0 for x in got[-4:-2])
+
+
+def test_every_valid_day_and_area_has_its_own_pseudonym(spark):
+    days = spark.range(73049).select("id", F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
+    areas = spark.range(1, 900).where("id <> 666").select("id", F.concat(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("-45-6789")).alias("text"))
+    for df, n in ((days, 73049), (areas, 898)):
+        out = pseudonyms.pseudonymised(df, "key")
+        assert out.select("text").distinct().count() == n and out.where("size(pii_kinds) = 1").count() == n
+
+
+def test_pseudonyms_on_odd_rows(spark):
+    long = "card 4522680083026435 " + LONG * 3
+    df = spark.createDataFrame([(1, long), (1, long), (None, None), (2, "")], "doc_id long, text string")
+    for name in ("_text", "_found", "_values", "_kinds", "row", "found", "values", "kinds", "pii_kinds"):
+        df = df.withColumn(name, F.lit(name))
+    out = pseudonyms.pseudonymised(df, "key")
+    assert sorted(out.columns) == sorted(df.columns)
+    rows = out.collect()
+    assert all(r[c] == c for r in rows for c in df.columns if c not in ("doc_id", "text", "pii_kinds"))
+    assert sorted(str(r.pii_kinds) for r in rows) == ["['card']", "['card']", "[]", "[]"] and {len(r.text) for r in rows if r.text} == {len(long)}
+    assert sorted(str(r.text) for r in pseudonyms.restored(out.drop("pii_kinds"), "key").collect()) == sorted([long, long, "None", ""])
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("192.168."), (F.col("id") / 20).cast("int").cast("string"), F.lit("."), (F.col("id") % 20).cast("string")).alias("text"))
     assert pseudonyms.pseudonymised(df, "k").select("text").distinct().count() == 400
@@ -263,6 +389,15 @@ def test_decontamination(spark, docs):
         w = word(r.text)
         for i in range(max(1, len(w) - 9)) if w else ():
             wins[tuple(w[i : i + 10])].add(str(r.item_id))
+    often = collections.Counter(x for _, t in rows_of(df) for x in word(t))
+    rarest = {k: sorted((often[x], x, i) for i, x in enumerate(k))[:2] for k in wins if all(x in often for x in k) and len(k) > 1}
+
+    def near_items(w):
+        at = collections.defaultdict(list)
+        for i, x in enumerate(w):
+            at[x].append(i)
+        return {item for k, ((_, a, _), (_, b, _)) in rarest.items() if any(0 < abs(i - j) <= 10 for i in at[a] for j in at[b]) for item in wins[k]}
+
     for d, t in rows_of(df):
         w, hit, items = word(t), set(), set()
         for k, its in wins.items():
@@ -270,14 +405,17 @@ def test_decontamination(spark, docs):
                 if tuple(w[i : i + len(k)]) == k:
                     hit |= set(range(i, i + len(k)))
                     items |= its
-        want.append((str(d), len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
+        want.append((str(d), len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit), len(near_items(w))))
     got = decontamination.contamination(df, bench).collect()
     assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted(want)
     assert decontamination.contamination(df, bench.limit(0)).where("contaminated").count() == 0
     assert decontamination.contamination(df.limit(0), bench).count() == 0
-    terms = spark.createDataFrame([("a",), ("b",)], "term string")
-    near = decontamination.PositionalIndex(spark.createDataFrame([(1, "a x b x x x x b"), (2, "b a")], "doc_id long, text string"), terms).proximity("a", "b", 2)
-    assert sorted((r.doc_id, r.pos, r.pos2) for r in near.collect()) == [(1, 0, 2), (2, 1, 0)]
+    terms = spark.createDataFrame([("a",), ("b",)], "word string").select(decontamination.term_of(F.col("word")).alias("term"))
+    texts = [(1, " a x, B x x x x b"), (2, "b-a!"), (3, None), (4, ""), (5, " - "), (6, "É é"), (None, "a")]
+    with _shared.Scratch() as scratch:
+        index = decontamination.PositionalIndex(spark.createDataFrame(texts, "doc_id long, text string"), terms, scratch)
+        assert sorted((r.doc_id, r.pos, r.pos2) for r in index.proximity("A", "b", 2).collect()) == [(1, 0, 2), (2, 1, 0)]
+        assert {r.doc_id: r.n_words for r in index.sizes.collect()} == {1: 8, 2: 2, 3: 0, 4: 0, 5: 0, 6: 2, None: 1}
 
 
 @pytest.mark.parametrize("score", [quality.quality_scores, toxicity.toxicity_scores])
@@ -371,3 +509,161 @@ def test_repair_leaves_no_frequent_pair():
     inside[e[0] - 1] = False
     seen = collections.Counter(zip(s[:-1][inside].tolist(), s[1:][inside].tolist()))
     assert max(seen.values()) < 8 and (token_files.expand(s, rules, 100) == mixed).all()
+
+
+def test_attention_gradients_equal_differences():
+    """Operator 1: the hand-made gradients against differences of the loss, and attention by its definition."""
+    rng = np.random.default_rng(3)
+    quality_shapes = {"W": (quality.WIDTH, 5), "b": (5,), "V": (5, 4), "U": (5, 4), "w": (4,), "c": (5,)}
+    m = {k: rng.normal(0, 0.4, s) for k, s in quality_shapes.items()} | {"d": np.float64(0.1)}
+    x, begin = rng.random((9, quality.WIDTH)), np.array([0, 1, 4, 9])
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+
+    def loss(m):
+        p = quality.forward(m, x, begin)["p"]
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / weight.sum()
+
+    g = quality.gradients(m, x, begin, y, weight)
+    for k in m:
+        for at in list(np.ndindex(np.shape(m[k])))[:: max(1, np.size(m[k]) // 7)]:
+            more, less = ({**m, k: np.array(m[k], copy=True)} for _ in range(2))
+            more[k][at] += 1e-6
+            less[k][at] -= 1e-6
+            assert abs((loss(more) - loss(less)) / 2e-6 - np.asarray(g[k])[at]) < 1e-6, k
+    f = quality.forward(m, x, begin)
+    for i in range(3):
+        h = np.tanh(x[begin[i] : begin[i + 1]] @ m["W"] + m["b"])
+        e = np.exp((np.tanh(h @ m["V"]) / (1 + np.exp(-(h @ m["U"])))) @ m["w"])
+        z = (e / e.sum()) @ h
+        assert abs(f["p"][i] - 1 / (1 + np.exp(-(z @ m["c"] + m["d"])))) < 1e-12
+
+
+def test_string_kernel_equals_sets_of_grams():
+    """Operator 2: windows, kernel and ridge against sets, and the solution of the normal equations."""
+    texts = ["Das ist ein Haus, 12!", "le chat est là", "THE CAT", "", "x" * 3000 + " ende"]
+    (x, begin), = language.windows(pa.array(texts))
+    folded = [bytes(language._CLASS[np.frombuffer(t.encode(), np.uint8)].astype(np.uint8)) for t in texts]
+
+    def grams(t):
+        out = set()
+        for k in range(3):
+            for i in range(len(t) - k):
+                key = 0
+                for c in t[i : i + k + 1]:
+                    key = (key * 257 + c) % 2**32
+                out.add((key + k) * 2654435761 % 2**32 >> 20)
+        return out
+
+    for i, t in enumerate(folded[:4]):
+        assert set(np.flatnonzero(x[begin[i]])) == grams(t)
+    assert np.diff(begin).tolist() == [1, 1, 1, 1, 2]
+    a, b = grams(folded[0]), grams(folded[1])
+    assert abs(float(language.unit(x)[0] @ language.unit(x)[begin[1]]) - len(a & b) / (len(a) * len(b)) ** 0.5) < 1e-6
+    rng = np.random.default_rng(1)
+    z = (rng.random((40, language.GRAMS)) < 0.05).astype(np.float32)
+    y = np.where(rng.random((40, 3)) < 0.4, 1.0, -1.0)
+    mark, weight = language.fit(z, y, landmarks=40, ridge=1e-2)
+    kernel = (language.unit(z) @ language.unit(z).T).astype(np.float64)
+    assert np.abs(language.unit(z) @ mark.T @ weight - kernel @ np.linalg.solve(kernel + 1e-2 * np.eye(40), y)).max() < 1e-3
+
+
+def test_risk_equals_its_definition():
+    """Operator 4: the risk by sums over rows, its gradient by differences, and the step back below zero."""
+    rng = np.random.default_rng(2)
+    xp, xu, w, b = rng.random((7, 4)) + 1, rng.random((11, 4)), np.abs(rng.normal(size=4)), -1.5
+    loss = lambda f, sign: 1 / (1 + np.exp(sign * f))
+    for prior in (0.1, 0.9):
+        f = lambda x, w, b: [float(r @ w + b) for r in x]
+        plus = lambda w, b: prior * sum(loss(v, 1) for v in f(xp, w, b)) / 7
+        minus = lambda w, b: sum(loss(v, -1) for v in f(xu, w, b)) / 11 - prior * sum(loss(v, -1) for v in f(xp, w, b)) / 7
+        assert np.allclose(toxicity.risk_parts(w, b, xp, xu, prior), (plus(w, b), minus(w, b)))
+        goal = (lambda w, b: plus(w, b) + minus(w, b)) if minus(w, b) >= 0 else (lambda w, b: -minus(w, b))
+        g = toxicity.gradient(w, b, xp, xu, prior)
+        for i in range(4):
+            d = np.eye(4)[i] * 1e-6
+            assert abs((goal(w + d, b) - goal(w - d, b)) / 2e-6 - g[i]) < 1e-6
+        assert abs((goal(w, b + 1e-6) - goal(w, b - 1e-6)) / 2e-6 - g[4]) < 1e-6
+    assert min(toxicity.risk_parts(w, b, xp, xu, 0.9)[1], 0) < 0 <= toxicity.risk_parts(w, b, xp, xu, 0.1)[1]
+
+
+def test_unlabelled_sample_keeps_confirmed_positives(spark, monkeypatch):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, F.lit("vile words here")).otherwise(F.lit("plain talk")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    seen = {}
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda d, positive, prior: seen.update(p=positive, prior=prior, texts=[x.tobytes() for x in d]) or train(d, positive, prior))
+    toxicity.toxicity_scores(docs, labels)
+    toxic = {t for t, p in zip(seen["texts"], seen["p"]) if p}
+    unlabelled = [t for t, p in zip(seen["texts"], seen["p"]) if not p]
+    assert abs(sum(t in toxic for t in unlabelled) / len(unlabelled) - seen["prior"]) < 0.02
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Line dedup, n-gram join and decontamination on odd rows against loops over all pairs; clashing columns stay."""
+    base = [prose(50) for _ in range(4)]
+    leak = prose(14)
+    texts = [base[0], base[0] + " ende", base[1] + "\nkurz hier", base[1].replace("ka", "xx", 1) + "\n" + prose(20), None, "", " \n ", f"{prose(20)} {leak} {prose(9)}", base[2], base[3], "kurz hier", base[2]]
+    rows = [(i if i not in (9, 10) else None, t) for i, t in enumerate(texts)] + [(8, prose(30)), (9, base[0][:-3] + " x")]
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = ["_d", "_h", "_th", "_gone", "row", "d", "h", "root", "th", "at", "n"]
+    for c in clash:
+        docs = docs.withColumn(c, F.lit(c))
+    hashes = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    # lines, in the order of ids and hashes
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r]))
+    seen, cut = [], []
+    for d, t in rows:
+        kept, gone = [], 0
+        for line in (t or "").split("\n"):
+            s = shingles(line, 5)
+            if s and any(near(s, x) for x in seen):
+                gone += 1
+            else:
+                kept.append(line)
+            seen += [s] if s else []
+        if not gone:
+            cut.append((d, t))
+        elif "\n".join(kept).strip():
+            cut.append((d, "\n".join(kept)))
+    got = corpus_pipeline.cut_repeated_lines(spark, docs, str(tmp_path))
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(map(key, got.select("doc_id", "text").collect())) == sorted(map(key, cut)) and got.columns == docs.columns
+    got = _shared.stored(got, "lines")
+    # groups of near copies: the first by id and hash stays
+    hashes = {(r.doc_id, r.text): r.h for r in got.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    cut = sorted(set(cut), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r]))
+    sets, group = [shingles(t, 5) for _, t in cut], list(range(len(cut)))
+    for _ in cut:
+        for i in range(len(cut)):
+            for j in range(len(cut)):
+                if near(sets[i], sets[j]):
+                    group[i] = group[j] = min(group[i], group[j])
+    one = [r for i, r in enumerate(cut) if group[i] == i]
+    got = corpus_pipeline.keep_one_of_similar(spark, got, str(tmp_path))
+    assert sorted(map(key, got.select("doc_id", "text").collect())) == sorted(map(key, one)) and got.columns == docs.columns
+    got = _shared.stored(got, "one")
+    clean = [r for r in one if leak not in (r[1] or "")]
+    assert len(clean) < len(one)
+    got = corpus_pipeline.drop_benchmark_leaks(spark, got, str(tmp_path))
+    assert sorted(map(key, got.select("doc_id", "text").collect())) == sorted(map(key, clean)) and got.columns == docs.columns
+    pieces = corpus_pipeline.pack_sequences(spark, got, str(tmp_path)).collect()
+    ids = ids_of([t for _, t in clean], "word_bpe_49k.json", 2)
+    assert sum(r.length for r in pieces) == sum(map(len, ids)) and sorted(str(r.doc_id) for r in pieces if r.start == 0) == sorted(str(d) for d, _ in clean)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_first_stage_keeps_what_the_classifier_keeps(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("row", F.lit(1)).withColumn("_h", F.lit(2))
+    odd = docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    both = docs.unionByName(odd)
+    scores = quality.quality_scores(both, spark.read.parquet(f"{folder}/labels.parquet"), carry="xxhash64(text)").collect()
+    want = collections.Counter((str(r.doc_id), r.carried) for r in scores if r.predicted == 1)
+    got = corpus_pipeline.keep_good(spark, both, folder)
+    assert got.columns == both.columns
+    assert collections.Counter((str(r.doc_id), r.h) for r in got.select("doc_id", F.xxhash64("text").alias("h")).collect()) == want
+    assert corpus_pipeline.keep_good(spark, docs.limit(0), folder).count() == 0
