@@ -15,15 +15,16 @@ from parley.streaming import watch
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, encoder: Encoder | None = None, chunking: Chunking = Chunking()):
+    def __init__(self, spark: SparkSession, folder: str, encoder: Encoder | None = None, chunking: Chunking = Chunking(), signs: list[str] = ()):
+        """signs: what marks a message as a hook's, besides the fixed values (names of a product, for instance)."""
         ship(spark)
-        self.spark, self.store, self.encoder, self.chunking = spark, Store(spark, folder), encoder or HashingEncoder(), chunking
+        self.spark, self.store, self.encoder, self.chunking, self.signs = spark, Store(spark, folder), encoder or HashingEncoder(), chunking, list(signs)
 
     def index(self, path: str, force: bool = False) -> watch.Run:
-        return watch.index(self.spark, path, self.store, self.encoder, self.chunking, force=force)
+        return watch.index(self.spark, path, self.store, self.encoder, self.chunking, force=force, signs=self.signs)
 
     def watch(self, path: str, every: str = "5 seconds"):
-        return watch.watch(self.spark, path, self.store, every, self.encoder, self.chunking)
+        return watch.watch(self.spark, path, self.store, every, self.encoder, self.chunking, self.signs)
 
     def semantic_search(self, query: str, top_k: int = 10, mode: str = "pre", **filters) -> DataFrame:
         """filters: project, has_code, session, after, before."""

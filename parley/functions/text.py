@@ -47,13 +47,20 @@ def split_greedy(c: Column, limit: int) -> Column:
     words = F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
 
     def packed(parts: Column, glue: str) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+        """Lengths are folded to the places where pieces begin; strings are joined once a piece."""
+        start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("used"), F.lit(0).alias("i"))
 
         def step(acc: Column, x: Column) -> Column:
-            fits = F.length(acc["cur"]) + F.length(x) + len(glue) <= limit
-            closed = F.when(strip(acc["cur"]) != "", F.concat(acc["done"], F.array(strip(acc["cur"])))).otherwise(acc["done"])
-            return F.struct(F.when(fits, acc["done"]).otherwise(closed).alias("done"), F.concat(F.when(fits, acc["cur"]).otherwise(F.lit("")), x, F.lit(glue)).alias("cur"))
+            n = F.length(x) + len(glue)
+            fits = acc["used"] + n <= limit
+            return F.struct(F.when(fits, acc["cuts"]).otherwise(F.concat(acc["cuts"], F.array(acc["i"]))).alias("cuts"), (F.when(fits, acc["used"]).otherwise(0) + n).alias("used"), (acc["i"] + 1).alias("i"))
 
-        return F.aggregate(parts, start, step, lambda acc: F.when(strip(acc["cur"]) != "", F.concat(acc["done"], F.array(strip(acc["cur"])))).otherwise(acc["done"]))
+        def pieces(x: Column) -> Column:
+            bounds = F.zip_with(F.concat(F.array(F.lit(0)), x["cuts"]), F.concat(x["cuts"], F.array(F.size(x["parts"]))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+            return F.transform(bounds, lambda b: strip(F.array_join(F.slice(x["parts"], b["a"] + 1, b["b"] - b["a"]), glue)))
+
+        # transforms of one element keep what the lambdas share from being made anew
+        cut = F.transform(F.array(parts), lambda p: F.struct(p.alias("parts"), F.aggregate(p, start, step, lambda acc: acc["cuts"]).alias("cuts")))
+        return F.filter(F.flatten(F.transform(cut, pieces)), lambda p: p != "")
 
     return F.when(by_words, packed(words, " ")).otherwise(packed(paragraphs, "\n\n"))

@@ -1,6 +1,7 @@
 """Conversations to chunks: question-answer pairs, time segments, code blocks, tool usage.
 
-All window functions share one specification (partition by file, order by time and line), so one shuffle serves them.
+All window functions share one specification (partition by file, order by time and line). `chunked` is a union of five
+branches, each of which reads its messages: give it a stored table, not a parse.
 """
 
 from __future__ import annotations
@@ -37,11 +38,11 @@ def qa_pairs(messages: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     note = F.concat(F.lit("[Context] "), T.title(F.col("role")), F.lit(": "), short)
     window = config.context_window if config.context else 0
     before = F.collect_list(note).over(by_file().rowsBetween(-window, -1)) if window else F.array().cast("array<string>")
-    rows = messages.withColumn("answer", after("content")).withColumn("next_role", after("role")).withColumn("answer_code", after("has_code")).withColumn("answer_tools", after("has_tools")).withColumn("before", before)
+    rows = messages.withColumn("answer", after("content")).withColumn("next_role", after("role")).withColumn("answer_code", after("has_code")).withColumn("answer_tools", after("has_tools")).withColumn("answer_uuid", after("uuid")).withColumn("before", before)
     pairs = rows.where("role = 'user' AND next_role = 'assistant'")
     pair = F.concat(T.stamp(F.col("ts")), F.lit(" User: "), F.col("content"), F.lit("\n\nAssistant: "), F.col("answer"))
     body = F.when(F.size("before") > 0, F.concat(F.array_join("before", "\n"), F.lit("\n\n"), pair)).otherwise(pair)
-    return pairs.select("file_path", "session_id", "project_name", "ts", "line_no", body.alias("text"), (F.col("has_code") | F.col("answer_code")).alias("has_code"), (F.col("has_tools") | F.col("answer_tools")).alias("has_tools"), F.lit(2).cast("bigint").alias("message_count"))
+    return pairs.select("file_path", "session_id", "project_name", "ts", "line_no", body.alias("text"), (F.col("has_code") | F.col("answer_code")).alias("has_code"), (F.col("has_tools") | F.col("answer_tools")).alias("has_tools"), F.lit(2).cast("bigint").alias("message_count"), F.array("uuid", "answer_uuid").alias("message_uuids"), F.array("role", "next_role").alias("roles"))
 
 
 def segments(messages: DataFrame, config: Chunking = Chunking()) -> DataFrame:
@@ -55,9 +56,9 @@ def segments(messages: DataFrame, config: Chunking = Chunking()) -> DataFrame:
 
 def context_segments(messages: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     """Segments of at least three messages as text; all sizes."""
-    parts = F.array_sort(F.collect_list(F.struct("ts", "line_no", _line().alias("line"))))
+    parts = F.array_sort(F.collect_list(F.struct("ts", "line_no", _line().alias("line"), "uuid", "role")))
     grouped = segments(messages, config).groupBy("file_path", "session_id", "project_name", "seg").agg(F.min("ts").alias("ts"), F.min("line_no").alias("line_no"), F.count("*").alias("message_count"), F.bool_or("has_code").alias("has_code"), F.bool_or("has_tools").alias("has_tools"), parts.alias("parts"))
-    return grouped.where(F.col("message_count") >= MIN_SEGMENT).withColumn("text", F.array_join(F.transform("parts", lambda p: p["line"]), "\n\n")).drop("parts")
+    return grouped.where(F.col("message_count") >= MIN_SEGMENT).withColumn("text", F.array_join(F.transform("parts", lambda p: p["line"]), "\n\n")).select("*", F.transform("parts", lambda p: p["uuid"]).alias("message_uuids"), F.transform("parts", lambda p: p["role"]).alias("roles")).drop("parts")
 
 
 def code_blocks(messages: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def code_chunks(messages: DataFrame, config: Chunking = Chunking()) -> DataFrame
     lines = F.size(F.split("code", "\n"))
     before, after = T.strip(F.expr("substring(content, 1, instr(content, raw) - 1)")), T.strip(F.expr("substring(content, instr(content, raw) + length(raw))"))
     body = F.concat(T.stamp(F.col("ts")), F.lit(" "), T.title(F.col("role")), F.lit(":\n"), F.when(before != "", F.concat(before, F.lit("\n\n"))).otherwise(""), F.lit("```"), F.col("language"), F.lit("\n"), F.col("code"), F.lit("\n```"), F.when(after != "", F.concat(F.lit("\n\n"), after)).otherwise(""))
-    return code_blocks(messages).where(lines >= config.code_lines).select("file_path", "session_id", "project_name", "ts", "line_no", "block_no", "language", lines.cast("bigint").alias("code_lines"), body.alias("text"), F.lit(1).cast("bigint").alias("message_count"), "has_code", "has_tools")
+    return code_blocks(messages).where(lines >= config.code_lines).select("file_path", "session_id", "project_name", "ts", "line_no", "block_no", "language", lines.cast("bigint").alias("code_lines"), body.alias("text"), F.lit(1).cast("bigint").alias("message_count"), "has_code", "has_tools", F.array("uuid").alias("message_uuids"), F.array("role").alias("roles"))
 
 
 def tool_chunks(messages: DataFrame, config: Chunking = Chunking()) -> DataFrame:
@@ -81,7 +82,7 @@ def tool_chunks(messages: DataFrame, config: Chunking = Chunking()) -> DataFrame
     results = F.array_join(F.transform("tool_results", lambda t, i: F.concat(number(i), F.coalesce(t["output"], F.lit("No output")), F.lit("\n"))), "")
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     body = F.concat(_line(), F.lit("\n\n"), F.when(some("tool_calls"), F.concat(F.lit("Tool Calls:\n"), calls)).otherwise(""), F.when(some("tool_results") & F.lit(config.tool_results), F.concat(F.lit("\nTool Results:\n"), results)).otherwise(""))
-    return messages.where(some("tool_calls") | some("tool_results")).select("file_path", "session_id", "project_name", "ts", "line_no", body.alias("text"), F.transform("tool_calls", lambda t: F.coalesce(t["name"], F.lit("unknown"))).alias("tools_used"), some("tool_results").alias("has_results"), F.lit(1).cast("bigint").alias("message_count"), "has_code", "has_tools")
+    return messages.where(some("tool_calls") | some("tool_results")).select("file_path", "session_id", "project_name", "ts", "line_no", body.alias("text"), F.transform("tool_calls", lambda t: F.coalesce(t["name"], F.lit("unknown"))).alias("tools_used"), some("tool_results").alias("has_results"), F.lit(1).cast("bigint").alias("message_count"), "has_code", "has_tools", F.array("uuid").alias("message_uuids"), F.array("role").alias("roles"))
 
 
 def split_large(chunks: DataFrame, limit: int) -> DataFrame:
@@ -106,8 +107,13 @@ def chunked(messages: DataFrame, config: Chunking = Chunking(), signs: list[str]
     kept = chunkable(messages, signs)
     size = F.length("text")
     pairs = qa_pairs(kept, config)
-    base = ["file_path", "session_id", "project_name", "ts", "text", "message_count", "has_code", "has_tools"]
-    shaped = lambda df, kind, rank, order: df.select(*base, F.lit(kind).alias("chunk_type"), F.lit(rank).alias("strategy_rank"), order.cast("bigint").alias("ordinal"))
+    base = ["file_path", "session_id", "project_name", "ts", "text", "message_count", "has_code", "has_tools", "message_uuids", "roles"]
+    extra = {"language": "string", "code_lines": "bigint", "tools_used": "array<string>", "has_results": "boolean"}
+
+    def shaped(df: DataFrame, kind: str, rank: int, order: Column) -> DataFrame:
+        more = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in extra.items()]
+        return df.select(*base, *more, F.lit(kind).alias("chunk_type"), F.lit(rank).alias("strategy_rank"), order.cast("bigint").alias("ordinal"))
+
     line = F.col("line_no") * 1000
     parts = [
         shaped(pairs.where((size >= config.min_size) & (size <= config.max_size)), "qa_pair", 1, line),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import functools
 import operator
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -37,8 +39,19 @@ def matching(df: DataFrame, filters: dict[str, Any] | None) -> DataFrame:
     return df
 
 
+def _is_day(day: str) -> bool:
+    try:
+        datetime.date.fromisoformat(day)
+    except ValueError:
+        return False
+    return True
+
+
 def date_window(after: str | None = None, before: str | None = None) -> dict[str, Any]:
-    """A range over whole days for the column ts; both ends belong to it."""
+    """A range over whole days (YYYY-MM-DD) for the column ts; both ends belong to it."""
+    for day in (after, before):
+        if day and not (re.fullmatch(r"\d{4}-\d{2}-\d{2}", day) and _is_day(day)):
+            raise ValueError(f"invalid date: {day}; use YYYY-MM-DD")
     out: dict[str, Any] = {}
     if after:
         out["gte"] = F.to_date(F.lit(after)).cast("timestamp_ntz")

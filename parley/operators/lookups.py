@@ -31,7 +31,7 @@ def projects(chunks: DataFrame) -> DataFrame:
 
 
 def index_stats(chunks: DataFrame) -> DataFrame:
-    return chunks.agg(F.count("*").alias("total_chunks"), F.count_distinct("session_id").alias("total_sessions"), F.count_distinct("project_name").alias("total_projects"), F.max(F.size("embedding")).cast("bigint").alias("dimension"))
+    return chunks.agg(F.count("*").alias("total_chunks"), F.count_distinct("session_id").alias("total_sessions"), F.count_distinct("project_name").alias("total_projects"), F.max(F.size("embedding")).cast("bigint").alias("dimension"), F.lit("flat").alias("index_type"))
 
 
 def type_counts(chunks: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def type_counts(chunks: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    return messages.groupBy("file_path").agg(F.min_by("session_id", "line_no").alias("session_id"), F.first("project_name").alias("project_name"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.count("*").alias("total_messages"), F.bool_or("has_tools").alias("has_tool_usage"), F.bool_or("has_code").alias("has_code_blocks"))
+    return messages.groupBy("file_path").agg(F.min_by("session_id", F.when(F.col("session_id").isNotNull(), F.col("line_no"))).alias("session_id"), F.first("project_name").alias("project_name"), F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"), F.count("*").alias("total_messages"), F.bool_or("has_tools").alias("has_tool_usage"), F.bool_or("has_code").alias("has_code_blocks"))
 
 
 def display(results: DataFrame) -> DataFrame:
@@ -71,9 +71,9 @@ def text_lines(results: DataFrame, full: bool = False) -> DataFrame:
     return results.select("id", F.format_string("%.3f", "similarity").alias("similarity"), body.alias("body"))
 
 
-def markdown(results: DataFrame) -> DataFrame:
+def markdown(results: DataFrame, full: bool = False) -> DataFrame:
     head = F.concat(F.lit("**Project:** "), F.coalesce("project_name", F.lit("unknown")), F.lit("\n**Similarity:** "), F.format_string("%.3f", "similarity"))
-    return results.select("id", head.alias("head"), cut(F.col("text"), 500).alias("body"))
+    return results.select("id", head.alias("head"), (F.col("text") if full else cut(F.col("text"), 500)).alias("body"))
 
 
 def index_memory_gb(rows: Column, dim: Column) -> Column:

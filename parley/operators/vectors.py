@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,47 +64,80 @@ def search(chunks: DataFrame, query: list[float], filters: dict | None = None, c
     return found if config.metadata else found.select(id_col, "similarity", *(["text"] if config.text else []))
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", block: int = 4096) -> DataFrame:
-    """(query_id, id, sim, rank): each query's k nearest other vectors by cosine.
+def _blocks(df: DataFrame, id_col: str, block: int) -> DataFrame:
+    """df's rows with an id as (ids, dims, m): blocks of vectors, padded to a common length; dims is -1 for a null one."""
 
-    Vectors are packed into blocks of rows, each block of queries meets each block of vectors in one task (matrix
-    product, then only k a query leave the task), and the best k of all blocks are kept: nothing is broadcast or
-    collected, and the blocks are dealt over all tasks.
-    """
+    def blob(ids, data):
+        dims = [-1 if x is None else len(x) for x in data]
+        m = np.zeros((len(ids), max(1, *dims)))
+        for i, x in enumerate(data):
+            if x:
+                m[i, : len(x)] = np.array(x, np.float64)
+        return pa.RecordBatch.from_pydict({"ids": pa.array([ids], pa.list_(pa.int64())), "dims": pa.array([dims], pa.list_(pa.int64())), "m": pa.array([m.tobytes()], pa.binary())})
 
-    def packed(df: DataFrame, side: str) -> DataFrame:
-        def rows(batches):
-            ids, data = [], []
-            for b in batches:
-                ids += b.column(0).to_pylist()
-                data += b.column(1).to_pylist()
-                while len(ids) >= block:
-                    yield blob(ids[:block], data[:block])
-                    del ids[:block], data[:block]
-            if ids:
-                yield blob(ids, data)
+    def rows(batches):
+        ids, data = [], []
+        for b in batches:
+            ids += b.column(0).to_pylist()
+            data += b.column(1).to_pylist()
+            while len(ids) >= block:
+                yield blob(ids[:block], data[:block])
+                del ids[:block], data[:block]
+        if ids:
+            yield blob(ids, data)
 
-        def blob(ids, data):
-            m = np.array(data, np.float64)
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            return pa.RecordBatch.from_pydict({f"{side}_ids": pa.array([ids], pa.list_(pa.int64())), f"{side}_m": pa.array([m.tobytes()], pa.binary())})
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), "embedding").mapInArrow(rows, "ids array<long>, dims array<long>, m binary")
 
-        return df.where(F.col("embedding").isNotNull()).select(F.col(id_col).cast("long"), "embedding").mapInArrow(rows, f"{side}_ids array<long>, {side}_m binary")
 
-    def best(batches):
-        for b in batches:
-            for qi, qm, vi, vm in zip(*(b.column(c).to_pylist() for c in ("q_ids", "q_m", "v_ids", "v_m")), strict=True):
-                q, v = np.frombuffer(qm).reshape(len(qi), -1), np.frombuffer(vm).reshape(len(vi), -1)
-                sim = np.round(q @ v.T, 6)
-                sim[np.array(qi)[:, None] == np.array(vi)[None]] = -np.inf
-                order = np.lexsort((np.broadcast_to(np.array(vi), sim.shape), -sim), axis=1)[:, :k]
-                keep = np.take_along_axis(sim, order, 1)
-                ok = np.isfinite(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, ok.sum(1))), pa.array(np.array(vi)[order][ok]), pa.array(keep[ok])], names=["query_id", "id", "sim"])
+def _matrices(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return [(np.array(i), np.array(d), np.frombuffer(m).reshape(len(i), -1)) for i, d, m in zip(t["ids"].to_pylist(), t["dims"].to_pylist(), t["m"].to_pylist(), strict=True)]
+
+
+def _sides(df: DataFrame, *tables: DataFrame, rows: int = 1 << 18) -> int:
+    """Rows and columns of the grid of tasks on which two tables meet: no cell has more than about `rows` of either."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    return max(int(np.ceil(tasks**0.5)), *(-(-t.count() // rows) for t in tables))
+
+
+def _meeting(a: DataFrame, b: DataFrame, sides: int):
+    """Every block of a with every block of b: a block of a is sent along its row of the grid, one of b along its
+    column, so that a table is sent `sides` times and not once for each block of the other."""
+    place, along = F.pmod(F.xxhash64("ids"), F.lit(sides)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
+    x = a.select("*", place.alias("i"), along.alias("j"))
+    y = b.select("*", place.alias("j"), along.alias("i"))
+    return x.groupBy("i", "j").cogroup(y.groupBy("i", "j"))
+
+
+def _nearest(q: pa.Table, v: pa.Table, k: int) -> pa.Table:
+    """Each query's k nearest other vectors of a cell; blocks are multiplied one by one."""
+    out = []
+    for qi, qd, qm in _matrices(q):
+        best_id, best = np.zeros((len(qi), 0), np.int64), np.zeros((len(qi), 0))
+        for vi, vd, vm in _matrices(v):
+            wide = min(qm.shape[1], vm.shape[1])
+            size = np.maximum(np.linalg.norm(qm, axis=1)[:, None] * np.linalg.norm(vm, axis=1)[None], 1e-300)
+            sim = np.round(qm[:, :wide] @ vm[:, :wide].T / size, 6)
+            sim[(qi[:, None] == vi[None]) | (qd[:, None] < 0) | (vd[None] < 0)] = -np.inf
+            ids, sim = np.concatenate([best_id, np.broadcast_to(vi, sim.shape)], 1), np.concatenate([best, sim], 1)
+            order = np.lexsort((ids, -sim), axis=1)[:, :k]
+            best_id, best = np.take_along_axis(ids, order, 1), np.take_along_axis(sim, order, 1)
+        ok = np.isfinite(best)
+        out.append((np.repeat(qi, ok.sum(1)), best_id[ok], best[ok]))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "sim": pa.array(cols[2], pa.float64())})
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    pairs = packed(queries, "q").join(packed(vectors, "v")).repartition(F.xxhash64("q_ids"), F.xxhash64("v_ids"))
-    top = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id"))
-    return pairs.mapInArrow(best, "query_id long, id long, sim double").withColumn("rank", top).where(F.col("rank") <= k)
+
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", block: int = 2048) -> DataFrame:
+    """(query_id, id, sim, rank): each query's k nearest other vectors by cosine, exact.
+
+    Blocks of both tables meet on a grid of tasks (matrix products); of each task only k rows a query leave it."""
+    meeting = _meeting(_blocks(queries, id_col, block), _blocks(vectors, id_col, block), _sides(vectors, queries, vectors))
+    return _top(meeting.applyInArrow(lambda q, v: _nearest(q, v, k), "query_id long, id long, sim double"), k)
 
 
 def similarity_matrix(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -114,46 +148,24 @@ def similarity_matrix(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:
 
 
 def similarity_blocks(vectors: DataFrame, id_col: str = "vec_id", block: int = 512) -> DataFrame:
-    """similarity_matrix of a table of any size: every block of rows meets every block in a task of its own."""
-
-    def packed(df: DataFrame, side: str) -> DataFrame:
-        def blob(ids, data):
-            dims = [-1 if x is None else len(x) for x in data]
-            m = np.zeros((len(ids), max(1, *dims)))
-            for i, x in enumerate(data):
-                if x:
-                    m[i, : len(x)] = np.array(x, np.float64)
-            return pa.RecordBatch.from_pydict({f"{side}_ids": pa.array([ids], pa.list_(pa.int64())), f"{side}_dims": pa.array([dims], pa.list_(pa.int64())), f"{side}_m": pa.array([m.tobytes()], pa.binary())})
-
-        def rows(batches):
-            ids, data = [], []
-            for b in batches:
-                ids += b.column(0).to_pylist()
-                data += b.column(1).to_pylist()
-                while len(ids) >= block:
-                    yield blob(ids[:block], data[:block])
-                    del ids[:block], data[:block]
-            if ids:
-                yield blob(ids, data)
-
-        # a null id is in no pair
-        return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), "embedding").mapInArrow(rows, f"{side}_ids array<long>, {side}_dims array<long>, {side}_m binary")
-
-    def paired(batches):
-        for b in batches:
-            for ai, ad, am, bi, bd, bm in zip(*(b.column(c).to_pylist() for c in ("a_ids", "a_dims", "a_m", "b_ids", "b_dims", "b_m")), strict=True):
-                ai, ad, bi, bd = map(np.array, (ai, ad, bi, bd))
-                x, y = np.frombuffer(am).reshape(len(ai), -1), np.frombuffer(bm).reshape(len(bi), -1)
+    """similarity_matrix of a table of any size, on a grid of tasks; the result grows with the square of the table."""
+
+    def paired(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})]
+        others = _matrices(b)
+        for ai, ad, x in _matrices(a):
+            for bi, bd, y in others:
                 wide = min(x.shape[1], y.shape[1])
                 size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
                 # null where a vector is null or zero, or the two differ in length
                 no = (ad[:, None] != bd[None]) | (ad[:, None] < 0) | (size == 0)
                 sim = np.round(x[:, :wide] @ y[:, :wide].T / np.where(no, 1, size), 6)
                 i, j = np.nonzero(ai[:, None] <= bi[None])
-                yield pa.RecordBatch.from_arrays([pa.array(ai[i]), pa.array(bi[j]), pa.array(sim[i, j], mask=no[i, j])], names=["a", "b", "sim"])
+                out.append(pa.table({"a": ai[i], "b": bi[j], "sim": pa.array(sim[i, j], pa.float64(), mask=no[i, j])}))
+        return pa.concat_tables(out)
 
-    pairs = packed(vectors, "a").join(packed(vectors, "b")).repartition(F.xxhash64("a_ids"), F.xxhash64("b_ids"))
-    return pairs.mapInArrow(paired, "a long, b long, sim double")
+    blocks = _blocks(vectors, id_col, block)
+    return _meeting(blocks, blocks, _sides(vectors, vectors, rows=1 << 14)).applyInArrow(paired, "a long, b long, sim double")
 
 
 def dimension_stats(vectors: DataFrame) -> DataFrame:
@@ -167,22 +179,92 @@ def validation(vectors: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(common)).agg(F.count("*").alias("n"), F.count_if(F.col("embedding").isNull()).alias("missing"), F.count_if(F.size("embedding") != F.col("dim")).alias("odd_size"), F.max("dim").cast("bigint").alias("dim"), F.round(F.avg(n), 6).alias("norm_mean"), F.round(F.stddev_pop(n), 6).alias("norm_std"))
 
 
+def issues(vectors: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, issue): the rows whose vector is missing or not of the commonest size."""
+    common = vectors.where("embedding IS NOT NULL").agg(F.mode(F.size("embedding"), True).alias("dim"))
+    issue = F.when(F.col("embedding").isNull(), "missing embedding").when(F.size("embedding") != F.col("dim"), "inconsistent embedding dimension")
+    return vectors.join(F.broadcast(common)).select(F.col(id_col).alias("id"), issue.alias("issue")).where("issue IS NOT NULL")
+
+
 def text_stats(chunks: DataFrame, words: Column) -> DataFrame:
     return chunks.agg(F.count("*").alias("total_chunks"), F.sum(words).alias("total_tokens"), F.round(F.avg(F.length("text")), 6).alias("average_length"))
 
 
 class CellIndex:
-    """Approximate search: k-means cells, of which a search reads the nearest `probes`."""
-
-    def __init__(self, vectors: DataFrame, cells: int = 16, sample: int = 100_000, seed: int = 7):
-        """Cells are fitted on at most `sample` vectors; every vector is indexed."""
-        ready = vectors.where("embedding IS NOT NULL").withColumn("_v", array_to_vector("embedding"))
-        self.model = KMeans(k=cells, seed=seed, featuresCol="_v", predictionCol="cell").fit(ready.orderBy(F.xxhash64("embedding")).limit(sample))
-        self.rows = self.model.transform(ready).drop("_v")
-
-    def search(self, query: list[float], probes: int = 4, filters: dict | None = None, config: Search = Search(), id_col: str = "id") -> DataFrame:
-        near = np.argsort([float(((np.asarray(query) - c) ** 2).sum()) for c in self.model.clusterCenters()])[:probes]
-        return search(self.rows.where(F.col("cell").isin([int(c) for c in near])).drop("cell"), query, filters, config, id_col)
+    """A stored approximate index: k-means cells, of which a search reads the nearest `probes`.
+
+    The folder holds `rows`, partitioned by cell so that a search lists and reads its cells only, and `cells` (cell, center,
+    probes). Cells are fitted on at most `sample` vectors, every vector is indexed, and as many probes are noted as give
+    `recall` of the ten nearest to at most `asked` vectors, measured against all of them."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        found = spark.read.parquet(f"{folder}/cells").orderBy("cell").collect()  # a row a cell, 4096 at most
+        self.spark, self.folder = spark, folder
+        self.centers, self.probes = np.array([r.center for r in found]), found[0].probes
+
+    @classmethod
+    def build(cls, vectors: DataFrame, folder: str, id_col: str = "vec_id", cells: int | None = None, sample: int = 100_000, asked: int = 200, recall: float = 0.97, seed: int = 7) -> "CellIndex":
+        """cells: half the root of the number of vectors, 4096 at most."""
+        spark, ready = vectors.sparkSession, vectors.where(F.col("embedding").isNotNull() & F.col(id_col).isNotNull())
+        many = ready.count()
+        cells = cells or int(min(4096, max(1, round(many**0.5 / 2))))
+        some = ready.orderBy(F.xxhash64("embedding"), id_col).limit(sample)
+        model = KMeans(k=cells, seed=seed, featuresCol="_v", predictionCol="cell").fit(some.select(array_to_vector("embedding").alias("_v")))
+        centers = np.array(model.clusterCenters())
+        near = _cells(centers, 1)
+        cls._placed(ready, near).write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/rows")
+        queries = ready.orderBy(F.xxhash64(F.col(id_col), F.lit(1))).limit(asked).select(id_col, "embedding")
+        truth = knn_join(queries, ready, 10, id_col).select("query_id", F.col("id").alias(id_col)).join(spark.read.parquet(f"{folder}/rows").select(id_col, "cell"), id_col)
+        ranks = _cells(centers, len(centers))
+        order = {r[0]: r.order for r in queries.select(id_col, ranks("embedding").alias("order")).collect()}  # at most `asked` rows
+        places = sorted(order[r.query_id].index(r.cell) for r in truth.collect())  # at most ten a query
+        probes = places[min(len(places) - 1, int(np.ceil(recall * len(places))))] + 1 if places else 1
+        spark.createDataFrame([(i, [float(x) for x in c], probes) for i, c in enumerate(centers)], "cell int, center array<double>, probes int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/cells")
+        return cls(spark, folder)
+
+    @staticmethod
+    def _placed(ready: DataFrame, near) -> DataFrame:
+        # rows of one cell are written by as many tasks as they come from when it is large
+        return ready.withColumn("cell", F.get(near("embedding"), 0)).hint("rebalance", "cell")
+
+    def search(self, query: list[float], probes: int | None = None, filters: dict | None = None, config: Search = Search(), id_col: str = "id") -> DataFrame:
+        near = _order(np.asarray([query], float), self.centers)[0][: probes or self.probes]
+        rows = self.spark.read.parquet(f"{self.folder}/rows").where(F.col("cell").isin([int(c) for c in near]))
+        return search(rows.drop("cell"), query, filters, config, id_col)
+
+    def search_all(self, queries: DataFrame, k: int = 10, id_col: str = "vec_id", probes: int | None = None, block: int = 2048) -> DataFrame:
+        """(query_id, id, sim, rank) for many queries: each is sent to its cells, and a cell's blocks are multiplied."""
+        asked = queries.withColumn("cell", F.explode(_cells(self.centers, probes or self.probes)("embedding")))
+        rows = self.spark.read.parquet(f"{self.folder}/rows").select(F.col(id_col).cast("long").alias("id"), "embedding", "cell")
+        # a large cell is dealt to several tasks, each of which gets its queries
+        counts = [(r.cell, -(-r["count"] // (1 << 16))) for r in rows.groupBy("cell").count().collect()]  # a row a cell
+        parts = lambda: F.broadcast(self.spark.createDataFrame(counts, "cell int, parts long"))
+        rows = rows.join(parts(), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        asked = asked.select(F.col(id_col).cast("long").alias("id"), "embedding", "cell").join(parts(), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))))
+
+        def best(q: pa.Table, v: pa.Table) -> pa.Table:
+            def blocks(t):
+                m = [(t["id"].to_pylist()[i : i + block], t["embedding"].to_pylist()[i : i + block]) for i in range(0, len(t), block)]
+                return pa.table({"ids": pa.array([i for i, _ in m], pa.list_(pa.int64())), "dims": pa.array([[len(x) for x in e] for _, e in m], pa.list_(pa.int64())), "m": pa.array([np.array(e, np.float64).tobytes() for _, e in m], pa.binary())})
+
+            return _nearest(blocks(q), blocks(v), k)
+
+        return _top(asked.groupBy("cell", "part").cogroup(rows.groupBy("cell", "part")).applyInArrow(best, "query_id long, id long, sim double"), k)
+
+
+def _order(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The centers from near to far, for each row of x."""
+    return np.argsort((centers**2).sum(1)[None] - 2 * x @ centers.T, axis=1, kind="stable")
+
+
+def _cells(centers: np.ndarray, n: int):
+    """The n nearest cells of a vector, as a column function."""
+
+    @F.pandas_udf("array<int>")
+    def near(v: pd.Series) -> pd.Series:
+        return pd.Series([o.tolist() for o in _order(np.array(v.tolist(), float).reshape(len(v), -1), centers)[:, :n].astype(np.int32)])
+
+    return near
 
 
 def lsh_neighbours(vectors: DataFrame, query: list[float], k: int = 10, tables: int = 8, length: float = 0.8) -> DataFrame:

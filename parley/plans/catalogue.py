@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +19,13 @@ QUERIES, SQL = {}, {}
 
 
 def query(sql: str | None = None, needs: str = ""):
-    """Registers a query under its function's name; needs: the views (M, K) that its SQL reads. A query on chunks is
-    also registered as NAME_whole, which reads every document and embedding and whole texts."""
-
-    def put(name, f, k):
-        QUERIES[name] = f
-        if sql:
-            views = ", ".join(v for v in [X.M if "M" in needs else "", k if "K" in needs else ""] if v)
-            SQL[name] = (f"WITH RECURSIVE {views}, " + sql[5:] if sql.startswith("WITH ") else f"WITH {views} {sql}") if views else sql
+    """Registers a query under its function's name; needs: the views (M, K) that its SQL reads."""
 
     def add(f):
-        put(f.__name__, f, X.K)
-        if "K" in needs:
-            put(f.__name__ + "_whole", functools.partial(f, chunks=X.whole_chunks), X.W)
+        QUERIES[f.__name__] = f
+        if sql:
+            views = ", ".join(v for v in [X.M if "M" in needs else "", X.K if "K" in needs else ""] if v)
+            SQL[f.__name__] = (f"WITH RECURSIVE {views}, " + sql[5:] if sql.startswith("WITH ") else f"WITH {views} {sql}") if views else sql
         return f
 
     return add
@@ -72,18 +64,18 @@ WHERE = "contains(lower(project_name), 'alpha-engine') AND has_code"
 
 
 @query(f"SELECT id, similarity FROM (SELECT *, {SIM} AS similarity FROM k ORDER BY similarity DESC, id LIMIT 100) WHERE {WHERE} AND similarity >= 0 ORDER BY similarity DESC, id LIMIT 10", "K")
-def vector_search_postfilter(spark, sf_dir, chunks=X.chunks):
-    return V.search(chunks(spark, sf_dir), first_vector(spark, sf_dir), SEARCH, Search(mode="post")).select("id", "similarity")
+def vector_search_postfilter(spark, sf_dir):
+    return V.search(X.chunks(spark, sf_dir), first_vector(spark, sf_dir), SEARCH, Search(mode="post")).select("id", "similarity")
 
 
 @query(f"SELECT id, similarity FROM (SELECT *, {SIM} AS similarity FROM k WHERE {WHERE}) WHERE similarity >= 0 ORDER BY similarity DESC, id LIMIT 10", "K")
-def vector_search_prefilter(spark, sf_dir, chunks=X.chunks):
-    return V.search(chunks(spark, sf_dir), first_vector(spark, sf_dir), SEARCH).select("id", "similarity")
+def vector_search_prefilter(spark, sf_dir):
+    return V.search(X.chunks(spark, sf_dir), first_vector(spark, sf_dir), SEARCH).select("id", "similarity")
 
 
 @query(f"SELECT id, similarity FROM (SELECT *, {SIM} AS similarity FROM k) WHERE similarity >= 0.2", "K")
-def vector_threshold(spark, sf_dir, chunks=X.chunks):
-    return V.ranked(chunks(spark, sf_dir), first_vector(spark, sf_dir))[0].where("similarity >= 0.2").select("id", "similarity")
+def vector_threshold(spark, sf_dir):
+    return V.ranked(X.chunks(spark, sf_dir), first_vector(spark, sf_dir))[0].where("similarity >= 0.2").select("id", "similarity")
 
 
 @query("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a JOIN e b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM p) SELECT * FROM r WHERE rank <= 5")
@@ -92,16 +84,26 @@ def knn_join_k5(spark, sf_dir):
     return V.knn_join(e, e)
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 50) a JOIN (SELECT * FROM embeddings ORDER BY vec_id LIMIT 50) b ON a.vec_id <= b.vec_id")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <= b.vec_id")
 def similarity_matrix(spark, sf_dir):
-    """Of a page of 50 rows, as a page of results has."""
-    return V.similarity_matrix(table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(50))
+    return V.similarity_blocks(table(spark, sf_dir, "embeddings"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <= b.vec_id")
-def similarity_matrix_whole(spark, sf_dir):
-    """Of all rows."""
-    return V.similarity_blocks(table(spark, sf_dir, "embeddings"))
+@query()
+def cell_index_search(spark, sf_dir):
+    """The ten nearest to each vector whose id is divisible by 100, by a stored index (no SQL: approximate)."""
+    import uuid
+
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/cells-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "embeddings")
+    return V.CellIndex.build(e, folder).search_all(e.where("vec_id % 100 = 0"))
+
+
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 10 = 0 THEN 'missing embedding' ELSE 'inconsistent embedding dimension' END AS issue FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 10 = 1")
+def embedding_issues(spark, sf_dir):
+    """Of vectors of which some are taken away and some shortened."""
+    changed = F.when(F.col("vec_id") % 10 == 0, F.lit(None)).when(F.col("vec_id") % 10 == 1, F.slice("embedding", 1, 8)).otherwise(F.col("embedding"))
+    return V.issues(table(spark, sf_dir, "embeddings").withColumn("embedding", changed), "vec_id")
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: (x / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1e-8)) ** 2))), 6) AS norm FROM embeddings")
@@ -125,8 +127,8 @@ def embedding_text_stats(spark, sf_dir):
 
 
 def _filter(name, filters, where):
-    def f(spark, sf_dir, chunks=X.chunks):
-        return FL.matching(chunks(spark, sf_dir), filters() if callable(filters) else filters).select("id")
+    def f(spark, sf_dir):
+        return FL.matching(X.chunks(spark, sf_dir), filters() if callable(filters) else filters).select("id")
 
     f.__name__ = name
     query(f"SELECT id FROM k WHERE {where}", "K")(f)
@@ -146,10 +148,10 @@ TITLE = "concat(upper(role[1]), lower(role[2:]))"
 STAMP = "'[' || strftime(ts, '%Y-%m-%d %H:%M') || ']'"
 QA = (
     KEPT
-    + f""", n AS (SELECT *, lead(content) OVER w AS answer, lead(role) OVER w AS next_role, lead(has_code) OVER w AS ac, lead(has_tools) OVER w AS answer_tools,
+    + f""", n AS (SELECT *, lead(content) OVER w AS answer, lead(role) OVER w AS next_role, lead(has_code) OVER w AS ac, lead(has_tools) OVER w AS answer_tools, lead(uuid) OVER w AS next_uuid,
  array_to_string(list('[Context] ' || {TITLE} || ': ' || CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END) OVER (PARTITION BY file_path ORDER BY ts, line_no ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)) AS before
  FROM f WINDOW w AS (PARTITION BY file_path ORDER BY ts, line_no)),
-qa AS (SELECT file_path, ts, line_no, has_code OR ac AS has_code, has_tools OR answer_tools AS has_tools, CASE WHEN coalesce(before, '') <> '' THEN before || chr(10) || chr(10) ELSE '' END || {STAMP} || ' User: ' || content || chr(10) || chr(10) || 'Assistant: ' || answer AS text, {STAMP} || ' User: ' || content || chr(10) || chr(10) || 'Assistant: ' || answer AS plain FROM n WHERE role = 'user' AND next_role = 'assistant')"""
+qa AS (SELECT file_path, ts, line_no, uuid || ',' || next_uuid AS uuids, has_code OR ac AS has_code, has_tools OR answer_tools AS has_tools, CASE WHEN coalesce(before, '') <> '' THEN before || chr(10) || chr(10) ELSE '' END || {STAMP} || ' User: ' || content || chr(10) || chr(10) || 'Assistant: ' || answer AS text, {STAMP} || ' User: ' || content || chr(10) || chr(10) || 'Assistant: ' || answer AS plain FROM n WHERE role = 'user' AND next_role = 'assistant')"""
 )
 SEGS = (
     KEPT
@@ -157,7 +159,7 @@ SEGS = (
     + " OR ".join(f"contains(lower(content), '{s}')" for s in C.TOPIC_WORDS)
     + f""")) THEN 1 ELSE 0 END AS o FROM f WINDOW w AS (PARTITION BY file_path ORDER BY ts, line_no)),
 s AS (SELECT *, sum(o) OVER (PARTITION BY file_path ORDER BY ts, line_no) AS seg FROM b),
-g AS (SELECT file_path, seg, min(ts) AS ts, min(line_no) AS line_no, count(*) AS message_count, bool_or(has_code) AS has_code, bool_or(has_tools) AS has_tools, string_agg({STAMP} || ' ' || {TITLE} || ': ' || content, chr(10) || chr(10) ORDER BY ts, line_no) AS text FROM s GROUP BY file_path, seg)"""
+g AS (SELECT file_path, seg, min(ts) AS ts, min(line_no) AS line_no, count(*) AS message_count, bool_or(has_code) AS has_code, bool_or(has_tools) AS has_tools, string_agg({STAMP} || ' ' || {TITLE} || ': ' || content, chr(10) || chr(10) ORDER BY ts, line_no) AS text, string_agg(uuid, ',' ORDER BY ts, line_no) AS uuids, string_agg(role, ',' ORDER BY ts, line_no) AS roles FROM s GROUP BY file_path, seg)"""
 )
 STRIP = lambda x: f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
 BLOCKS = r"""fen AS (SELECT m.*, CAST(unnest(generate_series(1, len(regexp_extract_all(content, '(?s)```([A-Za-z0-9_]+)?\n(.*?)```', 0)))) AS INT) AS i FROM m),
@@ -172,6 +174,16 @@ CODE = BLOCKS + f""", cc AS (SELECT file_path, ts, line_no, block_no, language,
 TOOLS = f"""tc AS (SELECT file_path, ts, line_no, has_code, has_tools, {STAMP} || ' ' || {TITLE} || ': ' || content || chr(10) || chr(10) || 'Tool Calls:' || chr(10) || '1. ' || tool_name || chr(10) || '   Input: ' || tool_input || chr(10) || CASE WHEN tool_output IS NOT NULL THEN chr(10) || 'Tool Results:' || chr(10) || '1. ' || tool_output || chr(10) ELSE '' END AS text FROM f WHERE tool_name IS NOT NULL)"""
 
 
+def pieces(rows: str, limit: int) -> str:
+    """SQL for the pieces of the texts of rows(..., text) over the limit: views cut and pieces(..., t, i), i from 1."""
+    packed = lambda parts, glue, n: f"list_reduce({parts}, lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) + {n} + length(x) + {n} <= {limit} THEN a || {glue} || x ELSE a || chr(1) || x END)"
+    return f"""cut AS (SELECT *, len(p) = 1 OR len(list_filter(p, lambda x: length(x) > {limit})) > 0 AS by_words
+ FROM (SELECT *, string_split(text, chr(10) || chr(10)) AS p, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM {rows} WHERE length(text) > {limit})),
+packed AS (SELECT *, CASE WHEN by_words THEN {packed("w", "' '", 1)} ELSE {packed("p", "chr(10) || chr(10)", 2)} END AS r FROM cut),
+trimmed AS (SELECT *, list_filter(list_transform(string_split(r, chr(1)), lambda x: {STRIP("x")}), lambda x: x <> '') AS ts_ FROM packed),
+pieces AS (SELECT * EXCLUDE (p, w, r, ts_, by_words), unnest(ts_) AS t, unnest(generate_series(1, len(ts_))) AS i FROM trimmed)"""
+
+
 @query(f"WITH {KEPT} SELECT uuid FROM f", "M")
 def message_filter(spark, sf_dir):
     return FL.chunkable(X.messages(spark, sf_dir)).select("uuid")
@@ -227,26 +239,14 @@ def tool_chunks(spark, sf_dir):
     return C.tool_chunks(kept(spark, sf_dir)).where(F.length("text") >= 100).select("file_path", "line_no", "text", F.array_join("tools_used", ",").alias("tools"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE length(text) > 2000),
-r AS (SELECT doc_id, list_reduce(w, lambda a, x: CASE WHEN length(a) - coalesce(instr(reverse(a), chr(1)) * 0, 0) >= 0 AND length(string_split(a, chr(1))[-1]) + 1 + length(x) + 1 <= 2000 THEN a || ' ' || x ELSE a || chr(1) || x END) AS r FROM w)
-SELECT doc_id, CAST(i - 1 AS INT) AS piece, p AS text FROM (SELECT doc_id, unnest(string_split(r, chr(1))) AS p, unnest(generate_series(1, len(string_split(r, chr(1))))) AS i FROM r)""")
+@query(f"WITH {pieces('documents', 2000)} SELECT doc_id, CAST(i - 1 AS INT) AS piece, t AS text FROM pieces")
 def split_words(spark, sf_dir):
     return C.split_large(table(spark, sf_dir, "documents").select("doc_id", "text"), 2000).select("doc_id", "piece", "text")
 
 
-@query(f"""WITH {QA}, p AS (SELECT file_path, line_no, string_split(text, chr(10) || chr(10)) AS p FROM qa WHERE length(text) > 400),
-pp AS (SELECT * FROM p WHERE len(list_filter(p, lambda x: length(x) > 400)) = 0),
-r AS (SELECT file_path, line_no, list_reduce(p, lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) + 2 + length(x) + 2 <= 400 THEN a || chr(10) || chr(10) || x ELSE a || chr(1) || x END) AS r FROM pp)
-SELECT file_path, line_no, {STRIP("t")} AS text FROM (SELECT file_path, line_no, unnest(string_split(r, chr(1))) AS t FROM r)""", "M")
+@query(f"WITH {QA}, {pieces('qa', 400)} SELECT file_path, line_no, CAST(i - 1 AS INT) AS piece, t AS text FROM pieces", "M")
 def split_paragraphs(spark, sf_dir):
-    pairs = C.qa_pairs(kept(spark, sf_dir))
-    pairs = pairs.where(~F.exists(F.split("text", "\n\n"), lambda p: F.length(p) > 400))
-    return C.split_large(pairs, 400).select("file_path", "line_no", "text")
-
-
-@query()
-def split_paragraphs_whole(spark, sf_dir):
-    """Also of pairs that have a paragraph over the limit, which are split by words."""
+    """By paragraphs where each fits, else by words."""
     return C.split_large(C.qa_pairs(kept(spark, sf_dir)), 400).select("file_path", "line_no", "piece", "text")
 
 
@@ -256,44 +256,39 @@ def chunk_dedup(spark, sf_dir):
     return C.dedup(docs).select("doc_id", F.length("text").cast("bigint").alias("size"))
 
 
-PIPE = f"""{QA}, {SEGS[len(KEPT) + 2:]}, {CODE.replace("FROM m)", "FROM f AS m)")}, {TOOLS},
-u AS (SELECT file_path, text, 'qa_pair' AS chunk_type, 1 AS r, line_no * 1000 AS o FROM qa WHERE length(text) BETWEEN 100 AND 2000
-UNION ALL SELECT file_path, text, 'context_segment', 2, line_no * 1000 FROM g WHERE message_count >= 3 AND length(text) BETWEEN 100 AND 2000
-UNION ALL SELECT file_path, text, 'code_block', 3, line_no * 1000 + block_no FROM cc
-UNION ALL SELECT file_path, text, 'tool_usage', 4, line_no * 1000 FROM tc WHERE length(text) >= 100),
+PIPE = f"""{QA}, {SEGS[len(KEPT) + 2:]}, {CODE.replace("FROM m)", "FROM f AS m)")}, {TOOLS}, {pieces("qa", 2000)},
+u AS (SELECT file_path, text, 'qa_pair' AS chunk_type, 1 AS r, line_no * 1000 AS o, uuids, 'user,assistant' AS roles, CAST(NULL AS VARCHAR) AS language, CAST(NULL AS BIGINT) AS code_lines, CAST(NULL AS VARCHAR) AS tools FROM qa WHERE length(text) BETWEEN 100 AND 2000
+UNION ALL SELECT file_path, t, 'qa_pair_split', 1, line_no * 1000 + i - 1, uuids, 'user,assistant', NULL, NULL, NULL FROM pieces
+UNION ALL SELECT file_path, text, 'context_segment', 2, line_no * 1000, uuids, roles, NULL, NULL, NULL FROM g WHERE message_count >= 3 AND length(text) BETWEEN 100 AND 2000
+UNION ALL SELECT file_path, text, 'code_block', 3, line_no * 1000 + block_no, f.uuid, f.role, language, code_lines, NULL FROM cc JOIN f USING (file_path, line_no)
+UNION ALL SELECT file_path, text, 'tool_usage', 4, line_no * 1000, f.uuid, f.role, NULL, NULL, f.tool_name FROM tc JOIN f USING (file_path, line_no) WHERE length(text) >= 100),
 d AS (SELECT *, row_number() OVER (PARTITION BY file_path, text ORDER BY r, o) AS k FROM u)"""
 
 
-@query(rf"WITH {PIPE} SELECT file_path, chunk_type, CAST(length(text) AS BIGINT) AS char_count, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS word_count, 'chunk_' || substr(sha256(file_path || chr(1) || chunk_type || chr(1) || CAST(o AS VARCHAR) || chr(1) || text), 1, 16) AS id FROM d WHERE k = 1", "M")
+@query(rf"WITH {PIPE} SELECT file_path, chunk_type, CAST(length(text) AS BIGINT) AS char_count, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS word_count, uuids, roles, language, CAST(code_lines AS BIGINT) AS code_lines, tools, 'chunk_' || substr(sha256(file_path || chr(1) || chunk_type || chr(1) || CAST(o AS VARCHAR) || chr(1) || text), 1, 16) AS id FROM d WHERE k = 1", "M")
 def chunk_pipeline(spark, sf_dir):
-    """Over conversations whose pairs are no longer than a chunk; split_words and split_paragraphs cover the others."""
-    return C.chunked(X.messages(spark, sf_dir)).where("chunk_type <> 'qa_pair_split'").select("file_path", "chunk_type", "char_count", "word_count", "id")
-
-
-@query()
-def chunk_pipeline_whole(spark, sf_dir):
-    """All chunk types, so that pairs longer than a chunk are there too."""
-    return C.chunked(X.messages(spark, sf_dir)).select("file_path", "chunk_type", "char_count", "word_count", "id")
+    listed = [F.array_join(c, ",").alias(name) for c, name in (("message_uuids", "uuids"), ("roles", "roles"), ("tools_used", "tools"))]
+    return C.chunked(X.messages(spark, sf_dir)).select("file_path", "chunk_type", "char_count", "word_count", "id", "language", "code_lines", *listed)
 
 
 @query("SELECT chunk_type, grouping(chunk_type) AS is_total, count(*) AS n_chunks, CAST(sum(char_count) AS BIGINT) AS total_chars, CAST(sum(word_count) AS BIGINT) AS total_words, round(avg(char_count), 6) AS avg_chars, round(avg(word_count), 6) AS avg_words FROM k GROUP BY ROLLUP (chunk_type)", "K")
-def chunk_stats(spark, sf_dir, chunks=X.chunks):
-    return C.chunk_stats(chunks(spark, sf_dir))
+def chunk_stats(spark, sf_dir):
+    return C.chunk_stats(X.chunks(spark, sf_dir))
 
 
 @query("SELECT chunk_type, count(*) AS n FROM k GROUP BY chunk_type", "K")
-def chunk_type_histogram(spark, sf_dir, chunks=X.chunks):
-    return L.type_counts(chunks(spark, sf_dir))
+def chunk_type_histogram(spark, sf_dir):
+    return L.type_counts(X.chunks(spark, sf_dir))
 
 
-@query("SELECT count(*) AS total_chunks, count(DISTINCT session_id) AS total_sessions, count(DISTINCT project_name) AS total_projects, CAST(max(len(embedding)) AS BIGINT) AS dimension FROM k", "K")
-def index_stats(spark, sf_dir, chunks=X.chunks):
-    return L.index_stats(chunks(spark, sf_dir))
+@query("SELECT count(*) AS total_chunks, count(DISTINCT session_id) AS total_sessions, count(DISTINCT project_name) AS total_projects, CAST(max(len(embedding)) AS BIGINT) AS dimension, 'flat' AS index_type FROM k", "K")
+def index_stats(spark, sf_dir):
+    return L.index_stats(X.chunks(spark, sf_dir))
 
 
 @query("SELECT DISTINCT project_name FROM k WHERE project_name IS NOT NULL AND project_name <> ''", "K")
-def project_list(spark, sf_dir, chunks=X.chunks):
-    return L.projects(chunks(spark, sf_dir))
+def project_list(spark, sf_dir):
+    return L.projects(X.chunks(spark, sf_dir))
 
 
 @query("SELECT file_path, min(session_id) AS session_id, min(project_name) AS project_name, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS total_messages, bool_or(has_tools) AS has_tool_usage, bool_or(has_code) AS has_code_blocks FROM m GROUP BY file_path", "M")
@@ -302,84 +297,84 @@ def conversation_summary(spark, sf_dir):
 
 
 @query("SELECT id, text, chunk_type FROM k WHERE id = 'chunk_000007'", "K")
-def chunk_by_id(spark, sf_dir, chunks=X.chunks):
-    return L.by_id(chunks(spark, sf_dir), "chunk_000007").select("id", "text", "chunk_type")
+def chunk_by_id(spark, sf_dir):
+    return L.by_id(X.chunks(spark, sf_dir), "chunk_000007").select("id", "text", "chunk_type")
 
 
 @query("SELECT id, ts FROM k WHERE session_id = 'session_3'", "K")
-def chunks_by_session(spark, sf_dir, chunks=X.chunks):
-    return L.by_session(chunks(spark, sf_dir), "session_3").select("id", "ts")
+def chunks_by_session(spark, sf_dir):
+    return L.by_session(X.chunks(spark, sf_dir), "session_3").select("id", "ts")
 
 
 @query("SELECT id, ts FROM k WHERE project_name = 'Gamma'", "K")
-def chunks_by_project(spark, sf_dir, chunks=X.chunks):
-    return L.by_project(chunks(spark, sf_dir), "Gamma").select("id", "ts")
+def chunks_by_project(spark, sf_dir):
+    return L.by_project(X.chunks(spark, sf_dir), "Gamma").select("id", "ts")
 
 
 @query("SELECT id, ts, 1.0::DOUBLE AS similarity FROM k WHERE id <> 'chunk_000003' AND session_id = (SELECT session_id FROM k WHERE id = 'chunk_000003') ORDER BY ts, id LIMIT 10", "K")
-def related_same_session(spark, sf_dir, chunks=X.chunks):
-    return L.related_in_session(chunks(spark, sf_dir), "chunk_000003").select("id", "ts", "similarity")
+def related_same_session(spark, sf_dir):
+    return L.related_in_session(X.chunks(spark, sf_dir), "chunk_000003").select("id", "ts", "similarity")
 
 
 SIM3 = "round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM k WHERE id = 'chunk_000003')), 6)"
 
 
 @query(f"SELECT id, {SIM3} AS similarity FROM k WHERE session_id = 'session_3' AND {SIM3} >= 0 ORDER BY similarity DESC, id LIMIT 10", "K")
-def related_semantic(spark, sf_dir, chunks=X.chunks):
-    k = chunks(spark, sf_dir)
+def related_semantic(spark, sf_dir):
+    k = X.chunks(spark, sf_dir)
     return V.search(k, vector_of(k, "id = 'chunk_000003'"), {"session_id": "session_3"}).select("id", "similarity")
 
 
-def results(spark, sf_dir, chunks=X.chunks):
-    return V.search(chunks(spark, sf_dir), first_vector(spark, sf_dir))
+def results(spark, sf_dir):
+    return V.search(X.chunks(spark, sf_dir), first_vector(spark, sf_dir))
 
 
 PAGE = f"page AS (SELECT *, {SIM} AS similarity FROM k ORDER BY similarity DESC, id LIMIT 10)"
 
 
 @query(f"WITH {PAGE} SELECT id, similarity, coalesce(project_name, 'unknown') AS project_name, coalesce(session_id, 'unknown') AS session_id, has_code FROM page", "K")
-def result_rows(spark, sf_dir, chunks=X.chunks):
-    return L.display(results(spark, sf_dir, chunks)).select("id", "similarity", "project_name", "session_id", "has_code")
+def result_rows(spark, sf_dir):
+    return L.display(results(spark, sf_dir)).select("id", "similarity", "project_name", "session_id", "has_code")
 
 
 @query(f"WITH {PAGE} SELECT id AS uid, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS title, 'Project: ' || coalesce(project_name, 'unknown') || ' | Similarity: ' || printf('%.3f', similarity) AS subtitle FROM page", "K")
-def json_results(spark, sf_dir, chunks=X.chunks):
-    return L.json_items(results(spark, sf_dir, chunks)).select("uid", "title", "subtitle")
+def json_results(spark, sf_dir):
+    return L.json_items(results(spark, sf_dir)).select("uid", "title", "subtitle")
 
 
 @query(f"WITH {PAGE} SELECT id, printf('%.3f', similarity) AS similarity, substr(text, 1, 200) || '...' AS body FROM page", "K")
-def text_results(spark, sf_dir, chunks=X.chunks):
-    return L.text_lines(results(spark, sf_dir, chunks))
+def text_results(spark, sf_dir):
+    return L.text_lines(results(spark, sf_dir))
 
 
 @query(f"WITH {PAGE} SELECT id, '**Project:** ' || coalesce(project_name, 'unknown') || chr(10) || '**Similarity:** ' || printf('%.3f', similarity) AS head, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS body FROM page", "K")
-def markdown_results(spark, sf_dir, chunks=X.chunks):
-    return L.markdown(results(spark, sf_dir, chunks))
+def markdown_results(spark, sf_dir):
+    return L.markdown(results(spark, sf_dir))
 
 
 NEW = "n AS (SELECT id, 'new ' || chunk_type AS chunk_type, message_count + 10 AS message_count FROM k WHERE vec_id % 3 = 0 UNION ALL SELECT 'extra_' || id, chunk_type, message_count FROM k WHERE vec_id % 10 = 0)"
 
 
 @query(f"WITH {NEW} SELECT id, chunk_type, message_count FROM n UNION ALL SELECT id, chunk_type, message_count FROM k WHERE id NOT IN (SELECT id FROM n)", "K")
-def upsert(spark, sf_dir, chunks=X.chunks):
-    k = chunks(spark, sf_dir).select("id", "vec_id", "chunk_type", "message_count")
+def upsert(spark, sf_dir):
+    k = X.chunks(spark, sf_dir).select("id", "vec_id", "chunk_type", "message_count")
     new = k.where("vec_id % 3 = 0").selectExpr("id", "'new ' || chunk_type AS chunk_type", "message_count + 10 AS message_count").union(k.where("vec_id % 10 = 0").selectExpr("'extra_' || id", "chunk_type", "message_count"))
     return store.upserted(k.drop("vec_id"), new, "id")
 
 
 @query("SELECT id FROM k WHERE session_id IS DISTINCT FROM 'session_3'", "K")
-def delete_by_session(spark, sf_dir, chunks=X.chunks):
-    return store.without(chunks(spark, sf_dir), F.col("session_id") == "session_3").select("id")
+def delete_by_session(spark, sf_dir):
+    return store.without(X.chunks(spark, sf_dir), F.col("session_id") == "session_3").select("id")
 
 
 @query("SELECT id FROM k WHERE file_path <> '/corpus/f7.jsonl'", "K")
-def delete_by_file(spark, sf_dir, chunks=X.chunks):
-    return store.without(chunks(spark, sf_dir), F.col("file_path") == "/corpus/f7.jsonl").select("id")
+def delete_by_file(spark, sf_dir):
+    return store.without(X.chunks(spark, sf_dir), F.col("file_path") == "/corpus/f7.jsonl").select("id")
 
 
 @query("WITH l AS (SELECT file_path AS path, max(ts) AS t FROM k GROUP BY 1), f AS (SELECT path, t - CASE WHEN length(path) % 2 = 0 THEN INTERVAL '1' HOUR ELSE INTERVAL '0' HOUR END AS t FROM l WHERE path <> '/corpus/f5.jsonl') SELECT l.path FROM l LEFT JOIN f USING (path) WHERE f.t IS NULL OR l.t > f.t", "K")
-def incremental_changed_files(spark, sf_dir, chunks=X.chunks):
-    listed = chunks(spark, sf_dir).groupBy(F.col("file_path").alias("path")).agg(F.max("ts").alias("modified"))
+def incremental_changed_files(spark, sf_dir):
+    listed = X.chunks(spark, sf_dir).groupBy(F.col("file_path").alias("path")).agg(F.max("ts").alias("modified"))
     known = listed.where("path <> '/corpus/f5.jsonl'").selectExpr("path", "modified - CASE WHEN length(path) % 2 = 0 THEN INTERVAL '1' HOUR ELSE INTERVAL '0' HOUR END AS last_modified")
     return store.changed(listed, known).select("path")
 

@@ -1,7 +1,6 @@
 """Views that give the driver's tables the shape of parsed messages and indexed chunks, in both SQL dialects.
 
-CHUNKS has a row for each embedding, with the first 400 characters of one of 200 documents. WHOLE_CHUNKS has every row
-of documents and of embeddings, and whole texts.
+CHUNKS has every row of documents and of embeddings, and whole texts.
 """
 
 from __future__ import annotations
@@ -24,21 +23,8 @@ SELECT '/corpus/project_'||CAST(conv_id % 7 AS STRING)||'/session_'||CAST(conv_i
  CASE WHEN role='assistant' AND turn % 8 = 3 THEN 'ok '||CAST(turn AS STRING) END AS tool_output
 FROM conversations
 """
-CHUNKS = r"""
-SELECT 'chunk_'||lpad(CAST(e.vec_id AS STRING),6,'0') AS id, e.vec_id, substr(d.text,1,400) AS text,
- CASE e.vec_id % 5 WHEN 0 THEN 'qa_pair' WHEN 1 THEN 'qa_pair_split' WHEN 2 THEN 'context_segment' WHEN 3 THEN 'code_block' ELSE 'tool_usage' END AS chunk_type,
- CASE WHEN e.vec_id % 50 <> 49 THEN 'session_'||CAST(e.vec_id % 25 AS STRING) END AS session_id,
- CASE WHEN e.vec_id % 40 = 39 THEN NULL WHEN e.vec_id % 40 = 38 THEN '' ELSE CASE e.label % 4 WHEN 0 THEN 'team-Alpha-Engine' WHEN 1 THEN 'team-alpha-engine-v2' WHEN 2 THEN 'beta_100%' ELSE 'Gamma' END END AS project_name,
- '/corpus/f'||CAST(e.vec_id % 30 AS STRING)||'.jsonl' AS file_path,
- CAST('2024-01-01 00:00:00' AS {TS}) + INTERVAL '1' HOUR * CAST(e.vec_id AS INT) AS ts,
- e.vec_id % 3 = 0 AS has_code, e.vec_id % 4 = 0 AS has_tools, CAST(e.vec_id % 3 + 1 AS BIGINT) AS message_count,
- CAST(length(substr(d.text,1,400)) AS BIGINT) AS char_count,
- CAST(length(substr(d.text,1,400)) - length(replace(substr(d.text,1,400),' ','')) + 1 AS BIGINT) AS word_count,
- e.embedding
-FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id % 200
-"""
 # every document meets an embedding and every embedding a document, the smaller table's rows serving more than once
-WHOLE_CHUNKS = r"""
+CHUNKS = r"""
 SELECT 'chunk_'||CASE WHEN n < 1000000 THEN lpad(CAST(n AS STRING),6,'0') ELSE CAST(n AS STRING) END AS id, n AS vec_id, text,
  CASE n % 5 WHEN 0 THEN 'qa_pair' WHEN 1 THEN 'qa_pair_split' WHEN 2 THEN 'context_segment' WHEN 3 THEN 'code_block' ELSE 'tool_usage' END AS chunk_type,
  CASE WHEN n % 50 <> 49 THEN 'session_'||CAST(n % 25 AS STRING) END AS session_id,
@@ -71,10 +57,5 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, CHUNKS, ["embeddings", "documents"])
 
 
-def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, WHOLE_CHUNKS, ["embeddings", "documents"])
-
-
 M = "m0 AS (" + MESSAGES.replace("{TS}", "TIMESTAMP") + "), m AS (SELECT *, contains(content, '`') AS has_code, tool_name IS NOT NULL AS has_tools FROM m0)"
 K = "k AS (" + CHUNKS.replace("{TS}", "TIMESTAMP") + ")"
-W = "k AS (" + WHOLE_CHUNKS.replace("{TS}", "TIMESTAMP") + ")"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 MESSAGES = "file_path string, line_no int, session_id string, project_name string, uuid string, parent_uuid string, role string, content string, ts timestamp_ntz, tool_calls array<struct<name:string,input:string>>, tool_results array<struct<output:string>>, has_code boolean"
-CHUNKS = "id string, text string, chunk_type string, strategy_rank int, ordinal bigint, session_id string, project_name string, file_path string, ts timestamp_ntz, message_count bigint, has_code boolean, has_tools boolean, char_count bigint, word_count bigint, embedding array<float>"
+CHUNKS = "id string, text string, chunk_type string, strategy_rank int, ordinal bigint, session_id string, project_name string, file_path string, ts timestamp_ntz, message_count bigint, has_code boolean, has_tools boolean, char_count bigint, word_count bigint, message_uuids array<string>, roles array<string>, language string, code_lines bigint, tools_used array<string>, has_results boolean, embedding array<float>"
 FILES = "path string, last_modified timestamp, last_indexed timestamp, chunk_count bigint"
 
 

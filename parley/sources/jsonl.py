@@ -7,6 +7,7 @@ path; no schema is inferred. Lines that are blank or no JSON object are left out
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions.text import has_code
@@ -18,17 +19,40 @@ SESSION_KEYS = ["sessionId", "session_id", "conversation_id", "thread_id"]
 MILLISECONDS_ABOVE = 10_000_000_000
 
 
-def scan(spark: SparkSession, path: str, pattern: str = "*.jsonl", recursive: bool = True) -> DataFrame:
-    """(line, file_path, line_no, modified): the lines of all matching files; a file is read by one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    lines = F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line_no", "line")
-    return files.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified"), lines).where(F.trim("line") != "")
+def _files(spark: SparkSession, kind: str, paths: str | list[str], pattern: str, recursive: bool) -> DataFrame:
+    reader = spark.read.format(kind).option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    # a file that goes between listing and reading is no error of the others
+    return reader.option("ignoreMissingFiles", "true").load(paths)
+
+
+def _name() -> Column:
+    """The file's path as it is written, not as a URL."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def scan(spark: SparkSession, paths: str | list[str], pattern: str = "*.jsonl", recursive: bool = True) -> DataFrame:
+    """(line, file_path, modified, block, at): the lines of all matching files. Files are split among tasks; block and at
+    order the lines of a file. Blank lines are left out; a line that is not UTF-8 is null."""
+    lines = _files(spark, "text", paths, pattern, recursive)
+    line = F.when(F.is_valid_utf8("value"), F.col("value")).alias("line")
+    out = lines.select(line, _name().alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return out.where("line IS NULL OR trim(line) <> ''")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """lines of `scan` with line_no, from 0 in each file."""
+    by = W.partitionBy("file_path").orderBy("block", "at")
+    return lines.withColumn("line_no", F.row_number().over(by) - 1).drop("block", "at")
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*.jsonl", recursive: bool = True) -> DataFrame:
     """(path, modified) of all matching files, without reading them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.select("path", F.col("modificationTime").alias("modified"))
+    return _files(spark, "binaryFile", path, pattern, recursive).select(_name().alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
+
+
+def library(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all logs of a folder, whichever of the two endings they have."""
+    return scan(spark, path, "*.{jsonl,json}")
 
 
 def project_name(path: Column) -> Column:
@@ -77,28 +101,33 @@ def _calls(v: Column, many: list[str], one: list[str], name: str, shape: str) ->
     return F.concat(lists, F.when(single.isNotNull(), F.array(single)).otherwise(F.array().cast(f"array<{shape}>")))
 
 
-def messages(lines: DataFrame, run_time: Column | None = None) -> DataFrame:
-    """Messages of lines(line, file_path, line_no, ...). A message without a time takes run_time, one for all."""
+def messages(lines: DataFrame, run_time: Column | None = None, keep_bad: bool = False) -> DataFrame:
+    """Messages of lines(line, file_path, line_no, ...). A message without a time takes run_time, one for all.
+    keep_bad: lines that are no JSON object are there too, with `bad` set and only their file and number."""
     now = F.current_timestamp().cast("timestamp_ntz") if run_time is None else run_time
     v = F.col("v")
-    rows = lines.withColumn("v", F.try_parse_json("line")).where("v IS NOT NULL").where(_kind(v) == "OBJECT")
+    # parsed inside a generator, which the optimizer keeps apart from what reads v: one parse a line
+    rows = lines.select("*", F.explode_outer(F.array(F.try_parse_json("line"))).alias("v"))
+    rows = rows.withColumn("bad", F.coalesce(_kind(v) != "OBJECT", F.lit(True)))
+    if not keep_bad:
+        rows = rows.where("NOT bad")
     nested = _text(_get(_get(v, "message"), "content"))
     content = F.coalesce(nested, _first(v, CONTENT_KEYS, _text), F.lit(""))
     role = F.when(_kind(_get(v, "message")) == "OBJECT", F.coalesce(_get(_get(v, "message"), "role", "string"), F.lit("unknown"))).otherwise(F.coalesce(_get(v, "role", "string"), F.lit("unknown")))
     session = F.coalesce(*[_get(v, k, "string") for k in SESSION_KEYS])
     out = rows.select(
         "file_path", "line_no", session.alias("session_id"), project_name(F.col("file_path")).alias("project_name"), _get(v, "uuid", "string").alias("uuid"), _get(v, "parentUuid", "string").alias("parent_uuid"),
-        role.alias("role"), content.alias("content"), F.coalesce(_first(v, TIME_KEYS, _time), now).alias("ts"),
+        role.alias("role"), content.alias("content"), F.when(~F.col("bad"), F.coalesce(_first(v, TIME_KEYS, _time), now)).alias("ts"),
         _calls(v, ["tool_calls", "toolCalls"], ["function_call", "functionCall"], "name", "struct<name:string,input:string>").alias("tool_calls"),
         _calls(v, ["tool_results"], ["function_result"], "output", "struct<output:string>").alias("tool_results"),
-        F.col("line").alias("record"),
+        F.col("line").alias("record"), *(["bad"] if keep_bad else []),
     )
     return out.withColumn("has_code", has_code(F.col("content"))).withColumn("has_tools", (F.size("tool_calls") > 0) | (F.size("tool_results") > 0))
 
 
 def with_file_sessions(rows: DataFrame) -> DataFrame:
     """Messages with their file's session: the first that a line names, else one from the file's first time."""
-    named = rows.groupBy("file_path").agg(F.min_by("session_id", F.when(F.col("session_id").isNotNull(), F.col("line_no"))).alias("s"), F.min("ts").alias("t"))
-    session = F.coalesce("s", F.concat(F.lit("session_"), F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss")))
-    return rows.drop("session_id").join(named, "file_path").withColumn("session_id", session).drop("s", "t")
-
+    every = W.partitionBy("file_path")
+    named = F.min(F.when(F.col("session_id").isNotNull(), F.struct("line_no", "session_id"))).over(every)["session_id"]
+    made = F.concat(F.lit("session_"), F.date_format(F.min("ts").over(every), "yyyy-MM-dd'T'HH:mm:ss"))
+    return rows.withColumn("session_id", F.coalesce(named, made))

@@ -1,17 +1,24 @@
-"""The index on disk: versioned Parquet snapshots of chunks and file states.
+"""The index on disk: Parquet of chunks and file states in buckets, and a manifest that names what is current.
 
-A change writes a new version folder and then its number to a pointer; readers follow the pointer, so no path is
-overwritten while it is read, and a writer that dies leaves the last version in place. The folder may be on any file
-system that Spark reaches.
+A row is in the bucket of its file's path. A change writes the buckets that it touches into a new folder and then one
+manifest for chunks and files together; readers follow the newest manifest, so nothing is overwritten while it is read,
+a writer that dies leaves the last state in place, and of two writers of one version the second fails. The folder may
+be on any file system that Spark reaches.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.schema import CHUNKS, FILES
 
+SCHEMAS = {"chunks": CHUNKS, "files": FILES}
+PATHS = {"chunks": "file_path", "files": "path"}
+
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new put in by key."""
@@ -28,9 +35,25 @@ def changed(listed: DataFrame, known: DataFrame) -> DataFrame:
     return listed.join(known.select("path", "last_modified"), "path", "left").where("last_modified IS NULL OR modified > last_modified").select("path", "modified")
 
 
+def write_archive(chunks: DataFrame, folder: str) -> None:
+    """chunk_id, embedding, text and metadata (all other columns as JSON) of the chunks that have a vector."""
+    rest = [c for c in chunks.columns if c not in ("id", "embedding", "text")]
+    kept = chunks.where("embedding IS NOT NULL AND size(embedding) > 0")
+    kept.select(F.col("id").alias("chunk_id"), "embedding", "text", F.to_json(F.struct(*rest)).alias("metadata")).write.parquet(folder)
+
+
+def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of an archive."""
+    names = {f.name: f for f in spark.createDataFrame([], CHUNKS).schema}
+    rest = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in names.items() if n not in ("id", "embedding", "text"))
+    rows = spark.read.parquet(folder).select(F.col("chunk_id").alias("id"), "embedding", "text", F.from_json("metadata", rest).alias("m"))
+    return rows.select("id", "embedding", "text", "m.*").select(*names)
+
+
 class Store:
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        """buckets: of a new store; one that is there has its own number. More of them make a change rewrite less."""
+        self.spark, self.folder, self._buckets = spark, folder.rstrip("/"), buckets
 
     def __enter__(self) -> "Store":
         return self
@@ -38,72 +61,128 @@ class Store:
     def __exit__(self, *exc) -> None:
         pass
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-    def version(self, name: str) -> int:
-        """The current version, 0 if there is none: the largest one marked as complete."""
-        fs, p, _ = self._fs(f"{self.folder}/{name}")
-        if not fs.exists(p):
-            return 0
-        done = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max([int(n[2:]) for n in done if n.startswith("v=") and fs.exists(self._fs(f"{self.folder}/{name}/{n}/_SUCCESS")[1])], default=0)
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        v = self.version(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}/v={v}") if v else self.spark.createDataFrame([], schema)
-
-    def _write(self, name: str, df: DataFrame) -> None:
-        v = self.version(name)
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={v + 1}")
-        for old in range(max(1, v - 1), v):
-            fs, p, _ = self._fs(f"{self.folder}/{name}/v={old}")
-            fs.delete(p, True)
+    def _path(self, path: str):
+        """(file system, path) of the cluster's file API."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _versions(self) -> list[int]:
+        fs, p = self._path(f"{self.folder}/manifest")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def version(self) -> int:
+        """The current version, 0 if there is none."""
+        return max(self._versions(), default=0)
+
+    def manifest(self, version: int | None = None) -> dict:
+        """buckets, and for chunks and files the folder of each bucket that has rows."""
+        v = self.version() if version is None else version
+        if not v:
+            return {"buckets": self._buckets, "chunks": {}, "files": {}}
+        return json.loads(self.spark.read.text(f"{self.folder}/manifest/{v}.json", wholetext=True).first().value)
+
+    def _publish(self, manifest: dict) -> None:
+        """Puts the manifest in place under the next number, and drops data that the last two do not name."""
+        v = self.version() + 1
+        fs, new = self._path(f"{self.folder}/manifest/.{uuid.uuid4().hex}")
+        out = fs.create(new, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        _, place = self._path(f"{self.folder}/manifest/{v}.json")
+        if fs.exists(place) or not fs.rename(new, place):
+            raise RuntimeError(f"another writer has made version {v}")
+        for old in self._versions()[:-2]:
+            fs.delete(self._path(f"{self.folder}/manifest/{old}.json")[1], False)
+        used = {f.rsplit("/", 1)[0] for k in self._versions() for m in [self.manifest(k)] for name in SCHEMAS for f in m[name].values()}
+        _, data = self._path(f"{self.folder}/data")
+        for s in fs.listStatus(data) if fs.exists(data) else []:
+            if f"data/{s.getPath().getName()}" not in used:
+                fs.delete(s.getPath(), True)
+
+    def _read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        found = self.manifest()[name]
+        paths = [f"{self.folder}/{f}" for b, f in found.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
+
+    def _bucket(self, name: str, manifest: dict) -> Column:
+        return F.pmod(F.xxhash64(F.coalesce(PATHS[name], F.lit(""))), F.lit(manifest["buckets"])).cast("int")
+
+    def _touched(self, name: str, rows: DataFrame) -> list[int]:
+        return [r.b for r in rows.select(self._bucket(name, self.manifest()).alias("b")).distinct().collect()]  # at most one row a bucket
+
+    def _written(self, manifest: dict, name: str, rows: DataFrame, touched: list[int] | None, order: list[str] = ()) -> dict:
+        """manifest with the rows as all that the touched buckets (None: all) hold."""
+        folder = f"data/{uuid.uuid4().hex}"
+        cols = [f.name for f in self.spark.createDataFrame([], SCHEMAS[name]).schema if f.name in rows.columns]
+        out = rows.select(*cols, self._bucket(name, manifest).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket", *order)
+        out.write.partitionBy("bucket").parquet(f"{self.folder}/{folder}")
+        fs, p = self._path(f"{self.folder}/{folder}")
+        made = [s.getPath().getName() for s in fs.listStatus(p)]
+        kept = {} if touched is None else {b: f for b, f in manifest[name].items() if int(b) not in touched}
+        return manifest | {name: kept | {n[7:]: f"{folder}/{n}" for n in made if n.startswith("bucket=")}}
 
     def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS)
+        return self._read("chunks")
 
     def files(self) -> DataFrame:
-        return self._read("files", FILES)
+        return self._read("files")
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        """df written to the store's folder and read again, so that it is made once; `unstage` drops all of these."""
+        path = f"{self.folder}/staging/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def unstage(self) -> None:
+        fs, p = self._path(f"{self.folder}/staging")
+        fs.delete(p, True)
 
     def add(self, chunks: DataFrame) -> None:
         """Upserts chunks by id; those without a vector are left out."""
-        self._write("chunks", upserted(self.chunks(), chunks.where("embedding IS NOT NULL"), "id"))
+        new = chunks.where("embedding IS NOT NULL")
+        touched = sorted({*self._touched("chunks", new), *self._touched("chunks", self.chunks().join(new.select("id"), "id", "left_semi"))})
+        self._publish(self._written(self.manifest(), "chunks", upserted(self._read("chunks", touched), new, "id"), touched))
 
     def delete(self, gone: Column) -> int:
         """Deletes chunks; gives their number."""
         n = self.chunks().where(gone).count()
         if n:
-            self._write("chunks", without(self.chunks(), gone))
+            touched = self._touched("chunks", self.chunks().where(gone))
+            self._publish(self._written(self.manifest(), "chunks", without(self._read("chunks", touched), gone), touched))
         return n
 
-    def replace_files(self, chunks: DataFrame, states: DataFrame) -> None:
-        """Puts the chunks of re-read files in place of what the store has of them, then notes the files' states."""
-        kept = self.chunks().join(states.select(F.col("path").alias("file_path")), "file_path", "left_anti")
-        self._write("chunks", kept.unionByName(chunks, allowMissingColumns=True))
-        self._write("files", upserted(self.files(), states, "path"))
+    def replace_files(self, chunks: DataFrame, states: DataFrame) -> int:
+        """Puts the chunks of re-read files in place of what the store has of them, and notes the files' states with
+        them; gives the number of chunks that went."""
+        touched = self._touched("files", states)
+        paths = states.select(F.col("path").alias("file_path"))
+        old = self._read("chunks", touched)
+        removed = old.join(paths, "file_path", "left_semi").count()
+        now = self._written(self.manifest(), "chunks", old.join(paths, "file_path", "left_anti").unionByName(chunks, allowMissingColumns=True), touched)
+        self._publish(self._written(now, "files", upserted(self._read("files", touched), states, "path"), touched))
+        return removed
 
     def clear(self) -> None:
-        for name, schema in (("chunks", CHUNKS), ("files", FILES)):
-            self._write(name, self.spark.createDataFrame([], schema))
+        self._publish(self.manifest() | {name: {} for name in SCHEMAS})
 
-    def optimize(self, files: int = 1) -> None:
-        """Rewrites the chunks as few files, sorted by project and time so that filters prune them."""
-        self._write("chunks", self.chunks().repartitionByRange(files, "project_name", "ts").sortWithinPartitions("project_name", "ts"))
+    def optimize(self) -> None:
+        """Rewrites each bucket of chunks as one file, sorted by project and time so that filters skip row groups."""
+        self._publish(self._written(self.manifest(), "chunks", self.chunks(), None, ["project_name", "ts"]))
 
     def backup(self, folder: str) -> None:
-        self.chunks().write.mode("overwrite").parquet(f"{folder}/chunks")
-        self.files().write.mode("overwrite").parquet(f"{folder}/files")
+        for name in SCHEMAS:
+            self._read(name).write.mode("overwrite").parquet(f"{folder}/{name}")
 
     def restore(self, folder: str) -> None:
         """Puts back what the backup has; either part may be missing."""
-        for name in ("chunks", "files"):
-            fs, p, _ = self._fs(f"{folder}/{name}")
+        now = self.manifest()
+        for name, schema in SCHEMAS.items():
+            fs, p = self._path(f"{folder}/{name}")
             if fs.exists(p):
-                self._write(name, self.spark.read.parquet(f"{folder}/{name}"))
+                now = self._written(now, name, self.spark.read.schema(schema).parquet(f"{folder}/{name}"), None)
+        self._publish(now)
 
     def size_bytes(self, name: str) -> int:
-        fs, p, _ = self._fs(f"{self.folder}/{name}/v={self.version(name)}")
-        return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+        found = [self._path(f"{self.folder}/{f}") for f in self.manifest()[name].values()]
+        return sum(fs.getContentSummary(p).getLength() for fs, p in found)

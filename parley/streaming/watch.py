@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass, field
 
@@ -18,49 +19,84 @@ from parley.sources.store import Store, changed
 
 @dataclass
 class Run:
-    """Counters of an indexing run."""
+    """Counters of an indexing run. Files without a chunk are skipped; an error names a file that could not be read."""
 
     files_listed: int = 0
     files_processed: int = 0
     files_unchanged: int = 0
+    files_skipped: int = 0
     chunks: int = 0
+    chunks_removed: int = 0
+    bad_lines: int = 0
     errors: list[str] = field(default_factory=list)
     seconds: float = 0.0
 
+    def first_errors(self, n: int = 3) -> list[str]:
+        """What a report shows: the first errors, and how many more there are."""
+        more = len(self.errors) - n
+        return self.errors[:n] + ([f"... and {more} more"] if more > 0 else [])
 
-def index(spark: SparkSession, path: str, store: Store, encoder: Encoder | None = None, config: Chunking = Chunking(), pattern: str = "*.jsonl", recursive: bool = True, force: bool = False) -> Run:
+
+def index(spark: SparkSession, path: str, store: Store, encoder: Encoder | None = None, config: Chunking = Chunking(), pattern: str = "*.jsonl", recursive: bool = True, force: bool = False, signs: list[str] = ()) -> Run:
     """Reads files that are new or changed since the store noted them, and replaces their chunks. Files without chunks
-    are noted too, so they are not read again."""
+    are noted too, so they are not read again. Lines that are no JSON are left out and counted; when a file cannot be
+    read, the others are indexed without it, and it is tried once more before it is an error. signs: more of what marks
+    a message as a hook's."""
     began, run = time.time(), Run()
     if force:
         store.clear()
-    listed = jsonl.listing(spark, path, pattern, recursive)
-    todo = changed(listed, store.files()).cache()
-    run.files_listed, run.files_processed = listed.count(), todo.count()
-    run.files_unchanged = run.files_listed - run.files_processed
-    if run.files_processed:
-        lines = jsonl.scan(spark, path, pattern, recursive).join(todo.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-        rows = chunked(jsonl.with_file_sessions(jsonl.messages(lines)), config)
-        rows = rows.withColumn("embedding", embed(F.col("text"), encoder or HashingEncoder())).cache()
-        counts = rows.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunk_count"))
-        states = todo.join(counts, "path", "left").select("path", F.col("modified").alias("last_modified"), F.current_timestamp().alias("last_indexed"), F.coalesce("chunk_count", F.lit(0)).cast("bigint").alias("chunk_count")).cache()
-        run.chunks = rows.count()
-        store.replace_files(rows, states)
-        for df in (rows, states):
-            df.unpersist()
-    todo.unpersist()
+    listed = store.staged(jsonl.listing(spark, path, pattern, recursive))
+    todo = store.staged(changed(listed, store.files()))
+    run.files_listed, many = listed.count(), todo.count()
+    run.files_unchanged = run.files_listed - many
+    try:
+        if many:
+            # all files: the folder is read; else the changed ones by name (the driver lists them in any case)
+            every = many == run.files_listed
+            _read(spark, store, run, todo, path if every else None, pattern, recursive, encoder or HashingEncoder(), config, signs)
+    finally:
+        store.unstage()
     run.seconds = time.time() - began
     return run
 
 
-def watch(spark: SparkSession, path: str, store: Store, every: str = "5 seconds", encoder: Encoder | None = None, config: Chunking = Chunking()) -> StreamingQuery:
+def _read(spark: SparkSession, store: Store, run: Run, todo: DataFrame, path: str | None, pattern: str, recursive: bool, encoder: Encoder, config: Chunking, signs: list[str]) -> None:
+    """Indexes the files of todo(path, modified); if that fails, each half of them, down to single files."""
+    try:
+        paths = path or [re.sub(r"([\[\]{}*?\\])", r"\\\1", r.path) for r in todo.select("path").collect()]
+        lines = jsonl.numbered(jsonl.scan(spark, paths, pattern, recursive))
+        staged = store.staged(jsonl.with_file_sessions(jsonl.messages(lines, keep_bad=True)))
+        rows = chunked(staged.where("NOT bad"), config, signs)
+        rows = store.staged(rows.withColumn("embedding", embed(F.col("text"), encoder)))
+        counts = rows.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunk_count"))
+        states = store.staged(todo.join(counts, "path", "left").select("path", F.col("modified").alias("last_modified"), F.current_timestamp().alias("last_indexed"), F.coalesce("chunk_count", F.lit(0)).cast("bigint").alias("chunk_count")))
+        removed = store.replace_files(rows, states)
+    except Exception as e:
+        names = sorted(todo.collect())
+        if len(names) == 1 and path is None:
+            run.errors.append(f"{names[0].path}: {str(e).splitlines()[0]}")
+            return
+        half = (len(names) + 1) // 2  # of one file all is tried again
+        for part in (names[:half], names[half:]):
+            if part:
+                _read(spark, store, run, spark.createDataFrame(part, todo.schema), None, pattern, recursive, encoder, config, signs)
+        return
+    sizes = states.agg(F.sum("chunk_count"), F.count("*"), F.count_if(F.col("chunk_count") == 0)).first()
+    run.chunks += sizes[0] or 0
+    run.files_processed += sizes[1]
+    run.files_skipped += sizes[2]
+    run.chunks_removed += removed
+    run.bad_lines += staged.where("bad").count()
+
+
+def watch(spark: SparkSession, path: str, store: Store, every: str = "5 seconds", encoder: Encoder | None = None, config: Chunking = Chunking(), signs: list[str] = ()) -> StreamingQuery:
     """Indexes changed files at a fixed cadence, which takes the place of a quiet period. The built-in file source does
     not read a file again when it grows, so a rate stream only gives the beat and each batch compares file times."""
     last: dict[str, str] = {}
 
     def batch(df: DataFrame, number: int) -> None:
         try:
-            index(df.sparkSession, path, store, encoder, config)
+            index(df.sparkSession, path, store, encoder, config, signs=signs)
             last.pop("error", None)
         except Exception as e:  # a batch that fails is tried again by the next one
             last["error"] = str(e)
@@ -70,6 +106,13 @@ def watch(spark: SparkSession, path: str, store: Store, every: str = "5 seconds"
     return query
 
 
+def stop(query: StreamingQuery, seconds: float = 10) -> bool:
+    """Ends a watch; false if it still runs after so many seconds."""
+    query.stop()
+    query.awaitTermination(int(seconds))
+    return not query.isActive
+
+
 def status(query: StreamingQuery) -> dict:
     return {"running": query.isActive, "status": query.status, "last": query.lastProgress, "errors": dict(getattr(query, "watch_errors", {}))}
 

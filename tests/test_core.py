@@ -1,10 +1,15 @@
+import collections
 import json
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from parley import __main__ as cli
+from parley import service
 from parley.engine import Engine
+from parley.functions import encoder
 from parley.functions import text as T
 from parley.operators import chunking as C
 from parley.operators import filters as FL
@@ -12,7 +17,7 @@ from parley.operators import lookups as L
 from parley.operators import vectors as V
 from parley.plans import catalogue
 from parley.schema import Chunking, Search
-from parley.sources import jsonl
+from parley.sources import jsonl, store
 from parley.sources.store import Store
 from parley.streaming import watch
 
@@ -80,9 +85,75 @@ def test_approximate_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     q = catalogue.first_vector(spark, "/root/testdata/sf0.001")
     exact = {r.vec_id for r in V.search(e, q, config=Search(threshold=-1), id_col="vec_id").collect()}
-    cells = V.CellIndex(e, 8)
-    assert len(exact & {r.vec_id for r in cells.search(q, 8, config=Search(threshold=-1), id_col="vec_id").collect()}) == 10
-    assert len(exact & {r.vec_id for r in V.lsh_neighbours(e, q, 20).collect()}) >= 5
+    assert len(exact & {r.vec_id for r in V.lsh_neighbours(e, q, 10).collect()}) >= 9
+
+
+def test_cell_index_recall_at_its_own_probes(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    built = V.CellIndex.build(e, f"file://{tmp_path}/index")
+    index = V.CellIndex(spark, f"file://{tmp_path}/index")
+    assert index.probes == built.probes <= len(index.centers) and len(index.centers) == 22
+    queries = e.where("vec_id % 20 = 3")
+    pairs = lambda df: {(r.query_id, r.id) for r in df.collect()}
+    exact, found = pairs(V.knn_join(queries, e, 10)), pairs(index.search_all(queries, 10))
+    assert len(exact) == 1000 and len(exact & found) >= 900
+    assert pairs(index.search_all(queries, 10, probes=22)) == exact
+    one = [float(x) for x in queries.where("vec_id = 3").first().embedding]
+    near = {r.vec_id for r in index.search(one, config=Search(threshold=-1, top_k=11), id_col="vec_id").collect()} - {3}
+    assert len(near & {i for q, i in exact if q == 3}) >= 8
+    plan = index.search(one, 1, id_col="vec_id")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell", "[cell") or "cell#" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_knn_join_on_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(40)] + [(50, None), (None, [1.0] * 5), (51, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = collections.defaultdict(list)
+    for r in sorted(V.knn_join(df, df, 3, block=7).collect(), key=lambda r: r.rank):
+        got[r.query_id].append(r.id)
+    x = {i: np.array(v, np.float32).astype(float) for i, v in rows if i is not None and v is not None}
+    cos = lambda a, b: round(float(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-300)), 6)
+    want = {q: sorted((i for i in x if i != q), key=lambda i: (-cos(x[q], x[i]), i))[:3] for q in x}
+    assert dict(got) == want
+    assert V.knn_join(df.limit(0), df).count() == 0 and V.knn_join(df, df.limit(0)).count() == 0
+
+
+def test_issues_archive_and_benchmark(spark, tmp_path):
+    df = spark.createDataFrame([("a", [1.0, 2.0], "x", 3), ("b", None, "y", 4), ("c", [1.0], "z", 5), ("d", [0.0, 1.0], None, None)], "id string, embedding array<float>, text string, word_count long")
+    assert {(r.id, r.issue) for r in V.issues(df).collect()} == {("b", "missing embedding"), ("c", "inconsistent embedding dimension")}
+    store.write_archive(df, f"{tmp_path}/archive")
+    back = {r.id: r for r in store.read_archive(spark, f"{tmp_path}/archive").collect()}
+    assert sorted(back) == ["a", "c", "d"] and back["a"].word_count == 3 and back["a"].embedding == [1.0, 2.0] and back["d"].text is None
+    e = encoder.encoder("hashing", dim=32)
+    out = encoder.benchmark(e, ["some text"] * 9)
+    assert list(out["batch_sizes"]) == [1, 4, 8] and out["dim"] == 32
+    with pytest.raises(ValueError):
+        encoder.encoder("none")
+    one = np.zeros(32)
+    for f in ("ab", "^ab", "ab$"):
+        h = zlib.crc32(f.encode())
+        one[h % 32] += 1 if h >> 31 else -1
+    assert np.allclose(e.encode(["AB", "", "AB ab"])[0], one / np.linalg.norm(one)) and not e.encode([""]).any() and e.encode([]).shape == (0, 32)
+
+
+def test_service_calls_and_commands(spark, tmp_path, capsys):
+    long = "word " * 30
+    write(tmp_path / "logs" / "proj", "a.jsonl", ["how do I sort a list " + long, "call sorted " + long])
+    data = f"{tmp_path}/store"
+    e = service.engine(spark, data)
+    assert e is service.engine(spark, data) and e.index(str(tmp_path / "logs")).chunks == 1
+    key = e.store.chunks().first().id
+    assert service.call(e, "search", {"query": "sort"}).startswith("1 results") and key in service.call(e, "chunk", {"chunk_id": key})
+    assert "- proj" in service.call(e, "projects") and "total_chunks: 1" in service.call(e, "stats") and "last_indexed" in service.call(e, "status")
+    for name, arguments, code in (("none", {}, service.UNKNOWN_CALL), ("chunk", {"chunk_id": "x"}, service.BAD_ARGUMENT), ("search", {"after": "x"}, service.BAD_ARGUMENT), ("search", {"no": 1}, service.BAD_ARGUMENT)):
+        with pytest.raises(service.CallError) as x:
+            service.call(e, name, arguments)
+        assert x.value.code == code
+    assert service.capabilities(spark)["cores"] == 4
+    assert cli.main([data, "search", "sort", "--after", "2024-13-01"]) == 1 and cli.main([data, "stop"]) == 0 and cli.main([data, "status"]) == 0
+    assert cli.main([data, "search", "sort", "--json"]) == 0
+    assert capsys.readouterr().out.count("not watching") == 2
 
 
 def write(path, name, texts, session="s1"):
@@ -139,7 +210,7 @@ def test_watch_batch_and_sessions(spark, tmp_path):
     import time
 
     for _ in range(60):
-        if Store(spark, f"file://{tmp_path}/st").version("files"):
+        if Store(spark, f"file://{tmp_path}/st").version():
             break
         time.sleep(1)
     state = watch.status(query)
@@ -149,6 +220,55 @@ def test_watch_batch_and_sessions(spark, tmp_path):
     assert watch.session_stream(ev).count() == catalogue.event_sessions(spark, "/root/testdata/sf0.001").count()
 
 
+def test_indexing_survives_bad_lines_and_files(spark, tmp_path):
+    logs, long = tmp_path / "logs" / "my proj+x", "word " * 30
+    write(logs, "a.jsonl", ["how do I sort a list " + long, "call sorted " + long])
+    with (logs / "a.jsonl").open("ab") as f:
+        f.write(b'\xff\xfe no text\n{"broken": \n[1]\n')
+    (logs / "b.jsonl").write_bytes(b"\xc3\x28\n")
+    (logs / "deep").mkdir()
+    write(logs / "deep", "c.jsonl", ["question " + long, "answer " + long], None)
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    run = engine.index(str(tmp_path / "logs"))
+    assert (run.files_listed, run.files_processed, run.files_skipped, run.chunks, run.bad_lines, run.errors) == (3, 3, 1, 2, 4, [])
+    found = {r.file_path.rsplit("/", 1)[1]: r for r in engine.store.chunks().collect()}
+    assert found["a.jsonl"].project_name == "my proj+x" and found["a.jsonl"].session_id == "s1" and found["c.jsonl"].session_id == "session_2024-01-15T10:00:00"
+    assert found["a.jsonl"].message_uuids == ["u0", "u1"] and found["a.jsonl"].roles == ["user", "assistant"] and found["a.jsonl"].language is None
+    again = engine.index(str(tmp_path / "logs"))
+    assert (again.files_processed, again.files_unchanged) == (0, 3)
+
+
+def test_a_file_that_cannot_be_read_is_an_error_of_its_own(spark, tmp_path, monkeypatch):
+    logs, long = tmp_path / "logs" / "p", "word " * 30
+    for name in ("a", "b", "c"):
+        write(logs, f"{name}.jsonl", [f"question {name} " + long, "answer " + long])
+    scan, tried = jsonl.scan, []
+
+    def scanned(spark, paths, *how):
+        tried.append(paths)
+        if isinstance(paths, str) or any(p.endswith("b.jsonl") for p in paths):
+            raise OSError("disk")
+        return scan(spark, paths, *how)
+
+    monkeypatch.setattr(jsonl, "scan", scanned)
+    run = watch.index(spark, str(tmp_path / "logs"), Store(spark, f"file://{tmp_path}/st"))
+    assert run.files_processed == 2 and len(run.errors) == 1 and run.errors[0].endswith("b.jsonl: disk")
+    assert sum(isinstance(t, list) and len(t) == 1 and t[0].endswith("b.jsonl") for t in tried) == 1 and run.first_errors(0) == ["... and 1 more"]
+
+
+def test_one_scan_and_one_parse(spark, tmp_path):
+    write(tmp_path / "p", "a.jsonl", ["q", "a"])
+    rows = jsonl.with_file_sessions(jsonl.messages(jsonl.numbered(jsonl.scan(spark, str(tmp_path)))))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.lower().count("parsejson") <= 2  # the node and its output's name
+
+
+def test_dates_are_checked():
+    for bad in ("2024-13-01", "tomorrow", "2024-1-5", "2024-02-30"):
+        with pytest.raises(ValueError, match="invalid date"):
+            FL.search_filters(after=bad)
+
+
 def test_json_document(spark):
     page = catalogue.results(spark, "/root/testdata/sf0.001")
     items = json.loads(L.json_document(page).first().json)["items"]
@@ -165,26 +285,25 @@ def test_whole_chunks_have_every_row_and_whole_texts(spark, tmp_path):
         folder = f"{tmp_path}/{docs}"
         spark.createDataFrame([(i, f"{i} " + "w " * 500) for i in range(docs)] + [(None, "no id")], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame([(i, [1.0, float(i)], i) for i in range(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
-        rows = catalogue.X.whole_chunks(spark, folder).collect()
+        rows = catalogue.X.chunks(spark, folder).collect()
         assert len(rows) == 8 and len({r.id for r in rows}) == 8
         assert {r.text for r in rows} == {f"{i} " + "w " * 500 for i in range(docs)} | {"no id", *([None] if docs < vectors else [])}  # with an id missing, one embedding of the 7 has no partner
         assert {r.embedding[1] for r in rows if r.embedding} == set(range(vectors))
         assert sum(r.char_count or 0 for r in rows) == sum(len(r.text or "") for r in rows)
     folder = "/root/testdata/sf0.001"
     texts = sorted(r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
-    assert sorted({r.text for r in catalogue.X.whole_chunks(spark, folder).collect()}) == sorted(set(texts))
+    assert sorted({r.text for r in catalogue.X.chunks(spark, folder).collect()}) == sorted(set(texts))
 
 
-def test_whole_chunk_pipeline_and_paragraphs_split_long_pairs(spark):
+def test_pieces_of_long_pairs_equal_python(spark):
     folder = "/root/testdata/sf0.01"
     pairs = C.qa_pairs(catalogue.kept(spark, folder)).select("file_path", "line_no", "text").collect()
     want = sorted((r.file_path, r.line_no, i, t) for r in pairs if len(r.text) > 400 for i, t in enumerate(greedy(r.text, 400)))
-    assert sorted(map(tuple, catalogue.QUERIES["split_paragraphs_whole"](spark, folder).collect())) == want
+    assert sorted(map(tuple, catalogue.QUERIES["split_paragraphs"](spark, folder).collect())) == want
     assert any(len(p) > 400 for r in pairs for p in r.text.split("\n\n"))
-    rows = catalogue.QUERIES["chunk_pipeline_whole"](spark, folder).collect()
+    rows = catalogue.QUERIES["chunk_pipeline"](spark, folder).collect()
     split = {(r.file_path, t) for r in pairs if len(r.text) > 2000 for t in greedy(r.text, 2000)}
     assert split and sorted((f, len(t)) for f, t in split) == sorted((r.file_path, r.char_count) for r in rows if r.chunk_type == "qa_pair_split")
-    assert sorted(map(tuple, catalogue.QUERIES["chunk_pipeline"](spark, folder).collect())) == sorted(tuple(r) for r in rows if r.chunk_type != "qa_pair_split")
 
 
 def test_similarity_blocks_equal_the_matrix(spark):
