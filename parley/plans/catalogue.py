@@ -92,11 +92,8 @@ def similarity_matrix(spark, sf_dir):
 @query()
 def cell_index_search(spark, sf_dir):
     """The ten nearest to each vector whose id is divisible by 100, by a stored index (no SQL: approximate)."""
-    import uuid
-
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/cells-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "embeddings")
-    return V.CellIndex.build(e, folder).search_all(e.where("vec_id % 100 = 0"))
+    return V.CellIndex.build(e, X.scratch(spark, "cells")).search_all(e.where("vec_id % 100 = 0"))
 
 
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 10 = 0 THEN 'missing embedding' ELSE 'inconsistent embedding dimension' END AS issue FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 10 = 1")

@@ -5,6 +5,8 @@ CHUNKS has every row of documents and of embeddings, and whole texts.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 MESSAGES = r"""
@@ -53,9 +55,30 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.selectExpr("*", "contains(content, '`') AS has_code", "tool_name IS NOT NULL AS has_tools", "CASE WHEN tool_name IS NOT NULL THEN array(named_struct('name', tool_name, 'input', tool_input)) END AS tool_calls", "CASE WHEN tool_output IS NOT NULL THEN array(named_struct('output', tool_output)) END AS tool_results")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; it goes when the driver's JVM ends."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/parley-{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def chunk_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, CHUNKS, ["embeddings", "documents"])
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view as an index has it: written once for a session and its folder, then read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = scratch(spark, "chunks")
+        chunk_view(spark, sf_dir).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 M = "m0 AS (" + MESSAGES.replace("{TS}", "TIMESTAMP") + "), m AS (SELECT *, contains(content, '`') AS has_code, tool_name IS NOT NULL AS has_tools FROM m0)"
 K = "k AS (" + CHUNKS.replace("{TS}", "TIMESTAMP") + ")"
