@@ -96,21 +96,21 @@ class ChunkTokenizer:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.slots, self.long = 0, {}
         # of each slot: its chunk's bytes in two numbers and their count, the hash of these, where its ids begin and how many
-        self.bytes = np.zeros((1 << 12, 3), np.uint64)
-        self.hash, self.first, self.size = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.low, self.high, self.hash = (np.zeros(1 << 12, np.uint64) for _ in range(3))
+        self.many, self.first, self.size = (np.zeros(1 << 12, np.int64) for _ in range(3))
 
-    def _find(self, key: np.ndarray, what: np.ndarray) -> np.ndarray:
-        """The slots of chunks with the given bytes, -1 for new ones; what: rows like those of `bytes`."""
-        mask = np.uint64(len(self.table) - 1)
-        at = (key & mask).astype(np.int64)
+    def _find(self, key: np.ndarray, low: np.ndarray, high: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """The slots of chunks with the given bytes, -1 for new ones."""
+        mask = len(self.table) - 1
+        at = (key & np.uint64(mask)).astype(np.int64)
         slot = self.table[at]
-        left = np.flatnonzero(slot >= 0)
-        left = left[(self.bytes[slot[left]] != what[left]).any(1)]
+        # a free place reads the last slot, which is of no harm
+        left = np.flatnonzero((slot >= 0) & ((self.low[slot] != low) | (self.high[slot] != high) | (self.many[slot] != many)))
         while len(left):
-            at[left] = (at[left] + 1) & int(mask)
+            at[left] = (at[left] + 1) & mask
             slot[left] = found = self.table[at[left]]
             left, found = left[found >= 0], found[found >= 0]
-            left = left[(self.bytes[found] != what[left]).any(1)]
+            left = left[(self.low[found] != low[left]) | (self.high[found] != high[left]) | (self.many[found] != many[left])]
         return slot
 
     def _enter(self, slots: np.ndarray) -> None:
@@ -130,7 +130,7 @@ class ChunkTokenizer:
         total, slot = int(size.sum()), np.arange(self.slots, self.slots + len(ids), dtype=np.int32)
         grown = lambda x, n: x if n <= len(x) else np.concatenate([x, np.zeros((max(len(x), n - len(x)), *x.shape[1:]), x.dtype)])
         self.flat = grown(self.flat, self.used + total)
-        self.bytes, self.hash, self.first, self.size = (grown(x, self.slots + len(ids)) for x in (self.bytes, self.hash, self.first, self.size))
+        self.low, self.high, self.hash, self.many, self.first, self.size = (grown(x, self.slots + len(ids)) for x in (self.low, self.high, self.hash, self.many, self.first, self.size))
         self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
         self.first[slot] = self.used + np.cumsum(size) - size
         self.size[slot] = size
@@ -142,13 +142,12 @@ class ChunkTokenizer:
         """The slot of each chunk data[a:b]; raw: the bytes before folding."""
         text, n = None, b - a
         load = eight_bytes(data)
-        what = np.empty((len(a), 3), np.uint64)
-        what[:, 0] = load(a) & MASKS[np.minimum(n, 8)]
-        what[:, 1] = load(np.minimum(a + 8, len(data))) & MASKS[np.clip(n - 8, 0, 8)]
-        what[:, 2] = n
+        low = load(a) & MASKS[np.minimum(n, 8)]
+        high, beyond = np.zeros(len(a), np.uint64), np.flatnonzero(n > 8)
+        high[beyond] = load(a[beyond] + 8) & MASKS[np.minimum(n[beyond] - 8, 8)]
         with np.errstate(over="ignore"):
-            key = mix(what[:, 0] ^ mix(what[:, 1] + what[:, 2] * np.uint64(0xD6E8FEB86659FD93)))
-        slot = self._find(key, what)
+            key = mix(low ^ (high + n.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93))
+        slot = self._find(key, low, high, n)
         far = np.flatnonzero(n > _SHORT)
         slot[far] = -2
         while len(new := np.flatnonzero(slot == -1)):
@@ -157,13 +156,13 @@ class ChunkTokenizer:
             _, one = np.unique(key[new], return_index=True)
             one = new[one]
             got = self._learn([text[x:y].decode("utf-8", "replace") for x, y in zip(a[one].tolist(), b[one].tolist(), strict=True)])
-            self.bytes[got], self.hash[got] = what[one], key[one]
+            self.low[got], self.high[got], self.many[got], self.hash[got] = low[one], high[one], n[one], key[one]
             if 2 * self.slots > len(self.table):  # one long text can bring more than memo
                 self.table = np.full(1 << (2 * self.slots).bit_length(), -1, np.int32)
-                self._enter(np.flatnonzero(self.bytes[: self.slots, 2]).astype(np.int32))
+                self._enter(np.flatnonzero(self.many[: self.slots]).astype(np.int32))
             else:
                 self._enter(got)
-            slot[new] = self._find(key[new], what[new])
+            slot[new] = self._find(key[new], low[new], high[new], n[new])
         if len(far):
             text, same = raw.tobytes() if text is None else text, data.tobytes() if data is not raw else None
             same = text if same is None else same
@@ -171,7 +170,7 @@ class ChunkTokenizer:
             fresh = {name: k for name, k in zip(names, far.tolist(), strict=True) if name not in self.long}
             if fresh:
                 got = self._learn([text[a[k] : b[k]].decode("utf-8", "replace") for k in fresh.values()])
-                self.bytes[got] = 0
+                self.many[got] = 0
                 self.long.update(zip(fresh, got.tolist(), strict=True))
             slot[far] = [self.long[name] for name in names]
         return slot

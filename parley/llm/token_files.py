@@ -39,8 +39,8 @@ from . import _shared, _tokens
 
 BLOCK = "shard long, block long, n_ids long, doc_id array<long>, rules binary, lengths binary, symbols binary, doc_symbols array<long>, first_rule long"
 
-#: Bits of the table of a round's pairs, and a factor that spreads keys over it.
-_SLOTS, _SPREAD = 18, np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the table of a round's pairs and of the one that counts them, and a factor that spreads keys over both.
+_SLOTS, _COUNT_SLOTS, _SPREAD = 18, 20, np.uint64(0x9E3779B97F4A7C15)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int | None = None, pairs: int = 8192, least: int = 8):
@@ -53,8 +53,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int | N
         key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
         inside = np.ones(len(seq), bool)
         inside[ends[ends < len(seq)] - 1] = False
-        inside = inside[:-1]
-        some, n = np.unique(key[inside], return_counts=True)
+        # a pair that is seen often makes its slot full, so only pairs in full slots are sorted to be counted
+        slot = ((key * _SPREAD) >> np.uint64(64 - _COUNT_SLOTS)).astype(np.int32)
+        full = np.bincount(slot[inside[:-1]], minlength=1 << _COUNT_SLOTS) >= least
+        maybe = np.flatnonzero(full[slot] & inside[:-1])
+        key = key[maybe]
+        some, n = np.unique(key, return_counts=True)
         often = np.flatnonzero(n >= least)
         if not len(often):
             break
@@ -64,18 +68,19 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int | N
         slot = lambda x: ((x * _SPREAD) >> np.uint64(64 - _SLOTS)).astype(np.int64)
         table = np.zeros(1 << _SLOTS, np.uint64)
         table[slot(some[often])] = some[often]
-        where = slot(key)
-        hit = np.flatnonzero((table[where] == key) & inside)
+        here = slot(key)
+        chosen = table[here] == key
+        hit, at_slot = maybe[chosen], here[chosen]
         # of a run of hits that overlap, every second one counts, from the left
         new = np.ones(len(hit), bool)
         new[1:] = np.diff(hit) > 1
         begin = np.maximum.accumulate(np.where(new, hit, 0))
-        hit = hit[(hit - begin) % 2 == 0]
+        kept = (hit - begin) % 2 == 0
+        hit, at_slot = hit[kept], at_slot[kept]
         used = np.zeros(1 << _SLOTS, bool)
-        used[where[hit]] = True
-        symbol = np.cumsum(used) - 1
+        used[at_slot] = True
         chosen = table[used]
-        which = symbol[where[hit]]
+        which = (np.cumsum(used) - 1)[at_slot]
         base = first_rule + sum(map(len, rules))
         pair = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         known = np.concatenate([np.ones(first_rule, np.uint32), *lengths])
