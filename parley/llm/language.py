@@ -8,7 +8,8 @@ matrix, and a batch is scored by matrix products. A text's scores are the mean o
 
 Defined cases: a text that is null or has no letter is `und` with score 0; repeated rows are predicted each; a null
 doc_id is not held out and never learned from; rows without lang are not learned from; with no training row all is
-`und`; further columns are ignored. At most `sample` documents are learned from.
+`und`; further columns are ignored. At most `sample` documents are
+learned from, of each TRAIN_WINDOWS windows at most; prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from . import _learning
 from ._shingles import texts_of
 
 WINDOW, GRAMS = 1024, 4096
+#: Windows of a document that training takes at most, so that a few huge texts don't fill the driver.
+TRAIN_WINDOWS = 64
 _CLASS = np.full(256, 0x20, np.uint32)
 _CLASS[0x61:0x7B] = _CLASS[0x41:0x5B] = np.arange(0x61, 0x7B)
 _CLASS[0x80:] = np.arange(0x80, 256)
@@ -66,7 +69,9 @@ def fit(x: np.ndarray, y: np.ndarray, landmarks: int = 128, ridge: float = 1e-2)
 
 
 def _packed(column: pa.Array) -> list[bytes]:
-    return [np.packbits(x[begin[i] : begin[i + 1]] > 0, axis=1).tobytes() for x, begin in windows(column) for i in range(len(begin) - 1)]
+    """For training: of a document of more than TRAIN_WINDOWS so many, evenly spaced."""
+    some = lambda x: x if len(x) <= TRAIN_WINDOWS else x[np.linspace(0, len(x) - 1, TRAIN_WINDOWS).astype(int)]
+    return [np.packbits(some(x[begin[i] : begin[i + 1]]) > 0, axis=1).tobytes() for x, begin in windows(column) for i in range(len(begin) - 1)]
 
 
 def has_letter(text: str | None) -> bool:

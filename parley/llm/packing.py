@@ -11,8 +11,10 @@ window of documents (about `window` tokens; more documents are only a longer run
 What a task has left at its end (less than a sequence) goes to sequences whose lengths are powers of two, which
 need no padding.
 
-Defined cases: null text is empty, so its document is the end id alone; repeated rows are documents of their own;
-a null doc_id stays null; without rows there are no pieces; further columns are ignored.
+Defined cases: null text is empty, so its document is the end id alone; a text may have any length, and its whole
+sequences leave as they are cut; repeated rows are documents of their own; remainders of equal length (ties) are taken in
+the order in which they came, sequences of equal cost from the first; a null doc_id stays null; without rows there are no
+pieces; further columns of any name are ignored.
 """
 
 from __future__ import annotations

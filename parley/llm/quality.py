@@ -4,7 +4,7 @@ A document is a bag of passages of `PASSAGE` words. Each passage is encoded from
 its shape (case, signs, repetition within it and since the document began); a learned layer turns the encoding
 into h, gated attention weights each passage of its document (softmax of w . tanh(V h) * sigmoid(U h)), and the
 weighted sum of h is scored. Labels are of documents only. Training is on at most `per_class` documents of each
-label, weighted back to the labels' own shares; scoring reads whole texts.
+label, of each TRAIN_PASSAGES passages at most, weighted back to the labels' own shares; scoring reads whole texts.
 
 Defined cases: null text is empty; a text without words is one passage of no words; repeated rows are scored each;
 a null doc_id is not held out and never learned from; where labels hold less than two classes every score is the
@@ -22,6 +22,8 @@ from . import _learning
 from ._shingles import SPACE, hashed_words, texts_of, word_spans
 
 PASSAGE, HASHED, SHAPE = 96, 256, 18
+#: Passages of a document that training takes at most, so that a few huge texts don't fill the driver.
+TRAIN_PASSAGES = 256
 WIDTH = HASHED + SHAPE
 _KIND = np.full(256, 4)  # 0 lower, 1 upper, 2 digit, 3 white space, 4 other sign, 5 beyond ASCII, 6 sentence sign
 _KIND[0x61:0x7B], _KIND[0x41:0x5B], _KIND[0x30:0x3A], _KIND[0x80:] = 0, 1, 2, 5
@@ -118,7 +120,9 @@ def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int
 
 
 def _packed(column: pa.Array) -> list[bytes]:
-    return [x[begin[i] : begin[i + 1]].astype(np.float16).tobytes() for x, begin in passages(column) for i in range(len(begin) - 1)]
+    """For training: of a document of more than TRAIN_PASSAGES so many, evenly spaced."""
+    some = lambda x: x if len(x) <= TRAIN_PASSAGES else x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
+    return [some(x[begin[i] : begin[i + 1]]).astype(np.float16).tobytes() for x, begin in passages(column) for i in range(len(begin) - 1)]
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, per_class: int = 2500, carry: str | None = None) -> DataFrame:

@@ -19,8 +19,9 @@ from left to right, until no pair is left that is seen so often. Reading expands
 asked for.
 
 Defined cases: null text is empty (its document is the end id alone); repeated rows are documents of their own,
-rows of one doc_id follow each other in any order, null ids come first; an empty table gives no rows; further
-columns are ignored.
+rows of one doc_id (ties) follow each other by the hash of their text, null ids come first; a text may have any length,
+and one of more than a block ends its block; an empty table gives no rows; further columns of any name are
+ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from . import _shared, _tokens
 
 BLOCK = "shard long, block long, n_ids long, doc_id array<long>, rules binary, lengths binary, symbols binary, doc_symbols array<long>, first_rule long"
 
+#: Shards whose sizes are summed in one task; a group's worth of documents is GROUP * docs_per_shard.
+GROUP = 4096
 #: Bits of the table of a round's pairs and of the one that counts them, and a factor that spreads keys over both.
 _SLOTS, _COUNT_SLOTS, _SPREAD = 18, 20, np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,7 +118,8 @@ def encoded(documents: DataFrame, tokenizer_path: str, end_id: int = 0, vocabula
     """The file's rows (BLOCK) of documents(doc_id, text, ...)."""
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "text")
     shards = documents.select("doc_id").count() // docs_per_shard + 1
-    docs = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    # the hash of the text parts rows of one doc_id, of which there may be very many
+    docs = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def blocks(batches):
         encoder, shard, number = _tokens.tokenizer(tokenizer_path, "bytes"), TaskContext.get().partitionId(), 0
@@ -167,7 +171,11 @@ def index_of(file: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["shard", "block", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     heads = file.select("shard", "block", "n_ids")
-    shards = heads.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("base", F.sum("n").over(W.orderBy("shard")) - F.col("n"))
+    # sums of shards within a group, and of groups, of which there are few
+    shards = heads.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("g", F.floor(F.col("shard") / F.lit(GROUP)))
+    groups = shards.groupBy("g").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(W.orderBy("g")) - F.col("m"))
+    inner = F.sum("n").over(W.partitionBy("g").orderBy("shard")) - F.col("n")
+    shards = shards.withColumn("inner", inner).join(F.broadcast(groups.select("g", "before")), "g").withColumn("base", F.col("before") + F.col("inner"))
     within = F.sum("n_ids").over(W.partitionBy("shard").orderBy("block")) - F.col("n_ids")
     bases = heads.withColumn("within", within).join(shards.select("shard", "base"), "shard").select("shard", "block", (F.col("base") + F.col("within")).alias("base"))
     read = file.mapInArrow(documents, "shard long, block long, doc_id long, at long, n_tokens long, ids_crc32 long")

@@ -51,8 +51,12 @@ def hashed_features(column: pa.Array):
         row = last
 
 
+#: Features of a document that training takes at most (those of least hash), so that a few huge texts don't fill the driver.
+TRAIN_FEATURES = 20_000
+
+
 def _packed(column: pa.Array) -> list[bytes]:
-    return [np.unique(np.concatenate([k[begin[i] : begin[i + 1]] for k in kinds])).tobytes() for kinds, begin in hashed_features(column) for i in range(len(begin) - 1)]
+    return [np.unique(np.concatenate([k[begin[i] : begin[i + 1]] for k in kinds]))[:TRAIN_FEATURES].tobytes() for kinds, begin in hashed_features(column) for i in range(len(begin) - 1)]
 
 
 def sigmoid(f: np.ndarray) -> np.ndarray:

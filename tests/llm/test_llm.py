@@ -237,9 +237,14 @@ def ids_of(texts, file, end):
 
 
 def test_packing(docs):
-    rows = [r for r in rows_of(docs) if r[0] != 6]
+    rows = list(dict.fromkeys(rows_of(docs)))
     ids = dict(zip([d for d, _ in rows], ids_of([t for _, t in rows], "word_bpe_49k.json", 2)))
-    out = packing.pack(docs.where("doc_id <> 6 OR doc_id IS NULL"), P.path("word_bpe_49k.json"), window=9000, with_ids=True).collect()
+    out = packing.pack(docs, P.path("word_bpe_49k.json"), window=9000, with_ids=True).collect()
+    again = [r for r in out if r.doc_id == 6]
+    assert sum(r.length for r in again) == 2 * len(ids[6])  # the repeated row is a document of its own
+    seen = collections.Counter(r.start for r in again)
+    out = [r for r in out if r.doc_id != 6]
+    del ids[6]
     at, seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in out:
         part = ids[r.doc_id][r.start : r.start + r.length].tobytes()
@@ -248,8 +253,10 @@ def test_packing(docs):
         seq[r.sequence_id].append((r.offset, r.length))
     whole = lambda parts: sum(n for _, n in parts) if all(a + n == b for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:])) and min(parts)[0] == 0 else -1
     assert {d: whole(p) for d, p in at.items()} == {d: len(x) for d, x in ids.items()}
+    for r in again:
+        seq[r.sequence_id].append((r.offset, r.length))
     sizes = [whole(p) for p in seq.values()]
-    assert all(0 < n <= 4096 and n & (n - 1) == 0 for n in sizes)
+    assert all(0 < n <= 4096 and n & (n - 1) == 0 for n in sizes) and seen[0] == 2
     assert packing.pack(docs.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
@@ -261,9 +268,11 @@ def test_packing_balances_cost():
     assert sorted((x[4], len(x[2])) for x in p.pieces()) == [(0, 40), (0, 60), (1, 40), (1, 60)]
 
 
-def test_token_files(docs):
-    df = docs.where("doc_id IS NOT NULL AND doc_id <> 6")
-    rows = sorted(rows_of(df))
+def test_token_files(docs, monkeypatch):
+    df = docs.unionByName(docs.where("doc_id = 20").withColumn("text", F.lit("other text")))
+    order = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    rows = sorted(rows_of(df), key=lambda r: (r[0] is not None, r[0] or 0, order[r]))
+    assert rows[0][0] is None and len({d for d, _ in rows}) == len(rows) - 2
     ids = ids_of([t for _, t in rows], "byte_bpe_50k.json", 0)
     file = token_files.encoded(df, P.path("byte_bpe_50k.json"), docs_per_shard=7, block=5000)
     start, want = 0, []
@@ -271,11 +280,14 @@ def test_token_files(docs):
         want.append((d, start, len(x), zlib.crc32(x.tobytes())))
         start += len(x)
     stored = _shared.stored(file, "test")
-    assert sorted(map(tuple, token_files.index_of(stored).collect())) == want
-    by_id = dict(zip([d for d, _ in rows], ids))
-    for b in stored.collect():
-        assert (token_files.decode_documents(b, [len(b.doc_id) - 1])[0] == by_id[b.doc_id[-1]]).all()
-    assert token_files.index_of(token_files.encoded(df.limit(0), P.path("byte_bpe_50k.json"))).count() == 0
+    monkeypatch.setattr(token_files, "GROUP", 2)
+    assert sorted(map(tuple, token_files.index_of(stored).collect()), key=lambda r: r[1]) == want
+    blocks = sorted(stored.collect(), key=lambda b: (b.shard, b.block))
+    assert len({b.shard for b in blocks}) > 3
+    last = np.cumsum([len(b.doc_id) for b in blocks]) - 1
+    for b, i in zip(blocks, last):
+        assert (token_files.decode_documents(b, [len(b.doc_id) - 1])[0] == ids[i]).all()
+    assert token_files.index_of(token_files.encoded(docs.limit(0), P.path("byte_bpe_50k.json"))).count() == 0
 
 
 def test_repair_round_trip():
