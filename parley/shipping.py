@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     here = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="parley-code-")) / f"{here.name}.zip"
+    folder = tempfile.mkdtemp(prefix="parley-code-")  # the driver's own; Spark serves the file to executors from there
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / f"{here.name}.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, f"{here.name}/{p.relative_to(here)}")
