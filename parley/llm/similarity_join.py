@@ -13,8 +13,8 @@ are what is joined, so copies are never paired.
  4. Candidates are verified on the whole sets. The first round takes the cells of a class's FEW rare tokens of
     least hash, which near copies mostly share, and of them for every class its likeliest earlier partner; this joins
     large groups of near copies without all their pairs. The second takes all cells and all candidates between classes
-    that are not yet connected, but for pairs whose number of common cells shows that the rest of their sets cannot
-    give the overlap. Nothing is capped.
+    that are not yet connected, but for pairs that cannot give the overlap by the number of their common cells, or by
+    the tokens that each of them has to itself (counted over all classes in such cells). Nothing is capped.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and are their own component
 (component_id is their doc_id); texts of fewer words than the shingle size are one shingle; repeated rows are in one
@@ -181,13 +181,14 @@ class SignatureTree:
 
 def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
     """(a, b), a < b, of classes that may be linked. cells: part (a cell's key), block (of the row), two (the part
-    compares two blocks), k1, n, sig, root, at (the token's place in the set's order, or 0 to know nothing of it).
+    compares two blocks), k1, n, sig, root, at (the token's place in the set's order, or 0 to know nothing of it), alone
+    (tokens of the set that no other class here has).
     Without all_pairs each class has one earlier partner, the likeliest of those in all its cells; with it a pair must
     have enough common cells, of which cells must then hold all that the pair has. Pairs of one root are never given."""
 
-    def of_cell(k1, n, sig, root, block, at, two):
+    def of_cell(k1, n, sig, root, block, at, alone, two):
         o = np.lexsort((k1, n))
-        k1, n, sig, root, block, at = k1[o], n[o], sig[o], root[o], block[o], at[o]
+        k1, n, sig, root, block, at, alone = k1[o], n[o], sig[o], root[o], block[o], at[o], alone[o]
         if (root == root[0]).all():
             return
         tree = SignatureTree(n, sig, num, den)
@@ -197,6 +198,7 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
         i, j, bound = (np.concatenate(x) for x in zip(*found, strict=True))
         # the token is at these places of both sets' orders: what is before in both, and what is from there on
         most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+        most = np.minimum(most, np.minimum(n[i] - alone[i], n[j] - alone[j]))
         ok = (root[i] != root[j]) & ((block[i] != block[j]) if two else True) & (most * (num + den) >= num * (n[i] + n[j]))
         i, j, bound = i[ok], j[ok], bound[ok]
         near = prefix_overlap(n[i], n[j], num, den).astype(float) if all_pairs else bound / (tree.many[i] + tree.many[j])
@@ -228,12 +230,12 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
             cut = np.flatnonzero((part[1:] != part[:-1]) | (sub[1:] != sub[:-1])) + 1
             cut = np.concatenate([[0], cut, [len(part)]])
             ends = cut if last else cut[:-1]
-            cols = [t.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5, 7, 8)]
+            cols = [t.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5, 7, 8, 9)]
             sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint64).reshape(len(part), BITS // 64)
             for x, y in zip(ends[:-1], ends[1:], strict=True):
                 if y - x > 1:
-                    block, two, k1, n, root, at = (c[x:y] for c in cols)
-                    out.extend(of_cell(k1, n, sig[x:y], root, block, at, bool(two[0])))
+                    block, two, k1, n, root, at, alone = (c[x:y] for c in cols)
+                    out.extend(of_cell(k1, n, sig[x:y], root, block, at, alone, bool(two[0])))
             return t.slice(ends[-1])
 
         for b in batches:
@@ -245,7 +247,7 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
             cells_of(held.combine_chunks(), True)
         yield emit()
 
-    rows = cells.select("token", "part", "block", "two", "k1", "n", "sig", "root", "at").repartition("token", "part").sortWithinPartitions("token", "part")
+    rows = cells.select("token", "part", "block", "two", "k1", "n", "sig", "root", "at", "alone").repartition("token", "part").sortWithinPartitions("token", "part")
     found = rows.mapInArrow(paired, "a long, b long, near double, cells long")
     if all_pairs:
         return found.groupBy("a", "b").agg(F.sum("cells").alias("cells"), F.min("near").alias("near")).where("cells >= near").select("a", "b")
@@ -318,13 +320,23 @@ def _similar(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
             out = pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["k1", "tokens"])
             yield out.filter(pc.equal(pa.array(k2, pa.int64()), b.column(1)))
 
-    def sets_in(pairs: DataFrame) -> DataFrame:
-        """The whole sets of the classes in pairs, from their texts; a class whose row is repeated may come twice."""
-        here = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
-        ids = wanted.select("k1", "k2", "doc_id").join(here, "k1", "left_semi").select(F.col("k1").alias("want"), "k2", F.col("doc_id").alias("d"))
+    def sets_in(here: DataFrame) -> DataFrame:
+        """The whole sets of the classes in here(k1), from their texts; a class whose row is repeated may come twice."""
+        ids = wanted.select("k1", "k2", "doc_id").join(_shared.broadcast_if_small(here, _shared.BROADCAST_LONGS), "k1", "left_semi").select(F.col("k1").alias("want"), "k2", F.col("doc_id").alias("d"))
         ids = _shared.broadcast_if_small(scratch.stored(ids, "ids"))
         docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d")))
-        return scratch.stored(docs.select("want", "k2", "text").mapInArrow(whole, "k1 long, tokens binary"), "tokens")
+        return scratch.stored(docs.select("want", "k2", "text").mapInArrow(whole, "k1 long, tokens binary"), "tokens", hashes=True)
+
+    def unshared(sets: DataFrame) -> DataFrame:
+        """(k1, alone): the tokens that no other of these classes has."""
+
+        def rows(batches):
+            for b in batches:
+                raw = b.column(1).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in raw]))], names=["token", "k1"])
+
+        owners = sets.mapInArrow(rows, "token long, k1 long").groupBy("token").agg(F.min("k1").alias("k1"), F.max("k1").alias("y")).where("k1 = y")
+        return scratch.stored(owners.groupBy("k1").agg(F.count("*").alias("alone")), "alone")
 
     root, edges = None, None
     for all_pairs in (True,) if links else (False, True):
@@ -339,13 +351,24 @@ def _similar(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
             sizes = known.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token", "df")
             cells = members
         sizes = _shared.broadcast_if_small(scratch.stored(sizes, "open"), _shared.BROADCAST_LONGS // 2)
-        cells = scratch.stored(dealt(cells.join(sizes, "token")), "cells", hashes=True)
-        signed = cells.join(_shared.broadcast_if_small(signed, 100_000), "k1")
+        cells, tokens = cells.join(sizes, "token"), None
+        if all_pairs:
+            # what a class has to itself is common to no pair; linked classes that are not connected are both in open cells
+            tokens = sets_in(scratch.stored(cells.select("k1").distinct(), "left"))
+            signed = signed.join(_shared.broadcast_if_small(unshared(tokens), 100_000), "k1", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+        else:
+            signed = signed.withColumn("alone", F.lit(0).cast("long"))
+        cells = scratch.stored(dealt(cells), "cells", hashes=True)
+        signed = cells.join(_shared.broadcast_if_small(signed, 100_000), "k1").where(F.col("alone") <= F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)))
         pairs = scratch.stored(candidates(signed, num, den, all_pairs), "pairs")
         scratch.drop(cells)
-        tokens = sets_in(pairs)
+        here = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
+        if tokens is None:
+            tokens = sets_in(scratch.stored(here, "here"))
+        else:
+            tokens = tokens.join(_shared.broadcast_if_small(scratch.stored(here, "here"), _shared.BROADCAST_LONGS), "k1", "left_semi")
         found = scratch.stored(verified(pairs, tokens, num, den).distinct(), "links")
-        scratch.drop(tokens, pairs)
+        scratch.drop(pairs)
         edges = found if edges is None else edges.union(found)
         root = scratch.stored(_shared.components(edges).withColumnRenamed("node", "k1"), "roots")
     named = classes.select("k1", "k2", "doc_id").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
