@@ -51,6 +51,8 @@ def hashed_features(column: pa.Array):
         row = last
 
 
+#: How many times the share of unlabelled rows that a feature's positives explain is taken off it in choosing features.
+SPARED = 1.5
 #: Features of a document that training takes at most (those of least hash), so that a few huge texts don't fill the driver.
 TRAIN_FEATURES = 20_000
 
@@ -81,8 +83,21 @@ def gradient(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: flo
     return np.append(xp.T @ gp + xu.T @ minus_u, gp.sum() + minus_u.sum())
 
 
-def train(docs: list[np.ndarray], positive: np.ndarray, prior: float, features: int = 256, steps: int = 600) -> tuple[np.ndarray, np.ndarray, float]:
-    """(feature hashes in order, their weights, bias)."""
+def cut_of(f: np.ndarray, prior: float, near: float = 0.1) -> float:
+    """Where the scores f of unlabelled rows part, about as many being above as the prior says: in the middle of the widest
+    gap between the places (1 - near) * prior and (1 + near) * prior in their order."""
+    f = np.sort(f)[::-1]
+    if len(f) < 2:
+        return float(f[0]) if len(f) else 0.0
+    low = min(max(int((1 - near) * prior * len(f)), 1), len(f) - 1)
+    high = min(max(int(np.ceil((1 + near) * prior * len(f))), low), len(f) - 1)
+    k = low + int(np.argmax(f[low - 1 : high] - f[low : high + 1]))
+    return float((f[k - 1] + f[k]) / 2)
+
+
+def train(docs: list[np.ndarray], positive: np.ndarray, prior: float, features: int = 256, steps: int = 600, threshold: float = 0.3) -> tuple[np.ndarray, np.ndarray, float]:
+    """(feature hashes in order, their weights, bias). The sigmoid loss orders rows but gives no probabilities, so the bias
+    is moved in the end until `threshold` is where the scores of the unlabelled rows part (`cut_of`)."""
     n_pos, n_unl = int(positive.sum()), int((~positive).sum())
     every = np.concatenate([np.zeros(0, np.uint64), *docs])
     here = np.repeat(positive, [len(d) for d in docs])
@@ -90,8 +105,8 @@ def train(docs: list[np.ndarray], positive: np.ndarray, prior: float, features:
     pos = np.bincount(which, weights=here, minlength=len(some))
     unl = np.bincount(which, weights=~here, minlength=len(some))
     least = max(3, 0.003 * n_pos)
-    # the part of the unlabelled rows that a feature's positives alone would explain is no evidence against it
-    odds = np.log((pos + 0.5) / n_pos / ((np.maximum(0, unl / n_unl - prior * pos / n_pos) * n_unl + 1) / n_unl))
+    # the part of the unlabelled rows that a feature's positives alone would explain, and some more, is no evidence against it
+    odds = np.log((pos + 0.5) / n_pos / ((np.maximum(0, unl / n_unl - SPARED * prior * pos / n_pos) * n_unl + 1) / n_unl))
     gain = np.where((pos >= least) & (some != 0) & (odds > 1.5), pos / n_pos * odds, -1)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:features])
     chosen = chosen[gain[chosen] > 0]
@@ -110,7 +125,7 @@ def train(docs: list[np.ndarray], positive: np.ndarray, prior: float, features:
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w, b = (w - move[:-1]).astype(np.float32), np.float32(b - move[-1])
-    return keys, w, float(b)
+    return keys, w, float(b - cut_of(xu @ w + b, prior) + np.log(threshold / (1 - threshold)))
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3, positives: int = 3000, unlabelled: int = 5000) -> DataFrame:
@@ -126,7 +141,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic
     if not counts.get("1") or not positive.any() or positive.all():
         out = _learning.scored(documents, lambda c: [pa.array([0.0] * len(c), pa.float64())], "score double")
     else:
-        keys, w, b = train([np.frombuffer(f, np.uint64) for _, _, f in rows], positive, counts["1"] / sum(counts.values()))
+        keys, w, b = train([np.frombuffer(f, np.uint64) for _, _, f in rows], positive, counts["1"] / sum(counts.values()), threshold=threshold)
 
         def score(column):
             parts = [np.zeros(0)]
