@@ -39,7 +39,9 @@ SHARE, BAND = 0.3, 0.35
 LONGS = 4
 #: At most so many of a token's earliest classes are compared with all others, as long as the pairs left are more than
 #: PAIRS times the rows that they come from.
-HUBS, PAIRS = 3, 16
+HUBS, PAIRS = 3, 64
+#: A class of more than one in so many of all lines is hot; there are at most so many of these.
+HOT = 1000
 
 
 def below(share: float) -> Column:
@@ -162,8 +164,12 @@ def _removed(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
     later = later.where((num + den) * (c("both") + F.ceil(F.greatest("n", "m") * F.lit(num) / F.lit(den)) - 1) >= num * (c("n") + c("m")))
     settled = functools.reduce(DataFrame.union, settled)
     gone = settled.union(similar(later.select(*key, "e1", "e2"))).withColumn("all", F.lit(True))
-    gone = classes.join(gone, key, "left").where("copies > 1 or all").select(*key, "o", F.coalesce("all", F.lit(False)).alias("all"))
-    out = lines.select("doc_id", "th", "pos", *key).join(gone, key)
+    gone = classes.join(gone, key, "left").where("copies > 1 or all").select(*key, "o", "copies", F.coalesce("all", F.lit(False)).alias("all"))
+    gone = scratch.stored(gone, "gone", hashes=True)
+    # lines of hot classes stay where they are; the others are dealt by class
+    is_hot = c("copies") > lines.count() / HOT
+    hot, found = F.broadcast(gone.where(is_hot).drop("copies")), lines.select("doc_id", "th", "pos", *key)
+    out = found.join(hot.select(*key), key, "left_anti").join(gone.where(~is_hot).drop("copies"), key).unionByName(found.join(hot, key))
     return scratch.stored(out.where(c("all") | ~place.eqNullSafe(c("o"))).select("doc_id", "th", "pos"), "removed-lines")
 
 

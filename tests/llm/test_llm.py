@@ -598,12 +598,18 @@ def test_risk_equals_its_definition():
     assert min(toxicity.risk_parts(w, b, xp, xu, 0.9)[1], 0) < 0 <= toxicity.risk_parts(w, b, xp, xu, 0.1)[1]
 
 
+def test_scores_part_at_the_widest_gap_near_the_prior():
+    f = np.array([9.0, 8.0, 7.5, 2.0, 1.9, 1.8, 1.7, 1.6, 1.5, 1.4] + [0.0] * 20)
+    assert toxicity.cut_of(f, 0.1) == 4.75 and toxicity.cut_of(f, 0.3, near=0.2) == 0.7 and toxicity.cut_of(f, 0.0) == 8.5
+    assert toxicity.cut_of(np.zeros(5), 0.9) == 0 and toxicity.cut_of(f[:1], 0.5) == 9 and toxicity.cut_of(f[:0], 0.5) == 0
+
+
 def test_unlabelled_sample_keeps_confirmed_positives(spark, monkeypatch):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, F.lit("vile words here")).otherwise(F.lit("plain talk")).alias("text"))
     labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
     seen = {}
     train = toxicity.train
-    monkeypatch.setattr(toxicity, "train", lambda d, positive, prior: seen.update(p=positive, prior=prior, texts=[x.tobytes() for x in d]) or train(d, positive, prior))
+    monkeypatch.setattr(toxicity, "train", lambda d, positive, prior, threshold: seen.update(p=positive, prior=prior, texts=[x.tobytes() for x in d]) or train(d, positive, prior, threshold=threshold))
     toxicity.toxicity_scores(docs, labels)
     toxic = {t for t, p in zip(seen["texts"], seen["p"]) if p}
     unlabelled = [t for t, p in zip(seen["texts"], seen["p"]) if not p]
