@@ -34,6 +34,8 @@ from . import _shared
 from ._shingles import mix, shingled
 
 SKETCH_BITS, SEGMENT_BITS, BITS, CELL, LEAF, FAN, FEW = 21, 16, 1024, 512, 16, 8, 6
+#: The part of the tokens that is counted first, in times the share that a linked set may lack.
+PART = 1.75
 
 
 def sets_of(column: pa.Array, size: int):
@@ -320,23 +322,31 @@ def _similar(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
             out = pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["k1", "tokens"])
             yield out.filter(pc.equal(pa.array(k2, pa.int64()), b.column(1)))
 
-    def sets_in(here: DataFrame) -> DataFrame:
-        """The whole sets of the classes in here(k1), from their texts; a class whose row is repeated may come twice."""
+    def texts_of(here: DataFrame) -> DataFrame:
+        """(want, k2, text) of the classes in here(k1); of a class whose row is repeated perhaps twice."""
         ids = wanted.select("k1", "k2", "doc_id").join(_shared.broadcast_if_small(here, _shared.BROADCAST_LONGS), "k1", "left_semi").select(F.col("k1").alias("want"), "k2", F.col("doc_id").alias("d"))
         ids = _shared.broadcast_if_small(scratch.stored(ids, "ids"))
         docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d")))
-        return scratch.stored(docs.select("want", "k2", "text").mapInArrow(whole, "k1 long, tokens binary"), "tokens", hashes=True)
+        return docs.select("want", "k2", "text")
+
+    def sets_in(here: DataFrame) -> DataFrame:
+        return scratch.stored(texts_of(here).mapInArrow(whole, "k1 long, tokens binary"), "tokens", hashes=True)
 
-    def unshared(sets: DataFrame) -> DataFrame:
-        """(k1, alone): the tokens that no other of these classes has."""
+    def unshared(here: DataFrame, share: float, name: str) -> DataFrame:
+        """(k1, alone): the tokens, of those whose hash is in the lowest share, that no other class in here(k1) has."""
+        bound = np.uint64(min(2**64 - 1, int(share * 2**64)))
 
         def rows(batches):
             for b in batches:
-                raw = b.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in raw]))], names=["token", "k1"])
+                for t in whole([b]):
+                    raw = [np.frombuffer(x, np.uint64) for x in t.column(1).to_pylist()]
+                    low = [x[x <= bound] for x in raw]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *low]).view(np.int64)), pa.array(np.repeat(t.column(0).to_numpy(), [len(x) for x in low]), pa.int64())], names=["token", "k1"])
 
-        owners = sets.mapInArrow(rows, "token long, k1 long").groupBy("token").agg(F.min("k1").alias("k1"), F.max("k1").alias("y")).where("k1 = y")
-        return scratch.stored(owners.groupBy("k1").agg(F.count("*").alias("alone")), "alone")
+        owners = texts_of(here).mapInArrow(rows, "token long, k1 long").groupBy("token").agg(F.min("k1").alias("k1"), F.max("k1").alias("y")).where("k1 = y")
+        return scratch.stored(owners.groupBy("k1").agg(F.count("*").alias("alone")), name)
+
+    spare = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den))  # tokens that a linked set may lack
 
     root, edges = None, None
     for all_pairs in (True,) if links else (False, True):
@@ -351,24 +361,28 @@ def _similar(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
             sizes = known.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token", "df")
             cells = members
         sizes = _shared.broadcast_if_small(scratch.stored(sizes, "open"), _shared.BROADCAST_LONGS // 2)
-        cells, tokens = cells.join(sizes, "token"), None
+        cells = cells.join(sizes, "token")
         if all_pairs:
-            # what a class has to itself is common to no pair; linked classes that are not connected are both in open cells
-            tokens = sets_in(scratch.stored(cells.select("k1").distinct(), "left"))
-            signed = signed.join(_shared.broadcast_if_small(unshared(tokens), 100_000), "k1", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+            # what a class has to itself is common to no pair; linked classes that are not connected are both in open cells.
+            # A part of the tokens is counted first, which leaves few classes of which all are
+            left = scratch.stored(cells.select("k1", "n").distinct(), "left")
+            for share, name in ((min(1.0, PART * (1 - num / den)), "part"), (1.0, "alone")):
+                alone = unshared(left.select("k1"), share, name)
+                left = left.select("k1", "n").join(_shared.broadcast_if_small(alone), "k1", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+                left = scratch.stored(left.where(F.col("alone") <= spare), "left")
+            small = _shared.broadcast_if_small(left.select("k1", "alone"))
+            cells = cells.join(_shared.broadcast_if_small(left.select("k1"), _shared.BROADCAST_LONGS), "k1", "left_semi")
+            signed = signed.join(small, "k1")
         else:
             signed = signed.withColumn("alone", F.lit(0).cast("long"))
         cells = scratch.stored(dealt(cells), "cells", hashes=True)
-        signed = cells.join(_shared.broadcast_if_small(signed, 100_000), "k1").where(F.col("alone") <= F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)))
+        signed = cells.join(_shared.broadcast_if_small(signed, 100_000), "k1")
         pairs = scratch.stored(candidates(signed, num, den, all_pairs), "pairs")
         scratch.drop(cells)
         here = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
-        if tokens is None:
-            tokens = sets_in(scratch.stored(here, "here"))
-        else:
-            tokens = tokens.join(_shared.broadcast_if_small(scratch.stored(here, "here"), _shared.BROADCAST_LONGS), "k1", "left_semi")
+        tokens = sets_in(scratch.stored(here, "here"))
         found = scratch.stored(verified(pairs, tokens, num, den).distinct(), "links")
-        scratch.drop(pairs)
+        scratch.drop(tokens, pairs)
         edges = found if edges is None else edges.union(found)
         root = scratch.stored(_shared.components(edges).withColumnRenamed("node", "k1"), "roots")
     named = classes.select("k1", "k2", "doc_id").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
