@@ -3,8 +3,8 @@ r"""Format-preserving Feistel pseudonyms for personal data (DataFrame functions
 Values are found by pattern, validated, and replaced by a keyed permutation of the values of the same format, so
 equal values get equal pseudonyms in all documents and different values different ones:
 
-    card      13 to 19 digits (also in groups) with a right Luhn check digit: all digits but the last, which is made
-              right again
+    card      13 to 19 digits (also in groups) of which the first is one of payment cards (3 to 6), with a right Luhn
+              check digit; the first digit is moved among 3 to 6, the last is made right again
     phone     +C (NNN) NNN-NNNN, NNN-NNN-NNNN and the like with 10 digits; the first digits of area and exchange are
               moved among 2 to 9, that of a country code among 1 to 9
     ssn       NNN-NN-NNNN without the parts that are never given out (000, 666, 9xx; 00; 0000), moved among all others
@@ -86,11 +86,12 @@ def _char(c: Column, v: Column) -> Column:
     return F.when(c.rlike("[0-9]"), F.char(v + 48)).when(c.rlike("[A-Z]"), F.char(v + 65)).when(c.rlike("[a-z]"), F.char(v + 97)).otherwise(c)
 
 
-def _moved(value: Column, fixed, key: str, kind: str, back: bool, low=None) -> Column:
+def _moved(value: Column, fixed, key: str, kind: str, back: bool, low=None, top=None) -> Column:
     """value with its letters and digits permuted but for the places for which fixed(value, i) holds, i from 0.
-    low(value, i): the least digit of a place; one that is less stays."""
+    low(value, i): the least digit of a place, top(value, i) the largest; one that is less than low stays."""
     least = lambda i: low(value, i) if low else F.lit(0)
-    radix = lambda c, i: F.when(c.rlike("[0-9]"), F.when(_at(c) < least(i), 1).otherwise(10 - least(i))).otherwise(_radix(c))
+    most = lambda i: top(value, i) if top else F.lit(9)
+    radix = lambda c, i: F.when(c.rlike("[0-9]"), F.when(_at(c) < least(i), 1).otherwise(most(i) + 1 - least(i))).otherwise(_radix(c))
     base = lambda c, i: F.when(c.rlike("[0-9]") & (_at(c) >= least(i)), least(i)).otherwise(0)
     places = F.transform(_chars(value), lambda c, i: F.struct((_at(c) - base(c, i)).cast("int").alias("v"), F.when(fixed(value, i), 1).otherwise(radix(c, i)).cast("int").alias("r")))
     if not low:
@@ -114,7 +115,7 @@ def _digits(value: Column) -> Column:
 
 
 def _card(value: Column, key: str, back: bool) -> Column:
-    body = _moved(F.substring(value, F.lit(1), F.length(value) - 1), lambda v, i: F.lit(False), key, "card", back)
+    body = _moved(F.substring(value, F.lit(1), F.length(value) - 1), lambda v, i: F.lit(False), key, "card", back, lambda v, i: F.when(i == 0, 3).otherwise(0), lambda v, i: F.when(i == 0, 6).otherwise(9))
     return F.concat(body, ((10 - _luhn_sum(F.concat(_digits(body), F.lit("0"))) % 10) % 10).cast("string"))
 
 
@@ -175,7 +176,7 @@ def kind_of(value: Column) -> Column:
         .when(whole("date"), F.when(day.isNotNull(), "date"))
         .when(whole("ssn"), F.when(~value.rlike("^(?:000|666|9)|-00-|-0000$"), "ssn"))
         .when(whole("phone"), F.when(F.substring(d, -10, 1).between("2", "9") & F.substring(d, -7, 1).between("2", "9"), "phone"))
-        .when(whole("card"), F.when(_luhn_sum(d) % 10 == 0, "card"))
+        .when(whole("card"), F.when(d.rlike("^[3-6]") & (_luhn_sum(d) % 10 == 0), "card"))
     )
 
 
