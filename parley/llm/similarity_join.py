@@ -13,8 +13,9 @@ are what is joined, so copies are never paired.
  4. Candidates are verified on the whole sets. The first round takes the cells of a class's FEW rare tokens of
     least hash, which near copies mostly share, and of them for every class its likeliest earlier partner; this joins
     large groups of near copies without all their pairs. The second takes all cells and all candidates between classes
-    that are not yet connected, but for pairs that cannot give the overlap by the number of their common cells, or by
-    the tokens that each of them has to itself (counted over all classes in such cells). Nothing is capped.
+    that are not yet connected, but for pairs that cannot give the overlap by the tokens that each of them has to itself
+    (counted over all classes in such cells), and only in cells that can be of a pair's rarest common token. Nothing is
+    capped.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and are their own component
 (component_id is their doc_id); texts of fewer words than the shingle size are one shingle; repeated rows are in one
@@ -185,8 +186,8 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
     """(a, b), a < b, of classes that may be linked. cells: part (a cell's key), block (of the row), two (the part
     compares two blocks), k1, n, sig, root, at (the token's place in the set's order, or 0 to know nothing of it), alone
     (tokens of the set that no other class here has).
-    Without all_pairs each class has one earlier partner, the likeliest of those in all its cells; with it a pair must
-    have enough common cells, of which cells must then hold all that the pair has. Pairs of one root are never given."""
+    Without all_pairs each class has one earlier partner, the likeliest of those in all its cells; with it a pair comes
+    from the cells that can be of its rarest common token. Pairs of one root are never given."""
 
     def of_cell(k1, n, sig, root, block, at, alone, two):
         o = np.lexsort((k1, n))
@@ -202,8 +203,12 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
         most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
         most = np.minimum(most, np.minimum(n[i] - alone[i], n[j] - alone[j]))
         ok = (root[i] != root[j]) & ((block[i] != block[j]) if two else True) & (most * (num + den) >= num * (n[i] + n[j]))
+        if all_pairs:
+            # all common tokens but those before it are from the rarest one on, so that is no later than this in both
+            near = prefix_overlap(n[i], n[j], num, den)
+            ok &= (at[i] <= tree.many[i] - near) & (at[j] <= tree.many[j] - near)
         i, j, bound = i[ok], j[ok], bound[ok]
-        near = prefix_overlap(n[i], n[j], num, den).astype(float) if all_pairs else bound / (tree.many[i] + tree.many[j])
+        near = bound / (tree.many[i] + tree.many[j])
         if not all_pairs and len(i):
             o = np.lexsort((-near, j))
             o = o[np.concatenate([[True], np.diff(j[o]) > 0])]
@@ -216,15 +221,14 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
         def emit():
             a, b, near = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, float), zip(*out, strict=True) if out else ([], [], []), strict=True))
             out.clear()
-            cells = np.ones(len(a), np.int64)
             if all_pairs:
-                p, at, cells = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True, return_counts=True)
+                p, at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True)
                 a, b, near = p[:, 0], p[:, 1], near[at]
             elif len(a):
                 o = np.lexsort((a, -near, b))
                 o = o[np.concatenate([[True], b[o][1:] != b[o][:-1]])]
-                a, b, near, cells = a[o], b[o], near[o], cells[o]
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near), pa.array(cells)], names=["a", "b", "near", "cells"])
+                a, b, near = a[o], b[o], near[o]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], names=["a", "b", "near"])
 
         def cells_of(t, last):
             part = t.column(0).to_numpy(zero_copy_only=False)
@@ -250,9 +254,9 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
         yield emit()
 
     rows = cells.select("token", "part", "block", "two", "k1", "n", "sig", "root", "at", "alone").repartition("token", "part").sortWithinPartitions("token", "part")
-    found = rows.mapInArrow(paired, "a long, b long, near double, cells long")
+    found = rows.mapInArrow(paired, "a long, b long, near double")
     if all_pairs:
-        return found.groupBy("a", "b").agg(F.sum("cells").alias("cells"), F.min("near").alias("near")).where("cells >= near").select("a", "b")
+        return found.select("a", "b").distinct()
     best = found.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("a"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
