@@ -11,8 +11,9 @@ are what is joined, so copies are never paired.
     against itself; a pair of nodes is left out when bits in common plus merged tokens cannot give the overlap that
     prefixes of such sizes need, or by the size ranges; of rows, also by the places of the cell's token in both.
  4. Candidates are verified on the whole sets. The first round takes the cells of a class's FEW rare tokens of
-    least hash, which near copies mostly share, and of them for every class its likeliest earlier partner; this joins
-    large groups of near copies without all their pairs. The second takes all cells and all candidates between classes
+    least hash, which near copies mostly share, and of them for every class its likeliest earlier partner; the second does
+    the same with partners in other components than the class's. This joins large groups of near copies without all
+    their pairs. The third takes all cells and all candidates between classes
     that are not yet connected, but for pairs that cannot give the overlap by the tokens that each of them has to itself
     (counted over all classes in such cells), and only in cells that can be of a pair's rarest common token. Nothing is
     capped.
@@ -353,17 +354,16 @@ def _similar(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
     spare = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den))  # tokens that a linked set may lack
 
     root, edges = None, None
-    for all_pairs in (True,) if links else (False, True):
+    for all_pairs in (True,) if links else (False, False, True):
         signed = wanted.select("k1", "sig", F.col("k1").alias("root"))
+        cells = members if all_pairs else starters
         if root is None:
-            cells = members if all_pairs else starters
             sizes = cells.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
         else:
             # only cells whose classes are not yet all connected
             signed = wanted.select("k1", "sig").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
-            known = members.select("token", "k1").join(_shared.broadcast_if_small(root), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+            known = cells.select("token", "k1").join(_shared.broadcast_if_small(root), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
             sizes = known.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token", "df")
-            cells = members
         sizes = _shared.broadcast_if_small(scratch.stored(sizes, "open"), _shared.BROADCAST_LONGS // 2)
         cells = cells.join(sizes, "token")
         if all_pairs:
