@@ -11,11 +11,11 @@ are what is joined, so copies are never paired.
     against itself; a pair of nodes is left out when bits in common plus merged tokens cannot give the overlap that
     prefixes of such sizes need, or by the size ranges; of rows, also by the places of the cell's token in both.
  4. Candidates are verified on the whole sets. The first round takes the cells of a class's FEW rare tokens of
-    least hash, which near copies mostly share, and of them for every class its likeliest earlier partner; the second does
+    least hash, which near copies mostly share, and of them for every class its likeliest earlier partner; two more do
     the same with partners in other components than the class's. This joins large groups of near copies without all
-    their pairs. The third takes all cells and all candidates between classes
+    their pairs. The last takes all cells and all candidates between classes
     that are not yet connected, but for pairs that cannot give the overlap by the tokens that each of them has to itself
-    (counted over all classes in such cells), and only in cells that can be of a pair's rarest common token. Nothing is
+    (counted over all classes in cells), and only in cells that can be of a pair's rarest common token. Nothing is
     capped.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and are their own component
@@ -353,32 +353,30 @@ def _similar(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
 
     spare = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den))  # tokens that a linked set may lack
 
+    # what a class has to itself is common to no pair. A part of the tokens is counted first, which leaves few classes of
+    # which all are; linked classes are both left
+    left = scratch.stored(members.select("k1", "n").distinct(), "left")
+    for share, name in ((min(1.0, PART * (1 - num / den)), "part"), (1.0, "alone")):
+        alone = unshared(left.select("k1"), share, name)
+        left = left.select("k1", "n").join(_shared.broadcast_if_small(alone), "k1", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+        left = scratch.stored(left.where(F.col("alone") <= spare), "left")
+    here = _shared.broadcast_if_small(left.select("k1"), _shared.BROADCAST_LONGS)
+    members, starters = (scratch.stored(t.join(here, "k1", "left_semi"), "members", hashes=True) for t in (members, starters))
+    wanted = scratch.stored(wanted.join(_shared.broadcast_if_small(left.select("k1", "alone")), "k1"), "wanted")
+
     root, edges = None, None
-    for all_pairs in (True,) if links else (False, False, True):
-        signed = wanted.select("k1", "sig", F.col("k1").alias("root"))
+    for all_pairs in (True,) if links else (False, False, False, True):
+        signed = wanted.select("k1", "sig", "alone", F.col("k1").alias("root"))
         cells = members if all_pairs else starters
         if root is None:
             sizes = cells.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
         else:
             # only cells whose classes are not yet all connected
-            signed = wanted.select("k1", "sig").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
+            signed = wanted.select("k1", "sig", "alone").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))
             known = cells.select("token", "k1").join(_shared.broadcast_if_small(root), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
             sizes = known.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token", "df")
         sizes = _shared.broadcast_if_small(scratch.stored(sizes, "open"), _shared.BROADCAST_LONGS // 2)
         cells = cells.join(sizes, "token")
-        if all_pairs:
-            # what a class has to itself is common to no pair; linked classes that are not connected are both in open cells.
-            # A part of the tokens is counted first, which leaves few classes of which all are
-            left = scratch.stored(cells.select("k1", "n").distinct(), "left")
-            for share, name in ((min(1.0, PART * (1 - num / den)), "part"), (1.0, "alone")):
-                alone = unshared(left.select("k1"), share, name)
-                left = left.select("k1", "n").join(_shared.broadcast_if_small(alone), "k1", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-                left = scratch.stored(left.where(F.col("alone") <= spare), "left")
-            small = _shared.broadcast_if_small(left.select("k1", "alone"))
-            cells = cells.join(_shared.broadcast_if_small(left.select("k1"), _shared.BROADCAST_LONGS), "k1", "left_semi")
-            signed = signed.join(small, "k1")
-        else:
-            signed = signed.withColumn("alone", F.lit(0).cast("long"))
         cells = scratch.stored(dealt(cells), "cells", hashes=True)
         signed = cells.join(_shared.broadcast_if_small(signed, 100_000), "k1")
         pairs = scratch.stored(candidates(signed, num, den, all_pairs), "pairs")
