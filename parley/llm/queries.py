@@ -6,7 +6,7 @@ import functools
 
 from parley.shipping import ship
 
-from . import decontamination, exact_dedup, language, line_dedup, packing, pseudonyms, quality, similarity_join, token_files, toxicity
+from . import decontamination, exact_dedup, exact_search, filter_audit, language, line_dedup, packing, prefix_trie, pseudonyms, quality, similarity_join, token_files, toxicity
 
 FOUND = [
     quality.op1_attention_mil_quality,
@@ -20,6 +20,9 @@ FOUND = [
     token_files.op8_repair_token_files,
     pseudonyms.op9_feistel_pseudonyms,
     decontamination.op10_positional_index,
+    prefix_trie.op11_prefix_trie,
+    exact_search.op12_term_at_a_time_search,
+    filter_audit.op13_filter_audit,
 ]
 
 
@@ -37,4 +40,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_signature_tree_join": similarity_join.ORACLE, "op3_signature_tree_join_whole": similarity_join.ORACLE_WHOLE, "op5_set_similarity_line_dedup": line_dedup.ORACLE, "op7_extendible_hash_dedup": exact_dedup.ORACLE, "op10_positional_index": decontamination.ORACLE}
+    return {"op3_signature_tree_join": similarity_join.ORACLE, "op3_signature_tree_join_whole": similarity_join.ORACLE_WHOLE, "op5_set_similarity_line_dedup": line_dedup.ORACLE, "op7_extendible_hash_dedup": exact_dedup.ORACLE, "op10_positional_index": decontamination.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op12_term_at_a_time_search": exact_search.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
