@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 LETTERS = "ABCDE"
 REPEATED = 1 << LETTERS.index("E")
-#: Bytes of text that a task keeps to meet copies of.
-HELD = 32 << 20
+#: Bytes of text that a task keeps to meet copies of, and that an owner gets before copies are left out.
+HELD, OWNED = 32 << 20, 128 << 20
 
 _CAPITALS = bytes(range(0x41, 0x5B))
 _SIGNS = re.compile(rb"[#$%&*|]")
@@ -131,8 +131,9 @@ def owned(rows):
 def failures(documents: DataFrame, held: int = HELD) -> DataFrame:
     """doc_id, part, mask (bit k: fails the k-th of ABCDE), n (equal rows) of all documents(doc_id, lang, text, ...)."""
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).rdd
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, rows = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // OWNED), rows.rdd
     own = rows.mapPartitions(routed(held)).repartitionAndSortWithinPartitions(parts, lambda h: h % parts).mapPartitions(owned)
     return spark.createDataFrame(own, "doc_id long, part string, mask int, n long", verifySchema=False)
 
