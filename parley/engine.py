@@ -29,7 +29,10 @@ class Engine:
     def semantic_search(self, query: str, top_k: int = 10, mode: str = "pre", **filters) -> DataFrame:
         """filters: project, has_code, session, after, before."""
         vector = self.encoder.encode([query])[0].tolist()
-        return lookups.display(vectors.search(self.store.chunks(), vector, search_filters(**filters), Search(top_k=top_k, mode=mode)))
+        wanted = search_filters(**filters)
+        # after the ranking a filter mustn't leave out files before it
+        chunks = self.store.chunks(wanted if mode == "pre" else None)
+        return lookups.display(vectors.search(chunks, vector, wanted, Search(top_k=top_k, mode=mode)))
 
     def related(self, key: str, top_k: int = 10, same_session: bool = True) -> DataFrame:
         chunks = self.store.chunks()

@@ -54,9 +54,9 @@ def date_window(after: str | None = None, before: str | None = None) -> dict[str
             raise ValueError(f"invalid date: {day}; use YYYY-MM-DD")
     out: dict[str, Any] = {}
     if after:
-        out["gte"] = F.to_date(F.lit(after)).cast("timestamp_ntz")
-    if before:
-        out["lt"] = F.date_add(F.to_date(F.lit(before)), 1).cast("timestamp_ntz")
+        out["gte"] = after
+    if before and before < "9999-12-31":
+        out["lt"] = (datetime.date.fromisoformat(before) + datetime.timedelta(1)).isoformat()
     return {"ts": out} if out else {}
 
 

@@ -14,7 +14,7 @@ from parley.functions.encoder import Encoder, HashingEncoder, embed
 from parley.operators.chunking import chunked
 from parley.schema import Chunking
 from parley.sources import jsonl
-from parley.sources.store import Store, changed
+from parley.sources.store import Staging, Store, changed
 
 
 @dataclass
@@ -45,31 +45,29 @@ def index(spark: SparkSession, path: str, store: Store, encoder: Encoder | None
     began, run = time.time(), Run()
     if force:
         store.clear()
-    listed = store.staged(jsonl.listing(spark, path, pattern, recursive))
-    todo = store.staged(changed(listed, store.files()))
-    run.files_listed, many = listed.count(), todo.count()
-    run.files_unchanged = run.files_listed - many
-    try:
+    with store.staging() as staging:
+        listed = staging.table(jsonl.listing(spark, path, pattern, recursive))
+        todo = staging.table(changed(listed, store.files()))
+        run.files_listed, many = listed.count(), todo.count()
+        run.files_unchanged = run.files_listed - many
         if many:
             # all files: the folder is read; else the changed ones by name (the driver lists them in any case)
             every = many == run.files_listed
-            _read(spark, store, run, todo, path if every else None, pattern, recursive, encoder or HashingEncoder(), config, signs)
-    finally:
-        store.unstage()
+            _read(spark, store, staging, run, todo, path if every else None, pattern, recursive, encoder or HashingEncoder(), config, signs)
     run.seconds = time.time() - began
     return run
 
 
-def _read(spark: SparkSession, store: Store, run: Run, todo: DataFrame, path: str | None, pattern: str, recursive: bool, encoder: Encoder, config: Chunking, signs: list[str]) -> None:
+def _read(spark: SparkSession, store: Store, staging: Staging, run: Run, todo: DataFrame, path: str | None, pattern: str, recursive: bool, encoder: Encoder, config: Chunking, signs: list[str]) -> None:
     """Indexes the files of todo(path, modified); if that fails, each half of them, down to single files."""
     try:
         paths = path or [re.sub(r"([\[\]{}*?\\])", r"\\\1", r.path) for r in todo.select("path").collect()]
         lines = jsonl.numbered(jsonl.scan(spark, paths, pattern, recursive))
-        staged = store.staged(jsonl.with_file_sessions(jsonl.messages(lines, keep_bad=True)))
+        staged = staging.table(jsonl.with_file_sessions(jsonl.messages(lines, keep_bad=True)))
         rows = chunked(staged.where("NOT bad"), config, signs)
-        rows = store.staged(rows.withColumn("embedding", embed(F.col("text"), encoder)))
+        rows = staging.table(rows.withColumn("embedding", embed(F.col("text"), encoder)))
         counts = rows.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunk_count"))
-        states = store.staged(todo.join(counts, "path", "left").select("path", F.col("modified").alias("last_modified"), F.current_timestamp().alias("last_indexed"), F.coalesce("chunk_count", F.lit(0)).cast("bigint").alias("chunk_count")))
+        states = staging.table(todo.join(counts, "path", "left").select("path", F.col("modified").alias("last_modified"), F.current_timestamp().alias("last_indexed"), F.coalesce("chunk_count", F.lit(0)).cast("bigint").alias("chunk_count")))
         removed = store.replace_files(rows, states)
     except Exception as e:
         names = sorted(todo.collect())
@@ -79,7 +77,7 @@ def _read(spark: SparkSession, store: Store, run: Run, todo: DataFrame, path: st
         half = (len(names) + 1) // 2  # of one file all is tried again
         for part in (names[:half], names[half:]):
             if part:
-                _read(spark, store, run, spark.createDataFrame(part, todo.schema), None, pattern, recursive, encoder, config, signs)
+                _read(spark, store, staging, run, spark.createDataFrame(part, todo.schema), None, pattern, recursive, encoder, config, signs)
         return
     sizes = states.agg(F.sum("chunk_count"), F.count("*"), F.count_if(F.col("chunk_count") == 0)).first()
     run.chunks += sizes[0] or 0
