@@ -2,7 +2,7 @@
 fingerprints).
 
 1. A task reads texts, finds which of the filters A to D each fails, and keeps one row of the copies that it meets: the
-   one of least id. Others fail E already and are sent on without their text, spread by their ids; so a group of copies,
+   one of least id. Others fail E already and are sent on without their text, spread evenly; so a group of copies,
    however large, reaches its owner as a row a task. What a task holds is bounded (`HELD` bytes); what does not fit
    is sent earlier.
 2. Rows with a text are partitioned and sorted by the xxhash of the text. An owner walks over its hashes in order: a
@@ -73,11 +73,13 @@ def routed(held: int = HELD):
     def rows(documents):
         import xxhash
 
-        def spread(doc_id, part, mask, n):
-            return xxhash.xxh64_intdigest(repr(doc_id).encode()), (None, doc_id, part, mask, n)
-
         entries: dict[str, Entry] = {}
-        size = 0
+        size = sent_on = 0
+
+        def spread(doc_id, part, mask, n):
+            nonlocal sent_on
+            sent_on += 1  # ids may all be null
+            return xxhash.xxh64_intdigest(b"%d" % sent_on), (None, doc_id, part, mask, n)
 
         def sent():
             for e in entries.values():
