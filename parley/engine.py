@@ -23,8 +23,8 @@ class Engine:
     def index(self, path: str, force: bool = False) -> watch.Run:
         return watch.index(self.spark, path, self.store, self.encoder, self.chunking, force=force, signs=self.signs)
 
-    def watch(self, path: str, every: str = "5 seconds"):
-        return watch.watch(self.spark, path, self.store, every, self.encoder, self.chunking, self.signs)
+    def watch(self, path: str, quiet: float = 5):
+        return watch.watch(self.spark, path, self.store, quiet, encoder=self.encoder, config=self.chunking, signs=self.signs)
 
     def semantic_search(self, query: str, top_k: int = 10, mode: str = "pre", **filters) -> DataFrame:
         """filters: project, has_code, session, after, before."""

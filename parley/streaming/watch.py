@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import re
 import time
 from dataclasses import dataclass, field
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +18,8 @@ from parley.operators.chunking import chunked
 from parley.schema import Chunking
 from parley.sources import jsonl
 from parley.sources.store import Staging, Store, changed
+from parley.sources.stream import register
+from parley.streaming.debounce import bursts, prepared
 
 
 @dataclass
@@ -37,8 +42,9 @@ class Run:
         return self.errors[:n] + ([f"... and {more} more"] if more > 0 else [])
 
 
-def index(spark: SparkSession, path: str, store: Store, encoder: Encoder | None = None, config: Chunking = Chunking(), pattern: str = "*.jsonl", recursive: bool = True, force: bool = False, signs: list[str] = ()) -> Run:
-    """Reads files that are new or changed since the store noted them, and replaces their chunks. Files without chunks
+def index(spark: SparkSession, path: str, store: Store, encoder: Encoder | None = None, config: Chunking = Chunking(), pattern: str = "*.jsonl", recursive: bool = True, force: bool = False, signs: list[str] = (), listed: DataFrame | None = None) -> Run:
+    """Reads files that are new or changed since the store noted them, and replaces their chunks. listed: the files
+    (path, modified) to look at, in place of all below path. Files without chunks
     are noted too, so they are not read again. Lines that are no JSON are left out and counted; when a file cannot be
     read, the others are indexed without it, and it is tried once more before it is an error. signs: more of what marks
     a message as a hook's."""
@@ -46,13 +52,14 @@ def index(spark: SparkSession, path: str, store: Store, encoder: Encoder | None
     if force:
         store.clear()
     with store.staging() as staging:
-        listed = staging.table(jsonl.listing(spark, path, pattern, recursive))
+        some = listed is not None
+        listed = staging.table(listed if some else jsonl.listing(spark, path, pattern, recursive))
         todo = staging.table(changed(listed, store.files()))
         run.files_listed, many = listed.count(), todo.count()
         run.files_unchanged = run.files_listed - many
         if many:
             # all files: the folder is read; else the changed ones by name (the driver lists them in any case)
-            every = many == run.files_listed
+            every = many == run.files_listed and not some
             _read(spark, store, staging, run, todo, path if every else None, pattern, recursive, encoder or HashingEncoder(), config, signs)
     run.seconds = time.time() - began
     return run
@@ -87,19 +94,28 @@ def _read(spark: SparkSession, store: Store, staging: Staging, run: Run, todo: D
     run.bad_lines += staged.where("bad").count()
 
 
-def watch(spark: SparkSession, path: str, store: Store, every: str = "5 seconds", encoder: Encoder | None = None, config: Chunking = Chunking(), signs: list[str] = ()) -> StreamingQuery:
-    """Indexes changed files at a fixed cadence, which takes the place of a quiet period. The built-in file source does
-    not read a file again when it grows, so a rate stream only gives the beat and each batch compares file times."""
+def watch(spark: SparkSession, path: str, store: Store, quiet: float = 5, every: str = "1 second", encoder: Encoder | None = None, config: Chunking = Chunking(), signs: list[str] = ()) -> StreamingQuery:
+    """Indexes the changed files of a folder when none of them has changed for `quiet` seconds. The stream goes on from the
+    store's own folder after a restart. If an index run fails, the next batch compares all files."""
+    fs, p = store._path(path)
+    home = path if "://" in path else (f"file://{fs.makeQualified(p).toUri().getPath()}" if fs.getScheme() == "file" else fs.makeQualified(p).toString())
+    events = register(spark).readStream.format("parley_logs").option("path", home).load()
     last: dict[str, str] = {}
 
     def batch(df: DataFrame, number: int) -> None:
+        found = df.select(F.explode(F.arrays_zip("paths", "times")).alias("x")).select(F.col("x.paths").alias("path"), F.col("x.times").alias("modified")).persist()
         try:
-            index(df.sparkSession, path, store, encoder, config, signs=signs)
+            if found.count() or last:  # the count runs the whole batch, whose state must be kept
+                index(df.sparkSession, path, store, encoder, config, signs=signs, listed=None if last else found)
             last.pop("error", None)
-        except Exception as e:  # a batch that fails is tried again by the next one
+        except Exception as e:
             last["error"] = str(e)
+        finally:
+            found.unpersist()
 
-    query = spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.foreachBatch(batch).trigger(processingTime=every).start()
+    place = f"{store.folder}/watch/{hashlib.md5(home.encode()).hexdigest()}"
+    with prepared(spark):  # the query keeps the settings that it starts with
+        query = bursts(events, quiet).writeStream.foreachBatch(batch).option("checkpointLocation", place).trigger(processingTime=every).start()
     query.watch_errors = last
     return query
 
@@ -107,7 +123,8 @@ def watch(spark: SparkSession, path: str, store: Store, every: str = "5 seconds"
 def stop(query: StreamingQuery, seconds: float = 10) -> bool:
     """Ends a watch; false if it still runs after so many seconds."""
     query.stop()
-    query.awaitTermination(int(seconds))
+    with contextlib.suppress(StreamingQueryException):  # a batch that is broken off is no failure, the next start repeats it
+        query.awaitTermination(int(seconds))
     return not query.isActive
 
 

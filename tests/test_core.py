@@ -206,16 +206,28 @@ def test_index_search_change_delete(spark, tmp_path):
 
 def test_watch_batch_and_sessions(spark, tmp_path):
     write(tmp_path / "logs" / "p", "a.jsonl", ["q " + "w " * 60, "a " + "w " * 60])
-    query = watch.watch(spark, str(tmp_path / "logs"), Store(spark, f"file://{tmp_path}/st"), "1 second")
     import time
 
-    for _ in range(60):
-        if Store(spark, f"file://{tmp_path}/st").version():
-            break
-        time.sleep(1)
+    place = Store(spark, f"file://{tmp_path}/st")
+    query = watch.watch(spark, str(tmp_path / "logs"), place, 2)
+
+    def until(done):
+        for _ in range(400):
+            if done():
+                return True
+            time.sleep(0.5)
+
+    assert until(place.version)
+    first = place.version()
+    write(tmp_path / "logs" / "p", "b.jsonl", ["other q " + "w " * 60, "other a " + "w " * 60])
+    assert until(lambda: place.version() > first)
     state = watch.status(query)
-    query.stop()
-    assert state["running"] and not state["errors"] and Store(spark, f"file://{tmp_path}/st").chunks().count() == 1
+    assert state["running"] and not state["errors"] and place.chunks().count() == 2 and watch.stop(query)
+    # files that the watch has indexed are noted as an index run would
+    assert watch.index(spark, str(tmp_path / "logs"), place).files_unchanged == 2
+    again = watch.watch(spark, str(tmp_path / "logs"), place, 1)  # from where it was
+    write(tmp_path / "logs" / "p", "c.jsonl", ["third q " + "w " * 60, "third a " + "w " * 60])
+    assert until(lambda: place.chunks().count() == 3) and watch.stop(again)
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert watch.session_stream(ev).count() == catalogue.event_sessions(spark, "/root/testdata/sf0.001").count()
 
