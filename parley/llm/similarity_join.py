@@ -315,7 +315,9 @@ def _similar(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
         return out.select("token", part.cast("long").alias("part"), "block", (F.col("block") != F.col("other")).alias("two"), "k1", "n", "at")
 
     needed = _shared.broadcast_if_small(scratch.stored(members.select("k1").distinct(), "needed"), _shared.BROADCAST_LONGS)
-    wanted = scratch.stored(rows.join(needed, "k1").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "wanted")
+    one = F.min(F.struct("doc_id", "th"))  # a row of the class: ids may be null or repeated, so its text's hash goes with it
+    wanted = rows.join(needed, "k1").groupBy("k1", "k2").agg(one.alias("row"), F.first("sig").alias("sig"))
+    wanted = scratch.stored(wanted.select("k1", "k2", "row.doc_id", "row.th", "sig"), "wanted")
     scratch.drop(rows)
 
     def whole(batches):
@@ -328,10 +330,10 @@ def _similar(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
             yield out.filter(pc.equal(pa.array(k2, pa.int64()), b.column(1)))
 
     def texts_of(here: DataFrame) -> DataFrame:
-        """(want, k2, text) of the classes in here(k1); of a class whose row is repeated perhaps twice."""
-        ids = wanted.select("k1", "k2", "doc_id").join(_shared.broadcast_if_small(here, _shared.BROADCAST_LONGS), "k1", "left_semi").select(F.col("k1").alias("want"), "k2", F.col("doc_id").alias("d"))
+        """(want, k2, text) of the classes in here(k1); of a class whose row is repeated perhaps as often."""
+        ids = wanted.select("k1", "k2", "doc_id", "th").join(_shared.broadcast_if_small(here, _shared.BROADCAST_LONGS), "k1", "left_semi").select(F.col("k1").alias("want"), "k2", F.col("doc_id").alias("d"), F.col("th").alias("h"))
         ids = _shared.broadcast_if_small(scratch.stored(ids, "ids"))
-        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("d")))
+        docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").join(ids, (F.col("th") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")))
         return docs.select("want", "k2", "text")
 
     def sets_in(here: DataFrame) -> DataFrame:

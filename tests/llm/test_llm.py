@@ -114,6 +114,18 @@ def test_similarity_join(docs, size, num, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
 
 
+def test_similarity_join_of_many_null_ids(spark):
+    """All rows share an id, and half of them resemble another: a join by the id alone would hash 2,000 x 1,000 texts."""
+    rng = np.random.default_rng(8)
+    base = [" ".join(rng.choice(VOCABULARY, 40)) for _ in range(1000)]
+    rows = [(None, t, 0) for t in base] + [(None, t + " end", 0) for t in base[:500]] + [(7, t + " more", 0) for t in base[500:]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(4)
+    got = similarity_join.similar_documents(df, 4, 85, 100).collect()
+    sizes = collections.Counter(r.root for r in got)
+    assert len(got) == 2000 and set(sizes.values()) == {2} and len(sizes) == 1000
+    assert {str(r.component_id) for r in got} == {"None", "7"}
+
+
 def test_signature_tree_loses_no_pair():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, (4, 80)).astype(np.uint64)
