@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from parley.operators import chunking as C
 from parley.operators import filters as FL
 from parley.operators import lookups as L
 from parley.operators import vectors as V
+from parley.operators.graph import NeighbourGraph
+from parley.operators.threads import reply_threads as threads
 from parley.schema import Chunking, Search
 from parley.sources import jsonl, store
 
@@ -96,6 +100,13 @@ def cell_index_search(spark, sf_dir):
     return V.CellIndex.build(e, X.scratch(spark, "cells")).search_all(e.where("vec_id % 100 = 0"))
 
 
+@query()
+def graph_index_search(spark, sf_dir):
+    """The ten nearest to each vector whose id is divisible by 100, by a stored neighbour graph (no SQL: approximate)."""
+    e = table(spark, sf_dir, "embeddings")
+    return NeighbourGraph.build(e, X.scratch(spark, "graph")).search_all(e.where("vec_id % 100 = 0"))
+
+
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 10 = 0 THEN 'missing embedding' ELSE 'inconsistent embedding dimension' END AS issue FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 10 = 1")
 def embedding_issues(spark, sf_dir):
     """Of vectors of which some are taken away and some shortened."""
@@ -396,6 +407,59 @@ def parse_jsonl(spark, sf_dir):
     return jsonl.messages(lines).select("uuid", "role", "content", "ts", "has_code")
 
 
+# answers to the turn before or the one before that, some to a turn that isn't there, and in some talks two to each other
+ANSWERS = "SELECT conv_id, turn, 'm' || CAST(turn AS VARCHAR(20)) AS uuid, CASE WHEN turn = 0 THEN NULL WHEN conv_id % 11 = 5 AND turn = 1 THEN 'm2' WHEN conv_id % 11 = 5 AND turn = 2 THEN 'm1' WHEN turn % 7 = 6 THEN 'gone' WHEN turn % 3 = 2 THEN 'm' || CAST(turn - 2 AS VARCHAR(20)) ELSE 'm' || CAST(turn - 1 AS VARCHAR(20)) END AS parent_uuid FROM conversations"
+
+
+@query(f"WITH a AS ({ANSWERS}), t AS (SELECT a.*, uuid AS root, CAST(0 AS BIGINT) AS depth, [uuid] AS path, parent_uuid IS NOT NULL AS missing_parent FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.conv_id = a.conv_id AND b.uuid = a.parent_uuid) UNION ALL SELECT a.*, t.root, t.depth + 1, list_append(t.path, a.uuid), false FROM t JOIN a ON a.conv_id = t.conv_id AND a.parent_uuid = t.uuid) SELECT a.conv_id, a.turn, t.root, t.depth, array_to_string(t.path, '/') AS path, coalesce(t.missing_parent, false) AS missing_parent, t.root IS NULL AS cyclic FROM a LEFT JOIN t USING (conv_id, turn)".replace("WITH a", "WITH RECURSIVE a"))
+def reply_threads(spark, sf_dir):
+    """Root, depth and path of every message of conversations whose answers cross, miss their parent or go around."""
+    rows = spark.sql(ANSWERS.replace("VARCHAR(20)", "STRING").replace("FROM conversations", "FROM {conversations}"), conversations=table(spark, sf_dir, "conversations"))
+    folder = X.scratch(spark, "threads")
+    found = threads(rows, saved_in(spark, folder), "conv_id", order="turn")
+    return found.select("conv_id", "turn", "root", "depth", F.array_join("path", "/").alias("path"), "missing_parent", "cyclic")
+
+
+def saved_in(spark: SparkSession, folder: str):
+    """A function that writes tables below the folder and reads them again."""
+
+    def saved(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return saved
+
+
+CHANGED = "(SELECT id, chunk_type, has_code FROM k WHERE embedding IS NOT NULL AND file_path <> '/corpus/f7.jsonl' AND session_id IS DISTINCT FROM 'session_3' AND vec_id % 3 <> 0 UNION ALL SELECT id, 'new ' || chunk_type, has_code FROM k WHERE embedding IS NOT NULL AND vec_id % 3 = 0 AND file_path <> '/corpus/f7.jsonl' UNION ALL SELECT 'again_' || id, chunk_type, NOT has_code FROM k WHERE file_path = '/corpus/f7.jsonl')"
+
+
+@query(f"SELECT * FROM {CHANGED}", "K")
+def store_changes(spark, sf_dir):
+    """What a store holds after chunks came, a session was deleted, a third was upserted anew, a rewrite, and a file was read
+    again: readers merge data and keys."""
+    k = X.chunks(spark, sf_dir).drop("vec_id")
+    held = store.Store(spark, X.scratch(spark, "store"))
+    held.add(k)
+    held.delete(F.col("session_id") == "session_3")
+    held.add(X.chunks(spark, sf_dir).where("vec_id % 3 = 0").drop("vec_id").withColumn("chunk_type", F.concat(F.lit("new "), "chunk_type")))
+    held.optimize()
+    again = k.where("file_path = '/corpus/f7.jsonl'").withColumn("id", F.concat(F.lit("again_"), "id")).withColumn("has_code", ~F.col("has_code"))
+    states = again.select(F.col("file_path").alias("path")).distinct().selectExpr("path", "current_timestamp() AS last_modified", "current_timestamp() AS last_indexed", "1L AS chunk_count")
+    held.replace_files(again, states)
+    return held.chunks().select("id", "chunk_type", "has_code")
+
+
+@query("SELECT id, ts FROM k WHERE embedding IS NOT NULL AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13'", "K")
+def store_date_window(spark, sf_dir):
+    """A date window of a store in Z-order, whose files with other times are not opened."""
+    held = store.Store(spark, X.scratch(spark, "window"))
+    held.add(X.chunks(spark, sf_dir).drop("vec_id"))
+    held.optimize(rows_per_file=5000)
+    wanted = FL.date_window("2024-01-10", "2024-01-12")
+    return FL.matching(held.chunks(wanted), wanted).select("id", "ts")
+
+
 STAMPS = [("a", "2024-01-15T10:00:00Z"), ("b", "2024-01-15T10:00:00+02:00"), ("c", "2024-01-15T10:00:00"), ("d", "2024-01-15T10:00:00.500Z"), ("e", 1705312800000), ("f", 1705312800), ("g", "1705312800000")]
 
 
