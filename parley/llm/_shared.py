@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -92,6 +93,18 @@ class Scratch:
             scrapped(t)
 
 
+@contextlib.contextmanager
+def smaller_batches(spark: SparkSession, rows: int):
+    """What runs in this block sends Python workers so many rows at a time, which bounds what both sides hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is (the join then shuffles).
     df should be a stored table or small to count; rows wider than 64 bytes need a lower bound."""

@@ -36,6 +36,8 @@ from . import _shared
 from ._shingles import mix, shingled
 
 SKETCH_BITS, SEGMENT_BITS, BITS, CELL, LEAF, FAN, FEW = 21, 16, 1024, 512, 16, 8, 6
+#: Rows that a Python worker gets at a time: of texts, or of pairs of whole sets.
+BATCH = 2000
 #: The part of the tokens that is counted first, in times the share that a linked set may lack.
 PART = 1.75
 
@@ -284,7 +286,7 @@ def similar_documents(documents: DataFrame, size: int = 5, num: int = 80, den: i
     den * intersection >= num * union. root (null for an empty set) tells components apart, which component_id
     does not where doc_id is null or repeated. links: there is one round only, in which every candidate pair of classes
     is verified, and n_links is the number of other rows that a row links with, copies among them."""
-    with _shared.Scratch() as scratch:
+    with _shared.Scratch() as scratch, _shared.smaller_batches(documents.sparkSession, BATCH):
         return scratch.keep(_similar(scratch, documents.select("doc_id", "text"), size, num, den, links))
 
 
