@@ -1,7 +1,9 @@
 r"""Format-preserving Feistel pseudonyms for personal data (DataFrame functions only).
 
 Values are found by pattern, validated, and replaced by a keyed permutation of the values of the same format, so
-equal values get equal pseudonyms in all documents and different values different ones:
+equal values get equal pseudonyms in all documents and different values different ones. Of cards and phones the digits
+alone are the value, and their signs are put back, so all spellings of one are linked (with and without a country code are
+two values):
 
     card      13 to 19 digits (also in groups) of which the first is one of payment cards (3 to 6), with a right Luhn
               check digit; the first digit is moved among 3 to 6, the last is made right again
@@ -114,19 +116,22 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def _card(value: Column, key: str, back: bool) -> Column:
-    body = _moved(F.substring(value, F.lit(1), F.length(value) - 1), lambda v, i: F.lit(False), key, "card", back, lambda v, i: F.when(i == 0, 3).otherwise(0), lambda v, i: F.when(i == 0, 6).otherwise(9))
-    return F.concat(body, ((10 - _luhn_sum(F.concat(_digits(body), F.lit("0"))) % 10) % 10).cast("string"))
+def _spelled(value: Column, digits: Column) -> Column:
+    """value with its digits replaced one by one."""
+    return F.array_join(F.transform(_chars(value), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, _digits_before(value, i) + 1, F.lit(1))).otherwise(c)), "")
 
 
-def _phone(value: Column, key: str, back: bool) -> Column:
-    many = F.length(_digits(value))
+def _card(value: Column, key: str, back: bool) -> Column:
+    digits = _digits(value)
+    body = _moved(F.substring(digits, F.lit(1), F.length(digits) - 1), lambda v, i: F.lit(False), key, "card", back, lambda v, i: F.when(i == 0, 3).otherwise(0), lambda v, i: F.when(i == 0, 6).otherwise(9))
+    return _spelled(value, F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")))
 
-    def low(v: Column, i: Column) -> Column:
-        before = _digits_before(v, i)
-        return F.when((before == many - 10) | (before == many - 7), 2).when(before == 0, 1).otherwise(0)
 
-    return _moved(value, lambda v, i: F.lit(False), key, "phone", back, low)
+def _phone(value: Column, key: str, back: bool) -> Column:
+    digits = _digits(value)
+    many = F.length(digits)
+    low = lambda v, i: F.when((i == many - 10) | (i == many - 7), 2).when(i == 0, 1).otherwise(0)
+    return _spelled(value, _moved(digits, lambda v, i: F.lit(False), key, "phone", back, low))
 
 
 def _ssn(value: Column, key: str, back: bool) -> Column:
