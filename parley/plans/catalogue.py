@@ -387,14 +387,17 @@ def incremental_changed_files(spark, sf_dir):
     return store.changed(listed, known).select("path")
 
 
-@query("SELECT n, d, round((n * d * 4 / 1073741824.0 + 0.5) * 1.1 * 1.2, 6) AS gb FROM (SELECT CAST(range AS BIGINT) * 1000 AS n, 768 AS d FROM range(1, 101))")
+@query("SELECT label, n, d, round((n * d * 4 / 1073741824.0 + 0.5) * 1.1 * 1.2, 6) AS gb FROM (SELECT label, count(*) * 10000 AS n, max(len(embedding)) AS d FROM embeddings GROUP BY label)")
 def index_memory(spark, sf_dir):
-    return spark.range(1, 101).selectExpr("id * 1000 AS n", "768 AS d").select("n", "d", F.round(L.index_memory_gb(F.col("n"), F.col("d")), 6).alias("gb"))
+    """What an index of ten thousand times the vectors of each label would take."""
+    sizes = table(spark, sf_dir, "embeddings").groupBy("label").agg((F.count("*") * 10_000).alias("n"), F.max(F.size("embedding")).cast("long").alias("d"))
+    return sizes.select("label", "n", "d", F.round(L.index_memory_gb(F.col("n"), F.col("d")), 6).alias("gb"))
 
 
-@query("SELECT gb, CASE WHEN gb <= 1 THEN 8 ELSE CAST(greatest(8, least(256, floor((gb - 1) / (768 * 16 / 1073741824.0)))) AS BIGINT) END AS batch FROM (SELECT CAST(range AS DOUBLE) / 1024 + 0.9995 AS gb FROM range(1, 101))")
+@query("SELECT p_partkey, gb, CASE WHEN gb <= 1 THEN 8 ELSE CAST(greatest(8, least(256, floor((gb - 1) / (768 * 16 / 1073741824.0)))) AS BIGINT) END AS batch FROM (SELECT p_partkey, 0.9995 + CAST(p_size AS DOUBLE) / 16384 AS gb FROM part)")
 def optimal_batch_size(spark, sf_dir):
-    return spark.range(1, 101).selectExpr("CAST(id AS DOUBLE) / 1024 + 0.9995 AS gb").select("gb", L.batch_size(F.col("gb"), F.lit(768)).alias("batch"))
+    """The batch for as much memory as a part's size makes."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", "0.9995D + CAST(p_size AS DOUBLE) / 16384 AS gb").select("p_partkey", "gb", L.batch_size(F.col("gb"), F.lit(768)).alias("batch"))
 
 
 RECORDS = "SELECT '{\"uuid\":\"u' || CAST(event_id AS VARCHAR(20)) || '\",\"sessionId\":\"s' || CAST(user_id AS VARCHAR(20)) || '\",' || CASE WHEN event_id % 4 = 0 THEN '\"message\":{\"role\":\"user\",\"content\":[{\"type\":\"text\",\"text\":\"' || event_type || '\"},\"plain\",{\"type\":\"code\",\"language\":\"sql\",\"text\":\"select 1\"}]}' WHEN event_id % 4 = 1 THEN '\"role\":\"assistant\",\"content\":\"' || event_type || '\"' WHEN event_id % 4 = 2 THEN '\"text\":{\"text\":\"' || event_type || '\"}' ELSE '\"content\":5,\"body\":\"' || event_type || '\"' END || ',\"timestamp\":' || CAST(1705312800 + event_id AS VARCHAR(20)) || CASE WHEN event_id % 3 = 0 THEN '000' ELSE '' END || '}' AS line, event_id FROM events"
@@ -460,15 +463,18 @@ def store_date_window(spark, sf_dir):
     return FL.matching(held.chunks(wanted), wanted).select("id", "ts")
 
 
-STAMPS = [("a", "2024-01-15T10:00:00Z"), ("b", "2024-01-15T10:00:00+02:00"), ("c", "2024-01-15T10:00:00"), ("d", "2024-01-15T10:00:00.500Z"), ("e", 1705312800000), ("f", 1705312800), ("g", "1705312800000")]
+# the time of each event in one of the seven forms in which logs have it
+SECOND = "date_trunc('second', ts)"
+STAMPED = """SELECT '{"uuid":"u' || event_id || '","content":"x","createdAt":' || CASE event_id % 7
+  WHEN 0 THEN '"' || date_format(ts, "yyyy-MM-dd'T'HH:mm:ss") || 'Z"' WHEN 1 THEN '"' || date_format(ts, "yyyy-MM-dd'T'HH:mm:ss") || '+02:00"' WHEN 2 THEN '"' || date_format(ts, "yyyy-MM-dd'T'HH:mm:ss") || '"'
+  WHEN 3 THEN '"' || date_format(ts, "yyyy-MM-dd'T'HH:mm:ss") || '.500Z"' WHEN 4 THEN CAST(unix_seconds(CAST(ts AS TIMESTAMP)) AS STRING) || '000' WHEN 5 THEN CAST(unix_seconds(CAST(ts AS TIMESTAMP)) AS STRING)
+  ELSE '"' || unix_seconds(CAST(ts AS TIMESTAMP)) || '000"' END || '}' AS line, '/corpus/p/a.jsonl' AS file_path, CAST(event_id AS INT) AS line_no FROM {events}"""
 
 
-@query("SELECT * FROM (VALUES ('a', TIMESTAMP '2024-01-15 10:00:00'), ('b', TIMESTAMP '2024-01-15 08:00:00'), ('c', TIMESTAMP '2024-01-15 10:00:00'), ('d', TIMESTAMP '2024-01-15 10:00:00.5'), ('e', TIMESTAMP '2024-01-15 10:00:00'), ('f', TIMESTAMP '2024-01-15 10:00:00'), ('g', TIMESTAMP '2024-01-15 10:00:00')) AS t(uuid, ts)")
+@query(f"SELECT 'u' || event_id AS uuid, CASE event_id % 7 WHEN 1 THEN {SECOND} - INTERVAL '2' HOUR WHEN 3 THEN {SECOND} + INTERVAL '500' MILLISECOND ELSE {SECOND} END AS ts FROM events")
 def timestamp_coalesce(spark, sf_dir):
-    import json
-
-    rows = [(json.dumps({"uuid": u, "content": "x", "createdAt": v}), "/corpus/p/a.jsonl", i) for i, (u, v) in enumerate(STAMPS)]
-    return jsonl.messages(spark.createDataFrame(rows, "line string, file_path string, line_no int")).select("uuid", "ts")
+    lines = spark.sql(STAMPED.replace("{", "{{").replace("}", "}}").replace("{{events}}", "{events}"), events=table(spark, sf_dir, "events"))
+    return jsonl.messages(lines).select("uuid", "ts")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
