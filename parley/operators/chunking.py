@@ -91,8 +91,9 @@ def split_large(chunks: DataFrame, limit: int) -> DataFrame:
 
 
 def dedup(chunks: DataFrame, scope: str = "file_path") -> DataFrame:
-    """The first chunk (by strategy, then ordinal) of each text of a conversation."""
-    by = W.partitionBy(scope, "text").orderBy("strategy_rank", "ordinal")
+    """The first chunk (by strategy, then ordinal) of each text of a conversation. A task sends one of the chunks that it has
+    of a text, and sorts by hashes, so texts are compared only where these are equal."""
+    by = W.partitionBy(F.xxhash64(scope, "text"), scope, "text").orderBy("strategy_rank", "ordinal")
     return chunks.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 

@@ -93,10 +93,16 @@ def _matrices(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return [(np.array(i), np.array(d), np.frombuffer(m).reshape(len(i), -1)) for i, d, m in zip(t["ids"].to_pylist(), t["dims"].to_pylist(), t["m"].to_pylist(), strict=True)]
 
 
+#: Bytes of one side of a cell of the grid, as doubles.
+CELL_BYTES = 128 << 20
+
+
 def _sides(df: DataFrame, *tables: DataFrame, rows: int = 1 << 18) -> int:
-    """Rows and columns of the grid of tasks on which two tables meet: no cell has more than about `rows` of either."""
+    """Rows and columns of the grid of tasks on which two tables meet: no cell has more than about `rows` of either, or
+    CELL_BYTES of their vectors."""
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    return max(int(np.ceil(tasks**0.5)), *(-(-t.count() // rows) for t in tables))
+    sizes = [t.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first() for t in tables]
+    return max(int(np.ceil(tasks**0.5)), *(max(-(-r.n // rows), -(-r.n * r.d * 8 // CELL_BYTES)) for r in sizes))
 
 
 def _meeting(a: DataFrame, b: DataFrame, sides: int):
@@ -148,7 +154,8 @@ def similarity_matrix(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:
 
 
 def similarity_blocks(vectors: DataFrame, id_col: str = "vec_id", block: int = 512) -> DataFrame:
-    """similarity_matrix of a table of any size, on a grid of tasks; the result grows with the square of the table."""
+    """similarity_matrix of a table of any size, on a grid of tasks; the result grows with the square of the table, and a cell's
+    part of it (4 million rows) is what a task holds."""
 
     def paired(a: pa.Table, b: pa.Table) -> pa.Table:
         out = [pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})]
@@ -165,7 +172,7 @@ def similarity_blocks(vectors: DataFrame, id_col: str = "vec_id", block: int = 5
         return pa.concat_tables(out)
 
     blocks = _blocks(vectors, id_col, block)
-    return _meeting(blocks, blocks, _sides(vectors, vectors, rows=1 << 14)).applyInArrow(paired, "a long, b long, sim double")
+    return _meeting(blocks, blocks, _sides(vectors, vectors, rows=1 << 11)).applyInArrow(paired, "a long, b long, sim double")
 
 
 def dimension_stats(vectors: DataFrame) -> DataFrame:

@@ -292,6 +292,16 @@ def test_empty_tables(spark):
     assert C.chunked(m, Chunking()).count() == 0
 
 
+def test_a_hot_text_is_sent_as_a_row_a_task(spark):
+    df = spark.range(5000).selectExpr("'f' AS file_path", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 't' || id END AS text", "1 AS strategy_rank", "id AS ordinal")
+    out = C.dedup(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and plan.index("Final") < plan.index("Partial")
+    assert {r.ordinal for r in out.collect()} == {i for i in range(5000) if i % 3 or i == 0}
+    assert V._sides(spark.range(0), *[spark.createDataFrame([(i, [1.0] * 9) for i in range(50)], "vec_id long, embedding array<double>")]) == 2
+    assert V._sides(spark.range(0), spark.range(64).selectExpr("array_repeat(1.0D, 2097152) AS embedding")) == 8
+
+
 def test_whole_chunks_have_every_row_and_whole_texts(spark, tmp_path):
     for docs, vectors in ((7, 3), (3, 7)):
         folder = f"{tmp_path}/{docs}"
