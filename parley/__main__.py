@@ -1,4 +1,4 @@
-"""python -m parley DATA index PATH | search TEXT | related ID | chunk ID | stats | watch PATH | start PATH | stop | status"""
+"""python -m parley DATA index PATH | build | search TEXT | related ID | chunk ID | stats | watch PATH | start PATH | stop | status"""
 
 from __future__ import annotations
 
@@ -48,7 +48,7 @@ def stop(data: str) -> bool:
 def main(arguments: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="parley", description=__doc__)
     p.add_argument("data")
-    p.add_argument("command", choices=["index", "search", "related", "chunk", "stats", "watch", "start", "stop", "status"])
+    p.add_argument("command", choices=["index", "build", "search", "related", "chunk", "stats", "watch", "start", "stop", "status"])
     p.add_argument("what", nargs="?")
     for name in ("project", "session", "after", "before"):
         p.add_argument(f"--{name}")
@@ -56,6 +56,7 @@ def main(arguments: list[str] | None = None) -> int:
     p.add_argument("--same-session", action="store_true")
     p.add_argument("--top-k", type=int, default=10)
     p.add_argument("--json", action="store_true")
+    p.add_argument("--index-type", default="flat")
     p.add_argument("--force", action="store_true")
     p.add_argument("--full", action="store_true")
     a = p.parse_args(arguments)
@@ -65,9 +66,11 @@ def main(arguments: list[str] | None = None) -> int:
     if a.command in ("stop", "status"):
         print(("stopped" if stop(a.data) else "not watching") if a.command == "stop" else f"watching, process {pid}" if (pid := running(a.data)) else "not watching")
         return 0
-    engine = Engine(session(), a.data)
     try:
-        if a.command == "index":
+        engine = Engine(session(), a.data, index_type=a.index_type)
+        if a.command == "build":
+            engine.build_index()
+        elif a.command == "index":
             run = engine.index(a.what, a.force)
             print(run, *run.first_errors(), sep="\n")
         elif a.command == "watch":

@@ -167,7 +167,7 @@ class NeighbourGraph:
             expanded = F.transform("beam", lambda b: F.struct(b["sim"].alias("sim"), b["node"].alias("node"), (b["done"] | F.array_contains(todo.getField("node"), b["node"])).alias("done")))
             merged = F.concat(expanded, F.coalesce("new", F.array().cast("array<struct<sim:double,node:bigint,done:boolean>>")))
             state = saved(state.join(new, "q", "left").select("q", F.slice(F.sort_array(merged, asc=False), 1, beam).alias("beam")), state)
-        kept = F.slice(F.array_sort(F.filter("beam", lambda b: b["node"] != F.col("q")), lambda a, b: F.when(a["sim"] != b["sim"], F.signum(b["sim"] - a["sim"]).cast("int")).otherwise(F.signum(a["node"] - b["node"]).cast("int"))), 1, k)
+        kept = F.slice(F.array_sort(F.filter("beam", lambda b: b["node"] != F.col("q")), lambda a, b: F.when(a["sim"] > b["sim"], -1).when(a["sim"] < b["sim"], 1).when(a["node"] < b["node"], -1).when(a["node"] > b["node"], 1).otherwise(0)), 1, k)
         return state.select(F.col("q").alias("query_id"), F.posexplode(kept).alias("at", "b")).select("query_id", F.col("b.node").alias("id"), F.col("b.sim").alias("sim"), (F.col("at") + 1).alias("rank"))
 
 

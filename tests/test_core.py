@@ -275,6 +275,29 @@ def test_one_scan_and_one_parse(spark, tmp_path):
     assert plan.count("FileScan") == 1 and plan.lower().count("parsejson") <= 2  # the node and its output's name
 
 
+@pytest.mark.parametrize("kind", ["cells", "graph"])
+def test_index_type_is_chosen(spark, tmp_path, kind, capsys):
+    with pytest.raises(ValueError, match="unknown index type"):
+        Engine(spark, f"file://{tmp_path}/st", index_type="hnsw2")
+    engine = Engine(spark, f"file://{tmp_path}/st", index_type=kind)
+    words = ["sort", "list", "tree", "graph", "join", "sum"]
+    rows = [(f"c{i}", f"how do I {words[i % 6]} item {i}", f"f{i}", "s", f"p{i % 2}", i % 2 == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, text string, file_path string, session_id string, project_name string, has_code boolean")
+    engine.store.add(df.withColumn("embedding", encoder.embed(F.col("text"), engine.encoder)))
+    with pytest.raises(ValueError, match="has been built"):
+        engine.semantic_search("how do I sort item 12").count()
+    engine.build_index()
+    flat = Engine(spark, f"file://{tmp_path}/st")
+    for filters in ({}, {"project": "p0"}):
+        want = [r.id for r in flat.semantic_search("how do I sort item 12", 5, **filters).collect()]
+        got = [r.id for r in engine.semantic_search("how do I sort item 12", 5, **filters).collect()]
+        assert want[0] == got[0] == "c12" and len(set(want) & set(got)) >= 4
+    engine.store.delete(F.col("id") == "c12")
+    assert "c12" not in [r.id for r in engine.semantic_search("how do I sort item 12", 5).collect()]
+    assert cli.main([f"file://{tmp_path}/st", "search", "sort item 18", "--index-type", kind, "--json"]) == 0 and "c18" in capsys.readouterr().out
+    assert cli.main([f"file://{tmp_path}/st", "search", "sort", "--index-type", "none"]) == 1
+
+
 def test_dates_are_checked():
     for bad in ("2024-13-01", "tomorrow", "2024-1-5", "2024-02-30"):
         with pytest.raises(ValueError, match="invalid date"):
