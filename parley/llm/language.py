@@ -9,11 +9,13 @@ matrix, and a batch is scored by matrix products. A text's scores are the mean o
 Defined cases: a text that is null or has no letter is `und` with score 0; repeated rows are predicted each; a null
 doc_id is not held out and never learned from; rows without lang are not learned from; with no training row all is
 `und`; further columns are ignored. At most `sample` documents are
-learned from, of each TRAIN_WINDOWS windows at most; prediction reads whole texts.
+learned from, of each `each` windows at most; prediction reads whole texts.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +25,6 @@ from . import _learning
 from ._shingles import texts_of
 
 WINDOW, GRAMS = 1024, 4096
-#: Windows of a document that training takes at most, so that a few huge texts don't fill the driver.
-TRAIN_WINDOWS = 64
 _CLASS = np.full(256, 0x20, np.uint32)
 _CLASS[0x61:0x7B] = _CLASS[0x41:0x5B] = np.arange(0x61, 0x7B)
 _CLASS[0x80:] = np.arange(0x80, 256)
@@ -58,19 +58,29 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(1, x.sum(1, keepdims=True)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, landmarks: int = 128, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
-    """(landmarks, weights) so that unit(x) @ landmarks.T @ weights scores each class; y: windows x classes, +1 or -1."""
-    mark = unit(x[np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))])
+#: Windows that the fit opens at a time.
+OPENED = 4096
+
+
+def fit(x: np.ndarray, y: np.ndarray, landmarks: int = 128, ridge: float = 1e-2, opened=lambda x: x) -> tuple[np.ndarray, np.ndarray]:
+    """(landmarks, weights) so that unit(x) @ landmarks.T @ weights scores each class; y: windows x classes, +1 or -1.
+    opened: makes presence rows of rows of x. The normal equations are summed block by block, so no more than OPENED windows
+    are ever open."""
+    mark = unit(opened(x[np.unique(np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int))]))
     values, vectors = np.linalg.eigh((mark @ mark.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    phi = (unit(x) @ mark.T) @ root
-    one = np.linalg.solve(phi.T @ phi + ridge * len(x) / len(mark) * np.eye(len(mark)), phi.T @ y)
+    square, target = np.zeros((len(mark), len(mark))), np.zeros((len(mark), y.shape[1]))
+    for lo in range(0, len(x), OPENED):
+        phi = (unit(opened(x[lo : lo + OPENED])) @ mark.T) @ root
+        square += phi.T @ phi
+        target += phi.T @ y[lo : lo + OPENED]
+    one = np.linalg.solve(square + ridge * len(x) / len(mark) * np.eye(len(mark)), target)
     return mark.astype(np.float32), (root @ one).astype(np.float32)
 
 
-def _packed(column: pa.Array) -> list[bytes]:
-    """For training: of a document of more than TRAIN_WINDOWS so many, evenly spaced."""
-    some = lambda x: x if len(x) <= TRAIN_WINDOWS else x[np.linspace(0, len(x) - 1, TRAIN_WINDOWS).astype(int)]
+def _packed(each: int, column: pa.Array) -> list[bytes]:
+    """For training, in bits: of a document of more than `each` windows so many, evenly spaced."""
+    some = lambda x: x if len(x) <= each else x[np.linspace(0, len(x) - 1, each).astype(int)]
     return [np.packbits(some(x[begin[i] : begin[i + 1]]) > 0, axis=1).tobytes() for x, begin in windows(column) for i in range(len(begin) - 1)]
 
 
@@ -78,16 +88,17 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def languages(documents: DataFrame, sample: int = 2500) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row of documents(doc_id, text, lang, ...)."""
+def languages(documents: DataFrame, sample: int = 2500, each: int = 64) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every row of documents(doc_id, text, lang, ...). sample: documents that are
+    learned from at most; each: windows of each of them at most, which take 512 bytes on the driver."""
     ids = _learning.sampled_ids(documents.where(F.col("lang").isNotNull()), sample)
-    rows = _learning.features_of(documents.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), ids, _packed, also="lang") if ids.take(1) else []
+    rows = _learning.features_of(documents.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), ids, functools.partial(_packed, each), also="lang") if ids.take(1) else []
     names = sorted({k for _, k, _ in rows})
     if rows:
-        grams = [np.unpackbits(np.frombuffer(f, np.uint8).reshape(-1, GRAMS // 8), axis=1) for _, _, f in rows]
+        grams = [np.frombuffer(f, np.uint8).reshape(-1, GRAMS // 8) for _, _, f in rows]
         of = np.repeat([names.index(k) for _, k, _ in rows], [len(g) for g in grams])
-        x = np.concatenate(grams).astype(np.float32)
-        mark, weight = fit(x, np.where(of[:, None] == np.arange(len(names)), 1.0, -1.0))
+        opened = lambda bits: np.unpackbits(bits, axis=1).astype(np.float32)
+        mark, weight = fit(np.concatenate(grams), np.where(of[:, None] == np.arange(len(names)), 1.0, -1.0), opened=opened)
 
     def predict(column):
         texts = column.to_pylist()

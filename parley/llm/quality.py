@@ -4,7 +4,7 @@ A document is a bag of passages of `PASSAGE` words. Each passage is encoded from
 its shape (case, signs, repetition within it and since the document began); a learned layer turns the encoding
 into h, gated attention weights each passage of its document (softmax of w . tanh(V h) * sigmoid(U h)), and the
 weighted sum of h is scored. Labels are of documents only. Training is on at most `per_class` documents of each
-label, of each TRAIN_PASSAGES passages at most, weighted back to the labels' own shares; scoring reads whole texts.
+label, of each `each` passages at most, weighted back to the labels' own shares; scoring reads whole texts.
 
 Defined cases: null text is empty; a text without words is one passage of no words; repeated rows are scored each;
 a null doc_id is not held out and never learned from; where labels hold less than two classes every score is the
@@ -13,6 +13,8 @@ share of label 1 (0.5 without labels); further columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +24,6 @@ from . import _learning
 from ._shingles import SPACE, hashed_words, texts_of, word_spans
 
 PASSAGE, HASHED, SHAPE = 96, 256, 18
-#: Passages of a document that training takes at most, so that a few huge texts don't fill the driver.
-TRAIN_PASSAGES = 256
 WIDTH = HASHED + SHAPE
 _KIND = np.full(256, 4)  # 0 lower, 1 upper, 2 digit, 3 white space, 4 other sign, 5 beyond ASCII, 6 sentence sign
 _KIND[0x61:0x7B], _KIND[0x41:0x5B], _KIND[0x30:0x3A], _KIND[0x80:] = 0, 1, 2, 5
@@ -109,7 +109,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int
     first, second, step = {k: 0.0 for k in m}, {k: 0.0 for k in m}, 0
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // batch)):
-            x, begin = np.concatenate([bags[i] for i in part]), np.concatenate([[0], np.cumsum([len(bags[i]) for i in part])])
+            x, begin = np.concatenate([bags[i] for i in part]).astype(np.float32), np.concatenate([[0], np.cumsum([len(bags[i]) for i in part])])
             step += 1
             for k, g in gradients(m, x, begin, y[part], weight[part]).items():
                 g = g + 1e-5 * m[k]
@@ -119,20 +119,21 @@ def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int
     return m
 
 
-def _packed(column: pa.Array) -> list[bytes]:
-    """For training: of a document of more than TRAIN_PASSAGES so many, evenly spaced."""
-    some = lambda x: x if len(x) <= TRAIN_PASSAGES else x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
+def _packed(each: int, column: pa.Array) -> list[bytes]:
+    """For training: of a document of more than `each` passages so many, evenly spaced."""
+    some = lambda x: x if len(x) <= each else x[np.linspace(0, len(x) - 1, each).astype(int)]
     return [some(x[begin[i] : begin[i + 1]]).astype(np.float16).tobytes() for x, begin in passages(column) for i in range(len(begin) - 1)]
 
 
-def quality_scores(documents: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, per_class: int = 2500, carry: str | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of documents (and carried, see `_learning.scored`)."""
+def quality_scores(documents: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, per_class: int = 2500, carry: str | None = None, each: int = 256) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of documents (and carried, see `_learning.scored`). per_class: documents
+    of a label that are learned from at most; each: passages of each of them at most, which take 548 bytes on the driver."""
     known = _learning.labelled(labels, label)
     counts = {r.kind: r["count"] for r in known.where(~_learning.held_out()).groupBy("kind").count().collect()}
     if len(counts) == 2:
         chosen = [_learning.sampled_ids(known.where(F.col("kind") == k), per_class).withColumn("kind", F.lit(k)) for k in "01"]
-        rows = _learning.features_of(documents, chosen[0].union(chosen[1]), _packed)
-        bags = [np.frombuffer(f, np.float16).reshape(-1, WIDTH).astype(np.float32) for _, _, f in rows]
+        rows = _learning.features_of(documents, chosen[0].union(chosen[1]), functools.partial(_packed, each))
+        bags = [np.frombuffer(f, np.float16).reshape(-1, WIDTH) for _, _, f in rows]
         y = np.array([float(k) for _, k, _ in rows], np.float32)
     if len(counts) < 2 or not 0 < y.sum() < len(y):
         share = float(sum(v for k, v in counts.items() if k == "1") / sum(counts.values())) if counts else 0.5

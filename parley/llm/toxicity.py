@@ -13,6 +13,8 @@ and never learned from; without a positive row every score is 0; further columns
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,12 +55,11 @@ def hashed_features(column: pa.Array):
 
 #: How many times the share of unlabelled rows that a feature's positives explain is taken off it in choosing features.
 SPARED = 1.5
-#: Features of a document that training takes at most (those of least hash), so that a few huge texts don't fill the driver.
-TRAIN_FEATURES = 20_000
 
 
-def _packed(column: pa.Array) -> list[bytes]:
-    return [np.unique(np.concatenate([k[begin[i] : begin[i + 1]] for k in kinds]))[:TRAIN_FEATURES].tobytes() for kinds, begin in hashed_features(column) for i in range(len(begin) - 1)]
+def _packed(each: int, column: pa.Array) -> list[bytes]:
+    """For training: of a document of more than `each` features those of least hash."""
+    return [np.unique(np.concatenate([k[begin[i] : begin[i + 1]] for k in kinds]))[:each].tobytes() for kinds, begin in hashed_features(column) for i in range(len(begin) - 1)]
 
 
 def sigmoid(f: np.ndarray) -> np.ndarray:
@@ -128,15 +129,16 @@ def train(docs: list[np.ndarray], positive: np.ndarray, prior: float, features:
     return keys, w, float(b - cut_of(xu @ w + b, prior) + np.log(threshold / (1 - threshold)))
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3, positives: int = 3000, unlabelled: int = 5000) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of documents."""
+def toxicity_scores(documents: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.3, positives: int = 3000, unlabelled: int = 5000, each: int = 20_000) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of documents. positives, unlabelled: rows that are learned from at most;
+    each: features of each of them at most, which take 8 bytes on the driver."""
     known = _learning.labelled(labels, label)
     counts = {r.kind: r["count"] for r in known.where(~_learning.held_out()).groupBy("kind").count().collect()}
     if counts.get("1"):
         toxic = _learning.sampled_ids(known.where("kind = '1'"), positives).withColumn("kind", F.lit("p"))
         # unlabelled text is what comes, confirmed positives among it, as the prior is that of all documents
         other = _learning.sampled_ids(documents, unlabelled).withColumn("kind", F.lit("u"))
-        rows = _learning.features_of(documents, toxic.union(other), _packed)
+        rows = _learning.features_of(documents, toxic.union(other), functools.partial(_packed, each))
         positive = np.array([k == "p" for _, k, _ in rows], bool)
     if not counts.get("1") or not positive.any() or positive.all():
         out = _learning.scored(documents, lambda c: [pa.array([0.0] * len(c), pa.float64())], "score double")

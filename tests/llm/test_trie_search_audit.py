@@ -229,3 +229,18 @@ def test_texts_that_share_a_hash_are_told_apart():
     assert sorted(filter_audit.owned(rows)) == [(2, "en", 1, 2), (2, "fr", 1, 1), (3, "fr", 1, 1), (5, "en", 17, 1), (8, "en", 17, 1), (9, "en", 17, 1)]
 
 
+
+
+def test_kernel_fit_by_blocks_equals_the_whole():
+    from parley.llm import language
+
+    x = (RNG.random((5000, 256)) < 0.05).astype(np.float32)
+    y = np.where(RNG.random((5000, 3)) < 0.3, 1.0, -1.0)
+    mark, weight = language.fit(x, y, landmarks=30)
+    values, vectors = np.linalg.eigh((mark @ mark.T).astype(np.float64))
+    root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
+    phi = (language.unit(x) @ mark.T) @ root
+    whole = root @ np.linalg.solve(phi.T @ phi + 1e-2 * len(x) / len(mark) * np.eye(len(mark)), phi.T @ y)
+    assert np.allclose(weight, whole, atol=1e-4)
+    bits = language.fit(np.packbits(x > 0, axis=1), y, landmarks=30, opened=lambda b: np.unpackbits(b, axis=1).astype(np.float32))
+    assert np.array_equal(bits[0], mark) and np.array_equal(bits[1], weight)
