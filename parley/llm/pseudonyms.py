@@ -116,15 +116,21 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), in which value is computed once however often it is read."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _spelled(value: Column, digits: Column) -> Column:
     """value with its digits replaced one by one."""
-    return F.array_join(F.transform(_chars(value), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, _digits_before(value, i) + 1, F.lit(1))).otherwise(c)), "")
+    put = lambda d: F.array_join(F.transform(_chars(value), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(d, _digits_before(value, i) + 1, F.lit(1))).otherwise(c)), "")
+    return _once(digits, put)
 
 
 def _card(value: Column, key: str, back: bool) -> Column:
     digits = _digits(value)
     body = _moved(F.substring(digits, F.lit(1), F.length(digits) - 1), lambda v, i: F.lit(False), key, "card", back, lambda v, i: F.when(i == 0, 3).otherwise(0), lambda v, i: F.when(i == 0, 6).otherwise(9))
-    return _spelled(value, F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")))
+    return _spelled(value, _once(body, lambda d: F.concat(d, ((10 - _luhn_sum(F.concat(d, F.lit("0"))) % 10) % 10).cast("string"))))
 
 
 def _phone(value: Column, key: str, back: bool) -> Column:
