@@ -11,6 +11,7 @@ from parley.functions import text as T
 from parley.operators import chunking as C
 from parley.operators import filters as FL
 from parley.operators import lookups as L
+from parley.operators import near as N
 from parley.operators import vectors as V
 from parley.operators.graph import NeighbourGraph
 from parley.operators.threads import reply_threads as threads
@@ -93,6 +94,20 @@ def similarity_matrix(spark, sf_dir):
     return V.similarity_blocks(table(spark, sf_dir, "embeddings"))
 
 
+NEAR = "WITH r AS (SELECT min(vec_id) AS id, embedding FROM embeddings GROUP BY embedding), e AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM r)"
+
+
+@query(f"{NEAR}, p AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM e a JOIN e b ON a.id < b.id) SELECT * FROM p WHERE sim >= 0.4")
+def vector_near_pairs(spark, sf_dir):
+    """All vectors that are near to each other; equal ones are one."""
+    return N.near_pairs(table(spark, sf_dir, "embeddings"), 0.4)
+
+
+@query("SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY embedding) AS class_id FROM embeddings")
+def vector_copies(spark, sf_dir):
+    return N.copies(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def cell_index_search(spark, sf_dir):
     """The ten nearest to each vector whose id is divisible by 100, by a stored index (no SQL: approximate)."""
