@@ -26,8 +26,8 @@ def _files(spark: SparkSession, kind: str, paths: str | list[str], pattern: str,
 
 
 def _name() -> Column:
-    """The file's path as it is written, not as a URL."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    """The file's path as it is written, not as a URL; local ones in one spelling, file:///, whichever Spark gives."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
 
 
 def scan(spark: SparkSession, paths: str | list[str], pattern: str = "*.jsonl", recursive: bool = True) -> DataFrame:
