@@ -54,6 +54,7 @@ def main(arguments: list[str] | None = None) -> int:
         p.add_argument(f"--{name}")
     p.add_argument("--has-code", action="store_true")
     p.add_argument("--same-session", action="store_true")
+    p.add_argument("--fast", action="store_true", help="stats by the manifest's sketches")
     p.add_argument("--top-k", type=int, default=10)
     p.add_argument("--json", action="store_true")
     p.add_argument("--index-type", default="flat")
@@ -76,7 +77,7 @@ def main(arguments: list[str] | None = None) -> int:
         elif a.command == "watch":
             engine.watch(a.what).awaitTermination()
         elif a.command == "stats":
-            print(engine.status())
+            print(engine.stats(exact=False) if a.fast else engine.status())
         else:
             found = engine.chunk(a.what) if a.command == "chunk" else engine.related(a.what, a.top_k, a.same_session) if a.command == "related" else engine.semantic_search(a.what, a.top_k, project=a.project, has_code=a.has_code, session=a.session, after=a.after, before=a.before)
             if "similarity" not in found.columns:

@@ -96,7 +96,11 @@ class Engine:
     def projects(self) -> list[str]:
         return [r.project_name for r in lookups.projects(self.store.chunks()).collect()]
 
-    def stats(self) -> dict:
+    def stats(self, exact: bool = True) -> dict:
+        """exact=False: numbers of sessions and projects from the sketches in the manifest, without reading all chunks."""
+        if not exact:
+            out = self.store.statistics().first().asDict()
+            return out | {"index_type": "flat", "bytes": {n: self.store.size_bytes(n) for n in ("chunks", "files")}}
         out = lookups.index_stats(self.store.chunks()).first().asDict()
         out["chunk_types"] = {r.chunk_type: r.n for r in lookups.type_counts(self.store.chunks()).collect()}
         out["bytes"] = {n: self.store.size_bytes(n) for n in ("chunks", "files")}

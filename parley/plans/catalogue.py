@@ -478,6 +478,18 @@ def store_date_window(spark, sf_dir):
     return FL.matching(held.chunks(wanted), wanted).select("id", "ts")
 
 
+@query("SELECT count(*) AS total_chunks, count(DISTINCT session_id) AS total_sessions, count(DISTINCT project_name) AS total_projects, CAST(max(len(embedding)) AS BIGINT) AS dimension, count(*) FILTER (chunk_type = 'code_block') AS code_blocks FROM k WHERE embedding IS NOT NULL AND session_id IS DISTINCT FROM 'session_3'", "K")
+def store_statistics(spark, sf_dir):
+    """Statistics of a store of two fragments: one is read for what a delete has taken, of the other only the manifest. Distinct
+    counts are of sketches, which are exact for as few sessions and projects as these."""
+    k = X.chunks(spark, sf_dir).drop("vec_id")
+    held = store.Store(spark, X.scratch(spark, "statistics"))
+    held.add(k.where("session_id IN ('session_3', 'session_4')"))
+    held.delete(F.col("session_id") == "session_3")
+    held.add(k.where("session_id IS NULL OR session_id NOT IN ('session_3', 'session_4')"))
+    return held.statistics().select("*", F.col("chunk_types")["code_block"].alias("code_blocks")).drop("chunk_types")
+
+
 # the time of each event in one of the seven forms in which logs have it
 SECOND = "date_trunc('second', ts)"
 STAMPED = """SELECT '{"uuid":"u' || event_id || '","content":"x","createdAt":' || CASE event_id % 7

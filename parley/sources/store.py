@@ -14,6 +14,7 @@ on any file system that Spark reaches.
 
 from __future__ import annotations
 
+import base64
 import datetime
 import json
 import os
@@ -22,7 +23,7 @@ import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from parley.schema import CHUNKS, FILES
@@ -30,6 +31,11 @@ from parley.schema import CHUNKS, FILES
 SCHEMAS = {"chunks": CHUNKS, "files": FILES}
 #: The number of the commit that a row came by, where a rewrite has brought rows of several together.
 SEQ = "_seq"
+#: Kinds of chunks, each counted for itself in a fragment's statistics.
+KINDS = ("qa_pair", "qa_pair_split", "context_segment", "code_block", "tool_usage")
+#: Logarithm of a sketch's counters: distinct counts have a relative standard error of 1.04 / 2**6, 1.6 %.
+SKETCH = 12
+STATISTICS = "total_chunks bigint, sessions binary, projects binary, dimension int, kinds array<bigint>"
 #: Columns by which a row is looked up, and which get Bloom filters.
 BLOOMS = ("id", "session_id", "path")
 
@@ -83,9 +89,13 @@ class Staging:
 
     def table(self, df: DataFrame) -> DataFrame:
         """df written and read again, so that it is made once."""
-        path = f"{self.path}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.store.spark.read.schema(df.schema).parquet(path)
+        return self.measured(df, n=F.count(F.lit(1)))[0]
+
+    def measured(self, df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+        """table(df), and aggregates of its rows that are taken while they are written."""
+        path, seen = f"{self.path}/{uuid.uuid4().hex}", Observation()
+        df.observe(seen, *[c.alias(n) for n, c in measures.items()]).write.parquet(path)
+        return self.store.spark.read.schema(df.schema).parquet(path), seen.get
 
 
 class Store:
@@ -164,18 +174,20 @@ class Store:
 
     # ---- fragments
 
-    def _written(self, rows: DataFrame, **options: str) -> dict:
-        """rows as a new fragment: its folder, number of rows and bytes."""
+    def _written(self, rows: DataFrame, measures: dict[str, Column] | None = None, **options: str) -> dict:
+        """rows as a new fragment: its folder, number of rows and bytes, and `seen`, the measures taken on the way."""
         folder, seen = f"data/{uuid.uuid4().hex}", Observation()
         blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in BLOOMS if c in rows.columns} | {"parquet.bloom.filter.adaptive.enabled": "true"}
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.options(**blooms | options).parquet(f"{self.folder}/{folder}")
+        rows.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in (measures or {}).items()]).write.options(**blooms | options).parquet(f"{self.folder}/{folder}")
         fs, p = self._path(f"{self.folder}/{folder}")
-        return {"folder": folder, "rows": seen.get["n"], "bytes": fs.getContentSummary(p).getLength()}
+        got = {n: v if not isinstance(v, (bytes, bytearray)) else base64.b64encode(v).decode() for n, v in seen.get.items()}
+        return {"folder": folder, "rows": got["n"], "bytes": fs.getContentSummary(p).getLength()} | ({"seen": got} if measures else {})
 
     def _data(self, name: str, rows: DataFrame, **options: str) -> dict:
-        """A fragment of a table's rows; of chunks with the range of times of each file."""
+        """A fragment of a table's rows; of chunks with the range of times of each file, and statistics."""
         cols = [f.name for f in self.spark.createDataFrame([], SCHEMAS[name]).schema if f.name in rows.columns]
-        out = self._written(rows.select(*cols, *[c for c in (SEQ,) if c in rows.columns]), **options)
+        measures = {n: c for n, c in _measures().items() if n != "total_chunks"} if name == "chunks" and set(cols) >= {"session_id", "project_name", "chunk_type", "embedding"} else None
+        out = self._written(rows.select(*cols, *[c for c in (SEQ,) if c in rows.columns]), measures, **options)
         if name == "chunks" and out["rows"]:
             written = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{out['folder']}")
             ranges = written.groupBy(F.col("_metadata.file_name").alias("f")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
@@ -229,6 +241,30 @@ class Store:
     def files(self) -> DataFrame:
         return self._read("files")
 
+    def statistics(self) -> DataFrame:
+        """One row: total_chunks, total_sessions, total_projects, dimension, chunk_types (a map). Distinct counts are merged from
+        the sketches of fragments (within the error of SKETCH, and not always alike after a rewrite), all others are exact. Chunks are read only of fragments of which a later change may have
+        taken rows, so after `optimize` none; a sketch can't be reduced."""
+        found = self.manifest()["chunks"]
+        last = max((d["upto"] for d in found["deletes"] if d["rows"]), default=-1)
+        whole = [f for f in found["data"] if f["rows"] and f["seq"] > last and "seen" in f]
+        parts = [self._noted(f) for f in whole]
+        rows = self.spark.createDataFrame(parts, STATISTICS)
+        rest = [f for f in found["data"] if f["rows"] and f not in whole]
+        if rest:
+            columns = self._read("chunks", {"chunks": found | {"data": rest}})
+            measured = columns.agg(*[c.alias(n) for n, c in _measures().items()])
+            rows = rows.unionByName(measured.select("total_chunks", "sessions", "projects", "dimension", F.array(*[f"kind_{k}" for k in KINDS]).alias("kinds")))
+        distinct = lambda c: F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).cast("bigint")
+        total = F.coalesce(F.sum("total_chunks"), F.lit(0))
+        kinds = [F.coalesce(F.sum(F.get("kinds", F.lit(i))), F.lit(0)) for i in range(len(KINDS))]
+        types = F.map_from_arrays(F.array(*map(F.lit, [*KINDS, "other"])), F.array(*kinds, total - sum(kinds, F.lit(0))))
+        return rows.agg(total.alias("total_chunks"), distinct("sessions").alias("total_sessions"), distinct("projects").alias("total_projects"), F.max("dimension").cast("bigint").alias("dimension"), F.map_filter(types, lambda _, n: n > 0).alias("chunk_types"))
+
+    def _noted(self, fragment: dict) -> Row:
+        seen = fragment["seen"]
+        return Row(fragment["rows"], *[bytearray(base64.b64decode(seen[c])) for c in ("sessions", "projects")], seen["dimension"], [seen[f"kind_{k}"] for k in KINDS])
+
     def staging(self) -> Staging:
         return Staging(self)
 
@@ -318,6 +354,13 @@ class Store:
         return sum(f["bytes"] for part in self.manifest()[name].values() for f in part)
 
 
+def _measures() -> dict[str, Column]:
+    """What the statistics of chunks are put together from."""
+    kinds = {f"kind_{k}": F.count_if(F.col("chunk_type") == k) for k in KINDS}
+    values = lambda c: F.hll_sketch_agg(F.concat(F.lit("="), F.col(c)), SKETCH)  # noqa: E731  (a sketch leaves out empty text)
+    return {"total_chunks": F.count(F.lit(1)), "sessions": values("session_id"), "projects": values("project_name"), "dimension": F.max(F.size("embedding"))} | kinds
+
+
 def _with(m: dict, version: int, name: str, new: dict | None, gone: dict, upto: int | None = None) -> dict:
     """A manifest with a fragment and keys that go from all that came before it (or until the version upto)."""
     now = m[name]

@@ -24,7 +24,7 @@ from parley.streaming.debounce import bursts, prepared
 
 @dataclass
 class Run:
-    """Counters of an indexing run. Files without a chunk are skipped; an error names a file that could not be read."""
+    """Counters of an indexing run, taken while its tables are written. Files without a chunk are skipped; an error names a file that could not be read."""
 
     files_listed: int = 0
     files_processed: int = 0
@@ -53,9 +53,10 @@ def index(spark: SparkSession, path: str, store: Store, encoder: Encoder | None
         store.clear()
     with store.staging() as staging:
         some = listed is not None
-        listed = staging.table(listed if some else jsonl.listing(spark, path, pattern, recursive))
-        todo = staging.table(changed(listed, store.files()))
-        run.files_listed, many = listed.count(), todo.count()
+        n = F.count(F.lit(1))
+        listed, all_files = staging.measured(listed if some else jsonl.listing(spark, path, pattern, recursive), n=n)
+        todo, new_files = staging.measured(changed(listed, store.files()), n=n)
+        run.files_listed, many = all_files["n"], new_files["n"]
         run.files_unchanged = run.files_listed - many
         if many:
             # all files: the folder is read; else the changed ones by name (the driver lists them in any case)
@@ -70,11 +71,12 @@ def _read(spark: SparkSession, store: Store, staging: Staging, run: Run, todo: D
     try:
         paths = path or [re.sub(r"([\[\]{}*?\\])", r"\\\1", r.path) for r in todo.select("path").collect()]
         lines = jsonl.numbered(jsonl.scan(spark, paths, pattern, recursive))
-        staged = staging.table(jsonl.with_file_sessions(jsonl.messages(lines, keep_bad=True)))
+        staged, of_lines = staging.measured(jsonl.with_file_sessions(jsonl.messages(lines, keep_bad=True)), bad=F.count_if("bad"))
         rows = chunked(staged.where("NOT bad"), config, signs)
         rows = staging.table(rows.withColumn("embedding", embed(F.col("text"), encoder)))
         counts = rows.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunk_count"))
-        states = staging.table(todo.join(counts, "path", "left").select("path", F.col("modified").alias("last_modified"), F.current_timestamp().alias("last_indexed"), F.coalesce("chunk_count", F.lit(0)).cast("bigint").alias("chunk_count")))
+        states = todo.join(counts, "path", "left").select("path", F.col("modified").alias("last_modified"), F.current_timestamp().alias("last_indexed"), F.coalesce("chunk_count", F.lit(0)).cast("bigint").alias("chunk_count"))
+        states, of_files = staging.measured(states, chunks=F.sum("chunk_count"), files=F.count(F.lit(1)), empty=F.count_if(F.col("chunk_count") == 0))
         removed = store.replace_files(rows, states)
     except Exception as e:
         names = sorted(todo.collect())
@@ -86,12 +88,11 @@ def _read(spark: SparkSession, store: Store, staging: Staging, run: Run, todo: D
             if part:
                 _read(spark, store, staging, run, spark.createDataFrame(part, todo.schema), None, pattern, recursive, encoder, config, signs)
         return
-    sizes = states.agg(F.sum("chunk_count"), F.count("*"), F.count_if(F.col("chunk_count") == 0)).first()
-    run.chunks += sizes[0] or 0
-    run.files_processed += sizes[1]
-    run.files_skipped += sizes[2]
+    run.chunks += of_files["chunks"] or 0
+    run.files_processed += of_files["files"]
+    run.files_skipped += of_files["empty"]
     run.chunks_removed += removed
-    run.bad_lines += staged.where("bad").count()
+    run.bad_lines += of_lines["bad"]
 
 
 def watch(spark: SparkSession, path: str, store: Store, quiet: float = 5, every: str = "1 second", encoder: Encoder | None = None, config: Chunking = Chunking(), signs: list[str] = ()) -> StreamingQuery:

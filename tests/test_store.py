@@ -268,3 +268,29 @@ def test_z_order_has_quantiles_of_both(spark):
     spans = out.groupBy(F.spark_partition_id()).agg(F.count_distinct("project_name").alias("p"), F.count("*").alias("n")).collect()
     assert sum(r.n for r in spans) == 2001 and max(r.p for r in spans) < 7
     assert S.z_ordered(df.limit(0), 3).count() == 0
+
+
+def test_statistics_are_merged_from_the_manifest(spark, tmp_path):
+    st = Store(spark, f"file://{tmp_path}/st")
+    assert st.statistics().first().asDict() == {"total_chunks": 0, "total_sessions": 0, "total_projects": 0, "dimension": None, "chunk_types": {}}
+    many = spark.range(20_000).selectExpr("'i' || id AS id", "'t' AS text", "'f' || id % 9 AS file_path", "CASE WHEN id % 10 > 0 THEN 's' || id % 7000 END AS session_id", "'p' || id % 13 AS project_name", "CASE id % 4 WHEN 0 THEN 'qa_pair' WHEN 1 THEN 'code_block' WHEN 2 THEN 'more' END AS chunk_type", "array(1f, 2f, 3f) AS embedding")
+    st.add(many)
+    opened = []
+    read, st._read = st._read, lambda *a, **k: opened.append(a) or read(*a, **k)
+    one = st.statistics().first()
+    assert not opened and one.total_chunks == 20_000 and one.total_projects == 13 and one.dimension == 3
+    assert one.chunk_types == {"qa_pair": 5000, "code_block": 5000, "other": 10_000}
+    exact = many.selectExpr("count(DISTINCT session_id)").first()[0]
+    assert abs(one.total_sessions - exact) <= 3 * 1.04 / 2**6 * exact
+    st._read = read
+    st.delete(F.col("project_name") == "p3")
+    st.add(many.where("id IN ('i1', 'i2')").withColumn("session_id", F.lit("new")).withColumn("chunk_type", F.lit("tool_usage")))
+    left = many.where("project_name <> 'p3' AND id NOT IN ('i1', 'i2')").count() + 2
+    left_sessions = st.chunks().select("session_id").distinct().where("session_id IS NOT NULL").count()
+    before = st.statistics().first()
+    assert before.total_chunks == left == st.chunks().count() and before.total_projects == st.chunks().select("project_name").distinct().count() == 12 and before.chunk_types["tool_usage"] == 2
+    st.optimize()
+    st._read = lambda *a, **k: opened.append(a) or read(*a, **k)
+    after, exact = st.statistics().first().asDict(), left_sessions
+    assert not opened and all(abs(n - exact) <= 3 * 1.04 / 2**6 * exact for n in (before.total_sessions, after["total_sessions"]))
+    assert after | {"total_sessions": before.total_sessions} == before.asDict()
