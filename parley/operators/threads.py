@@ -2,7 +2,9 @@
 
 Pointers are doubled: a message's pointer leads to its parent and its way holds the ids on the way there; in a round every
 way takes on the way of the message to which its pointer leads. So a thread of n messages, however deep, is whole after
-log2(n) rounds of one join, and rounds end when no pointer is left, or when ways are longer than there are messages.
+log2(n) rounds of one join, and rounds end when no pointer is left, or when ways are longer than any scope has messages.
+Joins are sorted merges: ids and ways are small as files and many times that in memory, so a broadcast that is planned by the
+size of files would take them all through the driver.
 
 Defined cases: a message without a parent, or whose parent isn't in its scope (`missing_parent`), is a root of depth 0; of
 messages that share a scope and uuid the first by order counts as the parent of answers, and each is a row of its
@@ -26,20 +28,20 @@ def reply_threads(messages: DataFrame, saved: Callable[[DataFrame], DataFrame],
     cyclic. saved: writes a table and reads it again, once for each round."""
     known = messages.where(F.col(uuid).isNotNull()).groupBy(F.col(scope).alias("s"), F.col(uuid).alias("u"))
     known = saved(known.agg(F.min(F.struct(F.col(order), F.xxhash64(parent), F.col(parent).alias("p")))["p"].alias("p")))
-    total = known.count()
+    longest = known.groupBy("s").count().agg(F.max("count")).first()[0] or 0
     there = known.select(F.col("s").alias("s2"), F.col("u").alias("u2"))
-    ways = known.join(there, F.col("s").eqNullSafe(F.col("s2")) & (F.col("p") == F.col("u2")), "left")
+    ways = known.join(there.hint("merge"), F.col("s").eqNullSafe(F.col("s2")) & (F.col("p") == F.col("u2")), "left")
     # path: the message and those above it, the pointer's own not among them
     ways = saved(ways.select("s", "u", F.col("u2").alias("to"), F.col("u2").isNotNull().cast("long").alias("depth"), F.array("u").alias("path"), F.when(F.col("u2").isNull(), F.col("u")).alias("root")))
     covered = 1
-    while covered < total and ways.where("to IS NOT NULL").limit(1).count():
+    while covered < longest and ways.where("to IS NOT NULL").limit(1).count():
         far = ways.select(F.col("s").alias("s2"), F.col("u").alias("u2"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("path").alias("above"), F.col("root").alias("top"))
-        both = ways.join(far, F.col("s").eqNullSafe(F.col("s2")) & (F.col("to") == F.col("u2")), "left")
+        both = ways.join(far.hint("merge"), F.col("s").eqNullSafe(F.col("s2")) & (F.col("to") == F.col("u2")), "left")
         path = F.slice(F.concat("path", F.coalesce("above", F.array().cast("array<string>"))), 1, nearest)
         ways = saved(both.select("s", "u", F.col("next").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), path.alias("path"), F.coalesce("root", "top").alias("root")))
         covered *= 2
     up = ways.select(F.col("s").alias("s2"), F.col("u").alias("u2"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
-    out = messages.join(up, F.col(scope).eqNullSafe(F.col("s2")) & (F.col(parent) == F.col("u2")), "left")
+    out = messages.join(up.hint("merge"), F.col(scope).eqNullSafe(F.col("s2")) & (F.col(parent) == F.col("u2")), "left")
     own, found = F.array(F.col(uuid)), F.col("u2").isNotNull()
     path = F.when(~found, own).when(F.col("_root").isNotNull(), F.reverse(F.slice(F.concat(own, "_path"), 1, nearest)))
     return out.select(

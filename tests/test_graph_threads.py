@@ -75,3 +75,21 @@ def test_threads_equal_a_walk(spark, tmp_path, nearest):
     want = [(s, u, p, n, *walk(s, u, p)) for s, u, p, n in rows]
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
     assert reply_threads(df.limit(0), saved_in(spark, f"file://{tmp_path}/e")).count() == 0
+
+
+def test_threads_send_no_table_through_the_driver_and_end_by_scope(spark, tmp_path):
+    # in each scope a thread of four and a cycle of two, whose pointers never end
+    parents = {"a": None, "b": "a", "c": "b", "d": "c", "x": "y", "y": "x"}
+    rows = [(s, u, p, n) for s in range(40) for n, (u, p) in enumerate(parents.items())]
+    df = spark.createDataFrame(rows, "file_path int, uuid string, parent_uuid string, line_no int")
+    saved, plans = saved_in(spark, f"file://{tmp_path}/t"), []
+
+    def seen(t):
+        plans.append(t._jdf.queryExecution().executedPlan().toString())
+        return saved(t)
+
+    got = reply_threads(df, seen)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert not any("Broadcast" in p for p in plans)
+    assert len(plans) == 6  # known, first ways, rounds up to a scope's six messages, result
+    assert sorted({(r.uuid, r.root, r.depth, r.cyclic) for r in got.collect()}, key=str) == [("a", "a", 0, False), ("b", "a", 1, False), ("c", "a", 2, False), ("d", "a", 3, False), ("x", None, None, True), ("y", None, None, True)]
