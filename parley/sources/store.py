@@ -298,16 +298,18 @@ class Store:
     def clear(self) -> None:
         self._commit(lambda m, v: m | {name: {"data": [], "deletes": []} for name in SCHEMAS})
 
-    def optimize(self, rows_per_file: int = 500_000, **options: str) -> None:
+    def optimize(self, rows_per_file: int = 500_000, bytes_per_file: int = 64 << 20, **options: str) -> None:
         """Rewrites both tables without what was deleted; chunks in files that are near in project and time (a Z-order),
-        so that a search of either reads few of them. Rows keep the number of their commit, so changes made
+        so that a search of either reads few of them. A file has about rows_per_file rows or bytes_per_file, as fragments
+        have them now, whichever is less. Rows keep the number of their commit, so changes made
         meanwhile still apply. Raises Conflict if another writer has rewritten the table too."""
         base = self.version()
         seen = self.manifest(base)
         for name in SCHEMAS:
             rows = self._read(name, seen, numbered=True)
             if name == "chunks":
-                many = max(1, -(-sum(f["rows"] for f in seen[name]["data"]) // rows_per_file))
+                size = lambda k: sum(f[k] for f in seen[name]["data"])
+                many = max(1, -(-size("rows") // rows_per_file), -(-size("bytes") // bytes_per_file))
                 rows = z_ordered(rows, many)
             new, old = self._data(name, rows, **options), seen[name]
 
@@ -379,8 +381,8 @@ def _overlaps(span: list, wanted: dict) -> bool:
 
 
 def z_ordered(chunks: DataFrame, files: int, bits: int = 5, names: int = 4096) -> DataFrame:
-    """chunks in so many ranges of a Z-order over project and time, each sorted. Both are cut at quantiles, of projects by
-    the `names` commonest."""
+    """chunks in so many ranges of a Z-order over project and time, each sorted; rows of one time can lie in several. Both
+    are cut at quantiles, of projects by the `names` commonest."""
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     when = F.unix_micros(F.col("ts").cast("timestamp"))
     times = chunks.agg(F.percentile_approx(when, steps, 1000)).first()[0] or []
@@ -397,4 +399,4 @@ def z_ordered(chunks: DataFrame, files: int, bits: int = 5, names: int = 4096) -
     z = F.lit(0)
     for i in range(bits):
         z = z + F.shiftleft(bit(x, i), 2 * i + 1) + F.shiftleft(bit(y, i), 2 * i)
-    return chunks.withColumn("_z", z).repartitionByRange(files, "_z", "ts").sortWithinPartitions("_z", "project_name", "ts").drop("_z")
+    return chunks.withColumn("_z", z).repartitionByRange(files, "_z", "ts", F.xxhash64("id")).sortWithinPartitions("_z", "project_name", "ts").drop("_z")

@@ -294,3 +294,13 @@ def test_statistics_are_merged_from_the_manifest(spark, tmp_path):
     after, exact = st.statistics().first().asDict(), left_sessions
     assert not opened and all(abs(n - exact) <= 3 * 1.04 / 2**6 * exact for n in (before.total_sessions, after["total_sessions"]))
     assert after | {"total_sessions": before.total_sessions} == before.asDict()
+
+
+def test_optimize_bounds_a_files_bytes_even_of_one_time(spark, tmp_path):
+    st = Store(spark, f"file://{tmp_path}/st")
+    st.add(chunk_rows(spark, [f"{i:05d}" for i in range(400)]).withColumn("text", F.concat(*[F.sha2(F.concat("id", F.lit(f"{k}")), 512) for k in range(20)])))
+    had = {r.id: r.text for r in st.chunks().collect()}
+    st.optimize(bytes_per_file=100_000)
+    sizes = st.chunks().groupBy(F.input_file_name()).count().collect()
+    assert len(sizes) >= 5 and max(r["count"] for r in sizes) <= 160  # one file before, as all are few rows and of one time
+    assert {r.id: r.text for r in st.chunks().collect()} == had
