@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import _sides, norm
+from .vectors import _half_grid, _iterating, _met_pairs, _sides, norm
 
 #: What a rounded similarity and products of doubles may add.
 SLACK = 1e-6
@@ -113,32 +113,19 @@ def _apart(a: tuple, b: tuple, threshold: float) -> bool:
     return least > 0 and np.cos(least) < threshold - SLACK
 
 
-def _met(blocks: DataFrame, sides: int) -> DataFrame:
-    """Each two blocks in one cell (i <= j) of the grid; on its diagonal a block is there once."""
-    own = blocks.withColumn("own", F.pmod(F.xxhash64("ids"), F.lit(sides)).cast("int"))
-    cell = lambda i, j, first: F.struct(i.alias("i"), j.alias("j"), F.lit(first).alias("first"))
-    along = F.transform(F.sequence("own", F.lit(sides - 1)), lambda j: cell(F.col("own"), j, True))
-    down = F.transform(F.filter(F.sequence(F.lit(0), F.lit(sides - 1)), lambda i: i < F.col("own")), lambda i: cell(i, F.col("own"), False))
-    return own.select("*", F.explode(F.concat(along, down)).alias("at")).select("ids", "m", "center", "radius", "at.*").groupBy("i", "j")
+def _block(r: dict) -> tuple:
+    ids = np.array(r["ids"], np.int64)
+    return ids, np.frombuffer(r["m"]).reshape(len(ids), -1), np.array(r["center"]), r["radius"]
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple, bool]]:
-    """The pairs of blocks of a cell of the grid, and if a pair is a block with itself."""
-    left, right, diagonal = [], [], False
-    for b in batches:
-        for r in b.to_pylist():
-            ids = np.array(r["ids"], np.int64)
-            one = (ids, np.frombuffer(r["m"]).reshape(len(ids), -1), np.array(r["center"]), r["radius"])
-            (left if r["first"] else right).append(one)
-            diagonal = diagonal or r["i"] == r["j"]
-    for k, a in enumerate(left):
-        for n, b in enumerate(left[k:] if diagonal else right):
-            yield a, b, diagonal and n == 0
+    return _met_pairs(batches, _block)
 
 
 def _grid(vectors: DataFrame, id_col: str, block: int, cells: int | None, sample: int):
     classes = _ready(vectors, id_col).groupBy("embedding").agg(F.min("id").alias("id"))
-    return _met(_blocks(_placed(classes, cells, sample), block), _sides(classes, classes))
+    blocks = _blocks(_placed(classes, cells, sample), block).withColumn("own", F.xxhash64("ids")).drop("dim")
+    return _half_grid(blocks, _sides(classes, classes))
 
 
 def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", block: int = 512, cells: int | None = None, sample: int = 4096) -> DataFrame:
@@ -167,13 +154,3 @@ def pruning(vectors: DataFrame, threshold: float, id_col: str = "vec_id", block:
 
     counts = _grid(vectors, id_col, block, cells, sample).applyInArrow(_iterating(counted), "block_pairs long, multiplied long")
     return counts.agg(F.coalesce(F.sum("block_pairs"), F.lit(0)).alias("block_pairs"), F.coalesce(F.sum("multiplied"), F.lit(0)).alias("multiplied"))
-
-
-def _iterating(f):
-    """f with the types by which Spark knows that it takes and gives iterators."""
-
-    def batches(b: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from f(b)
-
-    batches.__annotations__ = {"b": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return batches

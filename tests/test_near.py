@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from parley.operators import near as N
+from parley.operators import vectors as V
 
 
 def table(spark, rows):
@@ -61,3 +62,33 @@ def test_copies_and_empty_tables(spark, bunches):
     assert len(got) == 50 and set(got.values()) == {0}
     none = table(spark, bunches).limit(0)
     assert N.near_pairs(none, 0.5).count() == 0 and N.copies(none).count() == 0 and N.pruning(none, 0.5).first().block_pairs == 0
+
+
+def test_nearest_by_single_precision_first_equal_plain_products():
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(700, 9))
+    v[100:300] = v[7]  # more copies than anyone needs
+    v[300:400] = v[8] + rng.normal(size=(100, 9)) * 1e-7  # alike but for digits that single precision lacks
+    v[400], v[401], v[402], v[403] = 0, np.nan, v[5] * 1e-200, np.r_[np.inf, v[0, 1:]]
+    ids = rng.permutation(700)
+    ids[500:520] = ids[520]
+    with np.errstate(all="ignore"):
+        sim = np.round(v @ v.T / np.maximum(np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None], 1e-300), 6)
+    want = {}
+    for q in [*range(0, 700, 9), 7, 8, 100, 300, 400, 401, 402, 403, 505]:
+        row = sorted((-s, i) for s, i in zip(sim[q], ids, strict=True) if np.isfinite(s) and i != ids[q])[:5]
+        want[q] = [(int(i), -s + 0.0) for s, i in row]
+    for wide in (64, 4096):
+        for q, expected in want.items():
+            got = V._nearest_of([(ids[q : q + 1], np.array([9]), v[q : q + 1])], ids, v, 5, wide).to_pylist()
+            assert [r["id"] for r in got] == [i for i, _ in expected] and np.allclose([r["sim"] for r in got], [s for _, s in expected], atol=1.5e-6)
+
+
+def test_a_cell_of_the_grid_is_bounded_and_few_queries_are_sent_to_the_vectors(spark):
+    large = spark.range(200_000).selectExpr("id AS vec_id", "array(1f) AS embedding")
+    few = large.limit(50)
+    assert V._oblong(few, large) == (1, 8)  # not a square, whose other rows would get vectors and no query
+    assert V._oblong(large, large, rows=20_000) == (10, 10) and V._sides(large, large, rows=20_000) == 10
+    blocks = V._blocks(large.repartition(4), "vec_id", 512)
+    spread = blocks.groupBy((blocks.own % 10).alias("i")).count().collect()
+    assert len(spread) == 10 and max(r["count"] for r in spread) <= 1.3 * min(r["count"] for r in spread)
