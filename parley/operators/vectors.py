@@ -332,7 +332,7 @@ class CellIndex:
     """A stored approximate index: k-means cells, of which a search reads the nearest `probes`.
 
     The folder holds `rows`, partitioned by cell so that a search lists and reads its cells only, and `cells` (cell, center,
-    probes). Cells are fitted on at most `sample` vectors, every vector is indexed, and as many probes are noted as give
+    probes). Cells are fitted on about `sample` vectors at most, every vector is indexed, and as many probes are noted as give
     `recall` of the ten nearest to at most `asked` vectors, measured against all of them."""
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -346,7 +346,8 @@ class CellIndex:
         spark, ready = vectors.sparkSession, vectors.where(F.col("embedding").isNotNull() & F.col(id_col).isNotNull())
         many = ready.count()
         cells = cells or int(min(4096, max(1, round(many**0.5 / 2))))
-        some = ready.orderBy(F.xxhash64("embedding"), id_col).limit(sample)
+        # by a bound of hashes, so that the sample stays where it is and no task orders it
+        some = ready if many <= sample else ready.where(F.pmod(F.xxhash64("embedding", id_col), F.lit(1 << 40)) < F.lit((sample << 40) // many))
         model = KMeans(k=cells, seed=seed, featuresCol="_v", predictionCol="cell").fit(some.select(array_to_vector("embedding").alias("_v")))
         centers = np.array(model.clusterCenters())
         near = _cells(centers, 1)

@@ -92,3 +92,19 @@ def test_a_cell_of_the_grid_is_bounded_and_few_queries_are_sent_to_the_vectors(s
     blocks = V._blocks(large.repartition(4), "vec_id", 512)
     spread = blocks.groupBy((blocks.own % 10).alias("i")).count().collect()
     assert len(spread) == 10 and max(r["count"] for r in spread) <= 1.3 * min(r["count"] for r in spread)
+
+
+def test_cells_are_fitted_on_a_sample_that_no_task_orders(spark, tmp_path, monkeypatch):
+    fitted = []
+
+    class Seen(V.KMeans):
+        def fit(self, some):
+            fitted.append((some.count(), some._jdf.queryExecution().optimizedPlan().toString()))
+            return super().fit(some)
+
+    monkeypatch.setattr(V, "KMeans", Seen)
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = V.CellIndex.build(e, f"file://{tmp_path}/c", cells=4, sample=500, asked=20)
+    (n, plan), = fitted
+    assert 400 <= n <= 600 and "Limit" not in plan and "Sort" not in plan
+    assert spark.read.parquet(f"{index.folder}/rows").count() == 2000
