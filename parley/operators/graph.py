@@ -1,9 +1,10 @@
 """A neighbour graph over vectors, built by neighbour-descent rounds and searched best-first.
 
-Build: each vector begins with neighbours by chance. In a round every node introduces its neighbours, and a bounded choice of
-the nodes that name it, to each other: their vectors meet in one row of at most twice the degree, whose products are
-taken at once, and a pair leaves it only if it is better than the worst neighbour that one of the two has. A node keeps its
-`degree` nearest. It ends when fewer than `still` of all edges are new.
+Build: each vector begins with the nearest of two groups, which are round nodes taken by chance. In a round every node introduces
+its neighbours, and a bounded choice of the nodes that name it, to each other: their vectors, in half precision, meet in one row
+of at most twice the degree, whose products are taken at once, and a pair leaves it only if one of the two is new there and it
+is better than the worst neighbour that one of the two has. A node keeps its `degree` nearest. It ends when fewer than `still`
+of all edges are new.
 
 Stored: `nodes` (node, v, near, part): each vector with its neighbours and the nearest of those that name it; and `entries`,
 a bounded sample from which searches begin.
@@ -40,43 +41,83 @@ def _unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)).cast("float"))
 
 
-def _padded(lists: pa.Array) -> np.ndarray:
-    """A list column as a matrix, short rows filled with zeros."""
-    size = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(size), int(size.max(initial=1))), np.float32)
-    out[np.arange(out.shape[1])[None] < size[:, None]] = lists.flatten().to_numpy()
-    return out
+def _half(v: str) -> Column:
+    """Vectors of unit length in half precision, which is all that is sent from node to node."""
+
+    @F.pandas_udf("binary")
+    def half(v: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(x, np.float16).tobytes() for x in v])
+
+    return half(v)
 
 
-def _introduced(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """(a, b, sim): of the nodes that share a center in rows(center, node), the pairs that are better for a than its worst in
-    state(node, v, worst). A center has a bounded number of nodes."""
+def _halves(v: pa.Array) -> np.ndarray:
+    """A column of _half as a matrix, short rows filled with zeros."""
+    data = v.to_pylist()
+    wide = max([2, *map(len, data)])
+    return np.frombuffer(b"".join(x.ljust(wide, b"\0") for x in data), np.float16).reshape(len(data), -1).astype(np.float32)
+
+
+def _introduced(rows: DataFrame, state: DataFrame, degree: int) -> DataFrame:
+    """(a, b, sim): of the nodes that share a center in rows(center, node, fresh), the pairs of which one is fresh and that are
+    better for a than its worst in state(node, v, worst); `degree` of a center at most for each a, as a keeps no more. A
+    center has a bounded number of nodes."""
 
     def pairs(batches):
         for t in batches:
             lists = t.column(0)
             flat = lists.flatten()
-            node, worst, v = flat.field("node").to_numpy(), flat.field("worst").to_numpy(), _padded(flat.field("v"))
+            node, worst, fresh, v = flat.field("node").to_numpy(), flat.field("worst").to_numpy(), flat.field("fresh").to_numpy(zero_copy_only=False), flat.field("v")
             off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             for lo, hi in zip(off[:-1], off[1:], strict=True):
-                sim = np.round((v[lo:hi] @ v[lo:hi].T).astype(np.float64), 6)
-                i, j = np.nonzero((sim > worst[lo:hi, None]) & ~np.eye(hi - lo, dtype=bool))
+                m = _halves(v[lo:hi])
+                sim = np.round((m @ m.T).astype(np.float64), 6)
+                good = (sim > worst[lo:hi, None]) & ~np.eye(hi - lo, dtype=bool) & (fresh[lo:hi, None] | fresh[None, lo:hi])
+                if hi - lo > degree:
+                    sim = np.where(good, sim, -np.inf)
+                    good &= sim >= np.partition(sim, -degree, axis=1)[:, -degree, None]
+                i, j = np.nonzero(good)
+                # of equal ones no more than count either, those of the largest nodes
+                order = np.lexsort((-node[lo:hi][j], -sim[i, j], i))
+                i, j = i[order], j[order]
+                top = np.arange(len(i)) - np.searchsorted(i, i) < degree
+                i, j = i[top], j[top]
                 out.append((node[lo:hi][i], node[lo:hi][j], sim[i, j]))
             a, b, sim = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim)], names=["a", "b", "sim"])
 
-    met = rows.join(state, "node").groupBy("center").agg(F.collect_list(F.struct("node", "v", "worst")).alias("met"))
-    return met.select("met").mapInArrow(pairs, "a long, b long, sim double")
+    met = rows.join(state, "node").groupBy("center").agg(F.collect_list(F.struct("node", "v", "worst", "fresh")).alias("met"))
+    return met.select("met").mapInArrow(pairs, "a long, b long, sim double").withColumn("fresh", F.lit(True))
 
 
-def _nearest(found: DataFrame, n: int, twice: int = 1) -> DataFrame:
-    """(a, near): the n nearest of each node, by a ranking that leaves out most rows before they are sent; a pair may be there
-    `twice` times."""
+def _best(found: DataFrame, n: int) -> DataFrame:
+    """found(a, b, sim, ...) without all but the n nearest of each a."""
     rank = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), F.desc("b")))
-    some = found.withColumn("rank", rank).where(F.col("rank") <= n * twice)
-    best = F.sort_array(F.collect_set(F.struct("sim", F.col("b").alias("node"))), asc=False)
-    return some.groupBy("a").agg(F.slice(best, 1, n).alias("near"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def _nearest(found: DataFrame, n: int) -> DataFrame:
+    """(a, near): the n nearest of each node in found(a, b, sim, fresh), where a pair may be there often; it is fresh if it is
+    nowhere old. Rows are sent once, by a."""
+    one = found.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    return _best(one, n).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("sim", F.col("b").alias("node"), "fresh")), asc=False).alias("near"))
+
+
+def _dealt(units: DataFrame, total: int, seed: int, group: int = 512) -> DataFrame:
+    """(center, node): nodes dealt to groups of about `group`, by the nearest of some nodes; a larger group is cut by hashes."""
+    at = units.orderBy(F.xxhash64("node", F.lit(seed))).limit(int(min(1024, max(1, total // group)))).collect()
+    pivots = _matrix([r.v for r in at])
+
+    @F.pandas_udf("long")
+    def cell(v: pd.Series) -> pd.Series:
+        m = _matrix(list(v))
+        d = min(m.shape[1], pivots.shape[1])
+        return pd.Series(np.argmax(m[:, :d] @ pivots[:, :d].T, axis=1) if len(pivots) else np.zeros(len(m), np.int64))
+
+    placed = units.select("node", cell("v").alias("cell"))
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / group).alias("parts"))  # a row a pivot
+    return placed.join(F.broadcast(parts), "cell").select((F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts"))).alias("center"), "node")
 
 
 class NeighbourGraph:
@@ -94,20 +135,18 @@ class NeighbourGraph:
         ready = vectors.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select(F.col(id_col).cast("long").alias("node"), "embedding")
         units = saved(ready.groupBy("node").agg(F.min("embedding").alias("v")).select("node", _unit(F.col("v")).alias("v")))
         total = units.count()
-        nothing = units.select("node", "v", F.lit(float("-inf")).alias("worst"))
-        groups = max(1, total // (degree + 1))
-        # twice dealt to small groups by hashes: the size of a group is what chance makes of `degree` nodes
-        dealt = [units.select(F.pmod(F.xxhash64("node", F.lit(k)), F.lit(groups)).alias("center"), "node") for k in (1, 2)]
-        first = _introduced(dealt[0], nothing).union(_introduced(dealt[1], nothing))
-        edges, done = saved(_nearest(first, degree, 2)), 0
+        halves = saved(units.select("node", _half("v").alias("v")))
+        nothing = halves.withColumn("worst", F.lit(float("-inf")))
+        first = [_introduced(_dealt(units, total, k).withColumn("fresh", F.lit(True)), nothing, degree) for k in (1, 2)]
+        edges, done = saved(_nearest(first[0].union(first[1]), degree)), 0
         for done in range(1, rounds + 1):
-            before, edges = edges, saved(cls._round(units, edges, degree, done))
-            pair = lambda t: t.select("a", F.explode("near.node").alias("b"))
-            if pair(edges).join(pair(before), ["a", "b"], "left_anti").count() <= still * total * degree:
+            edges = saved(cls._round(halves, edges, degree, done), edges)
+            fresh = edges.agg(F.sum(F.size(F.filter("near", lambda x: x["fresh"])))).first()[0] or 0
+            if fresh <= still * total * degree:
                 break
         # an edge is gone along from both its ends: a node also has the nearest of those that name it
         back = edges.select(F.explode("near").alias("x"), F.col("a").alias("b")).select(F.col("x.node").alias("a"), "b", F.col("x.sim").alias("sim"))
-        back = _nearest(back, degree).select(F.col("a").alias("node"), F.col("near.node").alias("named"))
+        back = _best(back, degree).groupBy(F.col("a").alias("node")).agg(F.sort_array(F.collect_list(F.struct("sim", F.col("b").alias("node"))), asc=False)["node"].alias("named"))
         graph = units.join(edges.select(F.col("a").alias("node"), F.col("near.node").alias("own")), "node", "left").join(back, "node", "left")
         none = F.array().cast("array<bigint>")
         near = F.array_distinct(F.concat(F.coalesce("own", none), F.coalesce("named", none)))
@@ -120,16 +159,19 @@ class NeighbourGraph:
         return cls(spark, folder)
 
     @staticmethod
-    def _round(units: DataFrame, edges: DataFrame, degree: int, seed: int) -> DataFrame:
-        own = edges.select(F.col("a").alias("center"), F.explode("near").alias("x")).select("center", F.col("x.node").alias("node"), F.col("x.sim").alias("sim"))
-        # of those that name a node a choice of `degree`, another in each round
-        chance = F.row_number().over(W.partitionBy("center").orderBy(F.xxhash64("center", "node", F.lit(seed))))
-        back = own.select(F.col("node").alias("center"), F.col("center").alias("node")).withColumn("rank", chance).where(F.col("rank") <= degree)
-        hood = own.select("center", "node").union(back.select("center", "node")).distinct()
+    def _round(halves: DataFrame, edges: DataFrame, degree: int, seed: int) -> DataFrame:
+        own = edges.select(F.col("a").alias("center"), F.explode("near").alias("x")).select("center", F.col("x.node").alias("node"), F.col("x.sim").alias("sim"), F.col("x.fresh").alias("fresh"))
+        # of those that name a node a choice of `degree`, another in each round, new ones first
+        chance = F.row_number().over(W.partitionBy("center").orderBy(F.desc("fresh"), F.xxhash64("center", "node", F.lit(seed))))
+        back = own.select(F.col("node").alias("center"), F.col("center").alias("node"), "fresh").withColumn("rank", chance).where(F.col("rank") <= degree)
+        # old ones have met each other: a center without a new one has nothing to do
+        hood = own.select("center", "node", "fresh").union(back.select("center", "node", "fresh")).groupBy("center").agg(F.collect_list(F.struct("node", "fresh")).alias("all"))
+        new = F.array_distinct(F.filter("all", lambda x: x["fresh"])["node"])
+        hood = hood.select("center", F.array_distinct(F.col("all.node")).alias("nodes"), new.alias("new")).where(F.size("new") > 0)
+        hood = hood.select("center", F.explode("nodes").alias("node"), "new").select("center", "node", F.array_contains("new", F.col("node")).alias("fresh"))
         worst = edges.select(F.col("a").alias("node"), F.when(F.size("near") >= degree, F.element_at("near", -1)["sim"]).otherwise(float("-inf")).alias("worst"))
-        state = units.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf"))))
-        found = _introduced(hood, state).distinct()
-        return _nearest(found.union(own.select(F.col("center").alias("a"), F.col("node").alias("b"), "sim")), degree, 2)
+        state = halves.join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf"))))
+        return _nearest(_introduced(hood, state, degree).union(own.select(F.col("center").alias("a"), F.col("node").alias("b"), "sim", F.lit(False).alias("fresh"))), degree)
 
     # ---- search
 
