@@ -17,6 +17,10 @@ are what is joined, so copies are never paired.
     that are not yet connected, but for pairs that cannot give the overlap by the tokens that each of them has to itself
     (counted over all classes in cells), and only in cells that can be of a pair's rarest common token. Nothing is
     capped.
+ 5. In the last round pairs are rows only where one of the classes is in no cell of more than LARGE. Any other class has a
+    group, which is a block of the largest of its cells; cells then say which classes of two groups have candidates in
+    each other, and a task compares these on their whole sets and gives the stars of what is linked (with n_links: all
+    links). So rows grow with the size of a large group of near copies, and not with its pairs.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and are their own component
 (component_id is their doc_id); texts of fewer words than the shingle size are one shingle; repeated rows are in one
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from . import _shared
 from ._shingles import mix, shingled
 
-SKETCH_BITS, SEGMENT_BITS, BITS, CELL, LEAF, FAN, FEW = 21, 16, 1024, 512, 16, 8, 6
+SKETCH_BITS, SEGMENT_BITS, BITS, CELL, LEAF, FAN, FEW, LARGE = 21, 16, 1024, 512, 16, 8, 6, 64
 #: Rows that a Python worker gets at a time: of texts, or of pairs of whole sets.
 BATCH = 2000
 #: The part of the tokens that is counted first, in times the share that a linked set may lack.
@@ -186,15 +190,16 @@ class SignatureTree:
 
 
 def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame:
-    """(a, b), a < b, of classes that may be linked. cells: part (a cell's key), block (of the row), two (the part
+    """(a, b), a < b, of classes that may be linked; with all_pairs (u, v, k): where k is null classes u and v may be
+    linked, else class k may be with others of groups u and v, u <= v. cells: part (a cell's key), block (of the row), two (the part
     compares two blocks), k1, n, sig, root, at (the token's place in the set's order, or 0 to know nothing of it), alone
-    (tokens of the set that no other class here has).
+    (tokens of the set that no other class here has), home (the class's group, or 0).
     Without all_pairs each class has one earlier partner, the likeliest of those in all its cells; with it a pair comes
     from the cells that can be of its rarest common token. Pairs of one root are never given."""
 
-    def of_cell(k1, n, sig, root, block, at, alone, two):
+    def of_cell(k1, n, sig, root, block, at, alone, home, two):
         o = np.lexsort((k1, n))
-        k1, n, sig, root, block, at, alone = k1[o], n[o], sig[o], root[o], block[o], at[o], alone[o]
+        k1, n, sig, root, block, at, alone, home = k1[o], n[o], sig[o], root[o], block[o], at[o], alone[o], home[o]
         if (root == root[0]).all():
             return
         tree = SignatureTree(n, sig, num, den)
@@ -216,18 +221,34 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
             o = np.lexsort((-near, j))
             o = o[np.concatenate([[True], np.diff(j[o]) > 0])]
             i, j, near = i[o], j[o], near[o]
-        yield k1[i], k1[j], near
+        if all_pairs:
+            grouped = (home[i] != 0) & (home[j] != 0)
+            x, y = i[grouped], j[grouped]
+            names, h = np.unique(home, return_inverse=True)
+            of = np.minimum(h[x], h[y]) * len(names) + np.maximum(h[x], h[y])
+            both = np.unique(np.concatenate([of * len(k1) + x, of * len(k1) + y]))
+            of, k = both // len(k1), both % len(k1)
+            yield names[of // len(names)], names[of % len(names)], k1[k], np.ones(len(k), bool)
+            i, j = i[~grouped], j[~grouped]
+            yield np.minimum(k1[i], k1[j]), np.maximum(k1[i], k1[j]), np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+        else:
+            yield k1[i], k1[j], near
 
     def paired(batches):
         held, out = None, []
 
+        def marks():
+            u, v, k, grouped = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.int64, bool), zip(*out, strict=True) if out else ([],) * 4, strict=True))
+            out.clear()
+            rows = np.unique(np.stack([u, v, k, grouped], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2], mask=rows[:, 3] == 0)], names=["u", "v", "k"])
+
         def emit():
+            if all_pairs:
+                return marks()
             a, b, near = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, float), zip(*out, strict=True) if out else ([], [], []), strict=True))
             out.clear()
-            if all_pairs:
-                p, at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True)
-                a, b, near = p[:, 0], p[:, 1], near[at]
-            elif len(a):
+            if len(a):
                 o = np.lexsort((a, -near, b))
                 o = o[np.concatenate([[True], b[o][1:] != b[o][:-1]])]
                 a, b, near = a[o], b[o], near[o]
@@ -239,12 +260,12 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
             cut = np.flatnonzero((part[1:] != part[:-1]) | (sub[1:] != sub[:-1])) + 1
             cut = np.concatenate([[0], cut, [len(part)]])
             ends = cut if last else cut[:-1]
-            cols = [t.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5, 7, 8, 9)]
+            cols = [t.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5, 7, 8, 9, 10)]
             sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint64).reshape(len(part), BITS // 64)
             for x, y in zip(ends[:-1], ends[1:], strict=True):
                 if y - x > 1:
-                    block, two, k1, n, root, at, alone = (c[x:y] for c in cols)
-                    out.extend(of_cell(k1, n, sig[x:y], root, block, at, alone, bool(two[0])))
+                    block, two, k1, n, root, at, alone, home = (c[x:y] for c in cols)
+                    out.extend(of_cell(k1, n, sig[x:y], root, block, at, alone, home, bool(two[0])))
             return t.slice(ends[-1])
 
         for b in batches:
@@ -256,14 +277,78 @@ def candidates(cells: DataFrame, num: int, den: int, all_pairs: bool) -> DataFra
             cells_of(held.combine_chunks(), True)
         yield emit()
 
-    rows = cells.select("token", "part", "block", "two", "k1", "n", "sig", "root", "at", "alone").repartition("token", "part").sortWithinPartitions("token", "part")
-    found = rows.mapInArrow(paired, "a long, b long, near double")
+    rows = cells.select("token", "part", "block", "two", "k1", "n", "sig", "root", "at", "alone", "home").repartition("token", "part").sortWithinPartitions("token", "part")
+    found = rows.mapInArrow(paired, "u long, v long, k long" if all_pairs else "a long, b long, near double")
     if all_pairs:
-        return found.select("a", "b").distinct()
+        return found.distinct()
     best = found.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("a"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def common_tokens(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of sets in x with sets in y."""
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
+    _, at, count = np.unique(np.concatenate(x + y), return_inverse=True, return_counts=True)
+    # tokens of many sets are columns of a matrix, some at a time, those of few give their pairs
+    out, many = np.zeros((len(x), len(y)), np.float32), np.flatnonzero(count >= 16)
+    for k in range(0, len(many), 4096):
+        place = np.full(len(count), -1)
+        place[many[k : k + 4096]] = np.arange(len(many[k : k + 4096]))
+        held = np.zeros((len(x) + len(y), len(many[k : k + 4096])), np.float32)
+        here = place[at] >= 0
+        held[row[here], place[at[here]]] = 1
+        out += held[: len(x)] @ held[len(x) :].T
+    few = (count[at] > 1) & (count[at] < 16)
+    o = np.argsort(at[few], kind="stable")
+    at, row = at[few][o], row[few][o]
+    for d in range(1, 15):
+        i = np.flatnonzero((at[d:] == at[:-d]) & (row[:-d] < len(x)) & (row[d:] >= len(x)))
+        out += np.bincount(row[i] * len(y) + row[i + d] - len(x), minlength=out.size).reshape(out.shape)
+    return out.astype(np.int64)
+
+
+def compared(marks: DataFrame, num: int, den: int, links: bool) -> DataFrame:
+    """(a, b) of the links between classes k that marks(u, v, k, home, root, tokens) name in groups u and v: all of them,
+    or edges that connect the same classes."""
+
+    def of_groups(k, root, first, second, tokens):
+        sets = [np.frombuffer(t.as_buffer(), np.uint64) for t in tokens]
+        x, y = np.flatnonzero(first), np.flatnonzero(second)
+        n = np.array([len(s) for s in sets])
+        same = common_tokens([sets[i] for i in x], [sets[i] for i in y])
+        ok = (den * same >= num * (n[x][:, None] + n[y][None] - same)) & (k[x][:, None] != k[y][None])
+        if not links:
+            ok &= root[x][:, None] != root[y][None]
+        i, j = np.nonzero(np.triu(ok) if len(x) == len(y) == len(k) else ok)  # one group with itself
+        a, b = k[x[i]], k[y[j]]
+        return (np.minimum(a, b), np.maximum(a, b)) if links else _shared.forest(a, b)
+
+    def linked(batches):
+        held = None
+
+        def keys_of(t, last):
+            u, v, k, home, root = (t.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            cut = np.flatnonzero((u[1:] != u[:-1]) | (v[1:] != v[:-1])) + 1
+            cut = np.concatenate([[0], cut, [len(u)]])
+            ends = cut if last else cut[:-1]
+            found = []
+            for x, y in zip(ends[:-1], ends[1:], strict=True):
+                found.append(of_groups(k[x:y], root[x:y], home[x:y] == u[x], home[x:y] == v[x], t.column(5)[x:y]))
+            a, b = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (zip(*found, strict=True) if found else ([], [])))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]), t.slice(ends[-1])
+
+        for r in batches:
+            t = pa.Table.from_batches([r]) if held is None else pa.concat_tables([held, pa.Table.from_batches([r])])
+            if len(t):
+                out, held = keys_of(t.combine_chunks(), False)
+                yield out
+        if held is not None and len(held):
+            yield keys_of(held.combine_chunks(), True)[0]
+
+    rows = marks.select("u", "v", "k", "home", "root", "tokens").repartition("u", "v").sortWithinPartitions("u", "v")
+    return rows.mapInArrow(linked, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose whole sets are linked."""
 
@@ -316,6 +401,13 @@ def _similar(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
         part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
         return out.select("token", part.cast("long").alias("part"), "block", (F.col("block") != F.col("other")).alias("two"), "k1", "n", "at")
 
+    def groups(cells: DataFrame) -> DataFrame:
+        """(k1, home) of the classes in a cell of more than LARGE: home is a block of the largest such cell, of about CELL
+        classes, or less where their sets are large."""
+        cell = cells.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / (256 * CELL))).alias("blocks"))
+        own = cells.where(F.col("df") > LARGE).groupBy("k1").agg(F.max(F.struct("df", "token"))["token"].alias("token"))
+        return own.join(cell, "token").select("k1", F.xxhash64("token", F.pmod(F.xxhash64("k1"), "blocks")).alias("home"))
+
     needed = _shared.broadcast_if_small(scratch.stored(members.select("k1").distinct(), "needed"), _shared.BROADCAST_LONGS)
     one = F.min(F.struct("doc_id", "th"))  # a row of the class: ids may be null or repeated, so its text's hash goes with it
     wanted = rows.join(needed, "k1").groupBy("k1", "k2").agg(one.alias("row"), F.first("sig").alias("sig"))
@@ -381,14 +473,29 @@ def _similar(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
             sizes = known.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token", "df")
         sizes = _shared.broadcast_if_small(scratch.stored(sizes, "open"), _shared.BROADCAST_LONGS // 2)
         cells = cells.join(sizes, "token")
+        if all_pairs:
+            grouped = scratch.stored(groups(cells), "groups", hashes=True)
+            signed = signed.join(_shared.broadcast_if_small(grouped), "k1", "left").withColumn("home", F.coalesce("home", F.lit(0)))
+        else:
+            signed = signed.withColumn("home", F.lit(0).cast("long"))
         cells = scratch.stored(dealt(cells), "cells", hashes=True)
-        signed = cells.join(_shared.broadcast_if_small(signed, 100_000), "k1")
-        pairs = scratch.stored(candidates(signed, num, den, all_pairs), "pairs")
+        pairs = candidates(cells.join(_shared.broadcast_if_small(signed, 100_000), "k1"), num, den, all_pairs)
+        given = pairs = scratch.stored(pairs, "pairs")
         scratch.drop(cells)
-        here = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1"))).distinct()
+        if all_pairs:
+            pairs = given.where("k IS NULL").select(F.col("u").alias("a"), F.col("v").alias("b"))
+            marks = given.where("k IS NOT NULL")
+        here = pairs.select(F.col("a").alias("k1")).union(pairs.select(F.col("b").alias("k1")))
+        here = (here.union(marks.select("k")) if all_pairs else here).distinct()
         tokens = sets_in(scratch.stored(here, "here"))
-        found = scratch.stored(verified(pairs, tokens, num, den).distinct(), "links")
-        scratch.drop(tokens, pairs)
+        found = verified(pairs, tokens, num, den)
+        if all_pairs:
+            homes = _shared.broadcast_if_small(signed.select(F.col("k1").alias("k"), "home", "root").where("home <> 0"))
+            # texts of one class may be repeated
+            sets = tokens.withColumnRenamed("k1", "k").dropDuplicates(["k"])
+            found = found.union(compared(marks.join(homes, "k").join(sets, "k"), num, den, links))
+        found = scratch.stored(found.distinct() if links else found, "links")
+        scratch.drop(tokens, given)
         edges = found if edges is None else edges.union(found)
         root = scratch.stored(_shared.components(edges).withColumnRenamed("node", "k1"), "roots")
     named = classes.select("k1", "k2", "doc_id").join(root, "k1", "left").withColumn("root", F.coalesce("root", "k1"))

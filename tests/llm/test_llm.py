@@ -148,6 +148,54 @@ def test_components_of_a_star_and_a_path(spark):
     assert all(got[i] == 0 for i in range(2, 300)) and all(got[i] == 1000 for i in range(1001, 1061))
 
 
+def test_components_are_put_together_from_those_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "EDGES", 16)
+    rng = np.random.default_rng(4)
+    edges = [(i, i + 1) for i in range(1000, 1060)] + [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))]
+    a, b = np.array(edges).T
+    want = dict(zip(*(x.tolist() for x in _shared.forest(a, b)), strict=True))
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for x, y in edges:
+            root[x] = root[y] = min(root[x], root[y])
+    assert want == {n: r for n, r in root.items() if r != n}
+    got = {r.node: r.root for r in _shared.components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+    assert got == {n: r for n, r in root.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_rows_of_a_large_group_of_near_copies_do_not_grow_with_its_pairs(spark, monkeypatch):
+    """With 4 edits most are no links, and yet no bound tells them apart from links."""
+    monkeypatch.setattr(similarity_join, "LARGE", 16)
+    monkeypatch.setattr(similarity_join, "CELL", 64)
+    rng, rows, made = np.random.default_rng(6), [], []
+    base = [f"w{i}" for i in range(150)]
+    for d in range(300):
+        w = list(base)
+        for i in rng.choice(150, 2 + 2 * (d % 4 > 0), replace=False):
+            w[i] = f"x{rng.integers(3)}"
+        rows.append((d, " ".join(w)))
+    stored = _shared.Scratch.stored
+
+    def counted(self, df, name, hashes=False):
+        table = stored(self, df, name, hashes)
+        if name == "pairs":
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(_shared.Scratch, "stored", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = [shingles(t, 4) for _, t in rows]
+    near = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 100 * len(a & b) >= 85 * len(a | b)}
+    root = list(range(len(rows)))
+    for _ in range(20):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert {r.doc_id: r.component_id for r in similarity_join.similar_documents(docs, 4, 85, 100).collect()} == dict(enumerate(root))
+    links = collections.Counter(x for p in near for x in p)
+    assert {r.doc_id: r.n_links for r in similarity_join.similar_documents(docs, 4, 85, 100, links=True).collect()} == {d: links[d] for d in range(300)}
+    assert max(made) < 300 * 20 < 300 * 299 // 2
+
+
 def test_line_dedup(spark):
     a, b = prose(60), prose(60)
     near = a.rsplit(" ", 1)[0] + " anders"
