@@ -28,6 +28,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _shared
@@ -88,9 +89,9 @@ def _removed(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
     cut = cut.withColumn("many", F.size("w") - F.lit(size - 1))
     rows = cut.select("*", F.explode(F.sequence(F.lit(0), F.greatest(c("many") - 1, F.lit(0)))).alias("i"))
     head, token = c("i") == 0, F.when(c("many") > 0, token_at(c("w"), c("i"), size))
-    rows = rows.select(*[F.when(head, c(x)).alias(x) for x in ("doc_id", "th", "pos")], *key, "many", head.alias("head"), F.when(token < below(SHARE), token).alias("token")).where("head OR token IS NOT NULL")
+    rows = rows.select(*[F.when(head, c(x)).alias(x) for x in ("doc_id", "th", "pos", "many")], *key, F.when(token < below(SHARE), token).alias("token")).where("many IS NOT NULL OR token IS NOT NULL")
     counted = scratch.stored(rows, "counted", hashes="token")
-    lines = scratch.stored(counted.where("head").select("doc_id", "th", "pos", *key, "many"), "lines", hashes=True)
+    lines = scratch.stored(counted.where("many IS NOT NULL").select("doc_id", "th", "pos", *key, "many"), "lines", hashes=True)
 
     place = F.struct("doc_id", "th", "pos")
     classes = lines.groupBy(*key).agg(F.min(place).alias("o"), F.count("*").alias("copies"), F.max("many").alias("many"))
@@ -101,10 +102,10 @@ def _removed(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
     shared = scratch.stored(shared, "shared", hashes=True)
     bit = lambda w: F.bit_or(F.when(F.shiftright("token", 6).bitwiseAND(F.lit(LONGS - 1)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), c("token").bitwiseAND(F.lit(63)).cast("int"))))
     alone = counted_tokens.join(_shared.broadcast_if_small(shared, _shared.BROADCAST_LONGS), "token", "left_anti")
-    alone = alone.groupBy(*key).agg(F.max("many").alias("many"), *(bit(w).alias(f"b{w}") for w in range(LONGS)))
+    alone = alone.groupBy(*key).agg(*(bit(w).alias(f"b{w}") for w in range(LONGS)))
     least = functools.reduce(lambda a, b: a + b, [F.coalesce(F.bit_count(f"b{w}"), F.lit(0)) for w in range(LONGS)])
     open_ = classes.where("many > 0").join(alone.select(*key, least.alias("alone")), key, "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    open_ = scratch.stored(open_.where(c("alone") <= spare(c("many"))).select(*key, "o", "alone"), "open", hashes=True)
+    open_ = scratch.stored(open_.where(c("alone") <= spare(c("many"))).select(*key, "o", "many", "alone"), "open", hashes=True)
     scratch.drop(shared, counted)
 
     # whole sets of what is left, from the texts
@@ -112,24 +113,30 @@ def _removed(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
     one = documents.select("doc_id", th, F.posexplode_outer(split_lines(c("text"))).alias("pos", "line"))
     one = one.withColumn("ph", F.xxhash64("doc_id", "th", "pos")).join(wanted, "ph", "left_semi")
     one = one.select(place.alias("o"), F.explode_outer(F.transform(F.array(plain(c("line"))), parsed)).alias("x")).select("o", "x.*")
+    words = scratch.stored(one.where(F.size("w") >= size), "words", hashes=True)
+    if words.groupBy(*key).count().where("count > 1").limit(1).count():  # rows that repeat
+        words = scratch.stored(words.dropDuplicates(key), "words", hashes=True)
     at = F.sequence(F.lit(0), F.size("w") - F.lit(size))
-    sets = one.where(F.size("w") >= size).select(*key, "o", F.array_distinct(F.transform(at, lambda i: token_at(c("w"), i, size))).alias("t"))
-    sets = scratch.stored(sets.dropDuplicates(key), "sets", hashes=True)
-    band = sets.select(*key, F.explode("t").alias("token")).where((c("token") >= below(SHARE)) & (c("token") < below(SHARE + BAND)))
+    # tokens are rows here, as these are made by compiled code; one that a class repeats counts as shared, of which no class is lost
+    band = words.select(*key, "w", F.explode(at).alias("i")).select(*key, token_at(c("w"), c("i"), size).alias("token"))
+    band = band.where((c("token") >= below(SHARE)) & (c("token") < below(SHARE + BAND)))
     owned = band.groupBy("token").agg(F.count("*").alias("df"), F.max("k1").alias("k1"), F.max("k2").alias("k2")).where("df = 1").groupBy(*key).agg(F.count("*").alias("more"))
-    over = open_.join(owned, key).join(sets.select(*key, F.size("t").alias("n")), key).where(c("alone") + c("more") > spare(c("n")))
+    over = open_.join(owned, key).where(c("alone") + c("more") > spare(c("many")))
     over = scratch.stored(over.select(*key), "over", hashes=True)
-    every, sets = sets, scratch.stored(sets.join(_shared.broadcast_if_small(over, _shared.BROADCAST_LONGS // 2), key, "left_anti"), "sets", hashes=True)
-    scratch.drop(open_, over, every)
+    sets = words.join(_shared.broadcast_if_small(over, _shared.BROADCAST_LONGS // 2), key, "left_anti")
+    sets = scratch.stored(sets.select(*key, "o", F.array_distinct(F.transform(at, lambda i: token_at(c("w"), i, size))).alias("t")), "sets", hashes=True)
+    scratch.drop(open_, over, words)
 
     tokens = sets.select(*key, F.size("t").alias("n"), F.explode("t").alias("token"))
     rarity = scratch.stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "rarity", hashes=True)
-    known = tokens.join(_shared.broadcast_if_small(rarity, _shared.BROADCAST_LONGS // 2), "token").groupBy(*key, "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
-    # tokens of one class come first in the order, so that the prefix goes on with the rarest of the others
-    known = known.withColumn("before", c("n") - F.size("s")).withColumn("p", spare(c("n")) + 1 - c("before")).where("p > 0")
-    # i: the tokens before it that can be common (none of one class); left: it and all that follow
-    members = known.select(*key, "n", F.size("s").alias("common"), F.posexplode(F.slice("s", F.lit(1), c("p"))).alias("i", "x"))
-    members = members.join(sets.select(*key, "o"), key).select(*key, "o", "n", "i", (c("common") - c("i")).alias("left"), c("x.token").alias("token"))
+    # each token is there once, so a table of a task's tokens is small, and neither side needs sorting
+    rarity = F.broadcast(rarity) if _shared.is_small(rarity, _shared.BROADCAST_LONGS // 2) else rarity.hint("shuffle_hash")
+    known = tokens.join(rarity, "token")
+    # i: the tokens before it that can be common (none of one class); common: all that can be
+    known = known.withColumn("i", F.row_number().over(W.partitionBy(*key).orderBy("df", "token")) - 1).withColumn("common", F.count("*").over(W.partitionBy(*key)).cast("int"))
+    # tokens of one class come first in the order, so that the prefix goes on with the rarest of the others; left: it and all that follow
+    members = known.where(c("i") < spare(c("n")) + 1 - (c("n") - c("common"))).select(*key, "n", "i", (c("common") - c("i")).alias("left"), "token")
+    members = members.join(sets.select(*key, "o").hint("shuffle_hash"), key).select(*key, "o", "n", "i", "left", "token")
     members = scratch.stored(members, "members", hashes=True)
     scratch.drop(rarity)
     several = scratch.stored(members.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "several", hashes=True)

@@ -242,6 +242,28 @@ def test_line_dedup_against_all_pairs(spark):
     assert got == {d: ",".join(str(k) for k in range(4) if want[4 * d + k]) for d in range(60)}
 
 
+def test_line_dedup_sorts_no_sets_and_collects_no_lists(spark, monkeypatch):
+    """Sets go through no shuffle but where rows repeat, tokens are not collected; lines that repeat their shingles too."""
+    frame, dropped = type(spark.range(1)), []
+    drop = frame.dropDuplicates
+    monkeypatch.setattr(frame, "dropDuplicates", lambda self, *a: dropped.append(a) or drop(self, *a))
+    monkeypatch.setattr(F, "collect_list", None)
+    rng = np.random.default_rng(11)
+    base = [(prose(n) + " ") * k for n, k in ((6, 9), (12, 4), (30, 2), (50, 1))]
+    lines = []
+    for i in range(80):
+        w = base[i % 4].split()
+        for _ in range(int(rng.integers(0, 5))):
+            w[int(rng.integers(len(w)))] = f"x{rng.integers(5)}"
+        lines.append(" ".join(w))
+    sets = [shingles(x, 5) for x in lines]
+    want = {i: "0" if any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i)) else "" for i in range(80)}
+    assert 10 < len([x for x in want.values() if x]) < 75
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.line_report(docs).collect()} == want and not dropped
+    assert sorted((r.doc_id, r.removed) for r in line_dedup.line_report(docs.union(docs)).collect()) == sorted([*want.items()] * 2) and dropped
+
+
 @pytest.mark.parametrize("kind,file", [("words", "word_bpe_49k.json"), ("bytes", "byte_bpe_50k.json")])
 def test_chunked_ids_equal_whole_ids(kind, file):
     rng = np.random.default_rng(3)
