@@ -130,7 +130,7 @@ def _removed(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
     tokens = sets.select(*key, F.size("t").alias("n"), F.explode("t").alias("token"))
     rarity = scratch.stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "rarity", hashes=True)
     # each token is there once, so a table of a task's tokens is small, and neither side needs sorting
-    rarity = F.broadcast(rarity) if _shared.is_small(rarity, _shared.BROADCAST_LONGS // 2) else rarity.hint("shuffle_hash")
+    rarity = F.broadcast(rarity) if _shared.is_small(rarity) else rarity.hint("shuffle_hash")
     known = tokens.join(rarity, "token")
     # i: the tokens before it that can be common (none of one class); common: all that can be
     known = known.withColumn("i", F.row_number().over(W.partitionBy(*key).orderBy("df", "token")) - 1).withColumn("common", F.count("*").over(W.partitionBy(*key)).cast("int"))
