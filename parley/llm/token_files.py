@@ -49,18 +49,20 @@ _SLOTS, _COUNT_SLOTS, _SPREAD = 18, 20, np.uint64(0x9E3779B97F4A7C15)
 def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int | None = None, pairs: int = 8192, least: int = 8):
     """(symbols, ends of the documents in them, rules, lengths); ends: each document's end in ids.
     Without rounds it goes on until no pair is seen `least` times."""
-    rules, lengths, seq = [], [], ids.astype(np.uint32)
+    rules, lengths, seq, ends = [], [], ids.astype(np.uint32), np.asarray(ends)
+    last = np.zeros(len(seq), bool)
+    last[ends[ends > 0] - 1] = True
+    last[-1:] = True
+    # A pair of symbols that stay is seen less often from round to round, and all pairs of a new nonterminal come with it.
+    # So a place whose pair was seen too seldom is not looked at again until one of its symbols is replaced.
+    active = np.flatnonzero(~last)
     for _ in itertools.count() if rounds is None else range(rounds):
-        if len(seq) < 2:
-            break
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        inside = np.ones(len(seq), bool)
-        inside[ends[ends < len(seq)] - 1] = False
+        key = seq[active].astype(np.uint64) << np.uint64(32) | seq[active + 1]
         # a pair that is seen often makes its slot full, so only pairs in full slots are sorted to be counted
-        slot = ((key * _SPREAD) >> np.uint64(64 - _COUNT_SLOTS)).astype(np.int32)
-        full = np.bincount(slot[inside[:-1]], minlength=1 << _COUNT_SLOTS) >= least
-        maybe = np.flatnonzero(full[slot] & inside[:-1])
-        key = key[maybe]
+        bits = min(_COUNT_SLOTS, len(active).bit_length() + 2)
+        slot = ((key * _SPREAD) >> np.uint64(64 - bits)).astype(np.int32)
+        full = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
+        active, key = active[full], key[full]
         some, n = np.unique(key, return_counts=True)
         often = np.flatnonzero(n >= least)
         if not len(often):
@@ -73,7 +75,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int | N
         table[slot(some[often])] = some[often]
         here = slot(key)
         chosen = table[here] == key
-        hit, at_slot = maybe[chosen], here[chosen]
+        hit, at_slot = active[chosen], here[chosen]
         # of a run of hits that overlap, every second one counts, from the left
         new = np.ones(len(hit), bool)
         new[1:] = np.diff(hit) > 1
@@ -90,10 +92,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_rule: int, rounds: int | N
         rules.append(pair)
         lengths.append((known[pair[:, 0]] + known[pair[:, 1]]).astype(np.uint32))
         seq[hit] = (base + which).astype(np.uint32)
+        last[hit] = last[hit + 1]
+        changed = np.zeros(len(seq), bool)
+        changed[active] = changed[hit] = changed[hit[hit > 0] - 1] = True
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        ends = np.cumsum(keep)[ends - 1]
-        seq = seq[keep]
+        ends = ends - np.searchsorted(hit + 1, ends)
+        seq, last, changed = seq[keep], last[keep], changed[keep]
+        active = np.flatnonzero(changed & ~last)
     none = np.zeros((0, 2), np.uint32)
     return seq, ends, np.concatenate([none, *rules]), np.concatenate([none[:, 0], *lengths])
 
@@ -114,6 +120,18 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarra
     return symbols
 
 
+def _expanded(symbols: np.ndarray, more: np.ndarray, length: np.ndarray, at: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int) -> np.ndarray:
+    """expand(symbols, ...), by one lookup in a table of what each nonterminal stands for, unless that is the longer one.
+    more: which symbols are nonterminals; length: the ids that each symbol stands for, at: their sums."""
+    if lengths.sum() > length.sum():
+        return expand(symbols, rules, first_rule)
+    table = expand(np.arange(first_rule, first_rule + len(rules), dtype=np.uint32), rules, first_rule)
+    begin = np.arange(len(table), len(table) + len(symbols))  # ids stand for themselves
+    begin[more] = (np.cumsum(lengths) - lengths)[symbols[more] - first_rule]
+    begin -= at - length
+    return np.concatenate([table, symbols])[np.repeat(begin, length) + np.arange(length.sum())]
+
+
 def encoded(documents: DataFrame, tokenizer_path: str, end_id: int = 0, vocabulary: int = 1 << 16, docs_per_shard: int = 4096, block: int = 1 << 20) -> DataFrame:
     """The file's rows (BLOCK) of documents(doc_id, text, ...)."""
     docs = documents.selectExpr("cast(doc_id as long) doc_id", "text")
@@ -155,8 +173,10 @@ def decode_documents(block: dict, which=None) -> list[np.ndarray]:
         return [expand(symbols[ends[k] - block["doc_symbols"][k] : ends[k]], rules, block["first_rule"]) for k in which]
     length = np.ones(len(symbols), np.int64)
     more = symbols >= block["first_rule"]
-    length[more] = np.frombuffer(block["lengths"], "<u4")[symbols[more] - block["first_rule"]]
-    return np.split(expand(symbols, rules, block["first_rule"]), np.cumsum(length)[ends - 1][:-1])
+    lengths = np.frombuffer(block["lengths"], "<u4").astype(np.int64)
+    length[more] = lengths[symbols[more] - block["first_rule"]]
+    at = np.cumsum(length)
+    return np.split(_expanded(symbols, more, length, at, rules, lengths, block["first_rule"]), at[ends - 1][:-1])
 
 
 def index_of(file: DataFrame) -> DataFrame:
