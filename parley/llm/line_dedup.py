@@ -37,7 +37,7 @@ from . import _shared
 #: then counted over the lines left.
 SHARE, BAND = 0.3, 0.35
 #: Bits that count a class's unshared tokens, in longs.
-LONGS = 8
+LONGS = 4
 #: At most so many of a token's earliest classes are compared with all others, as long as the pairs left are more than
 #: PAIRS times the rows that they come from.
 HUBS, PAIRS = 3, 64
