@@ -4,12 +4,14 @@ A line of at least `size` words is the set of its shingles of `size` words (64-b
 is a single token, its words. A line goes when an earlier line (by doc_id, then place in the text) has a Jaccard
 similarity of `num`/`den` or more, thus a short line when an earlier one has the same words. Blank lines stay.
  1. Lines of equal words are one class with its first line; a class is compared, not its lines.
- 2. Of a line of n tokens, at most n - ceil(t*n) are not in a line that is similar. Tokens whose hash is in the lowest
-    SHARE of all are counted over all classes; a class with more of them that no other class has is left out. (How many
-    different ones these are is taken from bits that they set, which can only be too few, so no class is lost.) Of the
-    classes that are left the same is done once more, with the next BAND of tokens besides.
- 3. Of the classes that are left, tokens are ordered by rarity, those of one class first. The rarest n - ceil(t*n) + 1
-    are a prefix; lines that are similar share a token there, so tokens of one class need no row.
+ 2. Of a line of n tokens, at most n - ceil(t*n) are not in a line that is similar. A token is in no other class if a run of
+    words within it is in none; a run of LESS words less is in LESS + 1 tokens, so fewer runs than tokens tell as much. Runs
+    whose hash is in the lowest SHARE of all are counted over all classes; of those that are at one place of one class only,
+    no token that holds one is there twice or elsewhere, and a class with more such tokens than a similar line may lack is
+    left out. (Their places are bits, modulo their number, so they can only be counted too few, and no class is lost.) Of
+    the classes that are left the same is done once more, with the next BAND of runs besides.
+ 3. Of the classes that are left, tokens are ordered: those of one class first, then by hash, but frequent ones last and by
+    rarity. The first n - ceil(t*n) + 1 are a prefix; lines that are similar share a token there, so tokens of one class need no row.
  4. Of each token that two classes have in their prefixes, all classes are compared with the earliest, and while many
     pairs are left with the next ones: with the length filter, the positional filter (the most tokens that can be
     common, given the places of the shared one and that tokens of one class are not), then by whole sets. A class with a
@@ -28,15 +30,17 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _shared
 
-#: The share of tokens that are counted over all lines (below one in five none would be left out), and of those that are
-#: then counted over the lines left.
-SHARE, BAND = 0.3, 0.35
-#: Bits that count a class's unshared tokens, in longs.
+#: The share of runs that are counted over all lines, and of those that are then counted over the lines left.
+SHARE, BAND = 0.15, 0.25
+#: A run has so many words less than a token.
+LESS = 2
+#: Tokens of so many classes are frequent and ordered by rarity.
+FREQUENT = 32
+#: Bits for places of a class's unshared tokens, in longs.
 LONGS = 4
 #: At most so many of a token's earliest classes are compared with all others, as long as the pairs left are more than
 #: PAIRS times the rows that they come from.
@@ -50,12 +54,22 @@ def below(share: float) -> Column:
     return F.lit(int((2 * share - 1) * (1 << 63)))
 
 
+def odd(text: Column) -> Column:
+    """That it has other white space than single blanks and ends of lines."""
+    return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
+
+
 def plain(line: Column) -> Column:
     """Letters folded, words parted by single blanks."""
     low = F.lower(line)
-    # only other white space than single blanks needs the pattern
-    odd = functools.reduce(lambda a, b: a | b, [F.contains(line, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")])
-    return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
+    # only odd white space needs the pattern
+    return F.trim(F.when(odd(line), F.regexp_replace(low, r"\s+", " ")).otherwise(low))
+
+
+def plain_lines(text: Column) -> Column:
+    """The plain lines of a text, which is looked through once for odd white space and not line by line."""
+    lines = split_lines(text)
+    return F.when(odd(text), F.transform(lines, plain)).otherwise(F.transform(lines, lambda line: F.trim(F.lower(line))))
 
 
 def parsed(line: Column) -> Column:
@@ -67,6 +81,22 @@ def token_at(w: Column, i: Column, size: int) -> Column:
     return F.xxhash64(*(F.get(w, i + k) for k in range(size)))
 
 
+def held_bits(i: Column, many: Column, less: int, w: int) -> Column:
+    """The places, as bits of the w-th long, of the tokens that hold the runs i, which are `less` words shorter, of lines of
+    so many tokens."""
+    nothing = F.lit(0).cast("long")
+
+    def bit(j: Column) -> Column:
+        own = (j >= 0) & (j < many) & (F.shiftright(j, 6).bitwiseAND(F.lit(LONGS - 1)) == w)
+        return F.when(own, F.call_function("shiftleft", F.lit(1).cast("long"), j.bitwiseAND(F.lit(63)))).otherwise(nothing)
+
+    return F.bit_or(functools.reduce(lambda a, b: a.bitwiseOR(b), [bit(i - d) for d in range(less + 1)]))
+
+
+def bits_set(*longs: Column) -> Column:
+    return functools.reduce(lambda a, b: a + b, [F.bit_count(F.coalesce(x, F.lit(0))) for x in longs])
+
+
 def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -78,38 +108,40 @@ def removed_lines(documents: DataFrame, size: int = 5, num: int = 80, den: int =
 
 
 def _removed(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    c, key = F.col, ["k1", "k2"]
+    c, key, less = F.col, ["k1", "k2"], min(LESS, size - 1)
     th = F.xxhash64("text").alias("th")
     spare = lambda n: n - F.ceil(n * F.lit(num) / F.lit(den)).cast("int")  # noqa: E731  tokens that a similar line may lack
 
-    # a row for each line (head) and for each of its tokens that is counted; lines are parsed inside the generator, and its
+    # a row for each line (head) and for each of its runs that is counted; lines are parsed inside the generator, and its
     # outer form is used, as the optimizer would else parse them twice
-    cut = documents.select("doc_id", th, F.posexplode_outer(F.transform(F.transform(split_lines(c("text")), plain), parsed)).alias("pos", "x"))
+    cut = documents.select("doc_id", th, F.posexplode_outer(F.transform(plain_lines(c("text")), parsed)).alias("pos", "x"))
     cut = cut.select("doc_id", "th", "pos", "x.*").where((F.size("w") > 1) | (F.get("w", F.lit(0)) != F.xxhash64(F.lit(""))))
     cut = cut.withColumn("many", F.size("w") - F.lit(size - 1))
-    rows = cut.select("*", F.explode(F.sequence(F.lit(0), F.greatest(c("many") - 1, F.lit(0)))).alias("i"))
-    head, token = c("i") == 0, F.when(c("many") > 0, token_at(c("w"), c("i"), size))
-    rows = rows.select(*[F.when(head, c(x)).alias(x) for x in ("doc_id", "th", "pos")], *key, "many", head.alias("head"), F.when(token < below(SHARE), token).alias("token")).where("head OR token IS NOT NULL")
-    counted = scratch.stored(rows, "counted", hashes="token")
-    lines = scratch.stored(counted.where("head").select("doc_id", "th", "pos", *key, "many"), "lines", hashes=True)
+    rows = cut.select("*", F.explode(F.sequence(F.lit(0), F.greatest(c("many") - 1 + less, F.lit(0)))).alias("i"))
+    run = F.when(c("many") > 0, token_at(c("w"), c("i"), size - less))
+    # a class is known by k1 in rows of runs, and what only its line needs is null in all but the first
+    line = F.when(c("i") == 0, F.struct("doc_id", "th", "pos", "k2")).alias("line")
+    rows = rows.select(line, "k1", "many", "i", F.when(run < below(SHARE), run).alias("run")).where("line IS NOT NULL OR run IS NOT NULL")
+    counted = scratch.stored(rows, "counted", hashes=True)
+    lines = counted.where("line IS NOT NULL").select("line.doc_id", "line.th", "line.pos", "k1", "line.k2", "many")
+    lines = scratch.stored(lines, "lines", hashes=True)
 
     place = F.struct("doc_id", "th", "pos")
     classes = lines.groupBy(*key).agg(F.min(place).alias("o"), F.count("*").alias("copies"), F.max("many").alias("many"))
     classes = scratch.stored(classes, "line-classes", hashes=True)
 
-    counted_tokens = counted.where("token IS NOT NULL")
-    shared = counted_tokens.groupBy("token").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).where("x <> y").select("token")
+    runs = counted.where("run IS NOT NULL").select("k1", "many", "i", "run")
+    spot = F.xxhash64("k1", "i")
+    shared = runs.groupBy("run").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("run")
     shared = scratch.stored(shared, "shared", hashes=True)
-    bit = lambda w: F.bit_or(F.when(F.shiftright("token", 6).bitwiseAND(F.lit(LONGS - 1)) == w, F.call_function("shiftleft", F.lit(1).cast("long"), c("token").bitwiseAND(F.lit(63)).cast("int"))))
-    alone = counted_tokens.join(_shared.broadcast_if_small(shared, _shared.BROADCAST_LONGS), "token", "left_anti")
-    alone = alone.groupBy(*key).agg(*(bit(w).alias(f"b{w}") for w in range(LONGS)))
-    least = functools.reduce(lambda a, b: a + b, [F.coalesce(F.bit_count(f"b{w}"), F.lit(0)) for w in range(LONGS)])
-    open_ = classes.where("many > 0").join(alone.select(*key, least.alias("alone")), key, "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    open_ = scratch.stored(open_.where(c("alone") <= spare(c("many"))).select(*key, "o", "many", "alone"), "open", hashes=True)
+    alone = runs.join(_shared.broadcast_if_small(shared, _shared.BROADCAST_LONGS), "run", "left_anti")
+    alone = alone.groupBy("k1").agg(*(held_bits(c("i"), c("many"), less, w).alias(f"b{w}") for w in range(LONGS)))
+    open_ = classes.where("many > 0").join(alone, "k1", "left").where(bits_set(*(c(f"b{w}") for w in range(LONGS))) <= spare(c("many")))
+    open_ = scratch.stored(open_.select(*key, "o", "many", *(f"b{w}" for w in range(LONGS))), "open", hashes=True)
     scratch.drop(shared, counted)
 
     # whole sets of what is left, from the texts
-    wanted = _shared.broadcast_if_small(open_.select(F.xxhash64("o.doc_id", "o.th", "o.pos").alias("ph")).distinct(), _shared.BROADCAST_LONGS)
+    wanted = _shared.broadcast_if_small(open_.select(F.xxhash64("o.doc_id", "o.th", "o.pos").alias("ph")), _shared.BROADCAST_LONGS)
     one = documents.select("doc_id", th, F.posexplode_outer(split_lines(c("text"))).alias("pos", "line"))
     one = one.withColumn("ph", F.xxhash64("doc_id", "th", "pos")).join(wanted, "ph", "left_semi")
     one = one.select(place.alias("o"), F.explode_outer(F.transform(F.array(plain(c("line"))), parsed)).alias("x")).select("o", "x.*")
@@ -117,26 +149,37 @@ def _removed(scratch: _shared.Scratch, documents: DataFrame, size: int, num: int
     if words.groupBy(*key).count().where("count > 1").limit(1).count():  # rows that repeat
         words = scratch.stored(words.dropDuplicates(key), "words", hashes=True)
     at = F.sequence(F.lit(0), F.size("w") - F.lit(size))
-    # tokens are rows here, as these are made by compiled code; one that a class repeats counts as shared, of which no class is lost
-    band = words.select(*key, "w", F.explode(at).alias("i")).select(*key, token_at(c("w"), c("i"), size).alias("token"))
-    band = band.where((c("token") >= below(SHARE)) & (c("token") < below(SHARE + BAND)))
-    owned = band.groupBy("token").agg(F.count("*").alias("df"), F.max("k1").alias("k1"), F.max("k2").alias("k2")).where("df = 1").groupBy(*key).agg(F.count("*").alias("more"))
-    over = open_.join(owned, key).where(c("alone") + c("more") > spare(c("many")))
+    # runs are rows here, as these are made by compiled code
+    many = F.size("w") - F.lit(size - 1)
+    band = words.select("k1", "w", many.alias("many"), F.explode(F.sequence(F.lit(0), many - 1 + less)).alias("i"))
+    band = band.select("k1", "many", "i", token_at(c("w"), c("i"), size - less).alias("run")).where((c("run") >= below(SHARE)) & (c("run") < below(SHARE + BAND)))
+    owned = band.groupBy("run").agg(F.count("*").alias("df"), F.max("k1").alias("k1"), F.max("many").alias("many"), F.max("i").alias("i")).where("df = 1")
+    owned = owned.groupBy("k1").agg(*(held_bits(c("i"), c("many"), less, w).alias(f"c{w}") for w in range(LONGS)))
+    both = [F.coalesce(f"b{w}", F.lit(0)).bitwiseOR(F.coalesce(f"c{w}", F.lit(0))) for w in range(LONGS)]
+    over = open_.join(owned, "k1").where(bits_set(*both) > spare(c("many")))
     over = scratch.stored(over.select(*key), "over", hashes=True)
     sets = words.join(_shared.broadcast_if_small(over, _shared.BROADCAST_LONGS // 2), key, "left_anti")
     sets = scratch.stored(sets.select(*key, "o", F.array_distinct(F.transform(at, lambda i: token_at(c("w"), i, size))).alias("t")), "sets", hashes=True)
     scratch.drop(open_, over, words)
 
-    tokens = sets.select(*key, F.size("t").alias("n"), F.explode("t").alias("token"))
-    rarity = scratch.stored(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "rarity", hashes=True)
+    # the order of tokens: those of one class, then those of few classes by hash, then frequent ones by rarity; only the
+    # first and the last, which are few, become rows that go to their classes
+    tokens = sets.select("k1", F.explode("t").alias("token"))
+    rarity = tokens.groupBy("token").agg(F.count("*").alias("df"), F.max("k1").alias("k1")).where((c("df") == 1) | (c("df") >= FREQUENT))
+    rarity = scratch.stored(rarity, "rarity", hashes=True)
+    own = rarity.where("df = 1").groupBy("k1").agg(F.collect_set("token").alias("own"))
+    often = rarity.where("df > 1").select("token", "df")
     # each token is there once, so a table of a task's tokens is small, and neither side needs sorting
-    rarity = F.broadcast(rarity) if _shared.is_small(rarity) else rarity.hint("shuffle_hash")
-    known = tokens.join(rarity, "token")
-    # i: the tokens before it that can be common (none of one class); common: all that can be
-    known = known.withColumn("i", F.row_number().over(W.partitionBy(*key).orderBy("df", "token")) - 1).withColumn("common", F.count("*").over(W.partitionBy(*key)).cast("int"))
-    # tokens of one class come first in the order, so that the prefix goes on with the rarest of the others; left: it and all that follow
-    members = known.where(c("i") < spare(c("n")) + 1 - (c("n") - c("common"))).select(*key, "n", "i", (c("common") - c("i")).alias("left"), "token")
-    members = members.join(sets.select(*key, "o").hint("shuffle_hash"), key).select(*key, "o", "n", "i", "left", "token")
+    often = F.broadcast(often) if _shared.is_small(often) else often.hint("shuffle_hash")
+    often = tokens.join(often, "token").groupBy("k1").agg(F.array_sort(F.collect_set(F.struct("df", "token")))["token"].alias("often"))
+    none = F.array().cast("array<long>")
+    known = sets.join(own, "k1", "left").join(often, "k1", "left").select(*key, "o", "t", F.coalesce("own", none).alias("own"), F.coalesce("often", none).alias("often"))
+    known = known.select(*key, "o", F.size("t").alias("n"), F.concat(F.array_except(F.sort_array("t"), F.concat("own", "often")), F.array_intersect("often", "t")).alias("shared"))
+    # tokens of one class come first in the order, so that the prefix goes on with the others; i: those before it that can
+    # be common, left: it and all that follow
+    common = F.size("shared")
+    members = known.withColumn("common", common).select(*key, "o", "n", "common", F.posexplode(F.slice("shared", F.lit(1), F.greatest(spare(c("n")) + 1 - (c("n") - common), F.lit(0)))).alias("i", "token"))
+    members = members.select(*key, "o", "n", "i", (c("common") - c("i")).alias("left"), "token")
     members = scratch.stored(members, "members", hashes=True)
     scratch.drop(rarity)
     several = scratch.stored(members.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "several", hashes=True)

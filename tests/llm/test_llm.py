@@ -264,6 +264,34 @@ def test_line_dedup_sorts_no_sets_and_collects_no_lists(spark, monkeypatch):
     assert sorted((r.doc_id, r.removed) for r in line_dedup.line_report(docs.union(docs)).collect()) == sorted([*want.items()] * 2) and dropped
 
 
+def test_line_dedup_counts_few_runs_and_loses_no_line(spark, monkeypatch):
+    """Rows counted at first are a fifth of the words at most; lines of repeated, few and very many words, frequent tokens."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", 3)
+    rng, made, stored = np.random.default_rng(13), {}, _shared.Scratch.stored
+
+    def counted(self, df, name, hashes=False):
+        table = stored(self, df, name, hashes)
+        made[name] = table.count()
+        return table
+
+    monkeypatch.setattr(_shared.Scratch, "stored", counted)
+    base = ["a " * 5, "a " * 7, "a b " * 4, prose(5), prose(6), prose(7), prose(24), prose(12) + " " + "a b c " * 6, prose(300), prose(700)]
+    lines = []
+    for i in range(100):
+        w = base[i % 10].split()
+        for _ in range(int(rng.integers(0, 3)) * max(1, len(w) // 30)):
+            w[int(rng.integers(len(w)))] = f"x{rng.integers(4)}"
+        lines.append(" ".join(w[int(rng.integers(0, 2)) * (len(w) > 5) :]))
+    sets = [shingles(x, 5) for x in lines]
+    want = {i: "0" if any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i)) else "" for i in range(100)}
+    assert 10 < len([x for x in want.values() if x]) < 95
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.line_report(docs).collect()} == want
+    alone = [" ".join(f"{d}w{i}" for i in range(200)) for d in range(40)]
+    assert line_dedup.removed_lines(spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")).count() == 0
+    assert made["counted"] < 40 * 200 / 5 and made["sets"] == 0
+
+
 @pytest.mark.parametrize("kind,file", [("words", "word_bpe_49k.json"), ("bytes", "byte_bpe_50k.json")])
 def test_chunked_ids_equal_whole_ids(kind, file):
     rng = np.random.default_rng(3)
