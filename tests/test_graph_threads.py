@@ -93,3 +93,20 @@ def test_threads_send_no_table_through_the_driver_and_end_by_scope(spark, tmp_pa
     assert not any("Broadcast" in p for p in plans)
     assert len(plans) == 6  # known, first ways, rounds up to a scope's six messages, result
     assert sorted({(r.uuid, r.root, r.depth, r.cyclic) for r in got.collect()}, key=str) == [("a", "a", 0, False), ("b", "a", 1, False), ("c", "a", 2, False), ("d", "a", 3, False), ("x", None, None, True), ("y", None, None, True)]
+
+
+def test_threads_deeper_than_a_way_have_whole_paths(spark, tmp_path):
+    df = spark.range(1200).selectExpr("'f' AS file_path", "CAST(id AS INT) AS line_no", "'m' || id AS uuid", "CASE WHEN id > 0 THEN 'm' || (id - 1) END AS parent_uuid")
+    got = {r.line_no: r for r in reply_threads(df, saved_in(spark, f"file://{tmp_path}/t")).collect()}
+    assert len(got) == 1200 and all(got[n].depth == n and got[n].path == [f"m{i}" for i in range(n + 1)] for n in range(1200))
+
+
+def test_paths_joined_of_short_ways_equal_the_plain_ones(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(s, f"d{i}", f"d{i - 1 - int(rng.integers(0, min(i, 3)))}" if i else None, i) for s in ("a", None) for i in range(100)]
+    rows += [("a", "d40", "gone", 200), ("a", "after", "d99", 201), ("a", None, "d98", 202), ("a", "x", "y", 203), ("a", "y", "x", 204), ("a", "under", "x", 205), ("a", None, None, 206), ("b", "lost", "d1", 207)]
+    df = spark.createDataFrame(rows, "file_path string, uuid string, parent_uuid string, line_no int").repartition(3)
+    found = lambda **k: sorted(map(str, reply_threads(df, saved_in(spark, f"file://{tmp_path}/t"), **k).collect()))
+    plain = found()
+    assert found(hop=4) == plain  # stops of stops, too
+    assert found(hop=4, nearest=9) == found(nearest=9) and found(hop=4, nearest=3) == found(nearest=3)
