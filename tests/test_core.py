@@ -359,3 +359,45 @@ def test_similarity_blocks_equal_the_matrix(spark):
     got, want = (sorted(map(value, x.collect()), key=str) for x in (V.similarity_blocks(df, block=4), V.similarity_matrix(df)))
     assert got == want and len(got) == 35 * 36 // 2 + 1
     assert V.similarity_blocks(df.limit(0)).count() == 0
+
+
+def test_similarity_blocks_send_a_vector_once_and_leave_small_files(spark, tmp_path):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    kept = []
+
+    def saved(t):
+        kept.append(catalogue.saved_in(spark, f"file://{tmp_path}/t")(t))
+        return kept[-1]
+
+    got = V.similarity_blocks(e, block=500, saved=saved)
+    assert "CartesianProduct" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Generate" not in plan
+    (stored,) = kept
+    assert stored.selectExpr("sum(size(ids))").first()[0] == 2000 and sum(len(r.m) for r in stored.collect()) == 2000 * 64 * 4
+    assert got.selectExpr("count(*)", "count(DISTINCT a, b)", "count_if(a > b)").first()[:] == (2001000, 2001000, 0)
+    twice = e.select("vec_id", "embedding").union(e.selectExpr("vec_id + 2000 AS vec_id", "embedding"))
+    V.similarity_blocks(twice, block=4000).write.parquet(f"file://{tmp_path}/out")
+    # 8 bytes a row and more in the order of ids
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 6 * 4000 * 4001 // 2
+
+
+def test_rows_of_a_pair_of_blocks_equal_plain_cosines_bit_by_bit():
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(40, 5)), [[0.0] * 5], [[np.nan, 1, 1, 1, 1]], [[np.inf, 1, 0, 0, 0]], [[1e-9, -1, 0, 0, 0]], [[1, 0, 0, 0, 0]], [[1e-160] * 5]])
+    ids, dims = np.r_[np.arange(45), 3], np.r_[np.full(39, 5), -1, np.full(6, 5)]
+    for other, itself in ((slice(None), True), (slice(20, None), False)):
+        y, yi, yd = x[other], ids[other], dims[other]
+        want = []
+        with np.errstate(all="ignore"):
+            size = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None]
+            no = (dims[:, None] != yd[None]) | (dims[:, None] < 0) | (size == 0)
+            sim = np.round(x @ y.T / np.where(no, 1, size), 6)
+        for i in range(len(x)):
+            for j in range(i if itself else 0, len(y)):
+                pair = sorted((int(ids[i]), int(yi[j])))
+                want += [repr((*pair, None if no[i, j] else float(sim[i, j])))] * (1 + (pair[0] == pair[1] and not (itself and i == j)))
+        assert "-0.0" in str(want) and "nan" in str(want)
+        for strip, parts, rows in ((512, 8, 1 << 18), (7, 3, 11), (512, 1, 5)):
+            got = [r for b in V._by_similarity((ids, dims, x), (yi, yd, y), itself, strip, parts, rows) for r in b.to_pylist()]
+            assert sorted(repr((r["a"], r["b"], r["sim"])) for r in got) == sorted(want)
+            finite = [r["sim"] for r in got if r["sim"] is not None and np.isfinite(r["sim"])]
+            assert finite == sorted(finite)
