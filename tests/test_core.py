@@ -380,6 +380,13 @@ def test_similarity_blocks_send_a_vector_once_and_leave_small_files(spark, tmp_p
     assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 6 * 4000 * 4001 // 2
 
 
+def test_similarity_blocks_of_many_small_partitions_are_few(spark):
+    kept = []
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").repartition(200)
+    V.similarity_blocks(e, block=500, saved=lambda t: kept.append(t) or t)
+    assert kept[0].count() <= 8
+
+
 def test_rows_of_a_pair_of_blocks_equal_plain_cosines_bit_by_bit():
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(size=(40, 5)), [[0.0] * 5], [[np.nan, 1, 1, 1, 1]], [[np.inf, 1, 0, 0, 0]], [[1e-9, -1, 0, 0, 0]], [[1, 0, 0, 0, 0]], [[1e-160] * 5]])
